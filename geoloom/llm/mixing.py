@@ -37,6 +37,8 @@ BLOCK_WORDS, SHARD_WORDS, MAX_BLOCKS, MAX_SHARDS = 1 << 15, 1 << 18, 1 << 14, 1
 PRIME = 2_147_483_647
 
 
+#: Documents, at most, that a source takes beyond its blocks to come nearer to its target.
+FILLERS = 3
 #: Rows up to which a side is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -167,11 +169,16 @@ class Plan:
         run = F.sum("size").over(Window.partitionBy("source_no").orderBy("place"))
         fits = same.withColumn("run", run).where(F.col("run") <= F.col("cut_words")).groupBy("source_no").agg(F.max("place").alias("cut_place"), F.max("run").alias("fit_words"))
         self.sources = cut(sources.join(cuts, "source_no", "left").join(fits, "source_no", "left").withColumn("gap", F.coalesce(F.col("cut_words") - F.coalesce("fit_words", F.lit(0)), F.lit(0.0))))
-        # one more place whose documents come closest to what is left
-        left = self._with(self.rows.where("size > 0"), self.sources.where("gap > 0")).where(~self.extra_round())
-        sums = left.groupBy("source_no", "place", "gap").agg(F.sum("size").alias("size")).where(F.abs(F.col("size") - F.col("gap")) < F.col("gap"))
-        filler = sums.groupBy("source_no").agg(F.min_by("place", F.struct(F.abs(F.col("size") - F.col("gap")), "place")).alias("fill_place"))
-        self.sources = cut(self.sources.join(filler, "source_no", "left"))
+        # places whose documents come closest to what is left, one after the other
+        self.sources = self.sources.withColumn("fill_places", F.array().cast("array<bigint>"))
+        for _ in range(FILLERS):
+            left = self._with(self.rows.where("size > 0"), self.sources.where("gap > 0")).where(~self.extra_round() & ~F.array_contains("fill_places", F.col("place")))
+            sums = left.groupBy("source_no", "place", "gap").agg(F.sum("size").alias("size")).where(F.abs(F.col("size") - F.col("gap")) < F.col("gap"))
+            nearest = sums.groupBy("source_no").agg(F.min_by(F.struct("place", "size"), F.struct(F.abs(F.col("size") - F.col("gap")), "place")).alias("fill"))
+            filled = self.sources.join(nearest, "source_no", "left")
+            places = F.when(F.col("fill").isNull(), F.col("fill_places")).otherwise(F.array_append("fill_places", F.col("fill.place")))
+            filled = filled.withColumn("fill_places", places).withColumn("gap", F.col("gap") - F.coalesce(F.col("fill.size"), F.lit(0)))
+            self.sources = cut(filled.drop("fill"))
         draws = F.col("rounds") * F.col("blocks") + F.when(F.col("cut_block").isNotNull(), F.col("cut_block") + 1).otherwise(0)
         quotas = self.sources.select("source_no", "blocks", draws.alias("draws"))
         leaves = split_tree(quotas.select("source_no", "draws"), self.shards, seed).where("n > 0")
@@ -201,11 +208,11 @@ class Plan:
 
     def taken(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with source, place) and source_no, source_size, target, drawn: (round, shard) of each time."""
-        known = self._with(rows, self.sources.select("source", "source_no", "source_size", "target", "blocks", "rounds", "cut_block", "cut_place", "fill_place"))
+        known = self._with(rows, self.sources.select("source", "source_no", "source_size", "target", "blocks", "rounds", "cut_block", "cut_place", "fill_places"))
         keyed = known.withColumn("block", self.block())
         joined = keyed.join(bounded(self.draws.withColumnRenamed("source_no", "__no").withColumnRenamed("block", "__block"), self.n_blocks), (F.col("source_no") == F.col("__no")) & (F.col("block") == F.col("__block")), "left")
         used = F.filter(F.coalesce("drawn", F.array().cast(self.draws.schema["drawn"].dataType)), lambda d: (d["round"] < F.col("rounds")) | self.extra_round())
-        spare = F.when(F.col("place") == F.col("fill_place"), F.array(F.struct(F.col("rounds").cast("int").alias("round"), F.pmod(F.xxhash64("source_no", "place"), F.lit(self.shards)).cast("int").alias("shard")))).otherwise(F.array().cast(self.draws.schema["drawn"].dataType))
+        spare = F.when(F.array_contains("fill_places", F.col("place")), F.array(F.struct(F.col("rounds").cast("int").alias("round"), F.pmod(F.xxhash64("source_no", "place"), F.lit(self.shards)).cast("int").alias("shard")))).otherwise(F.array().cast(self.draws.schema["drawn"].dataType))
         return joined.withColumn("drawn", F.when(F.col("size") > 0, F.concat(used, spare)).otherwise(F.array().cast(self.draws.schema["drawn"].dataType)))
 
 
