@@ -65,7 +65,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part is a crossing of a lattice 20 wide, with streets to the right and above."""
-    n = F.col("p_partkey") - 1
+    n = F.col("p_partkey")
     col, row = n % 20, F.floor(n / 20)
     parts = table(spark, sf_dir, "part").select("p_partkey", col.alias("col"), row.alias("row"), F.col("p_size").alias("size"))
     last = parts.agg(F.max("row").alias("last"))
@@ -95,10 +95,10 @@ def sort_limit(spark, sf_dir):
     return attributes.filter_features(customers(spark, sf_dir), None, "c_acctbal", True, 50, 10).select("c_custkey", "c_acctbal")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 10 THEN round_even(l_extendedprice * (1 - l_discount), 2) ELSE l_quantity // 3 END AS v, l_quantity - floor(l_quantity / 7) * 7 AS m, coalesce(l_returnflag IN ('A', 'R'), false) AS f FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 10 THEN round_even(l_extendedprice * (1 - l_discount), 6) ELSE floor(l_quantity / 3) END AS v, l_quantity - floor(l_quantity / 7) * 7 AS m, coalesce(l_returnflag IN ('A', 'R'), false) AS f FROM lineitem")
 def calculate_field(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem")
-    for name, text in {"v": "round(l_extendedprice * (1 - l_discount), 2) if l_quantity > 10 else l_quantity // 3", "m": "l_quantity % 7", "f": "l_returnflag in ['A', 'R']"}.items():
+    for name, text in {"v": "round(l_extendedprice * (1 - l_discount), 6) if l_quantity > 10 else l_quantity // 3", "m": "l_quantity % 7", "f": "l_returnflag in ['A', 'R']"}.items():
         df = attributes.calculate_field(df, name, text)
     return df.select("l_orderkey", "l_linenumber", F.col("v").cast("double").alias("v"), "m", "f")
 
@@ -140,7 +140,7 @@ def deduplicate(spark, sf_dir):
     return attributes.deduplicate(df, ["l_suppkey", "l_returnflag"]).select("l_suppkey", "l_returnflag", F.col("_idx").alias("first_line"))
 
 
-@query("SELECT c_custkey, c_mktsegment FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS at, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) WHERE floor(at * least(20, n) / n) > floor((at - 1) * least(20, n) / n)")
+@query("SELECT c_custkey, c_mktsegment FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS nr, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) WHERE floor(nr * least(20, n) / n) > floor((nr - 1) * least(20, n) / n)")
 def sample_systematic(spark, sf_dir):
     return attributes.sample_features(customers(spark, sf_dir), stratify_by="c_mktsegment", per_stratum=20, method="systematic").select("c_custkey", "c_mktsegment")
 
@@ -198,8 +198,8 @@ def attribute_statistics(spark, sf_dir):
 
 
 @query("""
-WITH k AS (SELECT event_type AS text, count(*) AS k, row_number() OVER (ORDER BY count(*) DESC, event_type) AS at FROM events GROUP BY 1)
-SELECT 'event_type' AS field, string_agg(text || '=' || k, ';' ORDER BY at) AS top_values FROM k WHERE at <= 10""")
+WITH k AS (SELECT event_type AS text, count(*) AS k, row_number() OVER (ORDER BY count(*) DESC, event_type) AS nr FROM events GROUP BY 1)
+SELECT 'event_type' AS field, string_agg(text || '=' || k, ';' ORDER BY nr) AS top_values FROM k WHERE nr <= 10""")
 def top_values(spark, sf_dir):
     return aggregates.attribute_statistics(table(spark, sf_dir, "events"), ["event_type"]).select("field", "top_values")
 
@@ -291,10 +291,10 @@ def filter_points_in_polygon(spark, sf_dir):
     return spatial.filter_points_in_polygon(customers(spark, sf_dir), strips(spark, sf_dir).where("_idx = 1"), 20.0).select("c_custkey")
 
 
-@query(f"SELECT b._idx, b.n_name, count(a._idx) AS point_count, round_even(sum(a.c_acctbal), 2) AS c_acctbal_sum, round_even(avg(a.c_acctbal), 6) AS c_acctbal_mean, min(a.c_acctbal) AS c_acctbal_min, max(a.c_acctbal) AS c_acctbal_max, round_even(count(a._idx)/400.0::DOUBLE, 6) AS density FROM {SQUARES} b LEFT JOIN {CUST} a ON {INSIDE} GROUP BY 1, 2")
+@query(f"SELECT b._idx, b.n_name, count(a._idx) AS point_count, round_even(sum(a.c_acctbal), 2) AS c_acctbal_sum, round_even(avg(a.c_acctbal), 4) AS c_acctbal_mean, min(a.c_acctbal) AS c_acctbal_min, max(a.c_acctbal) AS c_acctbal_max, round_even(count(a._idx)/400.0::DOUBLE, 6) AS density FROM {SQUARES} b LEFT JOIN {CUST} a ON {INSIDE} GROUP BY 1, 2")
 def aggregate_points(spark, sf_dir):
     out = spatial.aggregate_points(customers(spark, sf_dir), squares(spark, sf_dir), 20.0, "c_acctbal", density=True).drop("geometry", "n_regionkey")
-    return out.withColumns({"c_acctbal_sum": even_round(F.col("c_acctbal_sum"), 2), "c_acctbal_mean": even_round(F.col("c_acctbal_mean")), "density": even_round(F.col("density"))})
+    return out.withColumns({"c_acctbal_sum": even_round(F.col("c_acctbal_sum"), 2), "c_acctbal_mean": even_round(F.col("c_acctbal_mean"), 4), "density": even_round(F.col("density"))})
 
 
 KNN = f"SELECT a._idx AS source, b._idx AS target, {GAP} AS d, row_number() OVER (PARTITION BY a._idx ORDER BY {GAP}, b._idx) AS rank FROM {CUST} a, {SUPP} b"
@@ -572,24 +572,24 @@ def contours(spark, sf_dir):
 
 # networks
 
-LAST = "(SELECT max((p_partkey-1)//20) FROM part)"
+LAST = "(SELECT max(p_partkey//20) FROM part)"
 
 
-@query(f"SELECT CAST(p_partkey AS BIGINT) AS part, CAST((p_partkey-1)%20 + (p_partkey-1)//20 AS DOUBLE) AS cost FROM part WHERE (p_partkey-1)//20 <= {LAST}")
+@query(f"SELECT CAST(p_partkey AS BIGINT) AS part, CAST(p_partkey%20 + p_partkey//20 AS DOUBLE) AS cost FROM part WHERE p_partkey//20 <= {LAST}")
 def network_distances(spark, sf_dir):
     edges = network.build_edges(streets(spark, sf_dir))
-    start = table(spark, sf_dir, "part").where("p_partkey = 1").select(F.lit("depot").alias("origin"), F.lit("0.0 0.0").alias("node"))
+    start = table(spark, sf_dir, "part").where("p_partkey = 0").select(F.lit("depot").alias("origin"), F.lit("0.0 0.0").alias("node"))
     found = network.distances_from(edges, start)
-    n = F.col("p_partkey") - 1
+    n = F.col("p_partkey")
     named = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), network.node_key(F.struct((n % 20).cast("double").alias("x"), F.floor(n / 20).cast("double").alias("y"))).alias("node"))
     return named.join(found, "node").select("part", even_round(F.col("dist")).alias("cost"))
 
 
 @query("""
-WITH o AS (SELECT p_partkey AS k, (p_partkey-1)%20 AS c, (p_partkey-1)//20 AS r FROM part WHERE p_partkey IN (1, 25, 190)), d AS (SELECT p_partkey AS k, (p_partkey-1)%20 AS c, (p_partkey-1)//20 AS r FROM part WHERE p_partkey%20 = 7)
+WITH o AS (SELECT p_partkey AS k, p_partkey%20 AS c, p_partkey//20 AS r FROM part WHERE p_partkey IN (1, 25, 190)), d AS (SELECT p_partkey AS k, p_partkey%20 AS c, p_partkey//20 AS r FROM part WHERE p_partkey%20 = 7)
 SELECT CAST(o.k AS VARCHAR) AS origin, CAST(d.k AS VARCHAR) AS destination, CAST(CASE WHEN abs(o.c-d.c)+abs(o.r-d.r) <= 12 THEN abs(o.c-d.c)+abs(o.r-d.r) END AS DOUBLE) AS cost FROM o, d""")
 def od_matrix(spark, sf_dir):
-    n = F.col("p_partkey") - 1
+    n = F.col("p_partkey")
     named = table(spark, sf_dir, "part").select("p_partkey", network.node_key(F.struct((n % 20).cast("double").alias("x"), F.floor(n / 20).cast("double").alias("y"))).alias("node"))
     origins = named.where("p_partkey in (1, 25, 190)").select(F.col("p_partkey").cast("string").alias("origin"), "node")
     ends = named.where("p_partkey % 20 = 7").select(F.col("p_partkey").cast("string").alias("destination"), "node")
@@ -598,16 +598,16 @@ def od_matrix(spark, sf_dir):
 
 @query()
 def service_area(spark, sf_dir):
-    start = table(spark, sf_dir, "part").where("p_partkey = 1").select(F.lit("depot").alias("origin"), F.lit("0.0 0.0").alias("node"))
+    start = table(spark, sf_dir, "part").where("p_partkey = 0").select(F.lit("depot").alias("origin"), F.lit("0.0 0.0").alias("node"))
     return network.service_area(network.build_edges(streets(spark, sf_dir), "size"), start, [10.0, 25.0]).select("origin", "band", "edge_id", "share")
 
 
 @query("""
-WITH s AS (SELECT p_partkey AS k, (p_partkey-1)%20 AS c, (p_partkey-1)//20 AS r, p_size AS a FROM part WHERE p_partkey%37 = 0), d AS (SELECT p_partkey AS k, (p_partkey-1)%20 AS c, (p_partkey-1)//20 AS r, p_retailprice AS a FROM part WHERE p_partkey%11 = 0),
+WITH s AS (SELECT p_partkey AS k, p_partkey%20 AS c, p_partkey//20 AS r, p_size AS a FROM part WHERE p_partkey%37 = 0), d AS (SELECT p_partkey AS k, p_partkey%20 AS c, p_partkey//20 AS r, p_retailprice AS a FROM part WHERE p_partkey%11 = 0),
 p AS (SELECT s.k AS s, d.k AS d, s.a AS sa, d.a AS da FROM s, d WHERE abs(s.c-d.c)+abs(s.r-d.r) <= 6), l AS (SELECT s, any_value(sa)/sum(da) AS ratio FROM p GROUP BY 1)
 SELECT d.k AS demand, round_even(coalesce(sum(ratio), 0)*1000, 6) AS accessibility, count(ratio) AS facilities_in_reach FROM d LEFT JOIN p ON p.d = d.k LEFT JOIN l USING (s) GROUP BY 1""")
 def accessibility_2sfca(spark, sf_dir):
-    n = F.col("p_partkey") - 1
+    n = F.col("p_partkey")
     named = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", network.node_key(F.struct((n % 20).cast("double").alias("x"), F.floor(n / 20).cast("double").alias("y"))).alias("node"))
     supply = named.where("p_partkey % 37 = 0").select(F.col("p_partkey").cast("string").alias("origin"), "node", F.col("p_size").alias("amount"))
     demand = named.where("p_partkey % 11 = 0").select(F.col("p_partkey").alias("demand"), "node", F.col("p_retailprice").alias("amount"))

@@ -135,7 +135,7 @@ def nearest_neighbors(sources: DataFrame, targets: DataFrame, k: int = 1, max_di
     found = nearest(sources, targets, k, max_distance, order)
     other = targets.select(F.col(order).alias("target"), *[F.col(c).alias(prefix + c) for c in targets.columns if c not in ("x", "y", order)])
     joined = sources.join(found, sources[order] == found["source"], "inner" if drop else "left").drop("source").join(other, "target", "left")
-    return joined.withColumnsRenamed({"target": "_target_index", "rank": "_neighbor_rank"}).withColumn(distance_field, even_round(F.col("distance"))).drop("distance")
+    return joined.withColumnsRenamed({"target": "_target_index", "rank": "_neighbor_rank"}).withColumn("distance", even_round(F.col("distance"))).withColumnRenamed("distance", distance_field)
 
 
 def distances(sources: DataFrame, targets: DataFrame, mode: str = "nearest", order: str = "_idx") -> DataFrame:
@@ -252,19 +252,31 @@ def dbscan(points: DataFrame, eps: float, min_samples: int = 5, order: str = "_i
     return joined.drop("node", "label").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1)))
 
 
-def label_components(nodes: DataFrame, links: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, label): the smallest node of each component."""
-    both = durable(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = durable(nodes.select("node", F.col("node").alias("label")))
+def label_components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, label): the smallest node of each component.
+
+    Links are rewritten until every one points from a node to its component's
+    smallest: first each node's larger neighbours, then its smaller ones, are
+    linked to the smallest node around it. That takes a number of rounds that
+    grows with the logarithm of the longest chain.
+    """
+    edges = durable(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+
+    seen = state(edges)
     for _ in range(rounds):
-        offered = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        lower = labels.join(offered, "node", "left").select("node", F.least("label", F.coalesce("m", "label")).alias("l"), "label")
-        jumped = lower.join(labels.select(F.col("node").alias("l"), F.col("label").alias("up")), "l", "left").select("node", F.least("l", F.coalesce("up", "l")).alias("label"), F.col("label").alias("old"))
-        jumped = durable(jumped)
-        changed = jumped.where("label <> old").limit(1).count()
-        labels = jumped.select("node", "label")
-        if not changed:
-            return labels
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        floor = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(floor, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        edges = durable(small.where("a <> b").distinct())
+        before, seen = seen, state(edges)
+        if seen == before:
+            roots = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
+            return nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
