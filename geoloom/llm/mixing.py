@@ -3,7 +3,8 @@
 Only DataFrame functions. Each source's documents are dealt by hash into blocks
 of about equal words. A source's target is turned into an exact quota of block
 draws: as many whole rounds over its blocks as fit, then blocks of one more
-round, the last of which is cut where the target is reached. A binary tree over
+round (of documents no larger than what is left), the last of which is cut
+where the target is reached. A binary tree over
 the output shards splits the quota vector: at a node with L of M shards on the
 left, the left part is a multivariate-hypergeometric draw, source after source,
 each by the inverse of its distribution. A leaf's quotas are intervals on the
@@ -24,6 +25,8 @@ tables give no rows. All draws follow from hashes, so reruns agree.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +40,7 @@ BLOCK_WORDS, SHARD_WORDS, MAX_BLOCKS, MAX_SHARDS = 1 << 15, 1 << 18, 1 << 14, 1
 PRIME = 2_147_483_647
 
 
-#: Documents, at most, that a source takes beyond its blocks to come nearer to its target.
+#: Documents, at most, that a source adds to its blocks or takes out of them to come nearer to its target.
 FILLERS = 3
 #: Rows up to which a side is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -57,39 +60,52 @@ def uniform(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is evaluated once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def hypergeometric(marked: Column, rest: Column, drawn: Column, u: Column) -> Column:
     """A draw of how many of ``drawn`` items, of ``marked + rest``, are marked; u is uniform.
 
     Weights relative to the mode are enumerated outwards from it over ten
     standard deviations either way, beyond which they are below any double.
     """
-    total = marked + rest
-    low, high = F.greatest(F.lit(0), drawn - rest), F.least(marked, drawn)
-    mode = F.least(high, F.greatest(low, F.floor((drawn + 1.0) * (marked + 1.0) / (total + 2.0))))
-    spread = F.when(total > 1, drawn * (marked / total) * (rest / total) * ((total - drawn) / (total - 1.0))).otherwise(F.lit(0.0))
-    reach = F.ceil(10 * F.sqrt(spread)) + 10
-
-    def walk(up: bool, start: Column, goal: Column) -> Column:
+    def ranges(a: Column) -> Column:
+        total = a["marked"] + a["rest"]
+        low, high = F.greatest(F.lit(0), a["drawn"] - a["rest"]), F.least(a["marked"], a["drawn"])
+        mode = F.floor((a["drawn"] + 1.0) * (a["marked"] + 1.0) / (total + 2.0))
+        spread = F.when(total > 1, a["drawn"] * (a["marked"] / total) * (a["rest"] / total) * ((total - a["drawn"]) / (total - 1.0))).otherwise(F.lit(0.0))
+        return F.struct(F.least(high, F.greatest(low, mode)).cast("bigint").alias("mode"), low.alias("low"), high.alias("high"), (F.ceil(10 * F.sqrt(spread)) + 10).alias("reach"))
+
+    def walk(a: Column, r: Column, up: bool, start: Column, goal: Column) -> Column:
         """(weight, sum, value): value is the first whose running sum passes ``goal``."""
-        steps = F.least(reach, (high - mode) if up else (mode - low))
+        steps = F.least(r["reach"], (r["high"] - r["mode"]) if up else (r["mode"] - r["low"])).cast("bigint")
         first = F.struct(F.lit(1.0).alias("w"), start.alias("sum"), F.lit(None).cast("bigint").alias("value"))
 
         def merge(s: Column, i: Column) -> Column:
-            k = mode + i if up else mode - i
+            k = r["mode"] + i if up else r["mode"] - i
             if up:
-                w = s["w"] * (marked - k + 1.0) * (drawn - k + 1.0) / (k * (rest - drawn + k + 0.0))
+                w = s["w"] * (a["marked"] - k + 1.0) * (a["drawn"] - k + 1.0) / (k * (a["rest"] - a["drawn"] + k + 0.0))
             else:
-                w = s["w"] * (k + 1.0) * (rest - drawn + k + 1.0) / ((marked - k + 0.0) * (drawn - k + 0.0))
-            value = F.when(s["value"].isNull() & (s["sum"] + w > goal), k).otherwise(s["value"])
-            return F.struct(w.alias("w"), (s["sum"] + w).alias("sum"), value.cast("bigint").alias("value"))
+                w = s["w"] * (k + 1.0) * (a["rest"] - a["drawn"] + k + 1.0) / ((a["marked"] - k + 0.0) * (a["drawn"] - k + 0.0))
+            return let(w, lambda x: F.struct(x.alias("w"), (s["sum"] + x).alias("sum"), F.when(s["value"].isNull() & (s["sum"] + x > goal), k).otherwise(s["value"]).cast("bigint").alias("value")))
+
+        return F.aggregate(F.when(steps > 0, F.sequence(F.lit(1).cast("bigint"), steps)).otherwise(F.array().cast("array<bigint>")), first, merge)
+
+    def chosen(a: Column, r: Column) -> Column:
+        never = F.lit(float("inf"))
+        sums = F.struct(walk(a, r, True, F.lit(1.0), never)["sum"].alias("up"), walk(a, r, False, F.lit(0.0), never)["sum"].alias("down"))
+
+        def pick(t: Column) -> Column:
+            above = walk(a, r, True, F.lit(1.0), t["goal"])["value"]
+            below = walk(a, r, False, t["up"], t["goal"])["value"]
+            return F.when(t["goal"] < 1.0, r["mode"]).otherwise(F.coalesce(above, below, r["mode"]))
 
-        return F.aggregate(F.when(steps > 0, F.sequence(F.lit(1).cast("bigint"), steps.cast("bigint"))).otherwise(F.array().cast("array<bigint>")), first, merge)
+        return let(sums, lambda t: let(F.struct(t["up"].alias("up"), (a["u"] * (t["up"] + t["down"])).alias("goal")), pick))
 
-    never = F.lit(float("inf"))
-    ups = walk(True, F.lit(1.0), never)["sum"]
-    downs = walk(False, F.lit(0.0), never)["sum"]
-    goal = u * (ups + downs)
-    return F.when(goal < 1.0, mode).otherwise(F.coalesce(walk(True, F.lit(1.0), goal)["value"], walk(False, ups, goal)["value"], mode)).cast("bigint")
+    given = F.struct(marked.cast("bigint").alias("marked"), rest.cast("bigint").alias("rest"), drawn.cast("bigint").alias("drawn"), u.alias("u"))
+    return let(given, lambda a: let(ranges(a), lambda r: chosen(a, r)))
 
 
 def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -109,8 +125,7 @@ def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
         def draw(s: Column, x: Column) -> Column:
             u = uniform(F.lit(seed), F.lit(level), F.col("lo"), x["source_no"])
-            got = hypergeometric(x["n"], s["left"] - x["n"], s["drawn"], u)
-            return F.struct((s["left"] - x["n"]).alias("left"), (s["drawn"] - got).alias("drawn"), F.concat(s["out"], F.array(got)).alias("out"))
+            return let(hypergeometric(x["n"], s["left"] - x["n"], s["drawn"], u), lambda got: F.struct((s["left"] - x["n"]).alias("left"), (s["drawn"] - got).alias("drawn"), F.concat(s["out"], F.array(got)).alias("out")))
 
         # materialized as a column, so that both children use one draw
         node = node.withColumn("mid", mid).withColumn("got", F.when(F.col("hi") - F.col("lo") > 1, F.aggregate("q", begin, draw)["out"]))
@@ -118,7 +133,7 @@ def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
         right = F.struct(F.col("mid").alias("lo"), F.col("hi").alias("hi"), F.transform("q", lambda x, i: F.struct(x["source_no"].alias("source_no"), (x["n"] - F.get("got", i)).alias("n"))).alias("q"), F.zip_with("first", "got", lambda a, b: a + b).alias("first"))
         same = F.struct("lo", "hi", "q", "first")
         node = node.select(F.explode(F.when(F.col("got").isNull(), F.array(same)).otherwise(F.array(left, right))).alias("x")).select("x.*")
-        if level % 4 == 3:
+        if level % 3 == 2:
             node = cut(node.repartition(min(64, 1 << level + 1), "lo"))
     leaf = node.select(F.col("lo").alias("shard"), F.posexplode("q").alias("i", "x"), "first")
     return leaf.select("x.source_no", "shard", F.get("first", F.col("i")).alias("first"), F.col("x.n").alias("n")).where("n > 0")
@@ -156,30 +171,38 @@ class Plan:
         full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
         sources = sizes.select("*", blocks.alias("blocks"), full.alias("rounds"))
         sources = sources.withColumn("rest", F.col("target") - F.col("rounds") * F.col("source_size"))
-        # blocks in order, with the words before them
-        dealt = self._with(self.rows.where("size > 0"), sources.select("source", "source_no", "blocks"))
+        # blocks in order, with the words before them, of documents that can fit into what is left
+        dealt = self._with(self.rows.where("size > 0"), sources.select("source", "source_no", "blocks", "rest")).where(F.col("size") <= F.col("rest"))
         words = dealt.groupBy("source_no", self.block().alias("block")).agg(F.sum("size").alias("words"))
         upto = F.sum("words").over(Window.partitionBy("source_no").orderBy("block"))
         line = words.withColumn("before", upto - F.col("words"))
         cuts = line.join(sources.select("source_no", "rest"), "source_no").where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
         cuts = cuts.select("source_no", F.col("block").alias("cut_block"), (F.col("rest") - F.col("before")).alias("cut_words"))
         # in the block that is cut, documents by place, as far as they fit
-        inside = self._with(self.rows.where("size > 0"), sources.join(cuts, "source_no").select("source", "source_no", "blocks", "cut_block", "cut_words")).where(self.block() == F.col("cut_block"))
+        inside = self._with(self.rows.where("size > 0"), sources.join(cuts, "source_no").select("source", "source_no", "blocks", "rest", "cut_block", "cut_words")).where((self.block() == F.col("cut_block")) & (F.col("size") <= F.col("rest")))
         same = inside.groupBy("source_no", "place", "cut_words").agg(F.sum("size").alias("size"))
         run = F.sum("size").over(Window.partitionBy("source_no").orderBy("place"))
         fits = same.withColumn("run", run).where(F.col("run") <= F.col("cut_words")).groupBy("source_no").agg(F.max("place").alias("cut_place"), F.max("run").alias("fit_words"))
-        self.sources = cut(sources.join(cuts, "source_no", "left").join(fits, "source_no", "left").withColumn("gap", F.coalesce(F.col("cut_words") - F.coalesce("fit_words", F.lit(0)), F.lit(0.0))))
-        # places whose documents come closest to what is left, one after the other
-        self.sources = self.sources.withColumn("fill_places", F.array().cast("array<bigint>"))
+        fitting = words.groupBy("source_no").agg(F.sum("words").alias("fitting"))
+        every = sources.join(cuts, "source_no", "left").join(fits, "source_no", "left").join(fitting, "source_no", "left")
+        # without a cut all that fits is taken: the cut lies behind the last block
+        gap = F.when(F.col("cut_block").isNotNull(), F.col("cut_words") - F.coalesce("fit_words", F.lit(0))).otherwise(F.col("rest") - F.coalesce("fitting", F.lit(0)))
+        self.sources = cut(every.withColumn("gap", gap.cast("double")).withColumn("cut_block", F.coalesce("cut_block", "blocks")))
+        # places to add, or to leave out again, whose documents come closest to what is left
+        none = F.array().cast("array<bigint>")
+        self.sources = self.sources.withColumn("fill_places", none).withColumn("drop_places", none)
+        wanted, size = F.abs(F.col("gap")), F.col("size")
         for _ in range(FILLERS):
-            left = self._with(self.rows.where("size > 0"), self.sources.where("gap > 0")).where(~self.extra_round() & ~F.array_contains("fill_places", F.col("place")))
-            sums = left.groupBy("source_no", "place", "gap").agg(F.sum("size").alias("size")).where(F.abs(F.col("size") - F.col("gap")) < F.col("gap"))
-            nearest = sums.groupBy("source_no").agg(F.min_by(F.struct("place", "size"), F.struct(F.abs(F.col("size") - F.col("gap")), "place")).alias("fill"))
+            able = F.when(F.col("gap") > 0, ~self.extra_round() & ~F.array_contains("fill_places", F.col("place"))).otherwise(self.extra_round())
+            left = self._with(self.rows.where("size > 0"), self.sources.where("gap <> 0")).where(able)
+            sums = left.groupBy("source_no", "place", "gap").agg(F.sum("size").alias("size")).where(F.abs(size - wanted) < wanted)
+            nearest = sums.groupBy("source_no").agg(F.min_by(F.struct("place", "size"), F.struct(F.abs(size - wanted), "place")).alias("fill"))
             filled = self.sources.join(nearest, "source_no", "left")
-            places = F.when(F.col("fill").isNull(), F.col("fill_places")).otherwise(F.array_append("fill_places", F.col("fill.place")))
-            filled = filled.withColumn("fill_places", places).withColumn("gap", F.col("gap") - F.coalesce(F.col("fill.size"), F.lit(0)))
+            more, less = F.col("fill").isNotNull() & (F.col("gap") > 0), F.col("fill").isNotNull() & (F.col("gap") < 0)
+            change = F.when(more, F.col("fill.size")).when(less, -F.col("fill.size")).otherwise(0)
+            filled = filled.withColumns({"fill_places": F.when(more, F.array_append("fill_places", F.col("fill.place"))).otherwise(F.col("fill_places")), "drop_places": F.when(less, F.array_append("drop_places", F.col("fill.place"))).otherwise(F.col("drop_places")), "gap": F.col("gap") - change})
             self.sources = cut(filled.drop("fill"))
-        draws = F.col("rounds") * F.col("blocks") + F.when(F.col("cut_block").isNotNull(), F.col("cut_block") + 1).otherwise(0)
+        draws = F.col("rounds") * F.col("blocks") + F.when(F.col("rest") > 0, F.least(F.col("cut_block") + 1, F.col("blocks"))).otherwise(0)
         quotas = self.sources.select("source_no", "blocks", draws.alias("draws"))
         leaves = split_tree(quotas.select("source_no", "draws"), self.shards, seed).where("n > 0")
         each = leaves.select("source_no", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("at"))
@@ -200,7 +223,8 @@ class Plan:
     def extra_round() -> Column:
         """Whether the last, partial round takes a document by its place."""
         earlier = Plan.block() < F.col("cut_block")
-        return F.coalesce(earlier | ((Plan.block() == F.col("cut_block")) & (F.col("place") <= F.col("cut_place"))), F.lit(False))
+        fits = (F.col("size") <= F.col("rest")) & ~F.array_contains("drop_places", F.col("place"))
+        return F.coalesce(fits & (earlier | ((Plan.block() == F.col("cut_block")) & (F.col("place") <= F.col("cut_place")))), F.lit(False))
 
     def _with(self, rows: DataFrame, sources: DataFrame) -> DataFrame:
         other = sources.withColumnRenamed("source", "__source")
@@ -208,7 +232,7 @@ class Plan:
 
     def taken(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with source, place) and source_no, source_size, target, drawn: (round, shard) of each time."""
-        known = self._with(rows, self.sources.select("source", "source_no", "source_size", "target", "blocks", "rounds", "cut_block", "cut_place", "fill_places"))
+        known = self._with(rows, self.sources.select("source", "source_no", "source_size", "target", "blocks", "rounds", "rest", "cut_block", "cut_place", "fill_places", "drop_places"))
         keyed = known.withColumn("block", self.block())
         joined = keyed.join(bounded(self.draws.withColumnRenamed("source_no", "__no").withColumnRenamed("block", "__block"), self.n_blocks), (F.col("source_no") == F.col("__no")) & (F.col("block") == F.col("__block")), "left")
         used = F.filter(F.coalesce("drawn", F.array().cast(self.draws.schema["drawn"].dataType)), lambda d: (d["round"] < F.col("rounds")) | self.extra_round())
