@@ -22,13 +22,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def short_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small enough for very long texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder.
 
@@ -72,7 +65,9 @@ def map_columns(df: DataFrame, schema: str, make: Callable) -> DataFrame:
     function may give None for nothing. Arrow arrays that are passed through
     keep their nulls and full precision.
     """
-    short_batches(df.sparkSession)
+    key, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def packed(columns: dict) -> pa.RecordBatch:
