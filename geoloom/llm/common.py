@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -86,10 +87,10 @@ def map_columns(df: DataFrame, schema: str, make: Callable) -> DataFrame:
 
 
 def counting(parts: Callable[[pa.RecordBatch, dict], None], most: int, columns: Callable[[dict], dict]) -> Callable:
-    """A ``make`` that counts over a whole task: ``parts`` adds a batch to a dict, which goes out when it has ``most`` keys and at the end."""
+    """A ``make`` that counts over a whole task: ``parts`` adds a batch to a Counter, which goes out when it has ``most`` keys and at the end."""
 
     def make():
-        counts: dict = {}
+        counts: Counter = Counter()
 
         def flush():
             out = columns(counts) if counts else None

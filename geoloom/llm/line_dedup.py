@@ -27,9 +27,13 @@ come before all others; extra columns stay as they are.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import xor
+
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, counting, cut, lower_ascii, map_columns, row_key, text_of
@@ -42,8 +46,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
     def add(batch, counts):
         for text in batch["text"].to_pylist():
-            for word in text.encode().translate(LOWER).split():
-                counts[word] = counts.get(word, 0) + 1
+            counts.update(text.encode().translate(LOWER).split())
 
     def sums(counts):
         digest = xxhash.xxh64_intdigest
@@ -59,17 +62,30 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return out
 
 
+class Ranks(dict):
+    """Word to (order by rarity, then hash); looked-up words are remembered."""
+
+    def __init__(self, counts: np.ndarray):
+        super().__init__()
+        self.counts = counts
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        out = self[word] = min(int(self.counts[h % COUNTERS]), (1 << 24) - 1) << 38 | h >> 26
+        return out
+
+
 def line_sets(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """(doc_id, key, line, set_id, n, bits, prefix) of every line with words; rows have doc_id, key, text."""
+    """(doc_id, key, line, set_id, n, bits, prefix) of every line with words; rows have doc_id, key, text.
+
+    Prefix words are 32-bit hashes: words that share one only add candidates.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(counts)
+    parity = [1 << i for i in range(64)]
 
     def make():
-        frequency, digest, known = shared.value, xxhash.xxh64_intdigest, {}
-        wide = xxhash.xxh128_digest
-
-        def rank(word: bytes) -> tuple[int, int]:
-            h = digest(word)
-            return int(frequency[h % COUNTERS]) << 64 | h, 1 << (h >> 58)
+        known, wide = Ranks(shared.value), xxhash.xxh128_digest
+        rank = known.__getitem__
 
         def one(batch):
             out: dict[str, list] = {c: [] for c in ("at", "line", "set_id", "n", "bits", "prefix")}
@@ -80,14 +96,8 @@ def line_sets(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFram
                     words = set(line.split())
                     if not words:
                         continue
-                    ranks, bits = [], 0
-                    for word in words:
-                        found = known.get(word)
-                        if found is None:
-                            found = known[word] = rank(word)
-                        ranks.append(found[0])
-                        bits ^= found[1]
-                    ranks.sort()
+                    ranks = sorted(map(rank, words))
+                    bits = reduce(xor, [parity[r >> 32 & 63] for r in ranks])
                     n = len(ranks)
                     length = n - int(np.ceil(threshold * n - 1e-9)) + 1
                     out["at"].append(at)
@@ -95,76 +105,101 @@ def line_sets(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFram
                     out["set_id"].append(wide(b" ".join(sorted(words))))
                     out["n"].append(n)
                     out["bits"].append(bits - (1 << 64) if bits >> 63 else bits)
-                    out["prefix"].append([h - (1 << 64) if (h := r & (1 << 64) - 1) >> 63 else h for r in ranks[:length]])
-            at = out.pop("at")
+                    out["prefix"].append([(r & 0xFFFFFFFF) - 0x80000000 for r in ranks[:length]])
+            at = pa.array(out.pop("at"), pa.int64())
             return out | {"doc_id": batch["doc_id"].take(at), "key": batch["key"].take(at)}
 
         return one
 
-    return map_columns(rows, "doc_id bigint, key bigint, line int, set_id binary, n int, bits bigint, prefix array<bigint>", make)
+    return map_columns(rows, "doc_id bigint, key bigint, line int, set_id binary, n int, bits bigint, prefix array<int>", make)
+
 
+def might_match(threshold: float, x: dict, y: dict) -> Column:
+    """Length, positional and bitmap filters between two classes at a shared prefix word."""
+    need = F.ceil(threshold / (1 + threshold) * (x["n"] + y["n"]) - 1e-9)
+    shorter = F.least(x["n"], y["n"]) >= threshold * F.greatest(x["n"], y["n"]) - 1e-9
+    rest = 1 + F.least(x["n"] - x["pos"] - 1, y["n"] - y["pos"] - 1) + F.least(x["pos"], y["pos"])
+    return shorter & (rest >= need) & (F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= x["n"] + y["n"] - 2 * need)
 
-def might_match(threshold: float) -> Column:
-    """Length, positional and bitmap filters between ``x`` and an earlier ``y`` at a shared prefix word."""
-    need = F.ceil(threshold / (1 + threshold) * (F.col("x.n") + F.col("y.n")) - 1e-9)
-    shorter = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9
-    rest = 1 + F.least(F.col("x.n") - F.col("x.pos") - 1, F.col("y.n") - F.col("y.pos") - 1) + F.least("x.pos", "y.pos")
-    differ = F.col("x.n") + F.col("y.n") - 2 * need
-    return (F.col("y.first") < F.col("x.first")) & shorter & (rest >= need) & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= differ)
+
+FIELDS = ("doc_id", "key", "line", "n", "pos", "bits")
+
+
+def _fields(prefix: str) -> dict:
+    return {c: F.col(prefix + c) for c in FIELDS}
+
+
+def _earlier(x: str, y: str) -> Column:
+    """Whether the place at prefix y comes before that at x."""
+    place = lambda p: F.struct(*[F.col(f"{p}{c}") for c in ("doc_id", "key", "line")])
+    return place(y) < place(x)
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, key, line) of every line that an earlier line removes; key tells texts under a doc_id apart."""
+    """(key, line) of every line that an earlier line removes; key stands for doc_id and text."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("key"), text_of().alias("text"))
-    counts = rarity(rows)
-    lines = cut(line_sets(rows, counts, threshold))
+    lines = cut(line_sets(rows, rarity(rows), threshold))
     place = F.struct("doc_id", "key", "line")
-    classes = cut(lines.groupBy("set_id").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
-    posted = classes.select("set_id", "first", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
-    leaders = posted.groupBy("word").agg(F.min(F.struct("first", "set_id", "n", "bits", "pos")).alias("y"), F.count("*").alias("in_word")).where("in_word > 1")
-    leaders = leaders.select("word", "y.*")
-    near = posted.alias("x").join(leaders.alias("y"), "word").where(might_match(threshold)).select(F.col("x.set_id").alias("x_id"), F.col("x.first").alias("x"), F.col("y.first").alias("y")).distinct()
-    first_hits = cut(_verified(near, rows, threshold))
-    open_sets = classes.join(first_hits.withColumnRenamed("x_id", "set_id"), "set_id", "left_anti").select("set_id", "first", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
-    shared_words = posted.join(leaders.select("word"), "word", "left_semi")
-    rest = (
-        open_sets.alias("x").join(shared_words.alias("y"), F.col("x.word") == F.col("y.word")).where(might_match(threshold))
-        .select(F.col("x.set_id").alias("x_id"), F.col("x.first").alias("x"), F.col("y.first").alias("y")).distinct()
-    )
-    hits = first_hits.unionByName(_verified(rest, rows, threshold))
-    matched = classes.select("set_id", "first").join(hits.withColumnRenamed("x_id", "set_id").withColumn("hit", F.lit(True)), "set_id", "left")
-    marked = lines.select("doc_id", "key", "line", "set_id").join(matched, "set_id")
-    return marked.where(F.col("hit").isNotNull() | ~F.struct("doc_id", "key", "line").eqNullSafe(F.col("first"))).select("doc_id", "key", "line").distinct()
+    firsts = lines.groupBy("set_id").agg(F.min(F.struct("doc_id", "key", "line", "n", "bits", "prefix")).alias("f"))
+    classes = cut(firsts.select("set_id", "f.*"))
+    posted = classes.select("doc_id", "key", "line", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
+    # one exchange by word: each class beside the earliest one under the word
+    alike = Window.partitionBy("word").orderBy(F.col("doc_id").asc_nulls_first(), "key", "line")
+    whole = alike.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    listed = posted.select("word", *FIELDS, F.first(F.struct(*FIELDS)).over(alike).alias("y"), F.count(F.lit(1)).over(whole).alias("in_word")).where("in_word > 1")
+    lead = {c: F.col("y")[c] for c in FIELDS}
+    led = ~F.struct("doc_id", "key", "line").eqNullSafe(F.struct(lead["doc_id"], lead["key"], lead["line"]))
+    like = might_match(threshold, _fields(""), lead)
+    ends = lambda x, y: [F.struct(x["key"].alias("key"), x["line"].alias("line")).alias("x"), F.struct(y["key"].alias("key"), y["line"].alias("line")).alias("y")]
+    near = listed.where(led & like).select(*ends(_fields(""), lead))
+    open_ = listed.where(led & ~like).select("word", *[F.col(c).alias("x_" + c) for c in FIELDS])
+    others = listed.select("word", *[F.col(c).alias("y_" + c) for c in FIELDS])
+    rest = open_.join(others, "word").where(_earlier("x_", "y_") & might_match(threshold, _fields("x_"), _fields("y_"))).select(*ends(_fields("x_"), _fields("y_")))
+    pairs = cut(near.unionByName(rest).distinct())
+    hits = cut(_verified(pairs, rows, threshold))
+    # a class that only resembled the earliest one under a word is held against all under its words
+    doubtful = cut(pairs.select("x").distinct().join(hits, "x", "left_anti").select("x.key", "x.line"))
+    n = doubtful.count()
+    if n:
+        again = posted.join(bounded(doubtful, n), ["key", "line"], "left_semi").select("word", *[F.col(c).alias("x_" + c) for c in FIELDS])
+        every = posted.select("word", *[F.col(c).alias("y_" + c) for c in FIELDS])
+        more = again.join(every, "word").where(_earlier("x_", "y_") & might_match(threshold, _fields("x_"), _fields("y_"))).select(*ends(_fields("x_"), _fields("y_")))
+        left = cut(more.distinct().exceptAll(pairs))
+        hits = hits.unionByName(_verified(left, rows, threshold))
+    matched = classes.select("set_id", place.alias("first"), F.struct("key", "line").alias("x")).join(hits.withColumn("hit", F.lit(True)), "x", "left").select("set_id", "first", "hit")
+    marked = lines.select("key", "line", place.alias("place"), "set_id").join(matched, "set_id")
+    return marked.where(F.col("hit").isNotNull() | ~F.col("place").eqNullSafe(F.col("first"))).select("key", "line")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """The x_id of pairs of places (x, y) whose lines' word sets reach the threshold."""
-    pairs = cut(pairs)
-    ends = pairs.select(F.col("x").alias("p")).unionByName(pairs.select(F.col("y").alias("p"))).distinct()
-    wanted = ends.select("p", F.col("p.key").alias("key")).groupBy("key").agg(F.collect_set("p.line").alias("wanted"))
+    """The distinct x of pairs of places (key, line) whose lines' word sets reach the threshold."""
+    ends = pairs.select("x.key", "x.line").unionByName(pairs.select("y.key", "y.line"))
+    wanted = cut(ends.groupBy("key").agg(F.collect_set("line").alias("wanted")))
     split = F.transform(F.split(lower_ascii(F.col("text")), "\n"), lambda line, i: F.struct(line.alias("text"), i.alias("line")))
-    one_each = rows.join(wanted, "key").dropDuplicates(["key"])
-    lines = one_each.select("doc_id", "key", F.explode(F.filter(split, lambda x: F.array_contains("wanted", x["line"]))).alias("l"))
-    words = lines.select(F.struct("doc_id", "key", F.col("l.line").alias("line")).alias("p"), F.array_distinct(F.filter(F.split("l.text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("w"))
-    left, right = words.select(F.col("p").alias("x"), F.col("w").alias("xw")), words.select(F.col("p").alias("y"), F.col("w").alias("yw"))
+    found = rows.join(bounded(wanted, wanted.count()), "key")
+    lines = found.select("key", F.explode(F.filter(split, lambda x: F.array_contains("wanted", x["line"]))).alias("l"))
+    words = lines.select("key", F.col("l.line").alias("line"), F.array_distinct(F.filter(F.split("l.text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("w"))
+    left, right = words.select(F.struct("key", "line").alias("x"), F.col("w").alias("xw")), words.select(F.struct("key", "line").alias("y"), F.col("w").alias("yw"))
     both = F.size(F.array_intersect("xw", "yw"))
-    joined = _on_place(_on_place(pairs, left, "x"), right, "y")
-    return joined.where(both >= threshold * (F.size("xw") + F.size("yw") - both) - 1e-9).select("x_id").distinct()
+    return pairs.join(left, "x").join(right, "y").where(both >= threshold * (F.size("xw") + F.size("yw") - both) - 1e-9).select("x").distinct()
+
+
+#: Counted rows up to which a side is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 
-def _on_place(df: DataFrame, other: DataFrame, place: str) -> DataFrame:
-    """Joined on key and line of a place; its doc_id follows from the key."""
-    keyed = other.select(F.col(f"{place}.key").alias("__key"), F.col(f"{place}.line").alias("__line"), *[c for c in other.columns if c != place])
-    return df.join(keyed, (F.col(f"{place}.key") == F.col("__key")) & (F.col(f"{place}.line") == F.col("__line"))).drop("__key", "__line")
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def deduplicate_lines(docs: DataFrame, threshold: float = THRESHOLD, counted: bool = False) -> DataFrame:
     """The documents with all their columns and repeated lines taken out of text; with ``counted`` also n_lines, n_removed."""
     columns = docs.columns
-    gone = removed_lines(docs, threshold).groupBy(F.col("key").alias("__key")).agg(F.collect_set("line").alias("__gone"))
+    gone = cut(removed_lines(docs, threshold).groupBy(F.col("key").alias("__key")).agg(F.collect_set("line").alias("__gone")))
     lines = F.split(F.col("text"), "\n")
     kept = F.filter(lines, lambda _, i: ~F.array_contains("__gone", i))
-    joined = docs.withColumn("__key", row_key()).join(gone, "__key", "left")
+    size = gone.agg(F.coalesce(F.sum(1 + F.size("__gone") / 4), F.lit(0))).first()[0]
+    joined = docs.withColumn("__key", row_key()).join(bounded(gone, size), "__key", "left")
     text = F.when(F.col("__gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     extra = [F.size(F.split(text_of(), "\n")).alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed")] if counted else []
     return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in columns], *extra)
