@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -23,18 +24,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder.
-
-    The cluster names that folder in ``spark.checkpoint.dir``; a folder of our
-    own is set only where the setting is absent, as in local tests.
-    """
+def shared_folder(df: DataFrame) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where that is unset, as in local tests."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df)
     return df.checkpoint()
 
 
+def cut_table(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a table in the shared folder: compressed, and scans of it can share exchanges."""
+    path = f"{shared_folder(df)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

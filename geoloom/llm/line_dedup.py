@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, counting, cut, lower_ascii, map_columns, row_key, text_of
+from .common import LOWER, counting, cut, cut_table, lower_ascii, map_columns, row_key, text_of
 
 THRESHOLD, COUNTERS = 0.8, 1 << 18
 
@@ -138,16 +138,16 @@ def _earlier(x: str, y: str) -> Column:
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(key, line) of every line that an earlier line removes; key stands for doc_id and text."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("key"), text_of().alias("text"))
-    lines = cut(line_sets(rows, rarity(rows), threshold))
+    lines = cut_table(line_sets(rows, rarity(rows), threshold))
     place = F.struct("doc_id", "key", "line")
     firsts = lines.groupBy("set_id").agg(F.min(F.struct("doc_id", "key", "line", "n", "bits", "prefix")).alias("f"))
-    classes = cut(firsts.select("set_id", "f.*"))
-    posted = classes.select("doc_id", "key", "line", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
+    classes = cut_table(firsts.select("set_id", "f.*"))
+    posted = classes.select("doc_id", "key", "line", "n", "bits", F.posexplode("prefix").alias("pos", "word")).where("word is not null")
     # one exchange by word: each class beside the earliest one under the word
     alike = Window.partitionBy("word").orderBy(F.col("doc_id").asc_nulls_first(), "key", "line")
     whole = alike.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    listed = posted.select("word", *FIELDS, F.first(F.struct(*FIELDS)).over(alike).alias("y"), F.count(F.lit(1)).over(whole).alias("in_word")).where("in_word > 1")
-    lead = {c: F.col("y")[c] for c in FIELDS}
+    listed = posted.select("word", *FIELDS, *[F.first(c).over(alike).alias("lead_" + c) for c in FIELDS], F.count(F.lit(1)).over(whole).alias("in_word")).where("in_word > 1")
+    lead = _fields("lead_")
     led = ~F.struct("doc_id", "key", "line").eqNullSafe(F.struct(lead["doc_id"], lead["key"], lead["line"]))
     like = might_match(threshold, _fields(""), lead)
     ends = lambda x, y: [F.struct(x["key"].alias("key"), x["line"].alias("line")).alias("x"), F.struct(y["key"].alias("key"), y["line"].alias("line")).alias("y")]
