@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as g
 from .functions.numbers import even_round
-from .operators import aggregates, attributes, network, raster, scoring, shapes, spatial
+from .operators import aggregates, attributes, network, overlay, raster, scoring, shapes, spatial
 from .plans.spec import Operation, QuerySpec
 from .plans.spec import run as run_spec
 
@@ -440,6 +440,33 @@ def grid_counts(spark, sf_dir):
     return df.join(counts, "c").select("c_custkey", "c.cx", "c.cy", "n")
 
 
+@query(f"SELECT _idx, round_even((least(x1, 55)-greatest(x0, 10))*(least(y1, 73)-greatest(y0, 15)), 6) AS area FROM {SQUARES} WHERE least(x1, 55) > greatest(x0, 10) AND least(y1, 73) > greatest(y0, 15)")
+def clip(spark, sf_dir):
+    out = overlay.clip(squares(spark, sf_dir), g.rectangle(F.lit(10.0), F.lit(15.0), F.lit(55.0), F.lit(73.0)))
+    return out.select("_idx", even_round(g.area(F.col("geometry"))).alias("area"))
+
+
+MOVED = f"(SELECT _idx, x0+7 AS x0, x1+7 AS x1, y0, y1 FROM {STRIPS})"
+
+
+@query(f"SELECT a._idx AS source, b._idx AS target, round_even((least(a.x1, b.x1)-greatest(a.x0, b.x0))*(a.y1-a.y0), 6) AS _intersection_area FROM {SQUARES} a JOIN {MOVED} b ON least(a.x1, b.x1) > greatest(a.x0, b.x0)")
+def intersect_pairs(spark, sf_dir):
+    moved = strips(spark, sf_dir).withColumn("geometry", g.map_vertices(F.col("geometry"), lambda v: g.vertex(v["x"] + 7, v["y"])))
+    return overlay.intersections(squares(spark, sf_dir), moved, 20.0).select("source", "target", "_intersection_area")
+
+
+@query(f"SELECT a._idx, arg_min(b._idx, -(least(a.x1, b.x1)-greatest(a.x0, b.x0))) AS _target_index FROM {SQUARES} a JOIN {MOVED} b ON least(a.x1, b.x1) > greatest(a.x0, b.x0) GROUP BY 1")
+def intersect_filter(spark, sf_dir):
+    moved = strips(spark, sf_dir).withColumn("geometry", g.map_vertices(F.col("geometry"), lambda v: g.vertex(v["x"] + 7, v["y"])))
+    return overlay.intersect_filter(squares(spark, sf_dir), moved, 20.0).select("_idx", "_target_index")
+
+
+@query(f"SELECT n_regionkey, count(*) AS _feature_count, round_even(sum((x1-x0)*(y1-y0)), 6) AS area, min(n_name) AS n_name_first FROM {SQUARES} GROUP BY 1")
+def dissolve(spark, sf_dir):
+    out = overlay.dissolve(squares(spark, sf_dir), ["n_regionkey"], [{"field": "n_name", "op": "first"}], "n_name")
+    return out.select("n_regionkey", "_feature_count", even_round(g.area(F.col("geometry"))).alias("area"), "n_name_first")
+
+
 # rasters
 
 @query(f"SELECT row, col, round_even(CASE WHEN b1+b2 > 1e-12 THEN (b2-b1)/(b2+b1) END, 6) AS value FROM {PIX}")

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from ..operators import aggregates, attributes, raster, scoring, shapes, spatial
+from ..operators import aggregates, attributes, overlay, raster, scoring, shapes, spatial
 
 
 @dataclass(frozen=True)
@@ -56,6 +56,9 @@ OPERATIONS: dict[str, tuple[Callable, tuple[str, ...]]] = {
     "distance_to": (spatial.distances, ("vector", "target")),
     "connect_nearest_lines": (spatial.connection_lines, ("vector",)),
     "aggregate_points": (spatial.aggregate_points, ("points", "polygons")),
+    "clip": (overlay.clip, ("vector",)),
+    "intersect": (overlay.intersect_filter, ("source", "target")),
+    "dissolve": (overlay.dissolve, ("vector",)),
     "hotspots": (spatial.hotspots, ("vector",)),
     "spatial_autocorrelation": (spatial.morans_i, ("vector",)),
     "kernel_density": (spatial.kernel_density, ("points",)),
