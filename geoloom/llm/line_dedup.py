@@ -156,21 +156,28 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     others = listed.select("word", *[F.col(c).alias("y_" + c) for c in FIELDS])
     rest = open_.join(others, "word").where(_earlier("x_", "y_") & might_match(threshold, _fields("x_"), _fields("y_"))).select(*ends(_fields("x_"), _fields("y_")))
     pairs = cut(near.unionByName(rest).distinct())
-    hits = cut(_verified(pairs, rows, threshold))
+    hits = _matched(pairs, rows, threshold)
     # a class that only resembled the earliest one under a word is held against all under its words
     doubtful = cut(pairs.select("x").distinct().join(hits, "x", "left_anti").select("x.key", "x.line"))
     n = doubtful.count()
     if n:
-        again = posted.join(bounded(doubtful, n), ["key", "line"], "left_semi").select("word", *[F.col(c).alias("x_" + c) for c in FIELDS])
+        again = cut(posted.join(bounded(doubtful, n), ["key", "line"], "left_semi").select("word", *[F.col(c).alias("x_" + c) for c in FIELDS]))
         every = posted.select("word", *[F.col(c).alias("y_" + c) for c in FIELDS])
-        more = again.join(every, "word").where(_earlier("x_", "y_") & might_match(threshold, _fields("x_"), _fields("y_"))).select(*ends(_fields("x_"), _fields("y_")))
-        left = cut(more.distinct().exceptAll(pairs))
-        hits = hits.unionByName(_verified(left, rows, threshold))
+        more = every.join(bounded(again, again.count()), "word").where(_earlier("x_", "y_") & might_match(threshold, _fields("x_"), _fields("y_"))).select(*ends(_fields("x_"), _fields("y_")))
+        hits = hits.unionByName(_matched(cut(more.distinct().exceptAll(pairs)), rows, threshold))
     matched = classes.select("set_id", place.alias("first"), F.struct("key", "line").alias("x")).join(hits.withColumn("hit", F.lit(True)), "x", "left").select("set_id", "first", "hit")
     marked = lines.select("key", "line", place.alias("place"), "set_id").join(matched, "set_id")
     return marked.where(F.col("hit").isNotNull() | ~F.col("place").eqNullSafe(F.col("first"))).select("key", "line")
 
 
+def _matched(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """The distinct x of pairs that reach the threshold: each x is first held against one y, then against its others."""
+    first = cut(pairs.groupBy("x").agg(F.min("y").alias("y")))
+    hits = cut(_verified(first, rows, threshold))
+    others = cut(pairs.join(hits, "x", "left_anti").join(first, ["x", "y"], "left_anti"))
+    return hits if others.isEmpty() else cut(hits.unionByName(_verified(others, rows, threshold)))
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """The distinct x of pairs of places (key, line) whose lines' word sets reach the threshold."""
     ends = pairs.select("x.key", "x.line").unionByName(pairs.select("y.key", "y.line"))
