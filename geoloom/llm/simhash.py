@@ -41,16 +41,20 @@ LARGE_GROUP = 24
 BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64)
 
 
-def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
+def shingle_hashes(text: str, shingle: int = 3, seed: int = 42) -> np.ndarray:
     words = text.encode().translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) <= shingle:
         parts = [b" ".join(words)]
     else:
         parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(p, seed) for p in parts), np.uint64)
+    return np.fromiter((digest(p, seed) for p in parts), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     lanes = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
     out = 0
     for byte in range(8):
@@ -61,6 +65,10 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     return out
 
 
+def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, *keep: str) -> DataFrame:
     """doc_id, the long columns of ``keep``, and the text's fingerprint as a signed long."""
 
