@@ -3,12 +3,12 @@ r"""Personal data, and the words that give it away.
 Only DataFrame functions. Four kinds of protected entities are found by fixed
 patterns; a match that fails its check is dropped. Beyond them, the method is
 information-theoretic: the corpus tells in how many documents an entity and a
-word occur, and in how many they occur together, within ``NEAR`` characters.
+word occur, and in how many they occur together, anywhere in the text.
 The pointwise mutual information of both, over the information content of the
 entity, is the share of the entity that the word discloses. Words that disclose
-at least ``THRESHOLD`` of it, seen beside it in at least ``SUPPORT`` documents,
-are spans of their own, of kind ``term``; ``sanitise`` generalises entities to
-their kind and removes such words.
+at least ``THRESHOLD`` of it, seen with it in at least ``SUPPORT`` documents, are
+spans of their own, of kind ``term``, wherever they stand in any text;
+``sanitise`` generalises entities to their kind and removes such words.
 
 Positions come without a UDF: the pieces between matches and the matches
 alternate, so starts are sums of their lengths, in code points.
@@ -37,7 +37,9 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-NEAR, THRESHOLD, SUPPORT, SHORTEST = 48, 0.9, 2, 3
+THRESHOLD, SUPPORT, SHORTEST = 0.9, 2, 3
+#: Parts that a hot entity is dealt into; terms that may be broadcast; mark of letters that are a span's.
+SALTS, BROADCAST, HIDDEN = 16, 20_000, "\x00"
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -62,7 +64,7 @@ CHECKS = {
 SIGNS = {"email": lambda t: F.contains(t, F.lit("@")), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "card": lambda t: t.rlike("[0-9][ -]?[0-9]"), "phone": lambda t: t.rlike(r"\+[0-9]")}
 
 
-def matches(text: Column, pattern: str, kind: int) -> Column:
+def matches(text: Column, pattern: str | Column, kind: int) -> Column:
     """Spans of all leftmost, non-overlapping matches."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
@@ -86,44 +88,67 @@ def entities(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def words_beside(text: Column, span: Column, near: int) -> Column:
-    """Spans of the words within ``near`` characters of a span; words cut by that edge are left out."""
-    start = F.greatest(F.lit(0), span["start"] - near)
-    before = F.substring(text, start + 1, span["start"] - start)
-    after = F.substring(text, span["end"] + 1, F.lit(near))
-    word = r"\p{L}++"
-    whole_left = F.filter(matches(before, word, 4), lambda w: (w["start"] > 0) | (start == 0))
-    whole_left = F.filter(whole_left, lambda w: w["end"] < F.length(before))
-    whole_right = F.filter(matches(after, word, 4), lambda w: (w["start"] > 0) & ((w["end"] < F.length(after)) | (F.length(text) <= span["end"] + near)))
-    moved = lambda words, by: F.transform(words, lambda w: F.struct((w["start"] + by).alias("start"), w["kind"].alias("kind"), (w["end"] + by).alias("end"), w["value"].alias("value")))
-    return F.filter(F.concat(moved(whole_left, start), moved(whole_right, span["end"])), lambda w: F.length(w["value"]) >= SHORTEST)
+def words_apart(text: Column, spans: Column) -> Column:
+    """The distinct words, in lower case, that don't overlap a span."""
+    letter = lambda c: F.when(c.rlike(r"^\p{L}$"), HIDDEN).otherwise(" ")
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-
-def disclosing(docs: DataFrame, found: DataFrame, near: int, threshold: float, support: int) -> DataFrame:
-    """(key, spans) of the disclosing words. ``found`` has key and the entity spans of each text."""
+    def step(s: Column, x: Column) -> Column:
+        piece = F.substring(text, s["at"] + 1, F.greatest(F.lit(0), x["start"] - s["at"]))
+        edges = F.concat(letter(F.left(x["value"], F.lit(1))), F.lit(" "), letter(F.right(x["value"], F.lit(1))))
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], F.array(F.translate(piece, HIDDEN, " "), edges)).alias("out"))
+
+    left = F.aggregate(spans, begin, step, lambda s: F.concat(F.array_join(s["out"], ""), F.translate(F.substring(text, s["at"] + 1, F.length(text)), HIDDEN, " ")))
+    whole = F.when(F.size(spans) == 0, F.translate(text, HIDDEN, " ")).otherwise(left)
+    words = F.split(lower_ascii(whole), rf"[^\p{{L}}{HIDDEN}]++")
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= SHORTEST) & ~F.contains(w, F.lit(HIDDEN))))
+
+
+def revealing_terms(docs: DataFrame, found: DataFrame, threshold: float, support: int) -> DataFrame:
+    """The terms that disclose ``threshold`` of an entity. ``found`` has key and the entity spans of each row."""
+    rows = docs.select(row_key().alias("key"), text_of().alias("text")).withColumn("spans", entities(F.col("text")))
+    n = float(max(docs.count(), 1))
+    by_key = found.where(F.size("spans") > 0).groupBy("key").agg(F.count("*").alias("m"), F.first("spans").alias("spans"))
+    held = cut(by_key.select("key", "m", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("entity")))
+    known = held.groupBy("entity").agg(F.sum("m").alias("n_entity"), F.count("*").alias("keys")).where(F.col("keys") >= support).drop("keys")
+    most = known.agg(F.max("n_entity")).first()[0]
+    if most is None:
+        return docs.sparkSession.createDataFrame([], "term string")
+    # as n_both <= n_entity, a term in more documents than this can't reach the threshold
+    bound = lambda n_entity: F.pow(F.lit(n), F.lit(1 - threshold)) * F.pow(n_entity.cast("double"), F.lit(threshold)) * (1 + 1e-6)
+    counted = rows.select(F.explode(words_apart(F.col("text"), F.col("spans"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    counted = cut(counted.where((F.col("n_term") >= support) & (F.col("n_term") <= bound(F.lit(most)))))
+    words = rows.where(F.size("spans") > 0).select("key", F.explode(words_apart(F.col("text"), F.col("spans"))).alias("term"))
+    words = words.join(counted, "term").dropDuplicates(["key", "term"])
+    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    weighed = held.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(salted, ["entity", "salt"]).drop("salt")
+    pairs = weighed.join(words, "key").where(F.col("n_term") <= bound(F.col("n_entity")))
+    together = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("m").alias("n_both"), F.count("*").alias("keys")).where(F.col("keys") >= support)
+    mutual = F.log2(F.lit(n) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
+    content = F.greatest(F.log2(F.lit(n) / F.col("n_entity")), F.lit(1e-9))
+    return cut(together.where(mutual / content >= threshold).select("term").distinct())
+
+
+def disclosing(docs: DataFrame, found: DataFrame, threshold: float, support: int) -> DataFrame:
+    """(key, terms): the spans of all disclosing words in all texts."""
+    terms = revealing_terms(docs, found, threshold, support)
+    if terms.count() <= BROADCAST:
+        terms = F.broadcast(terms)
     rows = docs.select(row_key().alias("key"), text_of().alias("text"))
-    with_entity = rows.withColumn("spans", entities(F.col("text"))).where(F.size("spans") > 0).dropDuplicates(["key"])
-    beside = with_entity.select("key", "spans", "text", F.explode("spans").alias("e")).select("key", "spans", F.col("e.value").alias("entity"), F.explode(words_beside(F.col("text"), F.col("e"), near)).alias("w"))
-    apart = beside.where(~F.exists("spans", lambda s: (s["start"] < F.col("w.end")) & (F.col("w.start") < s["end"])))
-    near_by = cut(apart.select("key", "entity", lower_ascii(F.col("w.value")).alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end")))
-    n = docs.count()
-    entity_docs = found.select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    together = near_by.select("key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    together = cut(together)
-    terms = F.explode(F.array_distinct(F.split(lower_ascii(F.col("text")), r"[^\p{L}]++")))
-    counted = rows.select(terms.alias("term")).where(F.length("term") >= SHORTEST).groupBy("term").agg(F.count("*").alias("n_term"))
-    measured = together.join(entity_docs, "entity").join(counted, "term")
-    mutual = F.log2(F.lit(float(max(n, 1))) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    content = F.greatest(F.log2(F.lit(float(max(n, 1))) / F.col("n_entity")), F.lit(1e-9))
-    revealing = measured.where(mutual / content >= threshold).select("entity", "term")
-    spans = near_by.join(revealing, ["entity", "term"]).select("key", F.struct("start", F.lit(4).alias("kind"), "end", F.col("term").alias("value")).alias("s")).distinct()
-    return spans.groupBy("key").agg(F.collect_list("s").alias("terms"))
-
-
-def find(docs: DataFrame, near: int = NEAR, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+    word = F.explode(F.array_distinct(F.split(lower_ascii(F.col("text")), r"[^\p{L}]++"))).alias("term")
+    inside = cut(rows.select("key", word).where(F.length("term") >= SHORTEST).join(terms, "term").groupBy("key").agg(F.collect_set("term").alias("words")))
+    spans = found.dropDuplicates(["key"]).join(inside, "key").select("key", "spans", "words")
+    pattern = F.concat(F.lit(r"(?i)(?<!\p{L})(?:"), F.array_join("words", "|"), F.lit(r")(?!\p{L})"))
+    marked = rows.join(spans, "key").dropDuplicates(["key"]).withColumn("hits", matches(F.col("text"), pattern, 4))
+    apart = F.filter("hits", lambda w: ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+    lowered = F.transform(apart, lambda w: F.struct(w["start"].alias("start"), w["kind"].alias("kind"), w["end"].alias("end"), lower_ascii(w["value"]).alias("value")))
+    return marked.select("key", lowered.alias("terms"))
+
+
+def find(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """doc_id, key, base (entity spans) and spans (with the disclosing words) of every text."""
     found = cut(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("key"), entities(text_of()).alias("spans")))
-    terms = disclosing(docs, found, near, threshold, support)
+    terms = disclosing(docs, found, threshold, support)
     both = F.array_sort(F.concat("spans", F.coalesce("terms", F.array().cast(SPAN))))
     return found.join(terms, "key", "left").select("doc_id", "key", F.col("spans").alias("base"), both.alias("spans"))
 

@@ -69,3 +69,16 @@ def test_disclosing_words_and_sanitising(spark):
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert clean[1] == "write  at [EMAIL] today" and clean[4] is None and clean[100] == filler[0][1]
     assert pii.sanitise(df).columns == df.columns and pii.find(df.limit(0)).count() == 0
+
+
+def test_terms_far_from_the_entity(spark):
+    far = "plain words about nothing here " * 12
+    filler = [(100 + i, f"plain words about nothing number{i % 7} here") for i in range(60)]
+    rows = [(1, f"Zephyrine {far} z@x.org and zephyrine"), (2, f"z@x.org {far} Zephyrine"), (3, f"z@x.org {far} ZEPHYRINE"), (4, "only Zephyrine, not Zephyrines"), (5, "z@x.org, z@x.org")]
+    rows += [(6, "Björn@q.org"), (7, "Björn@q.org bjö")]
+    df = spark.createDataFrame(rows + filler, "doc_id bigint, text string")
+    got = {r.doc_id: r.s.split(",") for r in pii.find(df, threshold=0.8).select("doc_id", pii.listed("spans").alias("s")).collect()}
+    for i, text in rows[:5]:
+        assert [s for s in got[i] if s.startswith("term")] == [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"\bzephyrine\b", text, re.I)], i
+    assert got[7] == ["email:3:11"]
+    assert {r.doc_id: r.text for r in pii.sanitise(df, threshold=0.8).collect()}[4] == "only , not Zephyrines"
