@@ -32,7 +32,11 @@ from .common import cut, lower_ascii, map_columns, text_of
 
 TRAINING, DICTIONARY, TREES, DEPTH, SEED = 20_000, 4_000, 20, 7, 11
 NAMES = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "credential")
-CANDIDATE = regex.compile(r"""(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|auth|credential)s?["']?\s*[:=]\s*["']?(?P<value>[^\s"',;]{6,})|(?<![A-Za-z0-9+/_=-])(?P<bare>[A-Za-z0-9+/_=-]{16,})(?![A-Za-z0-9+/_=-])""")
+#: The named branch takes a whole identifier that holds a telling name; the bare branch's value has '=' only as padding.
+CANDIDATE = regex.compile(
+    r"""(?i)(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]*?(?:password|passwd|pwd|secret|token|api[_-]?key|[_-]key|auth|credential))[A-Za-z0-9_.-]++["']?\s*[:=]\s*["']?(?P<value>[^\s"',;]{6,})"""
+    r"""|(?<![A-Za-z0-9+/_-])(?P<bare>[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?+)"""
+)
 #: Fixed public key formats.
 FORMATS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk_live_[0-9A-Za-z]{24,}|xox[abps]-[0-9A-Za-z-]{10,}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
 FEATURES = ["length", "transitions", "coverage", "upper", "lower", "digit", "other", "entropy", "named", "assigned", "quoted", "path_depth", "path_test", "before_length", "after_length", "before_known", "after_known"]
@@ -101,7 +105,7 @@ def candidates(docs: DataFrame, words: frozenset[str], path: str = "source") ->
 
 def labelled_findings(found: DataFrame) -> DataFrame:
     """features and label: true for public key formats and mixed values assigned to a telling name."""
-    named = found["beside"].rlike("(" + "|".join(NAMES) + r")s?[\"']?\s*[:=]\s*[\"']?$")
+    named = found["beside"].rlike("(" + "|".join(NAMES) + r")s?([_-][a-z0-9_-]*|[0-9]*)[\"']?\s*[:=]\s*[\"']?$")
     mixed = found["value"].rlike("[0-9]") & found["value"].rlike("[A-Za-z]")
     return found.select("features", (found["value"].rlike(FORMATS) | (named & mixed)).cast("double").alias("label"))
 

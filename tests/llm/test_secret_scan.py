@@ -42,3 +42,17 @@ def test_given_labels_decide(spark):
     kept = S.scan(df, labelled=long_ones).where("kept").select(F.length("value").alias("n")).toPandas()["n"]
     assert (kept > 18).all() and len(kept) > 50
     assert S.report(df.limit(0)).count() == 0
+
+
+def test_names_of_environment_style(spark):
+    key = "AKIA" + "Q7" * 8
+    planted = {
+        'DB_PASSWORD = "hunter2x"': "hunter2x", "db_password: s3cr3tpw": "s3cr3tpw", 'client_secret="abc123xy"': "abc123xy", "GITHUB_TOKEN=ghp_" + "a1B2" * 9: "ghp_" + "a1B2" * 9,
+        f"AWS_KEY={key}": key, f"A_LONG_NAME_WITHOUT_MEANING={key}": key, "SECRET_KEY=s3cr3tpw": "s3cr3tpw", "app.token_prod: t0ken99": "t0ken99", "QUJDREVGR0hJSktMTU5P==": "QUJDREVGR0hJSktMTU5P==",
+    }
+    rows = [(i, f"x {text} y", "a") for i, text in enumerate(planted)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = S.candidates(df, frozenset())
+    values = {(r.doc_id, r.value) for r in found.collect()}
+    assert {(i, v) for i, v in enumerate(planted.values())} <= values
+    assert sum(r.label for r in S.labelled_findings(found).collect()) == len(planted) - 1  # all but the padded value
