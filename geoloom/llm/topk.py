@@ -71,8 +71,10 @@ def block_top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vecto
         top, bottom = lists[n - read], lists[read - 1]
         upper = gain[active] @ np.maximum(vectors, top).T + loss[active] @ np.minimum(vectors, bottom).T
         lower = gain[active] @ np.where(vectors >= top, vectors, low).T + loss[active] @ np.where(vectors <= bottom, vectors, high).T
-        kth = np.partition(lower, n - k - 1, axis=1)[:, n - k - 1]  # k others beside the query's own row
-        inside = upper >= kth[:, None]
+        own = ids == query_ids[active][:, None]
+        lower[own] = -np.inf  # rows with the query's vec_id are no answers, however many
+        kth = np.partition(lower, n - k, axis=1)[:, n - k]
+        inside = (upper >= kth[:, None]) & ~own
         done = inside.sum(axis=1) <= max(4 * k, n // 8)
         for row in np.flatnonzero(done):
             shortlist[active[row]] = np.flatnonzero(inside[row])
@@ -101,10 +103,12 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, candidate_bloc
     n, m = candidates.count(), queries.count()
     size = candidate_block or min(LARGEST_BLOCK, max(CANDIDATE_BLOCK, n // 64))
     c_blocks, q_blocks = max(1, -(-n // size)), max(1, -(-m // query_block))
-    block = lambda parts, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(parts)).cast("int")
+    block = lambda parts, seed, *more: F.pmod(F.xxhash64("vec_id", *more, F.lit(seed)), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     left = queries.select(block(q_blocks, 1).alias("qb"), every(c_blocks).alias("cb"), "vec_id", "v")
-    right = candidates.select(every(q_blocks).alias("qb"), block(c_blocks, 2).alias("cb"), "vec_id", "v")
+    # of equal rows no more than k can be among the best k; others of one vec_id are dealt out by their vector
+    rows = candidates.groupBy("vec_id", "v").agg(F.count("*").alias("m")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("m"), F.lit(k)).cast("int"))))
+    right = rows.select(every(q_blocks).alias("qb"), block(c_blocks, 2, "v").alias("cb"), "vec_id", "v")
 
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], np.int64)})

@@ -46,3 +46,14 @@ def test_wide_values(spark):
     rows = [(0, [1e7, 3e7]), (1, [2e7, -1e7]), (2, [5e6, 1e7])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     assert {tuple(r) for r in topk.search(df, k=2).collect()} == brute(rows, 2)
+
+
+def test_repeated_query_id(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.3, 8)]) for i in range(1, 400)]
+    rows += [(0, [3.0 + 0.01 * j] * 8) for j in range(60)] + [(7, rows[6][1])] * 30  # more than k rows of one id, and more than k equal rows
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    ready = topk.quantized(df)
+    queries = ready.where("vec_id = 0").orderBy("v").limit(1).unionByName(ready.where("vec_id = 20"))
+    got = {tuple(r) for r in topk.top_k(queries, ready, 10).collect()}
+    assert got == {r for r in brute(rows, 10) if r[0] in (0, 20)}
