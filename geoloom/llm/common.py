@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 #: Lower-cases A-Z only, for bytes.translate.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 UPPER_LETTERS, LOWER_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows in an Arrow batch: texts may be long, so a batch is kept short.
+#: Rows that a function of texts gets at once: texts may be long, so they are few.
 BATCH_ROWS = 256
 
 
@@ -68,17 +68,14 @@ def shards_for(total: int, per_shard: int, least: int = 1) -> int:
     return max(least, -(-int(total or 0) // per_shard))
 
 
-def map_columns(df: DataFrame, schema: str, make: Callable) -> DataFrame:
+def map_columns(df: DataFrame, schema: str, make: Callable, rows: int = BATCH_ROWS) -> DataFrame:
     """Arrow batches in, columns out.
 
     ``make()`` runs once a task and gives the function of a batch, or a pair of
     it and a function without arguments that gives what is left at the end. A
     function may give None for nothing. Arrow arrays that are passed through
-    keep their nulls and full precision.
+    keep their nulls and full precision. A batch has at most ``rows`` rows.
     """
-    key, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def packed(columns: dict) -> pa.RecordBatch:
@@ -87,9 +84,10 @@ def map_columns(df: DataFrame, schema: str, make: Callable) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = make()
         one, end = made if isinstance(made, tuple) else (made, lambda: None)
-        for batch in batches:
-            if (out := one(batch)) is not None:
-                yield packed(out)
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                if (out := one(whole.slice(start, rows))) is not None:
+                    yield packed(out)
         if (out := end()) is not None:
             yield packed(out)
 

@@ -1,212 +1,349 @@
 """Line dedup as an exact set-similarity join.
 
 A line is the set of its lower-cased words. It is removed if an earlier line,
-by (doc_id, text hash, line number), has the same set or one with Jaccard
+by (doc_id, line number, set, text hash), has the same set or one with Jaccard
 similarity of at least ``threshold``.
 
 Lines with one set become one class, which is placed by its first line. The
 words of a class are ordered by rarity: by a corpus count of fixed size (words
-hashed into ``COUNTERS`` counters), then by hash, so the order is the same for
-all lines. Two similar sets share a word of their prefixes; a class is joined
-with others on prefix words, under the length filter, the positional filter
-and a bitmap filter (words hashed into 64 parities; sets differ in at least as
-many words as their bitmaps do in bits). What is left is verified on the words.
+hashed into ``COUNTERS`` counters, on a logarithmic scale), then by hash, so the
+order is the same for all lines. Two similar sets share a word of their prefixes,
+so classes are dealt out by prefix word and met there under the length filter,
+the positional filter and a bitmap filter (words hashed into 64 parities; sets
+differ in at least as many words as their bitmaps do in bits). What is left is
+verified on the words of both lines.
+
+Words that occur once in the corpus get no posting. A word of more than ``HOT``
+occurrences is paired with the words that can be the second one that two similar
+sets share, so no posting list of a single word has more classes than that.
 
 The join runs in two steps, as a class needs only one earlier match. First each
-class is held against the earliest class under each of its prefix words, which
-finds most copies in rows in proportion to the input. Then the unmatched
-classes are held against all earlier classes under their words, so a group of
-thousands of variants isn't joined pair by pair, and no link that could decide
-is left out.
+class is held against the earliest class under each of its words; only those that
+the filters tell apart from it are held against the others there. Then the classes
+whose candidates failed, and those of lists over ``LONG_LIST``, are held against all
+earlier classes under their words. So a group of thousands of variants isn't joined
+pair by pair, and no link that could decide is left out.
 
 Edge cases: null text is empty text; lines without words always stay; documents
-equal in doc_id and text are one document written twice and keep the same
-lines; a document that loses all lines becomes the empty text; null doc_ids
-come before all others; extra columns stay as they are.
+equal in doc_id and text are one document written twice and keep the same lines;
+a document that loses all lines becomes the empty text; null doc_ids come before
+all others; extra columns stay as they are under any name; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import xor
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, counting, cut, cut_table, lower_ascii, map_columns, row_key, text_of
+from .common import cut, cut_table, map_columns, row_key, text_of
 
 THRESHOLD, COUNTERS = 0.8, 1 << 18
+#: Steps of the logarithmic count for a doubling, and the step from which a word is paired (4096 occurrences).
+STEPS, HOT = 8, 96
+#: Classes under one key that are held against each other in one task's memory; of longer lists only the earliest is there.
+LONG_LIST = 20_000
+#: Bytes up to which a counted side is broadcast; a larger one is joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    """Hash of 64-bit hashes, another one for each salt."""
+    x = (x ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct lower-cased words, and for each word of the texts its place there and the number of its text."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = split.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(w) for w in distinct), np.uint64, len(distinct))
+    at, code = np.repeat(np.arange(len(split)), np.diff(split.offsets.to_numpy())), coded.indices.to_numpy()
+    if "" in distinct:
+        some = code != distinct.index("")
+        at, code = at[some], code[some]
+    return hashes, code, at
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
-    """How often the words of each counter occur; as large for any corpus."""
+    """How often the words of each counter occur, on a logarithmic scale (0: once); as large for any corpus."""
+
+    def make():
+        total = np.zeros(COUNTERS, np.int64)
+
+        def one(batch):
+            hashes, code, _ = numbered(batch["text"])
+            np.add.at(total, (hashes % np.uint64(COUNTERS)).astype(np.int64), np.bincount(code, minlength=len(hashes)))
 
-    def add(batch, counts):
-        for text in batch["text"].to_pylist():
-            counts.update(text.encode().translate(LOWER).split())
+        def end():
+            used = np.flatnonzero(total)
+            return {"counter": used.astype(np.int32), "n": total[used]}
 
-    def sums(counts):
-        digest = xxhash.xxh64_intdigest
-        at = np.fromiter((digest(w) % COUNTERS for w in counts), np.int64, len(counts))
-        total = np.bincount(at, np.fromiter(counts.values(), np.float64, len(counts)), COUNTERS)
-        used = np.flatnonzero(total)
-        return {"counter": used.astype(np.int32), "n": total[used].astype(np.int64)}
+        return one, end
 
-    make = counting(add, 1_000_000, sums)
-    out = np.zeros(COUNTERS, np.int64)
     summed = map_columns(docs.select(text_of().alias("text")), "counter int, n bigint", make).groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
-    out[summed["counter"].to_numpy()] = summed["n"].to_numpy()
+    out = np.zeros(COUNTERS, np.uint8)
+    out[summed["counter"].to_numpy()] = np.minimum(STEPS * np.log2(summed["n"].to_numpy(np.float64)), 255)
     return out
 
 
-class Ranks(dict):
-    """Word to (order by rarity, then hash); looked-up words are remembered."""
+def distinct_words(texts: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, count) of the distinct words of each text, by text, then rarity."""
+    hashes, code, at = numbered(texts)
+    count = counts[(hashes % np.uint64(COUNTERS)).astype(np.int64)]
+    by = count.astype(np.uint64) << np.uint64(56) | hashes >> np.uint64(8)
+    order = np.argsort(by, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    keys = np.unique(at << 32 | rank[code])
+    word = order[keys & 0xFFFFFFFF]
+    return keys >> 32, hashes[word], count[word]
 
-    def __init__(self, counts: np.ndarray):
-        super().__init__()
-        self.counts = counts
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        out = self[word] = min(int(self.counts[h % COUNTERS]), (1 << 24) - 1) << 38 | h >> 26
-        return out
+def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
+    return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
-def line_sets(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """(doc_id, key, line, set_id, n, bits, prefix) of every line with words; rows have doc_id, key, text.
+def postings(text: np.ndarray, word: np.ndarray, count: np.ndarray, start: np.ndarray, n: np.ndarray, threshold: float) -> pa.ListArray:
+    """For each text the keys (high half) and the number of words before the last one of the key (low half).
 
-    Prefix words are 32-bit hashes: words that share one only add candidates.
+    A pair shares need = ceil(threshold * n) words at least. If its first common word
+    is at i, the second one is among the n - i - need + 1 words behind that.
     """
+    place = np.arange(len(text)) - np.repeat(start, n)
+    length = np.repeat(prefix_length(n, threshold), n)
+    # a set of n words can be like another one only if n of n + 1 common words are enough
+    some = (place < length) & (count > 0) & np.repeat(n >= threshold * (n + 1) - 1e-9, n)
+    short = mixed(word, 3) >> np.uint64(32)
+    single, hot = np.flatnonzero(some & (count < HOT)), np.flatnonzero(some & (count >= HOT))
+    behind = np.minimum(length[hot] - place[hot], np.repeat(n, n)[hot] - place[hot] - 1)
+    first = np.repeat(hot, behind)
+    second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(behind) - behind, behind)
+    key = np.r_[short[single], mixed(word[first], 4) + mixed(word[second], 5) >> np.uint64(32)]
+    pos = np.r_[place[single], place[second] - 1]
+    owner = np.r_[text[single], text[first]]
+    order = np.argsort(owner, kind="stable")
+    packed = (key << np.uint64(32)).view(np.int64) | pos
+    offsets = np.searchsorted(owner[order], np.r_[text[start], np.iinfo(np.int64).max])
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(packed[order]))
+
+
+LINES = "doc_id bigint, key bigint, line int, c bigint, c2 bigint, n int, bits bigint, posted array<bigint>"
+
+
+def line_sets(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
+    """Every line that has words: its place, the hashes c and c2 of its set, the set's size, bitmap and postings."""
     shared = rows.sparkSession.sparkContext.broadcast(counts)
-    parity = [1 << i for i in range(64)]
 
     def make():
-        known, wide = Ranks(shared.value), xxhash.xxh128_digest
-        rank = known.__getitem__
-
         def one(batch):
-            out: dict[str, list] = {c: [] for c in ("at", "line", "set_id", "n", "bits", "prefix")}
-            if len(known) > 500_000:
-                known.clear()
-            for at, text in enumerate(batch["text"].to_pylist()):
-                for number, line in enumerate(text.encode().translate(LOWER).split(b"\n")):
-                    words = set(line.split())
-                    if not words:
-                        continue
-                    ranks = sorted(map(rank, words))
-                    bits = reduce(xor, [parity[r >> 32 & 63] for r in ranks])
-                    n = len(ranks)
-                    length = n - int(np.ceil(threshold * n - 1e-9)) + 1
-                    out["at"].append(at)
-                    out["line"].append(number)
-                    out["set_id"].append(wide(b" ".join(sorted(words))))
-                    out["n"].append(n)
-                    out["bits"].append(bits - (1 << 64) if bits >> 63 else bits)
-                    out["prefix"].append([(r & 0xFFFFFFFF) - 0x80000000 for r in ranks[:length]])
-            at = pa.array(out.pop("at"), pa.int64())
-            return out | {"doc_id": batch["doc_id"].take(at), "key": batch["key"].take(at)}
+            lines = pc.split_pattern(batch["text"], "\n")
+            lengths = np.diff(lines.offsets.to_numpy())
+            text, word, count = distinct_words(lines.flatten(), shared.value)
+            start = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if len(text) else np.zeros(0, np.int64)
+            n = np.diff(np.r_[start, len(text)])
+            if not len(start):
+                return None
+            line = text[start]
+            doc = np.repeat(np.arange(len(lines)), lengths)[line]
+            number = line - (np.cumsum(lengths) - lengths)[doc]
+            bit = np.uint64(1) << (mixed(word, 6) >> np.uint64(58))
+            taken = pa.array(doc)
+            return {
+                "doc_id": batch["doc_id"].take(taken), "key": batch["key"].take(taken), "line": number.astype(np.int32), "n": n.astype(np.int32),
+                "c": np.add.reduceat(mixed(word, 1), start).view(np.int64), "c2": np.add.reduceat(mixed(word, 2), start).view(np.int64),
+                "bits": np.bitwise_xor.reduceat(bit, start).view(np.int64), "posted": postings(text, word, count, start, n, threshold),
+            }
 
         return one
 
-    return map_columns(rows, "doc_id bigint, key bigint, line int, set_id binary, n int, bits bigint, prefix array<int>", make)
+    return map_columns(rows, LINES, make)
+
+
+def might_match(x: dict, y: dict, threshold: float) -> np.ndarray:
+    """Length, positional and bitmap filters at a shared key."""
+    need = np.ceil(threshold / (1 + threshold) * (x["n"] + y["n"]) - 1e-9)
+    shorter = np.minimum(x["n"], y["n"]) >= threshold * np.maximum(x["n"], y["n"]) - 1e-9
+    rest = 1 + np.minimum(x["n"] - x["pos"] - 1, y["n"] - y["pos"] - 1)
+    return shorter & (rest >= need) & (np.bitwise_count((x["bits"] ^ y["bits"]).view(np.uint64)) <= x["n"] + y["n"] - 2 * need)
 
 
-def might_match(threshold: float, x: dict, y: dict) -> Column:
-    """Length, positional and bitmap filters between two classes at a shared prefix word."""
+def might_match_columns(threshold: float) -> Column:
+    """The same filters as a condition of a join of x and y."""
+    x, y = ({c: F.col(f"{side}.{c}") for c in ("n", "pos", "bits")} for side in "xy")
     need = F.ceil(threshold / (1 + threshold) * (x["n"] + y["n"]) - 1e-9)
     shorter = F.least(x["n"], y["n"]) >= threshold * F.greatest(x["n"], y["n"]) - 1e-9
-    rest = 1 + F.least(x["n"] - x["pos"] - 1, y["n"] - y["pos"] - 1) + F.least(x["pos"], y["pos"])
+    rest = 1 + F.least(x["n"] - x["pos"] - 1, y["n"] - y["pos"] - 1)
     return shorter & (rest >= need) & (F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= x["n"] + y["n"] - 2 * need)
 
 
-FIELDS = ("doc_id", "key", "line", "n", "pos", "bits")
+def posted(classes: DataFrame) -> DataFrame:
+    listed = classes.select("doc_id", "line", "c", "n", "bits", F.explode("posted").alias("p"))
+    return listed.select(F.shiftright("p", 32).cast("int").alias("word"), "doc_id", "line", "c", "n", F.col("p").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"), "bits")
 
 
-def _fields(prefix: str) -> dict:
-    return {c: F.col(prefix + c) for c in FIELDS}
+def candidates(listed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (x, y) of set hashes, x the later one; y is null where x is yet to be held against the others of a long list.
+
+    The postings of a key come together in order of their classes, and only one key's are held at once.
+    """
 
+    def make():
+        rest: list[pa.RecordBatch] = []
+        long: list[int] = []
+
+        def groups(batches: list[pa.RecordBatch]) -> dict | None:
+            table = pa.Table.from_batches(batches)
+            word, c = table["word"].to_numpy(), table["c"].to_numpy()
+            own = {k: table[k].to_numpy().astype(np.int64) for k in ("n", "pos", "bits")}
+            pick = lambda rows: {k: a[rows] for k, a in own.items()}
+            start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            size = np.diff(np.r_[start, len(word)])
+            lead = np.repeat(start, size)
+            later = np.flatnonzero(lead != np.arange(len(word)))
+            near = might_match(pick(later), pick(lead[later]), threshold)
+            open_, near = later[~near], later[near]
+            xs, ys = [c[near]], [c[lead[near]]]
+            listed = (np.repeat(size, size)[open_] > LONG_LIST) | np.isin(word[open_], long)
+            undecided, open_ = c[open_[listed]], open_[~listed]
+            # each open row against those between the first one and itself, in slices of bounded size
+            before = open_ - lead[open_] - 1
+            ends = np.cumsum(before)
+            for low in range(0, int(ends[-1]) if len(ends) else 0, 1 << 20):
+                at = np.arange(low, min(low + (1 << 20), int(ends[-1])))
+                row = np.searchsorted(ends, at, "right")
+                x = open_[row]
+                y = lead[x] + 1 + at - (ends - before)[row]
+                passed = might_match(pick(x), pick(y), threshold)
+                xs.append(c[x[passed]])
+                ys.append(c[y[passed]])
+            x = np.concatenate([*xs, undecided])
+            y = pa.concat_arrays([pa.array(np.concatenate(ys), pa.int64()), pa.nulls(len(undecided), pa.int64())])
+            return {"x": x, "y": y} if len(x) else None
 
-def _earlier(x: str, y: str) -> Column:
-    """Whether the place at prefix y comes before that at x."""
-    place = lambda p: F.struct(*[F.col(f"{p}{c}") for c in ("doc_id", "key", "line")])
-    return place(y) < place(x)
+        def one(batch):
+            """Keys that have ended are done; the last one waits for its other rows."""
+            word = batch["word"].to_numpy()
+            others = np.flatnonzero(word != word[-1])
+            last = int(others[-1]) + 1 if len(others) else 0
+            if last or rest and rest[-1]["word"][-1].as_py() != word[0]:
+                done = [*rest, batch.slice(0, last)]
+                rest[:] = [batch.slice(last)]
+                return groups(done)
+            rest.append(batch)
+            if sum(b.num_rows for b in rest) <= LONG_LIST:
+                return None
+            # a long list goes on: its earliest class is all that is kept of it
+            long[:] = [int(word[0])]
+            done = list(rest)
+            rest[:] = [rest[0].slice(0, 1)]
+            return groups(done)
 
+        return one, lambda: groups(rest) if rest else None
 
-def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, line) of every line that an earlier line removes; key stands for doc_id and text."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("key"), text_of().alias("text"))
-    lines = cut_table(line_sets(rows, rarity(rows), threshold))
-    place = F.struct("doc_id", "key", "line")
-    firsts = lines.groupBy("set_id").agg(F.min(F.struct("doc_id", "key", "line", "n", "bits", "prefix")).alias("f"))
-    classes = cut_table(firsts.select("set_id", "f.*"))
-    posted = classes.select("doc_id", "key", "line", "n", "bits", F.posexplode("prefix").alias("pos", "word")).where("word is not null")
-    # one exchange by word: each class beside the earliest one under the word
-    alike = Window.partitionBy("word").orderBy(F.col("doc_id").asc_nulls_first(), "key", "line")
-    whole = alike.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    listed = posted.select("word", *FIELDS, *[F.first(c).over(alike).alias("lead_" + c) for c in FIELDS], F.count(F.lit(1)).over(whole).alias("in_word")).where("in_word > 1")
-    lead = _fields("lead_")
-    led = ~F.struct("doc_id", "key", "line").eqNullSafe(F.struct(lead["doc_id"], lead["key"], lead["line"]))
-    like = might_match(threshold, _fields(""), lead)
-    ends = lambda x, y: [F.struct(x["key"].alias("key"), x["line"].alias("line")).alias("x"), F.struct(y["key"].alias("key"), y["line"].alias("line")).alias("y")]
-    near = listed.where(led & like).select(*ends(_fields(""), lead))
-    open_ = listed.where(led & ~like).select("word", *[F.col(c).alias("x_" + c) for c in FIELDS])
-    others = listed.select("word", *[F.col(c).alias("y_" + c) for c in FIELDS])
-    rest = open_.join(others, "word").where(_earlier("x_", "y_") & might_match(threshold, _fields("x_"), _fields("y_"))).select(*ends(_fields("x_"), _fields("y_")))
-    pairs = cut(near.unionByName(rest).distinct())
-    hits = _matched(pairs, rows, threshold)
-    # a class that only resembled the earliest one under a word is held against all under its words
-    doubtful = cut(pairs.select("x").distinct().join(hits, "x", "left_anti").select("x.key", "x.line"))
-    n = doubtful.count()
-    if n:
-        again = cut(posted.join(bounded(doubtful, n), ["key", "line"], "left_semi").select("word", *[F.col(c).alias("x_" + c) for c in FIELDS]))
-        every = posted.select("word", *[F.col(c).alias("y_" + c) for c in FIELDS])
-        more = every.join(bounded(again, again.count()), "word").where(_earlier("x_", "y_") & might_match(threshold, _fields("x_"), _fields("y_"))).select(*ends(_fields("x_"), _fields("y_")))
-        hits = hits.unionByName(_matched(cut(more.distinct().exceptAll(pairs)), rows, threshold))
-    matched = classes.select("set_id", place.alias("first"), F.struct("key", "line").alias("x")).join(hits.withColumn("hit", F.lit(True)), "x", "left").select("set_id", "first", "hit")
-    marked = lines.select("key", "line", place.alias("place"), "set_id").join(matched, "set_id")
-    return marked.where(F.col("hit").isNotNull() | ~F.col("place").eqNullSafe(F.col("first"))).select("key", "line")
-
-
-def _matched(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """The distinct x of pairs that reach the threshold: each x is first held against one y, then against its others."""
-    first = cut(pairs.groupBy("x").agg(F.min("y").alias("y")))
-    hits = cut(_verified(first, rows, threshold))
-    others = cut(pairs.join(hits, "x", "left_anti").join(first, ["x", "y"], "left_anti"))
-    return hits if others.isEmpty() else cut(hits.unionByName(_verified(others, rows, threshold)))
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """The distinct x of pairs of places (key, line) whose lines' word sets reach the threshold."""
-    ends = pairs.select("x.key", "x.line").unionByName(pairs.select("y.key", "y.line"))
-    wanted = cut(ends.groupBy("key").agg(F.collect_set("line").alias("wanted")))
-    split = F.transform(F.split(lower_ascii(F.col("text")), "\n"), lambda line, i: F.struct(line.alias("text"), i.alias("line")))
-    found = rows.join(bounded(wanted, wanted.count()), "key")
-    lines = found.select("key", F.explode(F.filter(split, lambda x: F.array_contains("wanted", x["line"]))).alias("l"))
-    words = lines.select("key", F.col("l.line").alias("line"), F.array_distinct(F.filter(F.split("l.text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("w"))
-    left, right = words.select(F.struct("key", "line").alias("x"), F.col("w").alias("xw")), words.select(F.struct("key", "line").alias("y"), F.col("w").alias("yw"))
+    together = listed.repartition("word").sortWithinPartitions("word", F.col("doc_id").asc_nulls_first(), "line", "c")
+    return map_columns(together.select("word", "c", "n", "pos", "bits"), "x bigint, y bigint", make, 1 << 16)
+
+
+def bounded(df: DataFrame, size: int) -> DataFrame:
+    """``df``, to be broadcast if its counted bytes allow it."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def words_of(ends: DataFrame, lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """(c, c2, words) of the classes with set hash c, read from one line of each."""
+
+    def make():
+        once = np.zeros(COUNTERS, np.uint8)
+
+        def one(batch):
+            lists = batch["wanted"]
+            each = lists.flatten()
+            doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            split = pc.split_pattern(batch["text"], "\n")
+            chosen = split.flatten().take(pa.array(split.offsets.to_numpy()[doc] - split.offsets[0].as_py() + each.field("line").to_numpy()))
+            text, word, _ = distinct_words(chosen, once)
+            offsets = np.searchsorted(text, np.arange(len(chosen) + 1)).astype(np.int32)
+            return {"c": each.field("c"), "c2": each.field("c2"), "words": pa.ListArray.from_arrays(pa.array(offsets), pa.array(word.view(np.int64)))}
+
+        return one
+
+    n = ends.count()
+    first = lines.select("doc_id", "key", "line", "c", "c2").join(bounded(ends, 32 * n), "c", "left_semi").groupBy("c", "c2").agg(F.min(F.struct("doc_id", "key", "line")).alias("p"))
+    wanted = first.groupBy("p.doc_id", "p.key").agg(F.collect_list(F.struct("p.line", "c", "c2")).alias("wanted"))
+    found = _of_document(rows, bounded(cut(wanted), 128 * n)).select("text", "wanted")
+    return map_columns(found, "c bigint, c2 bigint, words array<bigint>", make).repartition("c").dropDuplicates(["c", "c2"])
+
+
+def _of_document(rows: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` beside what ``other`` has of their document."""
+    other = other.withColumnsRenamed({"doc_id": "other_id", "key": "other_key"})
+    return rows.join(other, (F.col("key") == F.col("other_key")) & F.col("doc_id").eqNullSafe(F.col("other_id")), how)
+
+
+def verified(pairs: DataFrame, lines: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """The (c, c2) of those x of the pairs whose words are similar enough to the words of a y."""
+    words = words_of(cut(pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct()), lines, rows)
+    left = words.select(F.col("c").alias("x"), "c2", F.col("words").alias("xw"))
+    right = words.select(F.col("c").alias("y"), F.col("words").alias("yw"))
     both = F.size(F.array_intersect("xw", "yw"))
-    return pairs.join(left, "x").join(right, "y").where(both >= threshold * (F.size("xw") + F.size("yw") - both) - 1e-9).select("x").distinct()
+    return pairs.join(left, "x").join(right, "y").where(both >= threshold * (F.size("xw") + F.size("yw") - both) - 1e-9).select(F.col("x").alias("c"), "c2").distinct()
 
 
-#: Counted rows up to which a side is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 200_000
+def matched(pairs: DataFrame, lines: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """As ``verified``; each x (with n keys in common with y) is first held against the y with most in common, then against its others."""
+    first = cut(pairs.groupBy("x").agg(F.max_by("y", F.struct("n", "y")).alias("y")))
+    hits = cut(verified(first, lines, rows, threshold))
+    others = cut(pairs.select("x", "y").join(hits.select(F.col("c").alias("x")), "x", "left_anti").join(first, ["x", "y"], "left_anti"))
+    return hits if others.isEmpty() else cut(hits.unionByName(verified(others, lines, rows, threshold)))
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def against_all(open_: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """(x, y, n): the classes of ``open_`` and all earlier ones under their keys that might match."""
+    mine = lines.join(bounded(open_, 32 * open_.count()), "c", "left_semi")
+    xs = cut(posted(mine).groupBy("word", "c").agg(F.min(F.struct("doc_id", "line")).alias("place"), F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("bits").alias("bits")))
+    keys = cut(xs.select("word").distinct())
+    ys = posted(lines).join(bounded(keys, 32 * keys.count()), "word", "left_semi")
+    ys = ys.groupBy("word", "c").agg(F.min(F.struct("doc_id", "line")).alias("place"), F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("bits").alias("bits"))
+    earlier = F.struct("y.place", "y.c") < F.struct("x.place", "x.c")
+    met = xs.alias("x").join(ys.alias("y"), (F.col("x.word") == F.col("y.word")) & earlier & might_match_columns(threshold))
+    return met.groupBy(F.col("x.c").alias("x"), F.col("y.c").alias("y")).agg(F.count("*").alias("n"))
+
+
+def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, key, line) of every line that an earlier line removes; key is a hash of doc_id and text."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("key"), text_of().alias("text"))
+    lines = cut_table(line_sets(rows, rarity(rows), threshold))
+    classes = lines.groupBy("c", "c2").agg(F.min(F.struct("doc_id", "line", "key", "n", "bits", "posted")).alias("f")).select("c", "c2", "f.*")
+    found = cut(candidates(posted(classes), threshold).groupBy("x", "y").agg(F.count("*").alias("n")))
+    pairs = found.where("y is not null")
+    hits = matched(pairs, lines, rows, threshold)
+    open_ = cut(found.select(F.col("x").alias("c")).distinct().join(hits, "c", "left_anti"))
+    if not open_.isEmpty():
+        more = cut(against_all(open_, lines, threshold).join(pairs.select("x", "y"), ["x", "y"], "left_anti"))
+        hits = hits.unionByName(matched(more, lines, rows, threshold))
+    place = F.struct("doc_id", "line", "key")
+    firsts = lines.groupBy("c", "c2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    marked = firsts.join(hits.withColumn("hit", F.lit(True)), ["c", "c2"], "left").where("hit or n > 1").select("c", "c2", "first", "hit")
+    return lines.select("c", "c2", "doc_id", "key", "line").join(marked, ["c", "c2"]).where(F.col("hit").isNotNull() | ~place.eqNullSafe(F.col("first"))).select("doc_id", "key", "line")
 
 
 def deduplicate_lines(docs: DataFrame, threshold: float = THRESHOLD, counted: bool = False) -> DataFrame:
-    """The documents with all their columns and repeated lines taken out of text; with ``counted`` also n_lines, n_removed."""
-    columns = docs.columns
-    gone = cut(removed_lines(docs, threshold).groupBy(F.col("key").alias("__key")).agg(F.collect_set("line").alias("__gone")))
+    """The documents with all their columns and repeated lines taken out of text; with ``counted`` two columns more, n_lines and n_removed."""
+    gone = cut(removed_lines(docs, threshold).groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("line")).alias("gone")))
+    size = gone.agg(F.coalesce(F.sum(64 + 4 * F.size("gone")), F.lit(0))).first()[0]
+    # all other columns travel in one, so that none of their names can clash
+    row = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("key"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = _of_document(row, bounded(gone, size), "left")
     lines = F.split(F.col("text"), "\n")
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("__gone", i))
-    size = gone.agg(F.coalesce(F.sum(1 + F.size("__gone") / 4), F.lit(0))).first()[0]
-    joined = docs.withColumn("__key", row_key()).join(bounded(gone, size), "__key", "left")
-    text = F.when(F.col("__gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    extra = [F.size(F.split(text_of(), "\n")).alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed")] if counted else []
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in columns], *extra)
+    kept = F.filter(lines, lambda _, i: ~F.array_contains("gone", i))
+    text = F.when(F.col("gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    extra = [F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed")] if counted else []
+    return joined.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns], *extra)
