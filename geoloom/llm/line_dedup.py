@@ -9,20 +9,21 @@ words of a class are ordered by rarity: by a corpus count of fixed size (words
 hashed into ``COUNTERS`` counters, on a logarithmic scale), then by hash, so the
 order is the same for all lines. Two similar sets share a word of their prefixes,
 so classes are dealt out by prefix word and met there under the length filter,
-the positional filter and a bitmap filter (words hashed into 64 parities; sets
-differ in at least as many words as their bitmaps do in bits). What is left is
-verified on the words of both lines.
+the positional filter and a bitmap filter (words hashed into 64 parities, 128 for
+sets of more than ``WIDE`` words; sets differ in at least as many words as their
+bitmaps do in bits). What is left is verified on the words of both lines.
 
 Words that occur once in the corpus get no posting. A word of more than ``HOT``
 occurrences is paired with the words that can be the second one that two similar
 sets share, so no posting list of a single word has more classes than that.
 
-The join runs in two steps, as a class needs only one earlier match. First each
-class is held against the earliest class under each of its words; only those that
-the filters tell apart from it are held against the others there. Then the classes
-whose candidates failed, and those of lists over ``LONG_LIST``, are held against all
-earlier classes under their words. So a group of thousands of variants isn't joined
-pair by pair, and no link that could decide is left out.
+A class needs only one earlier match. Under a key of up to ``FEW`` classes all of
+them are held against each other. Under others each class is held against the
+earliest one first, and only those that the filters tell apart from it are held
+against the rest there. Classes whose candidates fail, though the filters took them
+for copies of the earliest one, and those of lists over ``LONG_LIST``, are then held
+against all earlier classes under their keys. So a group of thousands of variants
+isn't joined pair by pair, and no link that could decide is left out.
 
 Edge cases: null text is empty text; lines without words always stay; documents
 equal in doc_id and text are one document written twice and keep the same lines;
@@ -40,13 +41,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, cut_table, map_columns, row_key, text_of
+from .common import cut, map_columns, row_key, text_of
 
 THRESHOLD, COUNTERS = 0.8, 1 << 18
 #: Steps of the logarithmic count for a doubling, and the step from which a word is paired (4096 occurrences).
 STEPS, HOT = 8, 96
-#: Classes under one key that are held against each other in one task's memory; of longer lists only the earliest is there.
-LONG_LIST = 20_000
+#: Classes under one key that are all held against each other, and those that are in one task's memory.
+FEW, LONG_LIST = 32, 20_000
+#: Words from which a set's bitmap has 128 bits; sizes and positions that go into 16 bits.
+WIDE, MOST = 48, (1 << 16) - 1
 #: Bytes up to which a counted side is broadcast; a larger one is joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -62,12 +65,12 @@ def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the distinct lower-cased words, and for each word of the texts its place there and the number of its text."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     coded = split.flatten().dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(w) for w in distinct), np.uint64, len(distinct))
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
     at, code = np.repeat(np.arange(len(split)), np.diff(split.offsets.to_numpy())), coded.indices.to_numpy()
-    if "" in distinct:
-        some = code != distinct.index("")
+    none = pc.index(coded.dictionary, "").as_py()
+    if none >= 0:
+        some = code != none
         at, code = at[some], code[some]
     return hashes, code, at
 
@@ -102,7 +105,8 @@ def distinct_words(texts: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.
     order = np.argsort(by, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    keys = np.unique(at << 32 | rank[code])
+    keys = np.sort(at << 32 | rank[code])
+    keys = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
     word = order[keys & 0xFFFFFFFF]
     return keys >> 32, hashes[word], count[word]
 
@@ -135,7 +139,7 @@ def postings(text: np.ndarray, word: np.ndarray, count: np.ndarray, start: np.nd
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(packed[order]))
 
 
-LINES = "doc_id bigint, key bigint, line int, c bigint, c2 bigint, n int, bits bigint, posted array<bigint>"
+LINES = "doc_id bigint, key bigint, line int, c bigint, c2 bigint, n int, lo bigint, hi bigint, posted array<bigint>"
 
 
 def line_sets(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
@@ -154,12 +158,15 @@ def line_sets(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFram
             line = text[start]
             doc = np.repeat(np.arange(len(lines)), lengths)[line]
             number = line - (np.cumsum(lengths) - lengths)[doc]
-            bit = np.uint64(1) << (mixed(word, 6) >> np.uint64(58))
+            place = mixed(word, 6) >> np.uint64(57)
+            bit = np.uint64(1) << (place & np.uint64(63))
+            wide = np.repeat(n > WIDE, n) & (place >= 64)
             taken = pa.array(doc)
             return {
                 "doc_id": batch["doc_id"].take(taken), "key": batch["key"].take(taken), "line": number.astype(np.int32), "n": n.astype(np.int32),
                 "c": np.add.reduceat(mixed(word, 1), start).view(np.int64), "c2": np.add.reduceat(mixed(word, 2), start).view(np.int64),
-                "bits": np.bitwise_xor.reduceat(bit, start).view(np.int64), "posted": postings(text, word, count, start, n, threshold),
+                "lo": np.bitwise_xor.reduceat(np.where(wide, 0, bit), start).view(np.int64), "hi": np.bitwise_xor.reduceat(np.where(wide, bit, 0), start).view(np.int64),
+                "posted": postings(text, word, count, start, n, threshold),
             }
 
         return one
@@ -171,28 +178,35 @@ def might_match(x: dict, y: dict, threshold: float) -> np.ndarray:
     """Length, positional and bitmap filters at a shared key."""
     need = np.ceil(threshold / (1 + threshold) * (x["n"] + y["n"]) - 1e-9)
     shorter = np.minimum(x["n"], y["n"]) >= threshold * np.maximum(x["n"], y["n"]) - 1e-9
-    rest = 1 + np.minimum(x["n"] - x["pos"] - 1, y["n"] - y["pos"] - 1)
-    return shorter & (rest >= need) & (np.bitwise_count((x["bits"] ^ y["bits"]).view(np.uint64)) <= x["n"] + y["n"] - 2 * need)
+    left = [np.where(z["n"] < MOST, z["n"] - z["pos"] - 1, MOST) for z in (x, y)]
+    both = (x["n"] > WIDE) & (y["n"] > WIDE)
+    a, b = (np.where(both, z["lo"], z["lo"] ^ z["hi"]).view(np.uint64) for z in (x, y))
+    bits = np.bitwise_count(a ^ b) + np.where(both, np.bitwise_count((x["hi"] ^ y["hi"]).view(np.uint64)), 0)
+    return shorter & (1 + np.minimum(*left) >= need) & (bits <= x["n"] + y["n"] - 2 * need)
 
 
 def might_match_columns(threshold: float) -> Column:
     """The same filters as a condition of a join of x and y."""
-    x, y = ({c: F.col(f"{side}.{c}") for c in ("n", "pos", "bits")} for side in "xy")
+    x, y = ({c: F.col(f"{side}.{c}") for c in ("n", "pos", "lo", "hi")} for side in "xy")
     need = F.ceil(threshold / (1 + threshold) * (x["n"] + y["n"]) - 1e-9)
     shorter = F.least(x["n"], y["n"]) >= threshold * F.greatest(x["n"], y["n"]) - 1e-9
-    rest = 1 + F.least(x["n"] - x["pos"] - 1, y["n"] - y["pos"] - 1)
-    return shorter & (rest >= need) & (F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= x["n"] + y["n"] - 2 * need)
+    left = [F.when(z["n"] < MOST, z["n"] - z["pos"] - 1).otherwise(MOST) for z in (x, y)]
+    wide = F.bit_count(x["lo"].bitwiseXOR(y["lo"])) + F.bit_count(x["hi"].bitwiseXOR(y["hi"]))
+    folded = F.bit_count(x["lo"].bitwiseXOR(x["hi"]).bitwiseXOR(y["lo"].bitwiseXOR(y["hi"])))
+    bits = F.when((x["n"] > WIDE) & (y["n"] > WIDE), wide).otherwise(folded)
+    return shorter & (1 + F.least(*left) >= need) & (bits <= x["n"] + y["n"] - 2 * need)
 
 
 def posted(classes: DataFrame) -> DataFrame:
-    listed = classes.select("doc_id", "line", "c", "n", "bits", F.explode("posted").alias("p"))
-    return listed.select(F.shiftright("p", 32).cast("int").alias("word"), "doc_id", "line", "c", "n", F.col("p").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"), "bits")
+    """A row for each key of each class; at is line, n and pos in 32, 16 and 16 bits."""
+    listed = classes.select("doc_id", F.shiftleft(F.col("line").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.least("n", F.lit(MOST)), 16).cast("bigint").bitwiseAND(0xFFFFFFFF)).alias("at"), "c", "lo", "hi", F.explode("posted").alias("p"))
+    return listed.select(F.shiftright("p", 32).cast("int").alias("word"), "doc_id", F.col("at").bitwiseOR(F.least(F.col("p").bitwiseAND(0xFFFFFFFF), F.lit(MOST))).alias("at"), "c", "lo", "hi")
 
 
 def candidates(listed: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (x, y) of set hashes, x the later one; y is null where x is yet to be held against the others of a long list.
+    """Pairs (x, y) of set hashes, x the later one; with y null, x is yet to be held against the others of a list if no pair decides.
 
-    The postings of a key come together in order of their classes, and only one key's are held at once.
+    The postings of a key come together, and only one key's are held at once.
     """
 
     def make():
@@ -201,32 +215,45 @@ def candidates(listed: DataFrame, threshold: float) -> DataFrame:
 
         def groups(batches: list[pa.RecordBatch]) -> dict | None:
             table = pa.Table.from_batches(batches)
-            word, c = table["word"].to_numpy(), table["c"].to_numpy()
-            own = {k: table[k].to_numpy().astype(np.int64) for k in ("n", "pos", "bits")}
-            pick = lambda rows: {k: a[rows] for k, a in own.items()}
+            word, c, at = table["word"].to_numpy(), table["c"].to_numpy(), table["at"].to_numpy()
+            own = {"n": at >> 16 & MOST, "pos": at & MOST, "lo": table["lo"].to_numpy(), "hi": table["hi"].to_numpy()}
+            doc, line = table["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy(), at >> 32
+            some = lambda rows: {k: a[rows] for k, a in own.items()}
+            xs, ys = [], []
+
+            def compare(x, y):
+                passed = might_match(some(x), some(y), threshold)
+                xs.append(x[passed])
+                ys.append(y[passed])
+                return passed
+
+            def against_before(rows, before):
+                """Each row against so many before it, in slices of bounded size."""
+                ends = np.cumsum(before)
+                for low in range(0, int(ends[-1]) if len(ends) else 0, 1 << 20):
+                    number = np.arange(low, min(low + (1 << 20), int(ends[-1])))
+                    row = np.searchsorted(ends, number, "right")
+                    compare(order[rows[row]], order[rows[row] - 1 - number + (ends - before)[row]])
+
             start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             size = np.diff(np.r_[start, len(word)])
+            many = np.repeat(size > FEW, size) | np.isin(word, long)
+            rows, order = np.arange(len(word)), np.arange(len(word))
+            inside = np.flatnonzero(many)
+            order[inside] = inside[np.lexsort((c[inside], line[inside], doc[inside], word[inside]))]
             lead = np.repeat(start, size)
-            later = np.flatnonzero(lead != np.arange(len(word)))
-            near = might_match(pick(later), pick(lead[later]), threshold)
-            open_, near = later[~near], later[near]
-            xs, ys = [c[near]], [c[lead[near]]]
-            listed = (np.repeat(size, size)[open_] > LONG_LIST) | np.isin(word[open_], long)
-            undecided, open_ = c[open_[listed]], open_[~listed]
-            # each open row against those between the first one and itself, in slices of bounded size
-            before = open_ - lead[open_] - 1
-            ends = np.cumsum(before)
-            for low in range(0, int(ends[-1]) if len(ends) else 0, 1 << 20):
-                at = np.arange(low, min(low + (1 << 20), int(ends[-1])))
-                row = np.searchsorted(ends, at, "right")
-                x = open_[row]
-                y = lead[x] + 1 + at - (ends - before)[row]
-                passed = might_match(pick(x), pick(y), threshold)
-                xs.append(c[x[passed]])
-                ys.append(c[y[passed]])
-            x = np.concatenate([*xs, undecided])
-            y = pa.concat_arrays([pa.array(np.concatenate(ys), pa.int64()), pa.nulls(len(undecided), pa.int64())])
-            return {"x": x, "y": y} if len(x) else None
+            against_before(rows[~many], (rows - lead)[~many])
+            later = rows[many & (rows > lead)]
+            near = compare(order[later], order[lead[later]])
+            listed = (np.repeat(size, size)[later] > LONG_LIST) | np.isin(word[later], long)
+            undecided = c[order[later[near | listed]]]
+            open_ = later[~near & ~listed]
+            against_before(open_, open_ - lead[open_] - 1)
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            swap = (doc[x] < doc[y]) | (doc[x] == doc[y]) & ((line[x] < line[y]) | (line[x] == line[y]) & (c[x] < c[y]))
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            ends = pa.concat_arrays([pa.array(c[y], pa.int64()), pa.nulls(len(undecided), pa.int64())])
+            return {"x": np.r_[c[x], undecided], "y": ends} if len(ends) else None
 
         def one(batch):
             """Keys that have ended are done; the last one waits for its other rows."""
@@ -242,14 +269,15 @@ def candidates(listed: DataFrame, threshold: float) -> DataFrame:
                 return None
             # a long list goes on: its earliest class is all that is kept of it
             long[:] = [int(word[0])]
-            done = list(rest)
-            rest[:] = [rest[0].slice(0, 1)]
+            done = pa.Table.from_batches(rest).combine_chunks().to_batches()
+            doc, at, c = (done[0][k].fill_null(np.iinfo(np.int64).min).to_numpy() for k in ("doc_id", "at", "c"))
+            rest[:] = [done[0].slice(int(np.lexsort((c, at >> 32, doc))[0]), 1)]
             return groups(done)
 
         return one, lambda: groups(rest) if rest else None
 
-    together = listed.repartition("word").sortWithinPartitions("word", F.col("doc_id").asc_nulls_first(), "line", "c")
-    return map_columns(together.select("word", "c", "n", "pos", "bits"), "x bigint, y bigint", make, 1 << 16)
+    together = listed.repartition("word").sortWithinPartitions("word")
+    return map_columns(together, "x bigint, y bigint", make, 1 << 16)
 
 
 def bounded(df: DataFrame, size: int) -> DataFrame:
@@ -305,13 +333,20 @@ def matched(pairs: DataFrame, lines: DataFrame, rows: DataFrame, threshold: floa
     return hits if others.isEmpty() else cut(hits.unionByName(verified(others, lines, rows, threshold)))
 
 
+def _unpacked(listed: DataFrame) -> DataFrame:
+    """One row for a key and class, with its earliest place."""
+    once = listed.groupBy("word", "c").agg(F.min(F.struct("doc_id", "at")).alias("place"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    size = lambda shift: F.shiftright("place.at", shift).bitwiseAND(MOST)
+    return once.select("word", "c", F.struct("place.doc_id", F.shiftright("place.at", 32).alias("line")).alias("place"), size(16).alias("n"), size(0).alias("pos"), "lo", "hi")
+
+
 def against_all(open_: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """(x, y, n): the classes of ``open_`` and all earlier ones under their keys that might match."""
     mine = lines.join(bounded(open_, 32 * open_.count()), "c", "left_semi")
-    xs = cut(posted(mine).groupBy("word", "c").agg(F.min(F.struct("doc_id", "line")).alias("place"), F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("bits").alias("bits")))
+    xs = cut(_unpacked(posted(mine)))
     keys = cut(xs.select("word").distinct())
     ys = posted(lines).join(bounded(keys, 32 * keys.count()), "word", "left_semi")
-    ys = ys.groupBy("word", "c").agg(F.min(F.struct("doc_id", "line")).alias("place"), F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("bits").alias("bits"))
+    ys = _unpacked(ys)
     earlier = F.struct("y.place", "y.c") < F.struct("x.place", "x.c")
     met = xs.alias("x").join(ys.alias("y"), (F.col("x.word") == F.col("y.word")) & earlier & might_match_columns(threshold))
     return met.groupBy(F.col("x.c").alias("x"), F.col("y.c").alias("y")).agg(F.count("*").alias("n"))
@@ -320,12 +355,12 @@ def against_all(open_: DataFrame, lines: DataFrame, threshold: float) -> DataFra
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, key, line) of every line that an earlier line removes; key is a hash of doc_id and text."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("key"), text_of().alias("text"))
-    lines = cut_table(line_sets(rows, rarity(rows), threshold))
-    classes = lines.groupBy("c", "c2").agg(F.min(F.struct("doc_id", "line", "key", "n", "bits", "posted")).alias("f")).select("c", "c2", "f.*")
+    lines = cut(line_sets(rows, rarity(rows), threshold))
+    classes = lines.groupBy("c", "c2").agg(F.min(F.struct("doc_id", "line", "key", "n", "lo", "hi", "posted")).alias("f")).select("c", "c2", "f.*")
     found = cut(candidates(posted(classes), threshold).groupBy("x", "y").agg(F.count("*").alias("n")))
     pairs = found.where("y is not null")
     hits = matched(pairs, lines, rows, threshold)
-    open_ = cut(found.select(F.col("x").alias("c")).distinct().join(hits, "c", "left_anti"))
+    open_ = cut(found.where("y is null").select(F.col("x").alias("c")).join(hits, "c", "left_anti"))
     if not open_.isEmpty():
         more = cut(against_all(open_, lines, threshold).join(pairs.select("x", "y"), ["x", "y"], "left_anti"))
         hits = hits.unionByName(matched(more, lines, rows, threshold))
