@@ -47,7 +47,7 @@ THRESHOLD, COUNTERS = 0.8, 1 << 18
 #: Steps of the logarithmic count for a doubling, and the step from which a word is paired (4096 occurrences).
 STEPS, HOT = 8, 96
 #: Classes under one key that are all held against each other, and those that are in one task's memory.
-FEW, LONG_LIST = 32, 20_000
+FEW, LONG_LIST = 256, 20_000
 #: Words from which a set's bitmap has 128 bits; sizes and positions that go into 16 bits.
 WIDE, MOST = 48, (1 << 16) - 1
 #: Bytes up to which a counted side is broadcast; a larger one is joined by shuffle.
@@ -174,19 +174,24 @@ def line_sets(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFram
     return map_columns(rows, LINES, make)
 
 
-def might_match(x: dict, y: dict, threshold: float) -> np.ndarray:
-    """Length, positional and bitmap filters at a shared key."""
+def room(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Length and positional filters for sets of n and m words that first meet behind i and j words."""
+    need = np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
+    left = np.minimum(np.where(n < MOST, n - i, MOST), np.where(m < MOST, m - j, MOST))
+    return (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (left >= need)
+
+
+def alike(x: dict, y: dict, threshold: float) -> np.ndarray:
+    """Bitmap filter."""
     need = np.ceil(threshold / (1 + threshold) * (x["n"] + y["n"]) - 1e-9)
-    shorter = np.minimum(x["n"], y["n"]) >= threshold * np.maximum(x["n"], y["n"]) - 1e-9
-    left = [np.where(z["n"] < MOST, z["n"] - z["pos"] - 1, MOST) for z in (x, y)]
     both = (x["n"] > WIDE) & (y["n"] > WIDE)
     a, b = (np.where(both, z["lo"], z["lo"] ^ z["hi"]).view(np.uint64) for z in (x, y))
     bits = np.bitwise_count(a ^ b) + np.where(both, np.bitwise_count((x["hi"] ^ y["hi"]).view(np.uint64)), 0)
-    return shorter & (1 + np.minimum(*left) >= need) & (bits <= x["n"] + y["n"] - 2 * need)
+    return bits <= x["n"] + y["n"] - 2 * need
 
 
 def might_match_columns(threshold: float) -> Column:
-    """The same filters as a condition of a join of x and y."""
+    """Length, positional and bitmap filters as a condition of a join of x and y."""
     x, y = ({c: F.col(f"{side}.{c}") for c in ("n", "pos", "lo", "hi")} for side in "xy")
     need = F.ceil(threshold / (1 + threshold) * (x["n"] + y["n"]) - 1e-9)
     shorter = F.least(x["n"], y["n"]) >= threshold * F.greatest(x["n"], y["n"]) - 1e-9
@@ -215,43 +220,62 @@ def candidates(listed: DataFrame, threshold: float) -> DataFrame:
 
         def groups(batches: list[pa.RecordBatch]) -> dict | None:
             table = pa.Table.from_batches(batches)
-            word, c, at = table["word"].to_numpy(), table["c"].to_numpy(), table["at"].to_numpy()
-            own = {"n": at >> 16 & MOST, "pos": at & MOST, "lo": table["lo"].to_numpy(), "hi": table["hi"].to_numpy()}
-            doc, line = table["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy(), at >> 32
-            some = lambda rows: {k: a[rows] for k, a in own.items()}
-            xs, ys = [], []
-
-            def compare(x, y):
-                passed = might_match(some(x), some(y), threshold)
-                xs.append(x[passed])
-                ys.append(y[passed])
-                return passed
-
-            def against_before(rows, before):
-                """Each row against so many before it, in slices of bounded size."""
-                ends = np.cumsum(before)
-                for low in range(0, int(ends[-1]) if len(ends) else 0, 1 << 20):
-                    number = np.arange(low, min(low + (1 << 20), int(ends[-1])))
-                    row = np.searchsorted(ends, number, "right")
-                    compare(order[rows[row]], order[rows[row] - 1 - number + (ends - before)[row]])
-
+            word, at = table["word"].to_numpy(), table["at"].to_numpy()
+            # in a list, classes stand by size, so those of like size stand together
             start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             size = np.diff(np.r_[start, len(word)])
-            many = np.repeat(size > FEW, size) | np.isin(word, long)
-            rows, order = np.arange(len(word)), np.arange(len(word))
-            inside = np.flatnonzero(many)
-            order[inside] = inside[np.lexsort((c[inside], line[inside], doc[inside], word[inside]))]
-            lead = np.repeat(start, size)
-            against_before(rows[~many], (rows - lead)[~many])
-            later = rows[many & (rows > lead)]
-            near = compare(order[later], order[lead[later]])
-            listed = (np.repeat(size, size)[later] > LONG_LIST) | np.isin(word[later], long)
-            undecided = c[order[later[near | listed]]]
-            open_ = later[~near & ~listed]
-            against_before(open_, open_ - lead[open_] - 1)
-            x, y = np.concatenate(xs), np.concatenate(ys)
+            key = np.repeat(np.arange(len(start)), size) << 32 | at >> 16 & MOST
+            by_size = np.argsort(key)
+            key, at = key[by_size], at[by_size]
+            own = {k: table[k].to_numpy()[by_size] for k in ("lo", "hi")} | {"n": at >> 16 & MOST, "pos": at & MOST}
+            c, doc, line = table["c"].to_numpy()[by_size], table["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy()[by_size], at >> 32
+            long_one, whole = np.repeat((size > LONG_LIST) | np.isin(word[start], long), size), np.repeat(size <= FEW, size)
+            whole &= ~long_one
+            pairs = []
+
+            def compare(x, y):
+                """Which of the pairs might match; those are kept."""
+                n, m, i, j = own["n"][x], own["n"][y], own["pos"][x], own["pos"][y]
+                far = np.flatnonzero(room(n, i, m, j, threshold))
+                x, y = x[far], y[far]
+                near = alike(*({k: a[z] for k, a in own.items()} for z in (x, y)), threshold)
+                return far[near], x[near], y[near]
+
+            def meet(x, first, others):
+                """Each x against the next so many of the others from the first on, in slices of bounded size."""
+                left = np.cumsum(others)
+                for low in range(0, int(left[-1]) if len(left) else 0, 1 << 18):
+                    number = np.arange(low, min(low + (1 << 18), int(left[-1])))
+                    row = np.searchsorted(left, number, "right")
+                    yield x[row], first[row] + number - (left - others)[row]
+
+            earliest = np.flatnonzero(~whole & (doc == np.repeat(np.minimum.reduceat(doc, start), size)))
+            earliest = earliest[np.lexsort((c[earliest], line[earliest], key[earliest] >> 32))]
+            lead = np.full(len(start), -1)
+            lead[key[earliest[::-1]] >> 32] = earliest[::-1]
+            lead = np.repeat(lead, size)
+            later = np.flatnonzero(~whole & (lead != np.arange(len(word))))
+            hit, x, y = compare(later, lead[later])
+            pairs.append((x, y))
+            near = np.zeros(len(word), bool)
+            near[later[hit]] = True
+            undecided = c[later[near[later] | long_one[later]]]
+            open_ = ~near & ~long_one & (lead != np.arange(len(word)))
+            # open classes meet those before them in the list, and those after them that aren't open
+            x = np.flatnonzero(open_)
+            first = np.searchsorted(key, key[x] >> 32 << 32 | np.ceil(threshold * own["n"][x] - 1e-9).astype(np.int64))
+            for x, y in meet(x, first, np.maximum(x - first, 0)):
+                pairs.append(compare(x, y)[1:])
+            closed, x = np.flatnonzero(~open_ & ~long_one), np.flatnonzero(open_ & ~whole)
+            first = np.searchsorted(closed, x)
+            last = np.searchsorted(key[closed], key[x] >> 32 << 32 | np.minimum((own["n"][x] / threshold + 1e-9).astype(np.int64), MOST), "right")
+            for x, y in meet(x, first, np.maximum(last - first, 0)):
+                pairs.append(compare(x, closed[y])[1:])
+            x, y = (np.concatenate(z) for z in zip(*pairs, strict=True))
             swap = (doc[x] < doc[y]) | (doc[x] == doc[y]) & ((line[x] < line[y]) | (line[x] == line[y]) & (c[x] < c[y]))
             x, y = np.where(swap, y, x), np.where(swap, x, y)
+            decides = ~near[x] | (y == lead[x])
+            x, y = x[decides], y[decides]
             ends = pa.concat_arrays([pa.array(c[y], pa.int64()), pa.nulls(len(undecided), pa.int64())])
             return {"x": np.r_[c[x], undecided], "y": ends} if len(ends) else None
 

@@ -55,3 +55,31 @@ def test_against_brute_force(spark, seed):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert line_dedup.deduplicate_lines(df, counted=True).count() == 0
+
+
+@pytest.mark.parametrize("few, long_list", [(1, 20000), (1, 8), (4, 12)])
+def test_large_lists(spark, monkeypatch, few, long_list):
+    """Lists of any size take the same decisions; the limits travel to the tasks as they are pickled."""
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    monkeypatch.setattr(line_dedup, "LONG_LIST", long_list)
+    rows = corpus(3)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {}
+    for r in line_dedup.removed_lines(df).distinct().collect():
+        got.setdefault(r.doc_id, []).append(r.line)
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in plain(rows).items() if v}
+
+
+def test_many_variants_under_one_word(spark):
+    """5,000 variants that are copies of the first, and 5,000 that are not, under common words."""
+    alike = [(i, f"one two three four five six seven eight nine ten v{i}") for i in range(5000)]
+    apart = [(10000 + i, f"red green blue black white u{i}") for i in range(5000)]
+    df = spark.createDataFrame(alike + apart, "doc_id bigint, text string")
+    gone = {r.doc_id for r in line_dedup.removed_lines(df).collect()}
+    assert gone == {i for i, _ in alike[1:]}
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e\nx", 1, 2, 3, 4), (2, "a b c d e", 5, 6, 7, 8)], "doc_id bigint, text string, n_lines int, gone int, key int, `a.b` int")
+    done = line_dedup.deduplicate_lines(df)
+    assert done.columns == df.columns and {tuple(r) for r in done.collect()} == {(1, "a b c d e\nx", 1, 2, 3, 4), (2, "", 5, 6, 7, 8)}
