@@ -5,7 +5,8 @@ layer III frames, each protected by its CRC-16, behind an ID3v2 tag and an
 information frame with frame count, byte count and a 100-entry seek table.
 ``read_stream`` reads any byte string: it skips tags, looks for frame headers
 (again after damage), parses the tables of variable-bitrate files, verifies
-checksums, and gives the exact duration and each frame's offset.
+checksums, and gives the exact duration and each frame's offset. A frame's checksum
+covers its header and side bytes, as the format has it, so it finds damage there only.
 
 Edge cases: null bytes or text are empty; a payload is never empty (it is
 padded to a positive multiple of 576); input without any frame gives zero
@@ -115,20 +116,28 @@ class Stream(NamedTuple):
     payload: bytes
 
 
-def tag_sizes(data: bytes) -> tuple[int, int]:
-    """Bytes of tags at the front and at the back."""
-    front, back = 0, 0
+def front_tags(data: bytes) -> int:
+    """Bytes of the tags at the front."""
+    front = 0
     while data[front : front + 3] == b"ID3" and len(data) >= front + 10:
         size = 0
         for b in data[front + 6 : front + 10]:
             size = size << 7 | b & 127
         front += 10 + size + (10 if data[front + 5] & 16 else 0)
-    if data[-128:-125] == b"TAG" and len(data) - front >= 128:
-        back = 128
-    foot = data[len(data) - back - 32 : len(data) - back]
-    if foot[:8] == b"APETAGEX":
-        back += struct.unpack("<I", foot[12:16])[0] + (32 if foot[23] & 128 else 0)
-    return min(front, len(data)), back
+    return min(front, len(data))
+
+
+def back_tags(data: bytes) -> set[int]:
+    """Where tags at the back might start. The same bytes may stand inside a frame, so they are tags only if the frames end there."""
+    end, starts = len(data), set()
+    if end >= 128 and data[-128:-125] == b"TAG":
+        starts.add(end - 128)
+    for back in {end, *starts}:
+        foot = data[back - 32 : back] if back >= 32 else b""
+        if foot[:8] == b"APETAGEX":
+            start = back - struct.unpack("<I", foot[12:16])[0] - (32 if foot[23] & 128 else 0)
+            starts |= {start} if 0 <= start < back else set()
+    return starts
 
 
 def vbr_table(frame: bytes, head: Header) -> dict:
@@ -148,24 +157,27 @@ def vbr_table(frame: bytes, head: Header) -> dict:
 
 
 def read_stream(data: bytes, unit: int = UNIT) -> Stream:
-    """Reads frames wherever they are; a header counts if a like one, or the end, follows its frame."""
-    front, back = tag_sizes(data)
-    at, end = front, max(front, len(data) - back)
+    """Reads frames wherever they are; a header counts if a like one, a tag or the end follows its frame."""
+    front, backs = front_tags(data), back_tags(data)
+    at, end, back = front, len(data), 0
     offsets, parts, good, bad, skipped, samples, hertz, table = [], [], 0, 0, 0, 0, 0, {}
     locked = None
     while at + 4 <= end:
+        if at in backs:
+            back, at = end - at, end
+            break
         head = header(data[at : at + 4])
         if head and at + head.size <= end:
-            follow = data[at + head.size : min(at + head.size + 4, end)]
+            follow = data[at + head.size : at + head.size + 4]
             like = header(follow) if len(follow) == 4 else None
-            fits = len(follow) < 4 or (like and (like.version, like.layer, like.hertz) == (head.version, head.layer, head.hertz))
+            fits = len(follow) < 4 or at + head.size in backs or (like and (like.version, like.layer, like.hertz) == (head.version, head.layer, head.hertz))
             if not fits and not locked == (head.version, head.layer, head.hertz):
                 head = None
         elif head:
             head = None
         if not head:
             to = data.find(b"\xff", at + 1, end)
-            to = end if to < 0 else to
+            to = min([end if to < 0 else to, *(b for b in backs if b > at)])
             skipped, at = skipped + to - at, to
             continue
         locked, hertz = (head.version, head.layer, head.hertz), head.hertz
@@ -185,8 +197,8 @@ def read_stream(data: bytes, unit: int = UNIT) -> Stream:
 
 
 def feature(s: Stream) -> str:
-    every = max(1, len(s.offsets) // 8)
-    seeks = "/".join(map(str, s.offsets[::every]))
+    """All that is read from a stream but its payload, as text."""
+    seeks = "/".join(map(str, s.offsets))
     return f"frames={len(s.offsets)};samples={s.samples};hertz={s.hertz};crc={s.crc_good}:{s.crc_bad};table={s.table.get('kind', '')}:{s.table.get('frames', 0)}:{s.table.get('bytes', 0)};tags={s.tags};skipped={s.skipped};seek={seeks}"
 
 

@@ -40,6 +40,8 @@ PATTERNS = {
 THRESHOLD, SUPPORT, SHORTEST = 0.9, 2, 3
 #: Parts that a hot entity is dealt into; terms that may be broadcast; mark of letters that are a span's.
 SALTS, BROADCAST, HIDDEN = 16, 20_000, "\x00"
+#: Bytes up to which counted spans are broadcast; more are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -64,18 +66,41 @@ CHECKS = {
 SIGNS = {"email": lambda t: F.contains(t, F.lit("@")), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "card": lambda t: t.rlike("[0-9][ -]?[0-9]"), "phone": lambda t: t.rlike(r"\+[0-9]")}
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once: inside lambdas other expressions are computed again for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def running(values: Column, combine) -> Column:
+    """The combination of each value with all before it; ``combine`` is associative.
+
+    Arrays grow only inside parts of about the square root of the size, so the cost
+    stays far from the size's square.
+    """
+    last = lambda x: F.element_at(x, -1)
+    none = F.array().cast("array<int>")
+    scan = lambda x: F.aggregate(x, none, lambda out, v: F.concat(out, F.array(F.when(F.size(out) == 0, v).otherwise(combine(last(out), v)))))
+
+    def scanned(x: Column) -> Column:
+        part = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x))).cast("int"))
+        parts = bound(part, lambda p: F.transform(F.sequence(F.lit(1), F.size(x), p), lambda at: scan(F.slice(x, at, p))))
+        return bound(parts, lambda p: bound(F.concat(F.array(F.lit(None).cast("int")), scan(F.transform(p, last))), lambda before: joined(p, before)))
+
+    def joined(parts: Column, before: Column) -> Column:
+        """Beside each part stands what all before it come to."""
+        return F.flatten(F.zip_with(F.slice(before, F.lit(1), F.size(parts)), parts, lambda b, p: F.transform(p, lambda v: F.when(b.isNull(), v).otherwise(combine(b, v)))))
+
+    return bound(values, lambda x: F.when(F.size(x) == 0, none).otherwise(scanned(x)))
+
+
 def matches(text: Column, pattern: str | Column, kind: int) -> Column:
     """Spans of all leftmost, non-overlapping matches."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["gap"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(x["hit"])).alias("end"), x["hit"].alias("value"))
-        return F.struct((start + F.length(x["hit"])).alias("at"), F.concat(s["out"], F.array(span)).alias("out"))
+    def spans(found: Column) -> Column:
+        sizes = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda gap, hit: F.length(gap) + F.length(hit))
+        return F.zip_with(running(sizes, lambda a, b: a + b), found, lambda end, hit: F.struct((end - F.length(hit)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), hit.alias("value")))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, begin, step)["out"]
+    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
 
 
 def entities(text: Column) -> Column:
@@ -91,14 +116,14 @@ def entities(text: Column) -> Column:
 def words_apart(text: Column, spans: Column) -> Column:
     """The distinct words, in lower case, that don't overlap a span."""
     letter = lambda c: F.when(c.rlike(r"^\p{L}$"), HIDDEN).otherwise(" ")
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    ends = running(F.transform(spans, lambda s: s["end"]), F.greatest)
 
-    def step(s: Column, x: Column) -> Column:
-        piece = F.substring(text, s["at"] + 1, F.greatest(F.lit(0), x["start"] - s["at"]))
-        edges = F.concat(letter(F.left(x["value"], F.lit(1))), F.lit(" "), letter(F.right(x["value"], F.lit(1))))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], F.array(F.translate(piece, HIDDEN, " "), edges)).alias("out"))
+    def piece(at: Column, x: Column) -> Column:
+        inner = F.substring(text, at + 1, F.greatest(F.lit(0), x["start"] - at))
+        return F.concat(F.translate(inner, HIDDEN, " "), letter(F.left(x["value"], F.lit(1))), F.lit(" "), letter(F.right(x["value"], F.lit(1))))
 
-    left = F.aggregate(spans, begin, step, lambda s: F.concat(F.array_join(s["out"], ""), F.translate(F.substring(text, s["at"] + 1, F.length(text)), HIDDEN, " ")))
+    tail = lambda at: F.translate(F.substring(text, at + 1, F.length(text)), HIDDEN, " ")
+    left = bound(ends, lambda e: F.concat(F.array_join(F.zip_with(F.slice(F.concat(F.array(F.lit(0)), e), F.lit(1), F.size(spans)), spans, piece), ""), tail(F.element_at(e, -1))))
     whole = F.when(F.size(spans) == 0, F.translate(text, HIDDEN, " ")).otherwise(left)
     words = F.split(lower_ascii(whole), rf"[^\p{{L}}{HIDDEN}]++")
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= SHORTEST) & ~F.contains(w, F.lit(HIDDEN))))
@@ -115,14 +140,14 @@ def revealing_terms(docs: DataFrame, found: DataFrame, threshold: float, support
     if most is None:
         return docs.sparkSession.createDataFrame([], "term string")
     # as n_both <= n_entity, a term in more documents than this can't reach the threshold
-    bound = lambda n_entity: F.pow(F.lit(n), F.lit(1 - threshold)) * F.pow(n_entity.cast("double"), F.lit(threshold)) * (1 + 1e-6)
+    most_for = lambda n_entity: F.pow(F.lit(n), F.lit(1 - threshold)) * F.pow(n_entity.cast("double"), F.lit(threshold)) * (1 + 1e-6)
     counted = rows.select(F.explode(words_apart(F.col("text"), F.col("spans"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    counted = cut(counted.where((F.col("n_term") >= support) & (F.col("n_term") <= bound(F.lit(most)))))
+    counted = cut(counted.where((F.col("n_term") >= support) & (F.col("n_term") <= most_for(F.lit(most)))))
     words = rows.where(F.size("spans") > 0).select("key", F.explode(words_apart(F.col("text"), F.col("spans"))).alias("term"))
     words = words.join(counted, "term").dropDuplicates(["key", "term"])
     salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     weighed = held.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(salted, ["entity", "salt"]).drop("salt")
-    pairs = weighed.join(words, "key").where(F.col("n_term") <= bound(F.col("n_entity")))
+    pairs = weighed.join(words, "key").where(F.col("n_term") <= most_for(F.col("n_entity")))
     together = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("m").alias("n_both"), F.count("*").alias("keys")).where(F.col("keys") >= support)
     mutual = F.log2(F.lit(n) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     content = F.greatest(F.log2(F.lit(n) / F.col("n_entity")), F.lit(1e-9))
@@ -137,12 +162,13 @@ def disclosing(docs: DataFrame, found: DataFrame, threshold: float, support: int
     rows = docs.select(row_key().alias("key"), text_of().alias("text"))
     word = F.explode(F.array_distinct(F.split(lower_ascii(F.col("text")), r"[^\p{L}]++"))).alias("term")
     inside = cut(rows.select("key", word).where(F.length("term") >= SHORTEST).join(terms, "term").groupBy("key").agg(F.collect_set("term").alias("words")))
-    spans = found.dropDuplicates(["key"]).join(inside, "key").select("key", "spans", "words")
+    spans = cut(found.dropDuplicates(["key"]).join(inside, "key").select("key", "spans", "words"))
+    size = spans.agg(F.coalesce(F.sum(128 + 48 * F.size("spans") + 32 * F.size("words")), F.lit(0))).first()[0]
     pattern = F.concat(F.lit(r"(?i)(?<!\p{L})(?:"), F.array_join("words", "|"), F.lit(r")(?!\p{L})"))
-    marked = rows.join(spans, "key").dropDuplicates(["key"]).withColumn("hits", matches(F.col("text"), pattern, 4))
+    marked = rows.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, "key").withColumn("hits", matches(F.col("text"), pattern, 4))
     apart = F.filter("hits", lambda w: ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
     lowered = F.transform(apart, lambda w: F.struct(w["start"].alias("start"), w["kind"].alias("kind"), w["end"].alias("end"), lower_ascii(w["value"]).alias("value")))
-    return marked.select("key", lowered.alias("terms"))
+    return marked.select("key", lowered.alias("terms")).dropDuplicates(["key"])
 
 
 def find(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:

@@ -1,7 +1,10 @@
+import hashlib
 import struct
 import zlib
 
+import pytest
 from geoloom.llm import mpeg_audio as m
+from geoloom.llm.queries import QUERIES
 
 
 def test_round_trip_and_padding():
@@ -54,3 +57,36 @@ def test_digests(spark):
     assert out[1].tail_crc32 == zlib.crc32(b"\xff" * 32)
     assert m.media_columns(stored.where("doc_id = 1"), "doc_id", "media").first().duration_s == 1152 / 48000
     assert m.stored_digests(m.store_texts(df.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("units", [1, 4])
+def test_bytes_like_tags_in_the_payload(units):
+    """Tags at the back are looked for behind the frames only."""
+    size = units * m.UNIT
+    for word in (b"TAG", b"APETAGEX", b"ID3"):
+        for at in [*range(size - 160, size - len(word) + 1), 0]:
+            payload = bytearray(b"\xff" * size)
+            payload[at : at + len(word)] = word
+            if at >= size - 128 and word == b"TAG":
+                payload[size - 160 : size - 152] = b"APETAGEX"
+                payload[size - 148 : size - 144] = (700).to_bytes(4, "little")
+            media = m.write_stream(bytes(payload))
+            assert m.read_stream(media).payload == bytes(payload)
+            tagged = m.read_stream(media + b"TAG".ljust(128, b"x"))
+            assert tagged.payload == bytes(payload) and tagged.skipped == 0
+
+
+def test_whole_table(spark):
+    """Every contract column, recomputed from the texts."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    out = QUERIES["op9_media"](spark, sf).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        media = m.write_stream(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest())
+        assert r.feature.count("/") == len(payload) // 576 - 1

@@ -56,3 +56,35 @@ def test_names_of_environment_style(spark):
     values = {(r.doc_id, r.value) for r in found.collect()}
     assert {(i, v) for i, v in enumerate(planted.values())} <= values
     assert sum(r.label for r in S.labelled_findings(found).collect()) == len(planted) - 1  # all but the padded value
+
+
+def plain_features(text, start, end, words):
+    """Length, transitions and coverage of a finding, over the whole value."""
+    value = text[start:end]
+    kind = ["d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "o" for c in value]
+    low, covered, at = value.lower(), 0, 0
+    while at < len(low):
+        size = next((k for k in range(10, 2, -1) if low[at : at + k] in words and len(low[at : at + k]) == k), 0)
+        covered, at = covered + size, at + max(size, 1)
+    return [len(value), sum(a != b for a, b in zip(kind, kind[1:])) / len(kind), covered / len(value), *(kind.count(k) / len(kind) for k in "uldo")]
+
+
+def test_features_cover_whole_values(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choices("aB3", k=5000)) + "housestone" * 700
+    texts = [f"a token={long} b", long, "river " + "Ab1_" * 8 + " stone"]
+    df = spark.createDataFrame([(i, t, "p") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    words = frozenset({"house", "stone"})
+    found = S.candidates(df, words).collect()
+    assert {r.doc_id for r in found} == {0, 1, 2}
+    for r in found:
+        want = plain_features(texts[r.doc_id], r.start, r.end, words)
+        assert all(abs(a - b) < 1e-9 for a, b in zip(r.features[:7], want))
+
+
+def test_equal_rows_repeat_their_result(spark):
+    text = 'x token = "a1b2c3d4e5f6a7b8" y'
+    rows = [(1, text, "p"), (1, text, "p"), (1, "none", "p"), (None, text, "p"), (None, None, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = sorted((r.doc_id or 0, r.n_candidates, r.spans) for r in S.report(df).collect())
+    assert len(got) == 6 and got[0] == got[1] == (0, 0, "") and got[-1] == got[-2] and got[-1][1] == 1
