@@ -115,31 +115,30 @@ def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
-def postings(text: np.ndarray, word: np.ndarray, count: np.ndarray, start: np.ndarray, n: np.ndarray, threshold: float) -> pa.ListArray:
-    """For each text the keys (high half) and the number of words before the last one of the key (low half).
+def postings(text: np.ndarray, word: np.ndarray, count: np.ndarray, start: np.ndarray, n: np.ndarray, threshold: float) -> tuple[pa.ListArray, pa.ListArray]:
+    """For each text its prefix as keys (0: none), and the keys of pairs (high half) with the number of words before the second word (low half).
 
-    A pair shares need = ceil(threshold * n) words at least. If its first common word
-    is at i, the second one is among the n - i - need + 1 words behind that.
+    A pair of sets shares need = ceil(threshold * n) words at least. If its first common
+    word is at i, the second one is among the n - i - need + 1 words behind that.
     """
     place = np.arange(len(text)) - np.repeat(start, n)
-    length = np.repeat(prefix_length(n, threshold), n)
+    length = prefix_length(n, threshold)
     # a set of n words can be like another one only if n of n + 1 common words are enough
-    some = (place < length) & (count > 0) & np.repeat(n >= threshold * (n + 1) - 1e-9, n)
-    short = mixed(word, 3) >> np.uint64(32)
-    single, hot = np.flatnonzero(some & (count < HOT)), np.flatnonzero(some & (count >= HOT))
-    behind = np.minimum(length[hot] - place[hot], np.repeat(n, n)[hot] - place[hot] - 1)
+    length = np.where(n >= threshold * (n + 1) - 1e-9, length, 0)
+    inside = np.flatnonzero(place < np.repeat(length, n))
+    short = np.maximum(mixed(word[inside], 3) >> np.uint64(32), 1).astype(np.uint32).view(np.int32)
+    singles = np.where((count[inside] > 0) & (count[inside] < HOT), short, 0)
+    hot = inside[count[inside] >= HOT]
+    behind = np.minimum(np.repeat(length, n)[hot] - place[hot], np.repeat(n, n)[hot] - place[hot] - 1)
     first = np.repeat(hot, behind)
     second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(behind) - behind, behind)
-    key = np.r_[short[single], mixed(word[first], 4) + mixed(word[second], 5) >> np.uint64(32)]
-    pos = np.r_[place[single], place[second] - 1]
-    owner = np.r_[text[single], text[first]]
-    order = np.argsort(owner, kind="stable")
-    packed = (key << np.uint64(32)).view(np.int64) | pos
-    offsets = np.searchsorted(owner[order], np.r_[text[start], np.iinfo(np.int64).max])
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(packed[order]))
+    key = mixed(word[first], 4) + mixed(word[second], 5) >> np.uint64(32)
+    pairs = (key << np.uint64(32)).view(np.int64) | place[second] - 1
+    ends = np.r_[text[start], np.iinfo(np.int64).max]
+    return tuple(pa.ListArray.from_arrays(pa.array(np.searchsorted(text[owner], ends).astype(np.int32)), pa.array(keys)) for owner, keys in ((inside, singles), (first, pairs)))
 
 
-LINES = "doc_id bigint, key bigint, line int, c bigint, c2 bigint, n int, lo bigint, hi bigint, posted array<bigint>"
+LINES = "doc_id bigint, key bigint, line int, c bigint, c2 bigint, n int, lo bigint, hi bigint, prefix array<int>, pairs array<bigint>"
 
 
 def line_sets(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
@@ -158,6 +157,7 @@ def line_sets(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFram
             line = text[start]
             doc = np.repeat(np.arange(len(lines)), lengths)[line]
             number = line - (np.cumsum(lengths) - lengths)[doc]
+            prefix, pairs = postings(text, word, count, start, n, threshold)
             place = mixed(word, 6) >> np.uint64(57)
             bit = np.uint64(1) << (place & np.uint64(63))
             wide = np.repeat(n > WIDE, n) & (place >= 64)
@@ -166,7 +166,7 @@ def line_sets(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFram
                 "doc_id": batch["doc_id"].take(taken), "key": batch["key"].take(taken), "line": number.astype(np.int32), "n": n.astype(np.int32),
                 "c": np.add.reduceat(mixed(word, 1), start).view(np.int64), "c2": np.add.reduceat(mixed(word, 2), start).view(np.int64),
                 "lo": np.bitwise_xor.reduceat(np.where(wide, 0, bit), start).view(np.int64), "hi": np.bitwise_xor.reduceat(np.where(wide, bit, 0), start).view(np.int64),
-                "posted": postings(text, word, count, start, n, threshold),
+                "prefix": prefix, "pairs": pairs,
             }
 
         return one
@@ -204,7 +204,9 @@ def might_match_columns(threshold: float) -> Column:
 
 def posted(classes: DataFrame) -> DataFrame:
     """A row for each key of each class; at is line, n and pos in 32, 16 and 16 bits."""
-    listed = classes.select("doc_id", F.shiftleft(F.col("line").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.least("n", F.lit(MOST)), 16).cast("bigint").bitwiseAND(0xFFFFFFFF)).alias("at"), "c", "lo", "hi", F.explode("posted").alias("p"))
+    single = F.transform("prefix", lambda word, i: F.when(word != 0, F.shiftleft(word.cast("bigint"), 32).bitwiseOR(i.cast("bigint"))))
+    keys = F.concat(F.filter(single, lambda key: key.isNotNull()), F.col("pairs"))
+    listed = classes.select("doc_id", F.shiftleft(F.col("line").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.least("n", F.lit(MOST)), 16).cast("bigint").bitwiseAND(0xFFFFFFFF)).alias("at"), "c", "lo", "hi", F.explode(keys).alias("p"))
     return listed.select(F.shiftright("p", 32).cast("int").alias("word"), "doc_id", F.col("at").bitwiseOR(F.least(F.col("p").bitwiseAND(0xFFFFFFFF), F.lit(MOST))).alias("at"), "c", "lo", "hi")
 
 
@@ -380,7 +382,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, key, line) of every line that an earlier line removes; key is a hash of doc_id and text."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("key"), text_of().alias("text"))
     lines = cut(line_sets(rows, rarity(rows), threshold))
-    classes = lines.groupBy("c", "c2").agg(F.min(F.struct("doc_id", "line", "key", "n", "lo", "hi", "posted")).alias("f")).select("c", "c2", "f.*")
+    classes = lines.groupBy("c", "c2").agg(F.min(F.struct("doc_id", "line", "n", "lo", "hi", "prefix", "pairs")).alias("f")).select("c", "c2", "f.*")
     found = cut(candidates(posted(classes), threshold).groupBy("x", "y").agg(F.count("*").alias("n")))
     pairs = found.where("y is not null")
     hits = matched(pairs, lines, rows, threshold)
