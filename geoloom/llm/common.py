@@ -17,8 +17,10 @@ from pyspark.sql.types import StructType
 #: Lower-cases A-Z only, for bytes.translate.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 UPPER_LETTERS, LOWER_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows that a function of texts gets at once: texts may be long, so they are few.
-BATCH_ROWS = 256
+#: Rows that a function of texts gets at once: texts may be long, so they are few. Bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
+#: Bytes up to which a counted side is broadcast; a larger one is joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +58,11 @@ def cut(df: DataFrame) -> DataFrame:
 cut_table = cut
 
 
+def bounded(df: DataFrame, size: int) -> DataFrame:
+    """``df``, to be broadcast if its counted bytes allow it."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -85,8 +92,13 @@ def map_columns(df: DataFrame, schema: str, make: Callable, rows: int = BATCH_RO
     ``make()`` runs once a task and gives the function of a batch, or a pair of
     it and a function without arguments that gives what is left at the end. A
     function may give None for nothing. Arrow arrays that are passed through
-    keep their nulls and full precision. A batch has at most ``rows`` rows.
+    keep their nulls and full precision. A batch has at most ``rows`` rows. The
+    session's bound of an Arrow batch in bytes is lowered, as texts may be long and
+    the plan runs later; no result depends on it.
     """
+    key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    if spark.conf.get(key) != f"{BATCH_BYTES}b":
+        spark.conf.set(key, f"{BATCH_BYTES}b")
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def packed(columns: dict) -> pa.RecordBatch:

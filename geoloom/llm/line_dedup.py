@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_columns, row_key, text_of
+from .common import bounded, cut, map_columns, row_key, text_of
 
 THRESHOLD, COUNTERS = 0.8, 1 << 18
 #: Steps of the logarithmic count for a doubling, and the step from which a word is paired (4096 occurrences).
@@ -50,8 +50,6 @@ STEPS, HOT = 8, 96
 FEW, LONG_LIST = 256, 20_000
 #: Words from which a set's bitmap has 128 bits; sizes and positions that go into 16 bits.
 WIDE, MOST = 48, (1 << 16) - 1
-#: Bytes up to which a counted side is broadcast; a larger one is joined by shuffle.
-BROADCAST_BYTES = 32 << 20
 
 
 def mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -306,11 +304,6 @@ def candidates(listed: DataFrame, threshold: float) -> DataFrame:
     return map_columns(together, "x bigint, y bigint", make, 1 << 16)
 
 
-def bounded(df: DataFrame, size: int) -> DataFrame:
-    """``df``, to be broadcast if its counted bytes allow it."""
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
 def words_of(ends: DataFrame, lines: DataFrame, rows: DataFrame) -> DataFrame:
     """(c, c2, words) of the classes with set hash c, read from one line of each."""
 

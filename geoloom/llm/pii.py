@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded as counted_side
 from .common import cut, lower_ascii, row_key, text_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -40,8 +41,6 @@ PATTERNS = {
 THRESHOLD, SUPPORT, SHORTEST = 0.9, 2, 3
 #: Parts that a hot entity is dealt into; terms that may be broadcast; mark of letters that are a span's.
 SALTS, BROADCAST, HIDDEN = 16, 20_000, "\x00"
-#: Bytes up to which counted spans are broadcast; more are joined by shuffle.
-BROADCAST_BYTES = 32 << 20
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -165,7 +164,7 @@ def disclosing(docs: DataFrame, found: DataFrame, threshold: float, support: int
     spans = cut(found.dropDuplicates(["key"]).join(inside, "key").select("key", "spans", "words"))
     size = spans.agg(F.coalesce(F.sum(128 + 48 * F.size("spans") + 32 * F.size("words")), F.lit(0))).first()[0]
     pattern = F.concat(F.lit(r"(?i)(?<!\p{L})(?:"), F.array_join("words", "|"), F.lit(r")(?!\p{L})"))
-    marked = rows.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, "key").withColumn("hits", matches(F.col("text"), pattern, 4))
+    marked = rows.join(counted_side(spans, size), "key").withColumn("hits", matches(F.col("text"), pattern, 4))
     apart = F.filter("hits", lambda w: ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
     lowered = F.transform(apart, lambda w: F.struct(w["start"].alias("start"), w["kind"].alias("kind"), w["end"].alias("end"), lower_ascii(w["value"]).alias("value")))
     return marked.select("key", lowered.alias("terms")).dropDuplicates(["key"])
