@@ -253,7 +253,7 @@ def zonal_statistics(raster: DataFrame, zones: DataFrame, band: str = "b1", size
     counts = valued.where("v is not null").groupBy("target", "v").agg(F.count(F.lit(1)).alias("k"))
     modes = counts.groupBy("target").agg(F.min_by("v", F.struct(-F.col("k"), v.cast("string"))).alias(prefix + "majority"), F.min_by("v", F.struct("k", v.cast("string"))).alias(prefix + "minority"))
     every = stats.join(modes, "target", "left").withColumnRenamed("target", order)
-    out = zones.join(every, order, "left").withColumn(prefix + "count", F.coalesce(prefix + "count", F.lit(0)))
+    out = zones.join(every, order, "left").withColumns({prefix + c: F.coalesce(prefix + c, F.lit(0)) for c in ("count", "valid_count", "unique_count")})
     return out.withColumn(prefix + "status", F.when(F.col(prefix + "count") > 0, "ok").otherwise("empty"))
 
 
