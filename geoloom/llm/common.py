@@ -113,6 +113,7 @@ def map_columns(df: DataFrame, schema: str, make: Callable, rows: int = BATCH_RO
                     yield packed(out)
         if (out := end()) is not None:
             yield packed(out)
+        pa.default_memory_pool().release_unused()  # the worker process goes on to other tasks
 
     return df.mapInArrow(run, schema)
 
