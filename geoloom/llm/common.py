@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections import Counter
@@ -86,6 +88,14 @@ def shards_for(total: int, per_shard: int, least: int = 1) -> int:
     return max(least, -(-int(total or 0) // per_shard))
 
 
+def give_memory_back() -> None:
+    """Returns freed memory to the system: the worker process goes on to other tasks. Without glibc only Arrow's is returned."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_columns(df: DataFrame, schema: str, make: Callable, rows: int = BATCH_ROWS) -> DataFrame:
     """Arrow batches in, columns out.
 
@@ -105,6 +115,10 @@ def map_columns(df: DataFrame, schema: str, make: Callable, rows: int = BATCH_RO
         return pa.RecordBatch.from_arrays([x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from results(batches)
+        give_memory_back()
+
+    def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = make()
         one, end = made if isinstance(made, tuple) else (made, lambda: None)
         for whole in batches:
@@ -113,7 +127,6 @@ def map_columns(df: DataFrame, schema: str, make: Callable, rows: int = BATCH_RO
                     yield packed(out)
         if (out := end()) is not None:
             yield packed(out)
-        pa.default_memory_pool().release_unused()  # the worker process goes on to other tasks
 
     return df.mapInArrow(run, schema)
 
