@@ -109,7 +109,14 @@ def map_schema(spark, sf_dir):
     return attributes.map_schema(df, {"event_type": "kind", "value": "whole"}, {"whole": "int", "props": "str"}, {"props": "none"}, ["ts", "user_id"]).select("event_id", "kind", "whole", "props")
 
 
-@query("SELECT doc_id, md5(translate(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '0123456789', '۰۱۲۳۴۵۶۷۸۹')) AS h FROM documents")
+BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+@query(rf"""
+WITH a AS (SELECT doc_id, translate(text, 'يىكةۀ0123456789٠١٢٣٤٥٦٧٨٩', 'ییکهه۰۱۲۳۴۵۶۷۸۹۰۱۲۳۴۵۶۷۸۹') AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(t, '[\x{{64b}}-\x{{65f}}\x{{670}}\x{{6d6}}-\x{{6ed}}\x{{640}}\x{{200b}}\x{{200d}}-\x{{200f}}\x{{2066}}-\x{{2069}}\x{{feff}}]', '', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[ \t\x{{a0}}\x{{2000}}-\x{{200a}}\x{{202f}}]+', ' ', 'g'), '^{BLANK}+|{BLANK}+$', '', 'g') AS t FROM b)
+SELECT doc_id, md5(regexp_replace(t, '{BLANK}*\x{{200c}}{BLANK}*', chr(8204), 'g')) AS h FROM c""")
 def normalize_text(spark, sf_dir):
     out = attributes.normalize_persian_text(table(spark, sf_dir, "documents"), ["text"], digits="persian")
     return out.select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("h"))
@@ -358,7 +365,8 @@ def spatial_autocorrelation(spark, sf_dir):
 
 
 @query(f"""
-WITH c AS (SELECT r.range AS row, k.range AS col, k.range*5+2.5 AS cx, r.range*5+2.5 AS cy FROM range(-2, 22) r, range(-2, 22) k),
+WITH b AS (SELECT min(x)-8::DOUBLE AS west, max(y)+8::DOUBLE AS north, max(x)+8::DOUBLE AS east, min(y)-8::DOUBLE AS south FROM {SUPP}),
+c AS (SELECT r.range AS row, k.range AS col, west+(k.range+0.5::DOUBLE)*5 AS cx, north-(r.range+0.5::DOUBLE)*5 AS cy FROM range(100) r, range(100) k, b WHERE r.range < ceil((north-south)/5) AND k.range < ceil((east-west)/5)),
 e AS (SELECT row, col, (pow(x-cx,2)+pow(y-cy,2))/64.0::DOUBLE AS d2 FROM c, {SUPP} WHERE (pow(x-cx,2)+pow(y-cy,2))/64.0::DOUBLE <= 1)
 SELECT row, col, round_even(sum(3/pi()*pow(1-d2,2)/64.0::DOUBLE), 9) AS density FROM e GROUP BY 1, 2""")
 def kernel_density(spark, sf_dir):

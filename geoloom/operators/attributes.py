@@ -35,7 +35,8 @@ def calculate_field(df: DataFrame, field: str, expression: str, overwrite: bool
     return df.withColumn(field, compile_expression(expression, {c: F.col(f"`{c}`") for c in df.columns}))
 
 
-TRUE_WORDS, FALSE_WORDS = ("true", "yes", "y", "1", "t", "on", "بله", "بلی", "درست"), ("false", "no", "n", "0", "f", "off", "خیر", "نه", "نادرست")
+#: Words of truth and falsehood.
+TRUE_WORDS, FALSE_WORDS = ("true", "yes", "y", "1", "t", "بله", "آری", "درست"), ("false", "no", "n", "0", "f", "خیر", "نه", "نادرست")
 
 
 def _cast(df: DataFrame, name: str, kind: str) -> Column:
@@ -65,14 +66,17 @@ def map_schema(df: DataFrame, mapping: dict | None = None, cast: dict | None = N
     return out.select([c for c in out.columns if c in keep_only]) if keep_only else out
 
 
-#: Arabic letters and their Persian forms; diacritics and invisible characters.
+#: Arabic letters and their Persian forms; diacritics, invisible characters, spaces of a line.
 ARABIC, PERSIAN = "يىكةۀ", "ییکهه"
-DIACRITICS, INVISIBLE, JOINER = "[\u064b-\u0652\u0670\u0640]", "[\u200b\u200d\u200e\u200f\ufeff]", "\u200c"
+DIACRITICS, INVISIBLE, JOINER = "[\u064b-\u065f\u0670\u06d6-\u06ed\u0640]", "[\u200b\u200d\u200e\u200f\u2066-\u2069\ufeff]", "\u200c"
+SPACES = "[ \t\u00a0\u2000-\u200a\u202f]"
+#: All white space, with line ends.
+BLANK = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 PERSIAN_DIGITS, ARABIC_DIGITS, LATIN = "۰۱۲۳۴۵۶۷۸۹", "٠١٢٣٤٥٦٧٨٩", "0123456789"
 
 
 def normalize_persian_text(df: DataFrame, fields: list[str] | None = None, digits: str = "keep", arabic_to_persian: bool = True, remove_diacritics: bool = True, clean_spaces: bool = True, remove_zero_width: bool = True, suffix: str = "") -> DataFrame:
-    """Unifies letters, digits and spaces of text columns; with a suffix into new columns."""
+    """Unifies letters, digits and spaces of text columns; with a suffix into new columns. Line ends inside a text stay."""
     out = {}
     for name in fields or [c for c in df.columns if is_text(df, c)]:
         text = F.col(name)
@@ -87,7 +91,9 @@ def normalize_persian_text(df: DataFrame, fields: list[str] | None = None, digit
         if remove_zero_width:
             text = F.regexp_replace(text, INVISIBLE, "")
         if clean_spaces:
-            text = F.trim(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), f" ?{JOINER}+ ?", JOINER))
+            # runs are matched from their start only, which keeps the cost linear
+            text = F.regexp_replace(F.regexp_replace(text, f"{SPACES}+", " "), rf"^{BLANK}+|(?<!{BLANK}){BLANK}++\z", "")
+            text = F.regexp_replace(text, f"(?<!{BLANK}){BLANK}++{JOINER}{BLANK}*+|{JOINER}{BLANK}*+", JOINER)
         out[name + suffix] = text
     return df.withColumns(out)
 

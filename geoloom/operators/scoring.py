@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import even_round, local, loose
+from ..functions.numbers import even_round, is_text, local, loose
 from .attributes import LEVELS, risk_level
 
 
@@ -32,18 +32,42 @@ def clamp(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
 
 
-TRUTHS = ("true", "yes", "y", "1", "1.0", "on")
+#: Words that count as true.
+TRUTHS = ("true", "yes", "y", "1", "ok", "pass", "passed", "inside", "within", "low", "مجاز", "داخل", "بله")
+ALIASES = {"eq": "==", "ne": "!=", "lt": "<", "lte": "<=", "gt": ">", "gte": ">="}
 COMPARISONS = {
-    "==": lambda a, b: a.eqNullSafe(b), "!=": lambda a, b: ~a.eqNullSafe(b), "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
+    "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
 }
 
 
+def truth(df: DataFrame, field: str) -> Column:
+    """Words of truth, and numbers other than zero; null is false."""
+    column = F.col(field)
+    true = F.lower(F.trim(column)).isin(*TRUTHS) if is_text(df, field) else column.cast("double") != 0
+    return F.coalesce(true, F.lit(False))
+
+
+def compared(df: DataFrame, field: str, op: str, value: object) -> Column:
+    """Equality is of the values as they are, text never equal to a number; order is of numbers, and false without two."""
+    op = ALIASES.get(op, op)
+    if op in ("==", "!="):
+        text, plain = is_text(df, field), F.col(field)
+        if value is not None and isinstance(value, str) != text:
+            same: Column = F.lit(False)
+        else:
+            same = plain.eqNullSafe(F.lit(value)) if text or value is None else plain.cast("double").eqNullSafe(F.lit(float(value)))
+        return same if op == "==" else ~same
+    if op not in COMPARISONS:
+        raise ValueError(f"unknown comparison {op}")
+    return F.coalesce(COMPARISONS[op](loose(df, field), F.lit(value).try_cast("double")), F.lit(False))
+
+
 def factor_score(df: DataFrame, factor: dict) -> Column:
     """The 0 to 1 score of a factor by its type; a factor without one is an error."""
     kind, field = factor["type"], factor["field"]
     number = loose(df, field)
     if kind in ("boolean", "boolean_bonus"):
-        return F.when(F.lower(F.trim(F.col(field).cast("string"))).isin(*TRUTHS), 1.0).otherwise(0.0)
+        return F.when(truth(df, field), 1.0).otherwise(0.0)
     if kind == "inverse_distance":
         return F.coalesce(clamp(1 - number / F.lit(float(factor["max_distance"]))), F.lit(0.0))
     if kind in ("risk_level", "inverse_level"):
@@ -51,8 +75,7 @@ def factor_score(df: DataFrame, factor: dict) -> Column:
         table = F.create_map(*[F.lit(x) for i, name in enumerate(LEVELS) for x in (name, 1 - i / 4)])
         return F.coalesce(F.when(number.isNotNull(), clamp(1 - number)).otherwise(table[level]), F.lit(0.0))
     if kind in ("threshold", "condition"):
-        test = COMPARISONS[factor.get("op", ">=")](number, F.lit(float(factor["value"])))
-        return F.when(F.coalesce(test, F.lit(False)), 1.0).otherwise(0.0)
+        return F.when(compared(df, field, factor.get("op", ">="), factor["value"]), 1.0).otherwise(0.0)
     if kind in ("direct", "numeric"):
         return clamp(F.coalesce(number, F.lit(0.0)))
     if kind == "inverse_numeric":

@@ -206,13 +206,25 @@ def morans_i(points: DataFrame, field: str, weights: str = "knn", k: int = 8, di
     return one.select(even_round(i).alias("morans_i"), even_round(F.lit(expected)).alias("expected_i"), even_round(variance, 9).alias("variance"), even_round((i - expected) / F.sqrt(variance)).alias("z_score"), F.lit(n).cast("bigint").alias("n"))
 
 
-def kernel_density(points: DataFrame, cell_size: float, bandwidth: float, weight_field: str | None = None, kernel: str = "gaussian") -> DataFrame:
-    """(row, col, density) of the cells that points reach; gaussian up to three bandwidths, others one."""
+def kernel_density(points: DataFrame, cell_size: float, bandwidth: float, weight_field: str | None = None, kernel: str = "gaussian", bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """(row, col, density) of the cells that points reach; gaussian up to three bandwidths, others one.
+
+    Rows count from the north. The grid starts at the west and north of ``bbox``,
+    or of the points' extent widened by the kernel's reach. No points give no rows.
+    """
     weight = F.coalesce(loose(points, weight_field), F.lit(0.0)) if weight_field else F.lit(1.0)
     reach = bandwidth * (3 if kernel == "gaussian" else 1)
-    box = F.struct((F.col("x") - reach).alias("minx"), (F.col("y") - reach).alias("miny"), (F.col("x") + reach).alias("maxx"), (F.col("y") + reach).alias("maxy"))
-    spread = points.where("x is not null and y is not null").withColumn("__w", weight).where("__w > 0").select("x", "y", "__w", F.explode(cells_of(box, cell_size)).alias("c"))
-    d2 = (F.pow(F.col("x") - (F.col("c.cx") + 0.5) * cell_size, 2) + F.pow(F.col("y") - (F.col("c.cy") + 0.5) * cell_size, 2)) / (bandwidth * bandwidth)
+    usable = points.where("x is not null and y is not null").select("x", "y", weight.alias("__w")).where("__w > 0")
+    if bbox is None:
+        low_x, low_y, high_x, high_y = usable.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+        bbox = (0.0, 0.0, 0.0, 0.0) if low_x is None else (low_x - reach, low_y - reach, high_x + reach, high_y + reach)
+    west, south, east, north = bbox
+    right, down = F.col("x") - west, F.lit(north) - F.col("y")
+    box = F.struct((right - reach).alias("minx"), (down - reach).alias("miny"), (right + reach).alias("maxx"), (down + reach).alias("maxy"))
+    spread = usable.select("x", "y", "__w", F.explode(cells_of(box, cell_size)).alias("c"))
+    spread = spread.where(F.col("c.cx").between(0, max(1, math.ceil((east - west) / cell_size)) - 1) & F.col("c.cy").between(0, max(1, math.ceil((north - south) / cell_size)) - 1))
+    centre_x, centre_y = F.lit(west) + (F.col("c.cx") + 0.5) * cell_size, F.lit(north) - (F.col("c.cy") + 0.5) * cell_size
+    d2 = (F.pow(F.col("x") - centre_x, 2) + F.pow(F.col("y") - centre_y, 2)) / (bandwidth * bandwidth)
     shape = {"gaussian": F.exp(-d2 / 2) / (2 * math.pi), "quartic": 3 / math.pi * F.pow(1 - d2, 2), "epanechnikov": 2 / math.pi * (1 - d2)}[kernel] / (bandwidth * bandwidth)
     inside = d2 <= (9 if kernel == "gaussian" else 1)
     return spread.where(inside).groupBy(F.col("c.cy").alias("row"), F.col("c.cx").alias("col")).agg(even_round(F.sum(shape * F.col("__w")), 9).alias("density"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from ..operators import aggregates, attributes, overlay, raster, scoring, shapes, spatial
+from ..operators import aggregates, attributes, network, overlay, raster, scoring, shapes, spatial
 
 
 @dataclass(frozen=True)
@@ -92,6 +93,10 @@ OPERATIONS: dict[str, tuple[Callable, tuple[str, ...]]] = {
     "raster_stats": (raster.raster_statistics, ("raster",)),
     "zonal_statistics": (raster.zonal_statistics, ("raster", "zones")),
     "sample_raster": (raster.sample_raster, ("raster", "points")),
+    "shortest_path": (network.shortest_path, ("network",)),
+    "service_area": (network.service_area, ("network", "origins")),
+    "od_matrix": (network.od_matrix, ("network", "origins", "destinations")),
+    "accessibility_2sfca": (network.accessibility_2sfca, ("network", "supply", "demand")),
 }
 
 
@@ -100,7 +105,7 @@ class SpecError(ValueError):
 
 
 def validate(spec: QuerySpec, layers: set[str]) -> None:
-    """Operations are known, named once, and take layers that exist by then."""
+    """Operations are known, named once, and take layers that exist by then and parameters that they have."""
     known = set(layers)
     for step in spec.operations:
         if step.op not in OPERATIONS:
@@ -111,6 +116,13 @@ def validate(spec: QuerySpec, layers: set[str]) -> None:
             raise SpecError(f"{step.name} lacks {', '.join(missing)}")
         if unknown := [x for x in step.inputs.values() if x not in known]:
             raise SpecError(f"{step.name} takes unknown layers {', '.join(unknown)}")
+        function, roles = OPERATIONS[step.op]
+        accepted = list(inspect.signature(function).parameters.values())[len(roles) :]
+        strange = set(step.params) - {p.name for p in accepted}
+        if strange and not any(p.kind is p.VAR_KEYWORD for p in accepted):
+            raise SpecError(f"{step.name} has no parameter {', '.join(sorted(strange))}")
+        if absent := [p.name for p in accepted if p.default is p.empty and p.kind is p.POSITIONAL_OR_KEYWORD and p.name not in step.params]:
+            raise SpecError(f"{step.name} needs {', '.join(absent)}")
         known.add(step.name)
     if spec.output not in known:
         raise SpecError(f"unknown output {spec.output}")

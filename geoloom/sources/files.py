@@ -74,26 +74,28 @@ FORBIDDEN = re.compile(r"(;|--|/\*|\b(insert|update|delete|drop|alter|create|gra
 MOST_ROWS = 100_000
 
 
-def query_table(spark: SparkSession, table: str, columns: list[str] | None = None, where: str | None = None, limit: int = 1000) -> DataFrame:
-    """A table of the session's catalog: checked names, a checked condition, at most 100,000 rows."""
+def query_table(spark: SparkSession, table: str, columns: list[str] | None = None, where: str | None = None, limit: int | None = None) -> DataFrame:
+    """A table of the session's catalog: checked names, a checked condition, and all rows or those of an asked limit (at most 100,000)."""
     for name in [*table.split("."), *(columns or [])]:
         if not NAME.fullmatch(name):
             raise ValueError(f"{name} is not a plain name")
-    if not 0 < limit <= MOST_ROWS:
+    if limit is not None and not 0 < limit <= MOST_ROWS:
         raise ValueError(f"limit must be from 1 to {MOST_ROWS}")
     df = spark.table(table)
     if where:
         if FORBIDDEN.search(where):
             raise ValueError("the condition isn't a plain one")
         df = df.where(where)
-    return (df.select(*columns) if columns else df).limit(limit)
+    df = df.select(*columns) if columns else df
+    return df if limit is None else df.limit(limit)
 
 
-def query_sql(spark: SparkSession, sql: str, limit: int = 1000) -> DataFrame:
-    """A read-only query over the session's views and tables."""
+def query_sql(spark: SparkSession, sql: str, limit: int | None = None) -> DataFrame:
+    """A read-only query over the session's views and tables: all rows, or those of an asked limit."""
     if not READ_ONLY.match(sql) or FORBIDDEN.search(sql):
         raise ValueError("only a single select is allowed")
-    return spark.sql(sql).limit(limit)
+    df = spark.sql(sql)
+    return df if limit is None else df.limit(limit)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict[str, str], partition_column: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 16) -> DataFrame:

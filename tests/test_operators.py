@@ -136,3 +136,37 @@ def test_specs(spark, rows):
     for broken in (QuerySpec(steps, "zz"), QuerySpec((Operation("a", "nope", {}),), "a"), QuerySpec((Operation("a", "explode", {"vector": "b"}),), "a"), QuerySpec((Operation("a", "spatial_join", {"source": "in"}),), "a")):
         with pytest.raises(SpecError):
             run(broken, {"in": rows})
+
+
+def test_words_of_truth_and_comparisons(spark):
+    df = spark.createDataFrame([(0, "inside", 2.0, "a"), (1, "on", 0.0, "5"), (2, None, None, None)], "_idx int, w string, n double, t string")
+
+    def scores(**factor):
+        return [r.s for r in df.withColumn("s", scoring.factor_score(df, factor)).orderBy("_idx").collect()]
+
+    assert scores(type="boolean", field="w") == [1.0, 0.0, 0.0] and scores(type="boolean", field="n") == [1.0, 0.0, 0.0]
+    assert scores(type="threshold", field="t", op="eq", value="a") == [1.0, 0.0, 0.0]
+    assert scores(type="threshold", field="t", op="==", value=5) == [0.0, 0.0, 0.0]
+    assert scores(type="threshold", field="t", op="gte", value=5) == [0.0, 1.0, 0.0]
+    assert scores(type="threshold", field="n", op="ne", value=2) == [0.0, 1.0, 1.0]
+    assert scores(type="threshold", field="n", op="lt", value="x") == [0.0, 0.0, 0.0]
+
+
+def test_persian_text_keeps_lines(spark):
+    lines = spark.createDataFrame([("\n a  b \n\n c۝ ‌ d⁧ ",), (None,), ("",)], "t string")
+    assert [r.t for r in attributes.normalize_persian_text(lines).collect()] == ["a b \n\n c‌d", None, ""]
+
+
+def test_kernel_density_is_north_up(spark):
+    points = spark.createDataFrame([(0.0, 0.0), (10.0, 30.0), (10.0, 30.0), (None, 1.0)], "x double, y double")
+    got = {(r.row, r.col): r.density for r in spatial.kernel_density(points, 2.0, 1.0, kernel="epanechnikov").collect()}
+    assert set(got) == {(0, 5), (15, 0)} and got[(0, 5)] == pytest.approx(4 / math.pi, abs=1e-8) and got[(15, 0)] == pytest.approx(2 / math.pi, abs=1e-8)
+    assert spatial.kernel_density(points.limit(0), 2.0, 1.0).count() == 0
+    assert spatial.kernel_density(points, 2.0, 1.0, bbox=(-1.0, -1.0, 1.0, 1.0)).select("row", "col").distinct().collect() == [(0, 0)]
+
+
+def test_parameters_are_checked(spark):
+    df = spark.range(3).select(F.col("id").alias("_idx"), F.col("id").cast("double").alias("score"))
+    for params in ({"field": "d"}, {"field": "d", "expression": "1", "overwrit": True}):
+        with pytest.raises(SpecError):
+            run(QuerySpec((Operation("a", "calculate_field", {"vector": "v"}, params),), "a"), {"v": df})
