@@ -96,7 +96,7 @@ def give_memory_back() -> None:
         trim(0)
 
 
-def map_columns(df: DataFrame, schema: str, make: Callable, rows: int = BATCH_ROWS) -> DataFrame:
+def map_columns(df: DataFrame, schema: str | StructType, make: Callable, rows: int = BATCH_ROWS) -> DataFrame:
     """Arrow batches in, columns out.
 
     ``make()`` runs once a task and gives the function of a batch, or a pair of
@@ -109,7 +109,7 @@ def map_columns(df: DataFrame, schema: str, make: Callable, rows: int = BATCH_RO
     key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
     if spark.conf.get(key) != f"{BATCH_BYTES}b":
         spark.conf.set(key, f"{BATCH_BYTES}b")
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def packed(columns: dict) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)

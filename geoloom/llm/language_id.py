@@ -26,6 +26,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import cut, map_columns, text_of
 
@@ -209,10 +210,11 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: s
                 best = int(total.argmax())
                 lang.append(languages[best])
                 score.append(float(1 / np.exp(total - total[best]).sum()))
-            return {c: batch[c] for c in keep} | {"lang_pred": lang, "score": score}
+            return {f"k{i}": batch[f"k{i}"] for i in range(len(keep))} | {"lang_pred": lang, "score": score}
 
         return one
 
-    rows = docs.select(*keep, text_of().alias("__text"))
-    out = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
-    return map_columns(rows, out + "lang_pred string, score double", make)
+    # kept columns go under numbers, so that none of their names can clash
+    numbered = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], text_of().alias("__text"))
+    found = map_columns(numbered, StructType(numbered.schema.fields[:-1] + StructType.fromDDL("lang_pred string, score double").fields), make)
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")

@@ -390,7 +390,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def deduplicate_lines(docs: DataFrame, threshold: float = THRESHOLD, counted: bool = False) -> DataFrame:
-    """The documents with all their columns and repeated lines taken out of text; with ``counted`` two columns more, n_lines and n_removed."""
+    """The documents with all their columns and repeated lines taken out of text; with ``counted`` n_lines and n_removed follow, in place of columns of those names."""
     gone = cut(removed_lines(docs, threshold).groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("line")).alias("gone")))
     size = gone.agg(F.coalesce(F.sum(64 + 4 * F.size("gone")), F.lit(0))).first()[0]
     # all other columns travel in one, so that none of their names can clash
@@ -400,4 +400,4 @@ def deduplicate_lines(docs: DataFrame, threshold: float = THRESHOLD, counted: bo
     kept = F.filter(lines, lambda _, i: ~F.array_contains("gone", i))
     text = F.when(F.col("gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     extra = [F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed")] if counted else []
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns], *extra)
+    return joined.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if not counted or c.lower() not in ("n_lines", "n_removed")], *extra)

@@ -249,7 +249,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents with their own columns, as often as taken, shard by shard in a local shuffle."""
     columns, plan = docs.columns, Plan(docs, **options)
-    rows = docs.select(F.struct(*columns).alias("__row"), "source", n_words(text_of()).alias("size"), plan.place().alias("place"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), "source", n_words(text_of()).alias("size"), plan.place().alias("place"))
     out = plan.taken(rows).select("__row", "place", F.explode("drawn").alias("__d"))
     placed = out.repartition(plan.shards, "__d.shard").sortWithinPartitions("__d.shard", F.xxhash64(F.lit(plan.seed), "place", "__d.round"))
     return placed.select("__row.*")
