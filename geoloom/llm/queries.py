@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, mixing, mpeg_audio, pii, ppm, secret_scan, simhash, topk
+from . import bpe, language_id, lexical, line_dedup, mixing, mpeg_audio, pii, ppm, secret_scan, simhash, spelling, topk, vector_copies
 from .common import crc_mod, documents
 
 
@@ -63,13 +63,28 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=50)
+
+
+def op12_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_copies.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.9)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_mixing, op3_bpe, op4_line_dedup, op5_ppm, op6_language, op7_pii, op8_secrets, op9_media, op10_simhash, pipeline)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_topk, op2_mixing, op3_bpe, op4_line_dedup, op5_ppm, op6_language, op7_pii, op8_secrets, op9_media, op10_simhash, op11_lexical, op12_vectors, op13_spelling, pipeline)
+}
 
 ORACLE_SQL = {
     "op1_topk": """
@@ -88,4 +103,27 @@ ORACLE_SQL = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
     """,
+    "op11_lexical": r"""
+        WITH terms AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+            FROM documents
+        ), postings AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term),
+        sizes AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+        corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sizes),
+        weights AS (
+            SELECT term, CAST(floor(1000 * ln(CAST(2 * max(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+            FROM postings, corpus GROUP BY term
+        ), items AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+            FROM benchmark
+        ), scored AS (
+            SELECT item_id, p.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // words)))) AS BIGINT) AS score
+            FROM items JOIN postings p USING (term) JOIN weights USING (term) JOIN sizes s ON s.doc_id = p.doc_id, corpus
+            GROUP BY item_id, p.doc_id
+        ), ranked AS (
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+            FROM scored WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+    """,
 }
