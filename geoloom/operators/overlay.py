@@ -1,19 +1,24 @@
-"""Overlay of polygons with convex masks, and dissolving by attributes.
+"""Overlay of layers: clip, erase, union, intersection and dissolving.
 
-A polygon is clipped edge by edge of the mask (a convex ring, counter-clockwise),
-as nested array functions; holes are clipped like shells. Masks that are not
-convex are refused by ``is_convex``.
+``clip_by``, ``erase``, ``union``, ``regions`` and ``dissolve`` take polygons of any
+shape, with holes and several parts, and work on the arrangement of all their
+edges (see ``arrangement``): what covers each side of an edge decides whether it
+bounds the result. ``clip`` and ``intersections`` are shorter ways for one convex
+mask, or convex targets: a polygon is clipped edge by edge of the mask, as nested
+array functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.numbers import even_round
+from . import arrangement as net
 from .aggregates import aggregate_of
 from .spatial import cells_of
+from .storage import durable
 
 
 def shell(shape: Column) -> Column:
@@ -46,13 +51,41 @@ def clip_ring(ring: Column, mask: Column) -> Column:
     return F.aggregate(g.segments(mask), ring.cast(g.RING), cut)
 
 
+def clip_path(path: Column, mask: Column) -> Column:
+    """The paths that are left of an open path inside a convex closed ring, which counts as inside."""
+    def inside(s: Column) -> Column:
+        """The range of a segment inside all half planes, as (lo, hi)."""
+        def narrow(now: Column, edge: Column) -> Column:
+            side = lambda v: (edge["b"]["x"] - edge["a"]["x"]) * (v["y"] - edge["a"]["y"]) - (edge["b"]["y"] - edge["a"]["y"]) * (v["x"] - edge["a"]["x"])
+            p, q = side(s["a"]), side(s["b"])
+            t = p / F.when(p != q, p - q)
+            lo = F.when((p < 0) & (q < 0), 2.0).when((p < 0) & (q >= 0), F.greatest(now["lo"], t)).otherwise(now["lo"])
+            hi = F.when((p >= 0) & (q < 0), F.least(now["hi"], t)).otherwise(now["hi"])
+            return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+        return F.aggregate(g.segments(mask), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), narrow)
+
+    at = lambda s, t: F.when(t <= 0, s["a"]).when(t >= 1, s["b"]).otherwise(g.vertex(s["a"]["x"] + t * (s["b"]["x"] - s["a"]["x"]), s["a"]["y"] + t * (s["b"]["y"] - s["a"]["y"])))
+    kept = F.filter(F.transform(F.transform(g.segments(path), lambda s: F.struct(s.alias("s"), inside(s).alias("r"))), lambda e: F.when(e["r"]["lo"] < e["r"]["hi"], F.struct(at(e["s"], e["r"]["lo"]).alias("a"), at(e["s"], e["r"]["hi"]).alias("b")))), lambda e: e.isNotNull())
+    # segments that meet are one path
+    none = F.array().cast(f"array<{g.RING}>")
+
+    def joined(paths: Column, e: Column) -> Column:
+        end = F.element_at(F.element_at(paths, -1), -1)
+        meets = (F.size(paths) > 0) & (end["x"] == e["a"]["x"]) & (end["y"] == e["a"]["y"])
+        longer = F.concat(F.slice(paths, 1, F.greatest(F.size(paths) - 1, F.lit(0))), F.array(F.concat(F.element_at(paths, -1), F.array(e["b"]))))
+        return F.when(meets, longer).otherwise(F.concat(paths, F.array(F.array(e["a"], e["b"]))))
+
+    return F.aggregate(kept, none, joined)
+
+
 def clip_geometry(shape: Column, mask: Column) -> Column:
-    """Points and polygons inside a convex ring; null if nothing is left."""
+    """Points, lines and polygons inside a convex ring; null if nothing is left."""
     box = g.polygon(mask)
     parts = F.transform(shape["coords"], lambda rings: F.filter(F.transform(rings, lambda r: clip_ring(r, mask)), lambda r: F.size(r) >= 4))
-    kept = F.when(g.is_point(shape), F.filter(shape["coords"], lambda p: g.covers(box, F.get(F.get(p, 0), 0)["x"], F.get(F.get(p, 0), 0)["y"]))).otherwise(F.filter(parts, lambda p: F.size(p) > 0))
-    made = F.struct(shape["type"].alias("type"), kept.alias("coords"))
-    return F.when(F.size(kept) > 0, made)
+    kept = F.when(g.is_point(shape), F.filter(shape["coords"], lambda p: g.covers(box, F.get(F.get(p, 0), 0)["x"], F.get(F.get(p, 0), 0)["y"]))).when(~g.is_polygon(shape), F.transform(F.flatten(F.transform(F.flatten(shape["coords"]), lambda path: clip_path(path, mask))), lambda path: F.array(path))).otherwise(F.filter(parts, lambda p: F.size(p) > 0))
+    kind = F.when((shape["type"] == "LineString") & (F.size(kept) > 1), "MultiLineString").otherwise(shape["type"])
+    return F.when(F.size(kept) > 0, F.struct(kind.alias("type"), kept.alias("coords")))
 
 
 def clip(df: DataFrame, mask: Column, order: str = "_idx") -> DataFrame:
@@ -91,12 +124,135 @@ def overlaps(df: DataFrame, cell: float, tolerance: float = 0.0, order: str = "_
     return found.select(F.col("source").alias("feature"), F.col("target").alias("other"), F.col("_intersection_area").alias("area"))
 
 
-def dissolve(df: DataFrame, group_by: list[str], aggregations: list[dict] | None = None, order: str = "_idx") -> DataFrame:
-    """One multi-part feature a group, its parts in order, with aggregates and ``_feature_count``.
+class Arrangement:
+    """The noded edges of layers, and what covers their sides. Feature i of layer k of n has the id i * n + k."""
+
+    def __init__(self, layers: list[DataFrame], order: str = "_idx", cell: float | None = None) -> None:
+        n = len(layers)
+        parts = None
+        for k, df in enumerate(layers):
+            shape = F.col("geometry")
+            found = net.segments_of(df.where(~g.is_point(shape)).select((F.col(order).cast("bigint") * n + k).alias("fid"), "geometry"), "fid")
+            parts = found if parts is None else parts.unionByName(found)
+        segments = durable(parts.withColumn("sid", F.monotonically_increasing_id()))
+        self.cell = cell or net.grid_cell(segments)
+        self.pieces = durable(net.node(segments, self.cell))
+        self.borders = durable(net.boundaries(self.pieces.where("polygon")))
+        edges = net.undirected(self.pieces).select(*net.EDGE).distinct()
+        self.sides = durable(net.coverage(edges, self.borders, self.cell))
+
+    def covered(self, layer: int, layers: int) -> DataFrame:
+        """Edges with whether any feature of a layer covers their sides."""
+        of = self.sides.where(F.pmod(F.col("fid"), F.lit(layers)) == layer)
+        return of.groupBy(*net.EDGE).agg(F.max("left").alias("u_left"), F.max("right").alias("u_right"))
+
+    def shapes(self, edges: DataFrame, key: str) -> DataFrame:
+        """(key, geometry) of directed edges."""
+        parts = net.polygons(edges, key, self.cell)
+        return parts.groupBy(key).agg(net.geometry_of(F.array_sort(F.collect_list("part"))).alias("geometry"))
+
+
+def _paths(found: Arrangement, keep: Column) -> DataFrame:
+    """(fid, geometry) of the first layer's lines: runs of their pieces that are to be kept."""
+    pieces = net.undirected(found.pieces.where("not polygon").withColumns({f"__{c}": F.col(c) for c in net.EDGE}))
+    known = pieces.join(found.covered(1, 2), list(net.EDGE), "left").withColumn("__in", F.coalesce(F.col("u_left") | F.col("u_right"), F.lit(False)))
+    run = Window.partitionBy("fid", "part").orderBy("seq", "piece")
+    kept = known.withColumn("at", F.row_number().over(run)).where(keep).withColumn("path", F.col("at") - F.row_number().over(run))
+    vertex = lambda x, y: g.vertex(F.col(x), F.col(y))
+    each = kept.groupBy("fid", "part", "path").agg(F.array_sort(F.collect_list(F.struct("at", vertex("__px", "__py").alias("a"), vertex("__qx", "__qy").alias("b")))).alias("p"))
+    line = F.concat(F.transform("p", lambda p: p["a"]), F.array(F.element_at("p", -1)["b"]))
+    lines = each.groupBy("fid").agg(F.array_sort(F.collect_list(F.struct("part", "path", line.alias("line")))).alias("lines"))
+    kind = F.when(F.size("lines") == 1, "LineString").otherwise("MultiLineString")
+    return lines.select("fid", F.struct(kind.alias("type"), F.transform("lines", lambda p: F.array(p["line"])).alias("coords")).alias("geometry"))
+
+
+def _points(features: DataFrame, mask: DataFrame, inside: bool, cell: float, order: str) -> DataFrame:
+    """(fid, geometry) of the points that a mask covers, or those that none covers."""
+    each = features.where(g.is_point(F.col("geometry"))).select((F.col(order).cast("bigint") * 2).alias("fid"), F.col("geometry.type").alias("kind"), F.posexplode("geometry.coords").alias("i", "p"))
+    each = each.withColumns({"x": F.get(F.get("p", 0), 0)["x"], "y": F.get(F.get("p", 0), 0)["y"]})
+    where = mask.where(g.is_polygon(F.col("geometry"))).select(F.col("geometry").alias("m"), F.explode(cells_of(g.bounds(F.col("geometry")), cell)).alias("c"))
+    hit = each.withColumn("c", F.struct(F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))).join(where, "c").where(g.covers(F.col("m"), F.col("x"), F.col("y"))).select("fid", "i").distinct()
+    kept = each.join(hit, ["fid", "i"], "left_semi" if inside else "left_anti")
+    parts = kept.groupBy("fid").agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("i", "p"))).alias("l"))
+    return parts.select("fid", F.struct(F.col("kind").alias("type"), F.transform("l", lambda e: e["p"]).alias("coords")).alias("geometry"))
+
+
+def _masked(features: DataFrame, mask: DataFrame, inside: bool, order: str, cell: float | None) -> DataFrame:
+    found = Arrangement([features, mask.where(g.is_polygon(F.col("geometry")))], order, cell)
+    own = found.sides.where(F.pmod(F.col("fid"), F.lit(2)) == 0)
+    both = own.join(found.covered(1, 2), list(net.EDGE), "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("u_left", "u_right")})
+    keeps = lambda a, b: F.col(a) & (F.col(b) if inside else ~F.col(b))
+    shapes = found.shapes(net.directed(both, keeps("left", "u_left"), keeps("right", "u_right"), "fid"), "fid")
+    all_ = shapes.unionByName(_paths(found, F.col("__in") if inside else ~F.col("__in"))).unionByName(_points(features, mask, inside, 4 * found.cell, order))
+    out = features.drop("geometry").withColumn("source_feature_index", F.col(order))
+    return out.join(all_.withColumn("__id", F.floor(F.col("fid") / 2)).drop("fid"), F.col(order) == F.col("__id")).drop("__id")
+
+
+def clip_by(features: DataFrame, mask: DataFrame, order: str = "_idx", cell: float | None = None) -> DataFrame:
+    """Points, lines and polygons cut to the area that any polygon of the mask layer covers; what is empty goes, as do lower dimensions that are left of a polygon."""
+    return _masked(features, mask, True, order, cell)
+
+
+def erase(features: DataFrame, mask: DataFrame, order: str = "_idx", cell: float | None = None) -> DataFrame:
+    """What is left of points, lines and polygons outside the area of the mask layer."""
+    return _masked(features, mask, False, order, cell)
+
+
+def union(source: DataFrame, target: DataFrame, source_prefix: str = "source_", target_prefix: str = "target_", order: str = "_idx", cell: float | None = None) -> DataFrame:
+    """The pieces into which two polygon layers split each other, none of them overlapping.
+
+    Each has the attributes of the first source and the first target that cover it,
+    overlay_origin (both, source, target), and how many of either cover it.
+    """
+    if source_prefix == target_prefix:
+        raise ValueError("source_prefix and target_prefix must differ")
+    found = Arrangement([source, target], order, cell)
+    layer, id_ = F.pmod(F.col("fid"), F.lit(2)), F.floor(F.col("fid") / 2)
+    made = [f(F.when((layer == k) & F.col(side), id_)).alias(f"{side}_{name}{k}") for side in ("left", "right") for k in (0, 1) for name, f in (("first", F.min), ("n", F.count))]
+    labels = found.sides.groupBy(*net.EDGE).agg(*made)
+    label = lambda side: F.concat_ws(":", *[F.coalesce(F.col(f"{side}_{c}").cast("string"), F.lit("")) for c in ("first0", "n0", "first1", "n1")])
+    covered = lambda side: F.col(f"{side}_n0") + F.col(f"{side}_n1") > 0
+    forth = labels.where(covered("left")).select(label("left").alias("label"), *net.EDGE)
+    back = labels.where(covered("right")).select(label("right").alias("label"), F.col("qx").alias("px"), F.col("qy").alias("py"), F.col("px").alias("qx"), F.col("py").alias("qy"))
+    parts = net.polygons(forth.unionByName(back), "label", found.cell)
+    of = lambda i: F.split("label", ":")[i]
+    number = lambda i: F.when(of(i) != "", of(i)).cast("bigint")
+    pieces = parts.select(number(0).alias("_source_index"), number(1).alias("source_overlap_count"), number(2).alias("_target_index"), number(3).alias("target_overlap_count"), net.geometry_of(F.array("part")).alias("geometry"))
+    for df, index, prefix in ((source, "_source_index", source_prefix), (target, "_target_index", target_prefix)):
+        other = df.select(F.col(order).cast("bigint").alias(index), *[F.col(c).alias(prefix + c) for c in df.columns if c not in ("geometry", order)])
+        pieces = pieces.join(other, index, "left")
+    return pieces.withColumn("overlay_origin", F.when(F.col("_target_index").isNull(), "source").when(F.col("_source_index").isNull(), "target").otherwise("both"))
+
+
+def regions(sources: DataFrame, targets: DataFrame, order: str = "_idx", cell: float | None = None) -> DataFrame:
+    """(source, target, geometry, _intersection_area) of all polygons of any shape that share area."""
+    found = Arrangement([sources, targets], order, cell)
+    side = lambda k, name: found.sides.where(F.pmod(F.col("fid"), F.lit(2)) == k).select(*net.EDGE, F.floor(F.col("fid") / 2).alias(name), F.col("left").alias(f"{name}_left"), F.col("right").alias(f"{name}_right"))
+    both = side(0, "source").join(side(1, "target"), list(net.EDGE))
+    edges = net.directed(both, F.col("source_left") & F.col("target_left"), F.col("source_right") & F.col("target_right"), "source", "target")
+    shapes = found.shapes(edges.withColumn("pair", F.struct("source", "target")), "pair")
+    return shapes.select("pair.source", "pair.target", "geometry", even_round(g.area(F.col("geometry"))).alias("_intersection_area"))
+
+
+def dissolve(df: DataFrame, group_by: list[str], aggregations: list[dict] | None = None, order: str = "_idx", cell: float | None = None, values: list[str] | None = None) -> DataFrame:
+    """One feature a group with aggregates and ``_feature_count``, its polygons merged: borders inside a group are gone.
 
-    Parts keep their own boundaries; shared edges are not taken out.
+    Points and lines are put together as they are. ``values`` names fields whose
+    distinct values, ordered, come as ``<field>_values``.
     """
     made = [aggregate_of(df, a["op"], a.get("field"), order).alias(a.get("as") or f"{a.get('field', '')}_{a['op']}".strip("_")) for a in aggregations or []]
-    parts = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("geometry").isNotNull(), F.struct(F.col(order).alias("o"), F.col("geometry.coords").alias("c"))))), lambda p: p["c"]))
-    kind = F.regexp_replace(F.max("geometry.type"), "^(Multi)?", "Multi")
-    return df.groupBy(*group_by).agg(*made, F.count(F.lit(1)).alias("_feature_count"), F.struct(kind.alias("type"), parts.alias("coords")).alias("geometry"))
+    made += [F.array_sort(F.collect_set(v)).alias(f"{v}_values") for v in values or []]
+    flat = ~g.is_polygon(F.col("geometry"))
+    parts = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(flat, F.struct(F.col(order).alias("o"), F.col("geometry.coords").alias("c"))))), lambda p: p["c"]))
+    ready = df.withColumn("__row", F.monotonically_increasing_id())
+    groups = durable(ready.groupBy(*group_by).agg(*made, F.count(F.lit(1)).alias("_feature_count"), F.min("__row").alias("__group"), F.max(F.when(flat, F.col("geometry.type"))).alias("__kind"), parts.alias("__parts")))
+    same = F.lit(True)
+    for c in group_by:
+        same &= F.col(f"f.{c}").eqNullSafe(F.col(f"g.{c}"))
+    features = durable(ready.alias("f").join(groups.alias("g"), same).select(F.col("f.__row").alias("__row"), F.col("f.geometry").alias("geometry"), F.col("g.__group").alias("__group")).where(g.is_polygon(F.col("geometry"))))
+    found = Arrangement([features], "__row", cell)
+    named = found.sides.join(features.select(F.col("__row").alias("fid"), "__group"), "fid")
+    sides = named.groupBy(*net.EDGE, "__group").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    shapes = found.shapes(net.directed(sides, F.col("left"), F.col("right"), "__group"), "__group").withColumnRenamed("geometry", "__shape")
+    rest = F.when(F.size("__parts") > 0, F.struct(F.regexp_replace("__kind", "^(Multi)?", "Multi").alias("type"), F.col("__parts").alias("coords")))
+    return groups.join(shapes, "__group", "left").withColumn("geometry", F.coalesce("__shape", rest)).drop("__group", "__kind", "__parts", "__shape")
