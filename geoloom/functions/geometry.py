@@ -210,6 +210,53 @@ def from_mercator(g: Column) -> Column:
     return map_vertices(g, lambda v: vertex(v["x"] * (180 / (math.pi * RADIUS)), F.atan(F.exp(v["y"] / RADIUS)) * (360 / math.pi) - 90))
 
 
+#: The ellipsoid (WGS 84), the scale on a zone's meridian, false easting and southern northing.
+AXIS, FLATTENING, SCALE, EASTING, SOUTH = 6378137.0, 1 / 298.257223563, 0.9996, 500_000.0, 10_000_000.0
+_N = FLATTENING / (2 - FLATTENING)
+_MERIDIAN = AXIS / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+#: The coefficients of Krueger's series in n to the fourth order, forward, back, and of the latitude.
+_FORWARD = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180, 13 * _N**2 / 48 - 3 * _N**3 / 5 + 557 * _N**4 / 1440, 61 * _N**3 / 240 - 103 * _N**4 / 140, 49561 * _N**4 / 161280)
+_BACK = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360, _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440, 17 * _N**3 / 480 - 37 * _N**4 / 840, 4397 * _N**4 / 161280)
+_LATITUDE = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45, 7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45, 56 * _N**3 / 15 - 136 * _N**4 / 35, 4279 * _N**4 / 630)
+
+
+def is_utm(epsg: int) -> bool:
+    return epsg // 100 in (326, 327) and 1 <= epsg % 100 <= 60
+
+
+def to_utm(g: Column, epsg: int) -> Column:
+    """Longitude and latitude to the metres of a UTM zone (EPSG 326zz north, 327zz south)."""
+    import math
+
+    meridian, north = epsg % 100 * 6 - 183, 0.0 if epsg // 100 == 326 else SOUTH
+    e = 2 * math.sqrt(_N) / (1 + _N)
+
+    def moved(v: Column) -> Column:
+        s, away = F.sin(F.radians(v["y"])), F.radians(v["x"] - meridian)
+        t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
+        xi, eta = F.atan2(t, F.cos(away)), F.atanh(F.sin(away) / F.sqrt(1 + t * t))
+        x = eta + sum((a * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, a in enumerate(_FORWARD, 1)), F.lit(0.0))
+        y = xi + sum((a * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, a in enumerate(_FORWARD, 1)), F.lit(0.0))
+        return vertex(EASTING + SCALE * _MERIDIAN * x, north + SCALE * _MERIDIAN * y)
+
+    return map_vertices(g, moved)
+
+
+def from_utm(g: Column, epsg: int) -> Column:
+    """The metres of a UTM zone to longitude and latitude."""
+    meridian, north = epsg % 100 * 6 - 183, 0.0 if epsg // 100 == 326 else SOUTH
+
+    def moved(v: Column) -> Column:
+        y, x = (v["y"] - north) / (SCALE * _MERIDIAN), (v["x"] - EASTING) / (SCALE * _MERIDIAN)
+        xi = y - sum((b * F.sin(2 * j * y) * F.cosh(2 * j * x) for j, b in enumerate(_BACK, 1)), F.lit(0.0))
+        eta = x - sum((b * F.cos(2 * j * y) * F.sinh(2 * j * x) for j, b in enumerate(_BACK, 1)), F.lit(0.0))
+        chi = F.asin(F.sin(xi) / F.cosh(eta))
+        latitude = chi + sum((d * F.sin(2 * j * chi) for j, d in enumerate(_LATITUDE, 1)), F.lit(0.0))
+        return vertex(F.lit(float(meridian)) + F.degrees(F.atan2(F.sinh(eta), F.cos(xi))), F.degrees(latitude))
+
+    return map_vertices(g, moved)
+
+
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: float = 6371000.0) -> Column:
     """Great-circle metres."""
     p1, p2 = F.radians(lat1), F.radians(lat2)

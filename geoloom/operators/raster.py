@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions.expression import compile_expression
 from ..functions.numbers import even_round
+from . import arrangement as net
 from .spatial import label_components, point_pairs
 from .storage import durable
 
@@ -321,5 +322,86 @@ def reproject_nearest(raster: DataFrame, band: str, rows: int, cols: int, size:
     return hit.select(F.col("target_row").alias("row"), F.col("target_col").alias("col"), "value")
 
 
+def raster_polygons(raster: DataFrame, band: str = "b1", include: list[float] | None = (1,), connectivity: int = 4, size: float = 1.0, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
+    """Connected regions of one value as polygons with their holes: value, pixel_count, area, perimeter, geometry.
 
+    Sides of pixels that two regions share are their border; it is closed to rings with the region on the left.
+    Regions that touch at corners only are several parts of one feature if ``connectivity`` is 8.
+    """
+    kept = durable((raster.where(F.col(band).isin(*include)) if include else raster.where(F.col(band).isNotNull())).select(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.col(band).alias("v")))
+    code = lambda r, c: F.shiftleft(r, 31) + c
+    nodes = kept.select(code(F.col("row"), F.col("col")).alias("node"), "v")
+    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
+    moved = F.explode(F.array(*[code(F.col("row") + dr, F.col("col") + dc) for dr, dc in steps])).alias("b")
+    links = kept.select(code(F.col("row"), F.col("col")).alias("a"), "v", moved).join(nodes.select(F.col("node").alias("b"), F.col("v").alias("w")), "b").where("v = w").select("a", "b")
+    labels = durable(label_components(nodes.select("node"), links).join(nodes, "node"))
+    at = labels.withColumn("row", F.shiftright("node", 31)).withColumn("col", F.col("node").bitwiseAND(F.lit((1 << 31) - 1)))
+    # each side, seen from inside: its neighbour, and its ends (in rows and columns) with the pixel on the left
+    sides = [((-1, 0), (0, 1), (0, 0)), ((0, -1), (0, 0), (1, 0)), ((1, 0), (1, 0), (1, 1)), ((0, 1), (1, 1), (0, 1))]
+    each = F.array(*[F.struct(code(F.col("row") + n[0], F.col("col") + n[1]).alias("other"), *[F.lit(float(v)).alias(k) for k, v in zip(("pr", "pc", "qr", "qc"), (*p, *q), strict=True)]) for n, p, q in sides])
+    border = at.select("label", "node", "row", "col", F.explode(each).alias("s"))
+    apart = border.join(labels.select(F.col("node").alias("there"), F.col("label").alias("beside")), F.col("s.other") == F.col("there"), "left").where("beside is null or beside <> label")
+    x = lambda c: F.lit(x0) + (F.col("col") + F.col(c)) * size
+    y = lambda r: F.lit(y0) - (F.col("row") + F.col(r)) * size
+    edges = apart.select("label", x("s.pc").alias("px"), y("s.pr").alias("py"), x("s.qc").alias("qx"), y("s.qr").alias("qy"))
+    parts = net.polygons(edges, "label", 4 * size).groupBy("label").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    sums = labels.groupBy("label").agg(F.first("v").alias("value"), F.count(F.lit(1)).alias("pixel_count"))
+    shape = net.geometry_of(F.col("parts"))
+    return sums.join(parts, "label").select("value", "pixel_count", even_round(g.area(shape)).alias("area"), even_round(g.length(shape)).alias("perimeter"), shape.alias("geometry"))
+
+
+def contour_lines(raster: DataFrame, levels: list[float], band: str = "b1", size: float = 1.0, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
+    """(level, closed, geometry): contours as whole lines, higher ground on their left, by marching squares between pixel centres.
+
+    A contour crosses a side between two pixels once, so the side names the end of a segment, and the next one begins there.
+    """
+    def corner(dr: int, dc: int) -> Column:
+        return F.max(F.when((F.col("dr") == dr) & (F.col("dc") == dc), F.col("v")))
+
+    squares = windowed(raster, band, 1).where("dr >= 0 and dc >= 0").groupBy("row", "col").agg(corner(0, 0).alias("a"), corner(0, 1).alias("b"), corner(1, 1).alias("c"), corner(1, 0).alias("d"), F.count("v").alias("n")).where("n = 4")
+    placed = squares.withColumn("level", F.explode(F.array(*[F.lit(float(v)) for v in levels])))
+    lv = F.col("level")
+    centre_x, centre_y = (lambda c: F.lit(x0) + (c + 0.5) * size), (lambda r: F.lit(y0) - (r + 0.5) * size)
 
+    def cross(p: str, q: str, dr: int, dc: int, down: int) -> Column:
+        """Where a side is crossed, counted from its upper or left pixel, and which side it is."""
+        t = (lv - F.col(p)) / F.when(F.col(q) != F.col(p), F.col(q) - F.col(p))
+        row, col = F.col("row") + dr, F.col("col") + dc
+        x = centre_x(col) if down else centre_x(col) + t * size
+        y = centre_y(row) - t * size if down else centre_y(row)
+        return F.struct(row.alias("row"), col.alias("col"), F.lit(down).alias("down"), x.alias("x"), y.alias("y"))
+
+    top, right, bottom, left = cross("a", "b", 0, 0, 0), cross("b", "c", 0, 1, 1), cross("d", "c", 1, 0, 0), cross("a", "d", 0, 0, 1)
+    above = {k: F.col(k) >= lv for k in "abcd"}
+    high = (F.col("a") + F.col("b") + F.col("c") + F.col("d")) / 4 >= lv
+    # around the square, clockwise from the first corner, a contour enters where the ground rises and leaves where it falls
+    sides = [("a", "b", top), ("b", "c", right), ("c", "d", bottom), ("d", "a", left)]
+    rises = [(~above[p] & above[q], s) for p, q, s in sides]
+    falls = [(above[p] & ~above[q], s) for p, q, s in sides]
+    step = lambda enter, leave: F.struct(enter.alias("p"), leave.alias("q"))
+    first = lambda ways: F.coalesce(*[F.when(is_, s) for is_, s in ways])
+    crossings = sum(((above[p] != above[q]).cast("int") for p, q, _ in sides), F.lit(0))
+    # a saddle is split by the mean of its corners: the two high corners are one ridge, or two peaks
+    ridge = (
+        F.when(above["a"] & high, F.array(step(right, top), step(left, bottom))).when(above["a"], F.array(step(left, top), step(right, bottom)))
+        .when(high, F.array(step(top, left), step(bottom, right))).otherwise(F.array(step(top, right), step(bottom, left)))
+    )
+    made = F.when(crossings == 2, F.array(step(first(rises), first(falls)))).when(crossings == 4, ridge)
+    segments = durable(placed.select("level", F.explode(made).alias("s")).select("level", F.monotonically_increasing_id().alias("id"), "s"))
+    side = lambda end: F.struct("level", f"s.{end}.row", f"s.{end}.col", f"s.{end}.down")
+    starts = segments.select(side("p").alias("side"), F.col("id").alias("next"))
+    linked = segments.select("level", "id", side("q").alias("side"), F.col("s.p.x").alias("px"), F.col("s.p.y").alias("py"), F.col("s.q.x").alias("lx"), F.col("s.q.y").alias("ly")).join(starts, "side", "left")
+    # an open line needs its last point, too: a row without a successor that only gives its place
+    ends = linked.where("next is null").withColumn("end", -F.col("id") - 1)
+    every = linked.join(ends.select("id", "end"), "id", "left").select("level", "id", F.coalesce("next", "end").alias("next"), "px", "py")
+    every = every.unionByName(ends.select("level", F.col("end").alias("id"), F.lit(None).cast("bigint").alias("next"), F.col("lx").alias("px"), F.col("ly").alias("py")))
+    found = net.paths(every, "level", 4 * size)
+    once = F.filter("points", lambda v, i: (i == 0) | (v["x"] != F.get("points", i - 1)["x"]) | (v["y"] != F.get("points", i - 1)["y"]))
+    lines = found.select("level", "closed", F.when(F.col("closed"), g.closed(once)).otherwise(once).alias("p")).where("size(p) > 1")
+    return lines.select("level", "closed", g.line(F.col("p")).alias("geometry"))
+
+
+def ndvi_from_bands(red: DataFrame, nir: DataFrame, band: str = "b1", out: str = "value") -> DataFrame:
+    """NDVI of two one-band rasters of the same grid; pixels that one of them lacks are nodata."""
+    both = red.select("row", "col", F.col(band).cast("double").alias("b1")).join(nir.select("row", "col", F.col(band).cast("double").alias("b2")), ["row", "col"], "full")
+    return ndvi(both).withColumnRenamed("value", out)

@@ -85,7 +85,7 @@ def explode_multipart(df: DataFrame, order: str = "_idx") -> DataFrame:
 
 
 def buffer_points(df: DataFrame, distance: float, quad_segs: int = 8) -> DataFrame:
-    """Points replaced by regular polygons around them."""
+    """Points replaced by regular polygons around them; ``buffers.buffer`` takes lines and polygons, too."""
     if distance <= 0:
         raise ValueError("distance must be positive")
     shape = F.col("geometry")
@@ -124,18 +124,36 @@ def generate_grid(spark, bbox: tuple[float, float, float, float], cell_size: flo
 
 
 def transform_crs(df: DataFrame, source: int, target: int, precision: int | None = None) -> DataFrame:
-    """EPSG 4326 and 3857, either way, in closed form."""
+    """EPSG 4326, 3857 and the UTM zones (326zz, 327zz), any to any, by way of longitude and latitude."""
     if source == target:
         return df
-    made = {(4326, 3857): g.to_mercator, (3857, 4326): g.from_mercator}.get((source, target))
-    if made is None:
-        raise ValueError(f"no way from EPSG:{source} to EPSG:{target}")
-    shape = made(F.col("geometry"))
+    shape = F.col("geometry")
+    for epsg in (source, target):
+        if epsg not in (4326, 3857) and not g.is_utm(epsg):
+            raise ValueError(f"no way from EPSG:{source} to EPSG:{target}")
+    if source == 3857:
+        shape = g.from_mercator(shape)
+    elif source != 4326:
+        shape = g.from_utm(shape, source)
+    if target == 3857:
+        shape = g.to_mercator(shape)
+    elif target != 4326:
+        shape = g.to_utm(shape, target)
     if precision is not None:
         shape = g.map_vertices(shape, lambda v: g.vertex(even_round(v["x"], precision), even_round(v["y"], precision)))
     return df.withColumn("geometry", shape)
 
 
+def utm_zone(df: DataFrame) -> int:
+    """The EPSG code of the UTM zone at the middle of a layer in longitude and latitude; 4326's own if the layer is empty."""
+    b = g.bounds(F.col("geometry"))
+    r = df.select(b.alias("b")).agg(((F.min("b.minx") + F.max("b.maxx")) / 2).alias("x"), ((F.min("b.miny") + F.max("b.maxy")) / 2).alias("y")).first()
+    if r.x is None:
+        return 4326
+    zone = min(60, max(1, int((r.x + 180) // 6) + 1))
+    return (32600 if r.y >= 0 else 32700) + zone
+
+
 def douglas_peucker(ring: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
     keep, todo = {0, len(ring) - 1}, [(0, len(ring) - 1)]
     while todo:
