@@ -128,7 +128,7 @@ def front_tags(data: bytes) -> int:
 
 
 def back_tags(data: bytes) -> set[int]:
-    """Where tags at the back might start. The same bytes may stand inside a frame, so they are tags only if the frames end there."""
+    """Where tags at the back might start. The same bytes may stand inside frames, so they are tags only if no frame is there or behind."""
     end, starts = len(data), set()
     if end >= 128 and data[-128:-125] == b"TAG":
         starts.add(end - 128)
@@ -157,27 +157,34 @@ def vbr_table(frame: bytes, head: Header) -> dict:
 
 
 def read_stream(data: bytes, unit: int = UNIT) -> Stream:
-    """Reads frames wherever they are; a header counts if a like one, a tag or the end follows its frame."""
+    """Reads frames wherever they are; a header counts if a like one, a tag or the end follows its frame.
+
+    Frames go before tags: only where no more frame is found the rest is searched for a tag.
+    """
     front, backs = front_tags(data), back_tags(data)
     at, end, back = front, len(data), 0
     offsets, parts, good, bad, skipped, samples, hertz, table = [], [], 0, 0, 0, 0, 0, {}
     locked = None
+
+    def frame_at(here: int) -> Header | None:
+        head = header(data[here : here + 4])
+        if not head or here + head.size > end:
+            return None
+        kind, follow = (head.version, head.layer, head.hertz), data[here + head.size : here + head.size + 4]
+        like = header(follow) if len(follow) == 4 else None
+        fits = len(follow) < 4 or here + head.size in backs or (like and (like.version, like.layer, like.hertz) == kind)
+        return head if fits or kind == locked else None
+
     while at + 4 <= end:
-        if at in backs:
-            back, at = end - at, end
-            break
-        head = header(data[at : at + 4])
-        if head and at + head.size <= end:
-            follow = data[at + head.size : at + head.size + 4]
-            like = header(follow) if len(follow) == 4 else None
-            fits = len(follow) < 4 or at + head.size in backs or (like and (like.version, like.layer, like.hertz) == (head.version, head.layer, head.hertz))
-            if not fits and not locked == (head.version, head.layer, head.hertz):
-                head = None
-        elif head:
-            head = None
+        head = frame_at(at)
         if not head:
             to = data.find(b"\xff", at + 1, end)
-            to = min([end if to < 0 else to, *(b for b in backs if b > at)])
+            while to >= 0 and not frame_at(to):
+                to = data.find(b"\xff", to + 1, end)
+            if to < 0:
+                to = min((b for b in backs if b >= at), default=end)
+                back, skipped, at = end - to, skipped + to - at, end
+                break
             skipped, at = skipped + to - at, to
             continue
         locked, hertz = (head.version, head.layer, head.hertz), head.hertz

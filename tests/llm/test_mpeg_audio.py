@@ -76,6 +76,28 @@ def test_bytes_like_tags_in_the_payload(units):
             assert tagged.payload == bytes(payload) and tagged.skipped == 0
 
 
+@pytest.mark.parametrize("units", [1, 2, 3, 4, 5])
+def test_footers_that_point_at_frames(units):
+    """A footer in the last frame's payload may claim any size, that of whole frames too."""
+    size, empty = units * m.UNIT, len(m.write_stream(m.pad(b"")))
+    frame = len(m.write_stream(bytes(2 * m.UNIT))) - empty
+    for foot in (474, m.UNIT - 32 - 128, m.UNIT - 32):
+        for back in range(1, units + 2):
+            for off in (-32, 0, 32):
+                payload = bytearray(b"a" * size)
+                at = size - m.UNIT + foot
+                payload[at : at + 8] = b"APETAGEX"
+                payload[at + 12 : at + 16] = max(0, back * frame + off - (m.UNIT - foot)).to_bytes(4, "little")
+                for tag in (506, m.UNIT - 128, m.UNIT - 66):
+                    text = bytearray(payload)
+                    text[size - m.UNIT + tag : size - m.UNIT + tag + 3] = b"TAG"
+                    assert m.read_stream(m.write_stream(bytes(text))).payload == bytes(text)
+    for claim in range(0, 3000, 4):
+        payload = bytearray(b"b" * size)
+        payload[-102:-94], payload[-90:-86], payload[-70:-67] = b"APETAGEX", claim.to_bytes(4, "little"), b"TAG"
+        assert m.read_stream(m.write_stream(bytes(payload))).payload == bytes(payload)
+
+
 def test_whole_table(spark):
     """Every contract column, recomputed from the texts."""
     sf = "/root/testdata/sf0.001"

@@ -56,7 +56,7 @@ def test_whole_table(spark):
         spans = plain(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(listed(spans).encode()).hexdigest()
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[1] == k for s in spans) for k in range(4))
-        assert set(listed(spans).split(",")) <= set(r.spans.split(","))
+        assert not spans or set(listed(spans).split(",")) <= set(r.spans.split(","))
 
 
 def test_disclosing_words_and_sanitising(spark):
