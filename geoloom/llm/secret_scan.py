@@ -22,10 +22,10 @@ gives no rows.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import pyarrow as pa
-import regex
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -36,8 +36,9 @@ from .common import cut, lower_ascii, map_columns, row_key, text_of
 TRAINING, DICTIONARY, TREES, DEPTH, SEED = 20_000, 4_000, 20, 7, 11
 NAMES = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "credential")
 #: The named branch takes a whole identifier that holds a telling name; the bare branch's value has '=' only as padding.
-CANDIDATE = regex.compile(
-    r"""(?i)(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]*?(?:password|passwd|pwd|secret|token|api[_-]?key|[_-]key|auth|credential))[A-Za-z0-9_.-]++["']?\s*[:=]\s*["']?(?P<value>[^\s"',;]{6,})"""
+#: That something is assigned is looked at first: hardly any word passes, so few are searched for names.
+CANDIDATE = re.compile(
+    r"""(?i)(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]++["']?\s*[:=])(?=[A-Za-z0-9_.-]*?(?:password|passwd|pwd|secret|token|api[_-]?key|[_-]key|auth|credential))[A-Za-z0-9_.-]++["']?\s*[:=]\s*["']?(?P<value>[^\s"',;]{6,})"""
     r"""|(?<![A-Za-z0-9+/_-])(?P<bare>[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?+)"""
 )
 #: Fixed public key formats. Bare hex digests are none: most are checksums and commit ids.
@@ -62,7 +63,7 @@ def coverage(value: str, words: frozenset[str]) -> float:
     return covered / len(value)
 
 
-def describe(text: str, match: regex.Match, path: str, words: frozenset[str]) -> tuple[int, int, str, str, list[float]]:
+def describe(text: str, match: re.Match, path: str, words: frozenset[str]) -> tuple[int, int, str, str, list[float]]:
     name = "value" if match["value"] is not None else "bare"
     start, end = match.span(name)
     value, n = match[name], end - start
