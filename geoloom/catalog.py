@@ -288,14 +288,15 @@ def spatial_join(spark, sf_dir):
     return out.select("c_custkey", F.col("_target_index").alias("zone"), "_joined_count", F.col("target_n_name").alias("zone_name"))
 
 
-@query(f"SELECT a._idx AS source, b._idx AS target FROM {CUST} a JOIN {STRIPS} b ON b._idx = 2 AND sqrt(pow(greatest(b.x0-a.x, 0, a.x-b.x1), 2) + pow(greatest(b.y0-a.y, 0, a.y-b.y1), 2)) <= 2.5")
+@query(f"SELECT a._idx AS source, b._idx AS target FROM {CUST} a JOIN {STRIPS} b ON sqrt(pow(greatest(b.x0-a.x, 0, a.x-b.x1), 2) + pow(greatest(b.y0-a.y, 0, a.y-b.y1), 2)) <= 2.5")
 def spatial_join_dwithin(spark, sf_dir):
-    return spatial.point_pairs(customers(spark, sf_dir), strips(spark, sf_dir).where("_idx = 2"), 10.0, "dwithin", 2.5)
+    return spatial.point_pairs(customers(spark, sf_dir), strips(spark, sf_dir), 10.0, "dwithin", 2.5)
 
 
-@query("SELECT c_custkey FROM customer WHERE CAST((c_custkey*7919)%1000 AS DOUBLE)/10 BETWEEN 20 AND 40")
+@query(f"SELECT c_custkey FROM {CUST} a WHERE EXISTS (SELECT 1 FROM {STRIPS} b WHERE a.x BETWEEN b.x0+3 AND b.x0+13)")
 def filter_points_in_polygon(spark, sf_dir):
-    return spatial.filter_points_in_polygon(customers(spark, sf_dir), strips(spark, sf_dir).where("_idx = 1"), 20.0).select("c_custkey")
+    narrow = strips(spark, sf_dir).withColumn("geometry", g.map_vertices(F.col("geometry"), lambda v: g.vertex(F.col("_idx") * 20.0 + 3 + (v["x"] - F.col("_idx") * 20.0) / 2, v["y"])))
+    return spatial.filter_points_in_polygon(customers(spark, sf_dir), narrow, 20.0).select("c_custkey")
 
 
 @query(f"SELECT b._idx, b.n_name, count(a._idx) AS point_count, round_even(sum(a.c_acctbal), 2) AS c_acctbal_sum, round_even(avg(a.c_acctbal), 4) AS c_acctbal_mean, min(a.c_acctbal) AS c_acctbal_min, max(a.c_acctbal) AS c_acctbal_max, round_even(count(a._idx)/400.0::DOUBLE, 6) AS density FROM {SQUARES} b LEFT JOIN {CUST} a ON {INSIDE} GROUP BY 1, 2")
@@ -607,43 +608,52 @@ def contours(spark, sf_dir):
 
 # networks
 
-LAST = "(SELECT max(p_partkey//20) FROM part)"
+def corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with their street corner."""
+    n = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", network.node_key(F.struct((n % 20).cast("double").alias("x"), F.floor(n / 20).cast("double").alias("y"))).alias("node"))
+
+
+def depots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers at the street corner of the part of their number."""
+    at = corners(spark, sf_dir).select(F.col("p_partkey").alias("s_suppkey"), "node")
+    return table(spark, sf_dir, "supplier").join(at, "s_suppkey").select(F.col("s_suppkey").cast("string").alias("origin"), "node", F.col("s_acctbal").alias("amount"))
+
 
+PARTS = "(SELECT p_partkey AS k, p_partkey%20 AS c, p_partkey//20 AS r, p_size, p_retailprice FROM part)"
+DEPOTS = "(SELECT s_suppkey AS k, s_suppkey%20 AS c, s_suppkey//20 AS r, s_acctbal FROM supplier JOIN part ON p_partkey = s_suppkey)"
+STEPS = "(abs(a.c-b.c)+abs(a.r-b.r))"
 
-@query(f"SELECT CAST(p_partkey AS BIGINT) AS part, CAST(p_partkey%20 + p_partkey//20 AS DOUBLE) AS cost FROM part WHERE p_partkey//20 <= {LAST}")
+
+@query(f"SELECT CAST(a.k AS VARCHAR) AS origin, CAST(b.k AS BIGINT) AS part, CAST({STEPS} AS DOUBLE) AS cost FROM {DEPOTS} a JOIN {PARTS} b ON {STEPS} <= 8")
 def network_distances(spark, sf_dir):
-    edges = network.build_edges(streets(spark, sf_dir))
-    start = table(spark, sf_dir, "part").where("p_partkey = 0").select(F.lit("depot").alias("origin"), F.lit("0.0 0.0").alias("node"))
-    found = network.distances_from(edges, start)
-    n = F.col("p_partkey")
-    named = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), network.node_key(F.struct((n % 20).cast("double").alias("x"), F.floor(n / 20).cast("double").alias("y"))).alias("node"))
-    return named.join(found, "node").select("part", even_round(F.col("dist")).alias("cost"))
+    edges = network.build_edges(streets(spark, sf_dir), node_crossings=False)
+    found = network.distances_from(edges, depots(spark, sf_dir).select("origin", "node"), 8.0)
+    return corners(spark, sf_dir).join(found, "node").select("origin", F.col("p_partkey").cast("bigint").alias("part"), even_round(F.col("dist")).alias("cost"))
 
 
-@query("""
-WITH o AS (SELECT p_partkey AS k, p_partkey%20 AS c, p_partkey//20 AS r FROM part WHERE p_partkey IN (1, 25, 190)), d AS (SELECT p_partkey AS k, p_partkey%20 AS c, p_partkey//20 AS r FROM part WHERE p_partkey%20 = 7)
-SELECT CAST(o.k AS VARCHAR) AS origin, CAST(d.k AS VARCHAR) AS destination, CAST(CASE WHEN abs(o.c-d.c)+abs(o.r-d.r) <= 12 THEN abs(o.c-d.c)+abs(o.r-d.r) END AS DOUBLE) AS cost FROM o, d""")
+@query(f"SELECT CAST(a.k AS VARCHAR) AS origin, CAST(b.k AS VARCHAR) AS destination, CAST(CASE WHEN {STEPS} <= 12 THEN {STEPS} END AS DOUBLE) AS cost FROM {DEPOTS} a, (SELECT n_nationkey AS k, n_nationkey%20 AS c, n_nationkey//20 AS r FROM nation JOIN part ON p_partkey = n_nationkey) b")
 def od_matrix(spark, sf_dir):
-    n = F.col("p_partkey")
-    named = table(spark, sf_dir, "part").select("p_partkey", network.node_key(F.struct((n % 20).cast("double").alias("x"), F.floor(n / 20).cast("double").alias("y"))).alias("node"))
-    origins = named.where("p_partkey in (1, 25, 190)").select(F.col("p_partkey").cast("string").alias("origin"), "node")
-    ends = named.where("p_partkey % 20 = 7").select(F.col("p_partkey").cast("string").alias("destination"), "node")
-    return network.od_matrix(network.build_edges(streets(spark, sf_dir)), origins, ends, 12.0)
+    at = corners(spark, sf_dir).select(F.col("p_partkey").alias("n_nationkey"), "node")
+    ends = table(spark, sf_dir, "nation").join(at, "n_nationkey").select(F.col("n_nationkey").cast("string").alias("destination"), "node")
+    return network.od_matrix(network.build_edges(streets(spark, sf_dir), node_crossings=False), depots(spark, sf_dir).select("origin", "node"), ends, 12.0)
 
 
-@query()
+@query(f"""
+WITH e AS (SELECT p_partkey*2 AS edge_id, p_partkey%20 AS c, p_partkey//20 AS r, p_partkey%20+1 AS c2, p_partkey//20 AS r2 FROM part WHERE p_partkey%20 < 19
+  UNION ALL SELECT p_partkey*2+1, p_partkey%20, p_partkey//20, p_partkey%20, p_partkey//20+1 FROM part WHERE p_partkey//20 < (SELECT max(p_partkey//20) FROM part)),
+s AS (SELECT CAST(a.k AS VARCHAR) AS origin, b.band, e.edge_id, greatest(0, least(1, b.band-abs(a.c-e.c)-abs(a.r-e.r))) + greatest(0, least(1, b.band-abs(a.c-e.c2)-abs(a.r-e.r2))) AS share FROM {DEPOTS} a, e, (VALUES (2.0::DOUBLE), (4.5::DOUBLE)) b(band))
+SELECT origin, band, CAST(edge_id AS BIGINT) AS edge_id, round_even(least(1, share), 6) AS share FROM s WHERE share > 0""")
 def service_area(spark, sf_dir):
-    start = table(spark, sf_dir, "part").where("p_partkey = 0").select(F.lit("depot").alias("origin"), F.lit("0.0 0.0").alias("node"))
-    return network.service_area(network.build_edges(streets(spark, sf_dir), "size"), start, [10.0, 25.0]).select("origin", "band", "edge_id", "share")
+    return network.service_area(network.build_edges(streets(spark, sf_dir), node_crossings=False), depots(spark, sf_dir).select("origin", "node"), [2.0, 4.5]).select("origin", "band", "edge_id", "share")
 
 
-@query("""
-WITH s AS (SELECT p_partkey AS k, p_partkey%20 AS c, p_partkey//20 AS r, p_size AS a FROM part WHERE p_partkey%37 = 0), d AS (SELECT p_partkey AS k, p_partkey%20 AS c, p_partkey//20 AS r, p_retailprice AS a FROM part WHERE p_partkey%11 = 0),
-p AS (SELECT s.k AS s, d.k AS d, s.a AS sa, d.a AS da FROM s, d WHERE abs(s.c-d.c)+abs(s.r-d.r) <= 6), l AS (SELECT s, any_value(sa)/sum(da) AS ratio FROM p GROUP BY 1)
-SELECT d.k AS demand, round_even(coalesce(sum(ratio), 0)*1000, 6) AS accessibility, count(ratio) AS facilities_in_reach FROM d LEFT JOIN p ON p.d = d.k LEFT JOIN l USING (s) GROUP BY 1""")
+@query(f"""
+WITH p AS (SELECT a.k AS s, b.k AS d, a.s_acctbal AS sa, b.p_retailprice AS da FROM {DEPOTS} a, {PARTS} b WHERE {STEPS} <= 6), l AS (SELECT s, any_value(sa)/sum(da) AS ratio FROM p GROUP BY 1)
+SELECT b.k AS demand, round_even(coalesce(sum(ratio), 0)*1000, 6) AS accessibility, count(ratio) AS facilities_in_reach FROM {PARTS} b LEFT JOIN p ON p.d = b.k LEFT JOIN l USING (s) GROUP BY 1""")
 def accessibility_2sfca(spark, sf_dir):
-    n = F.col("p_partkey")
-    named = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", network.node_key(F.struct((n % 20).cast("double").alias("x"), F.floor(n / 20).cast("double").alias("y"))).alias("node"))
-    supply = named.where("p_partkey % 37 = 0").select(F.col("p_partkey").cast("string").alias("origin"), "node", F.col("p_size").alias("amount"))
-    demand = named.where("p_partkey % 11 = 0").select(F.col("p_partkey").alias("demand"), "node", F.col("p_retailprice").alias("amount"))
-    return network.accessibility_2sfca(network.build_edges(streets(spark, sf_dir)), supply, demand, 6.0)
+    demand = corners(spark, sf_dir).select(F.col("p_partkey").alias("demand"), "node", F.col("p_retailprice").alias("amount"))
+    return network.accessibility_2sfca(network.build_edges(streets(spark, sf_dir), node_crossings=False), depots(spark, sf_dir), demand, 6.0)
+
+
+from . import catalog_shapes  # noqa: E402, F401  its queries register themselves here

@@ -34,6 +34,11 @@ def is_convex(ring: Column) -> Column:
 
 def clip_ring(ring: Column, mask: Column) -> Column:
     """The part of a closed ring inside a convex closed ring; an empty array if there is none."""
+    return clip_by_edges(ring, g.segments(mask))
+
+
+def clip_by_edges(ring: Column, edges: Column) -> Column:
+    """The part of a closed convex or simple ring to the left of all edges (a, b)."""
     none = F.array().cast(g.RING)
 
     def cut(now: Column, edge: Column) -> Column:
@@ -48,7 +53,7 @@ def clip_ring(ring: Column, mask: Column) -> Column:
         left = F.flatten(F.transform(g.segments(now), keep))
         return F.when(F.size(left) > 0, F.concat(left, F.slice(left, 1, 1))).otherwise(none)
 
-    return F.aggregate(g.segments(mask), ring.cast(g.RING), cut)
+    return F.aggregate(edges, ring.cast(g.RING), cut)
 
 
 def clip_path(path: Column, mask: Column) -> Column:

@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.expression import compile_expression
 from ..functions.numbers import even_round
 from . import arrangement as net
-from .spatial import label_components, point_pairs
+from .spatial import label_components
 from .storage import durable
 
 
@@ -236,25 +236,59 @@ def histogram(raster: DataFrame, band: str, bins: int = 10) -> DataFrame:
     return raster.where(F.col(band).isNotNull()).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def zonal_statistics(raster: DataFrame, zones: DataFrame, band: str = "b1", size: float = 1.0, x0: float = 0.0, y0: float = 0.0, zone_cell: float = 16.0, order: str = "_idx", prefix: str = "zonal_") -> DataFrame:
-    """Zones with statistics of the pixels whose centre lies in them; empty zones stay.
+def zone_pixels(zones: DataFrame, size: float = 1.0, x0: float = 0.0, y0: float = 0.0, all_touched: bool = False, order: str = "_idx") -> DataFrame:
+    """(target, row, col) of the pixels of polygons, each once: those with the centre inside or on a shell, or all that a polygon touches.
+
+    Each row of pixels is crossed by the borders of a polygon's part at some columns; between an odd and an even one
+    lie the centres inside. What touches is found along the borders, pixel by pixel, so no pixel is tested against a whole polygon.
+    """
+    shape = F.col("geometry")
+    parts = zones.where(g.is_polygon(shape)).select(F.col(order).alias("target"), F.posexplode("geometry.coords").alias("part", "rings"))
+    edges = parts.select("target", "part", F.posexplode("rings").alias("ring", "r")).select("target", "part", "ring", F.explode(g.segments(F.col("r"))).alias("s"))
+    across, down = (lambda v: (v["x"] - x0) / size), (lambda v: (F.lit(y0) - v["y"]) / size)
+    edges = edges.select("target", "part", "ring", across(F.col("s.a")).alias("ax"), down(F.col("s.a")).alias("ay"), across(F.col("s.b")).alias("bx"), down(F.col("s.b")).alias("by"))
+    low, high = F.ceil(F.least("ay", "by") - 0.5), F.ceil(F.greatest("ay", "by") - 0.5) - 1
+    level = edges.select("target", "part", "ax", "ay", "bx", "by", F.explode(F.when(low <= high, F.sequence(low, high))).alias("row"))
+    crossed = level.select("target", "part", "row", (F.col("ax") + (F.col("row") + 0.5 - F.col("ay")) / (F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax"))).alias("u"))
+    order_ = Window.partitionBy("target", "part", "row").orderBy("u")
+    spans = crossed.withColumns({"nr": F.row_number().over(order_), "to": F.lead("u").over(order_)}).where("nr % 2 = 1")
+    first, last = F.floor(F.col("u") - 0.5) + 1, F.ceil(F.col("to") - 0.5) - 1
+    inside = spans.select("target", "part", "row", F.explode(F.when(first <= last, F.sequence(first, last))).alias("col"))
+    along = edges.select("*", F.explode(net.crossed_cells("ax", "ay", "bx", "by", 1.0, offset=0.0)).alias("c")).select("*", F.col("c.cy").alias("row"), F.col("c.cx").alias("col"))
+    if all_touched:
+        touched = along.select("target", "part", "row", "col")
+        return inside.unionByName(touched).select("target", "row", "col").distinct()
+    end = lambda k: F.struct(F.col(f"{k}x").alias("x"), F.col(f"{k}y").alias("y"))
+    on = along.where(g.on_segment(F.struct(end("a").alias("a"), end("b").alias("b")), F.col("col") + 0.5, F.col("row") + 0.5))
+    pixel = ["target", "part", "row", "col"]
+    held = inside.unionByName(on.where("ring = 0").select(pixel)).join(on.where("ring > 0").select(pixel).distinct(), pixel, "left_anti")
+    return held.select("target", "row", "col").distinct()
+
+
+def clip_to_zones(raster: DataFrame, zones: DataFrame, size: float = 1.0, x0: float = 0.0, y0: float = 0.0, all_touched: bool = False, order: str = "_idx") -> DataFrame:
+    """The pixels that any polygon of a layer holds, or touches."""
+    held = zone_pixels(zones, size, x0, y0, all_touched, order).select(F.col("row").alias("__row"), F.col("col").alias("__col")).distinct()
+    return raster.join(held, (F.col("row") == F.col("__row")) & (F.col("col") == F.col("__col")), "left_semi")
+
+
+def zonal_statistics(raster: DataFrame, zones: DataFrame, band: str = "b1", size: float = 1.0, x0: float = 0.0, y0: float = 0.0, all_touched: bool = False, order: str = "_idx", prefix: str = "zonal_") -> DataFrame:
+    """Zones with statistics of the pixels whose centre lies in them, or of all that they touch; empty zones stay.
 
     Majority and minority are modes over value counts; ties go to the value
     whose text sorts first.
     """
-    pixels = with_centres(raster, size, x0, y0).select(F.struct("row", "col").alias("p"), "x", "y", F.col(band).cast("double").alias("v"))
-    pairs = point_pairs(pixels, zones, zone_cell, "intersects", 0.0, "p", order)
-    valued = pairs.join(pixels.select(F.col("p").alias("source"), "v"), "source")
+    pixels = raster.select(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.col(band).cast("double").alias("v"))
+    valued = pixels.join(zone_pixels(zones, size, x0, y0, all_touched, order), ["row", "col"]).select("target", "v")
     v = F.col("v")
     r = even_round
     stats = valued.groupBy("target").agg(
-        F.count(F.lit(1)).alias(prefix + "count"), F.count(v).alias(prefix + "valid_count"), r(F.sum(v)).alias(prefix + "sum"), r(F.avg(v)).alias(prefix + "mean"), r(F.min(v)).alias(prefix + "min"), r(F.max(v)).alias(prefix + "max"), r(F.median(v)).alias(prefix + "median"),
+        F.count(F.lit(1)).alias(prefix + "count"), F.count(v).alias(prefix + "valid_count"), F.count_if(v.isNull()).alias(prefix + "nodata_count"), r(F.sum(v)).alias(prefix + "sum"), r(F.avg(v)).alias(prefix + "mean"), r(F.min(v)).alias(prefix + "min"), r(F.max(v)).alias(prefix + "max"), r(F.median(v)).alias(prefix + "median"),
         r(F.when(F.count(v) > 1, F.stddev_samp(v))).alias(prefix + "sample_stdev"), r(F.stddev_pop(v)).alias(prefix + "population_stdev"), F.count_distinct(v).alias(prefix + "unique_count"),
     )
     counts = valued.where("v is not null").groupBy("target", "v").agg(F.count(F.lit(1)).alias("k"))
     modes = counts.groupBy("target").agg(F.min_by("v", F.struct(-F.col("k"), v.cast("string"))).alias(prefix + "majority"), F.min_by("v", F.struct("k", v.cast("string"))).alias(prefix + "minority"))
     every = stats.join(modes, "target", "left").withColumnRenamed("target", order)
-    out = zones.join(every, order, "left").withColumns({prefix + c: F.coalesce(prefix + c, F.lit(0)) for c in ("count", "valid_count", "unique_count")})
+    out = zones.join(every, order, "left").withColumns({prefix + c: F.coalesce(prefix + c, F.lit(0)) for c in ("count", "valid_count", "nodata_count", "unique_count")})
     return out.withColumn(prefix + "status", F.when(F.col(prefix + "count") > 0, "ok").otherwise("empty"))
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from ..operators import aggregates, attributes, network, overlay, raster, scoring, shapes, spatial
+from ..operators import aggregates, attributes, buffers, network, overlay, proximity, raster, scoring, shapes, spatial, voronoi
 
 
 @dataclass(frozen=True)
@@ -50,14 +50,16 @@ OPERATIONS: dict[str, tuple[Callable, tuple[str, ...]]] = {
     "topsis": (scoring.rank_topsis, ("vector",)),
     "real_estate_score": (scoring.score_properties, ("vector",)),
     "filter_points_in_polygon": (spatial.filter_points_in_polygon, ("vector", "polygon")),
-    "spatial_join": (spatial.spatial_join, ("source", "target")),
-    "spatial_nearest": (spatial.nearest_neighbors, ("source", "target")),
-    "nearest_neighbor": (spatial.nearest_neighbors, ("source", "target")),
-    "filter_by_distance": (spatial.nearest_neighbors, ("vector", "reference")),
-    "distance_to": (spatial.distances, ("vector", "target")),
+    "spatial_join": (proximity.spatial_join, ("source", "target")),
+    "spatial_nearest": (proximity.nearest_neighbors, ("source", "target")),
+    "nearest_neighbor": (proximity.nearest_neighbors, ("source", "target")),
+    "filter_by_distance": (proximity.nearest_neighbors, ("vector", "reference")),
+    "distance_to": (proximity.distances, ("vector", "target")),
     "connect_nearest_lines": (spatial.connection_lines, ("vector",)),
     "aggregate_points": (spatial.aggregate_points, ("points", "polygons")),
-    "clip": (overlay.clip, ("vector",)),
+    "clip": (overlay.clip_by, ("vector", "mask")),
+    "erase": (overlay.erase, ("vector", "erase")),
+    "union": (overlay.union, ("source", "target")),
     "intersect": (overlay.intersect_filter, ("source", "target")),
     "dissolve": (overlay.dissolve, ("vector",)),
     "hotspots": (spatial.hotspots, ("vector",)),
@@ -66,18 +68,20 @@ OPERATIONS: dict[str, tuple[Callable, tuple[str, ...]]] = {
     "idw": (spatial.interpolate_idw, ("points",)),
     "cluster": (spatial.dbscan, ("vector",)),
     "crs_transform": (shapes.transform_crs, ("vector",)),
-    "buffer": (shapes.buffer_points, ("vector",)),
-    "ring_buffer": (shapes.ring_buffers, ("vector",)),
+    "buffer": (buffers.buffer, ("vector",)),
+    "ring_buffer": (buffers.ring_buffers, ("vector",)),
     "centroids": (shapes.centroids, ("vector",)),
     "area_perimeter": (shapes.area_perimeter, ("vector",)),
     "simplify": (shapes.simplify, ("vector",)),
     "explode": (shapes.explode_multipart, ("vector",)),
     "convex_hull": (shapes.convex_hull, ("vector",)),
+    "voronoi": (voronoi.voronoi, ("points",)),
     "validate_geometries": (shapes.validate, ("vector",)),
     "repair_geometries": (shapes.repair, ("vector",)),
     "check_topology": (shapes.topology_issues, ("vector",)),
     "ndvi": (raster.ndvi, ("raster",)),
     "calculate_ndvi": (raster.ndvi, ("raster",)),
+    "ndvi_from_bands": (raster.ndvi_from_bands, ("red_band", "nir_band")),
     "spectral_index": (raster.spectral_index, ("raster",)),
     "band_math": (raster.band_math, ("raster",)),
     "raster_threshold": (raster.threshold, ("raster",)),
@@ -87,9 +91,9 @@ OPERATIONS: dict[str, tuple[Callable, tuple[str, ...]]] = {
     "hillshade": (raster.hillshade, ("raster",)),
     "focal_statistics": (raster.focal_statistics, ("raster",)),
     "raster_change": (raster.raster_change, ("before", "after")),
-    "contours": (raster.contours, ("raster",)),
+    "contours": (raster.contour_lines, ("raster",)),
     "raster_to_points": (raster.raster_to_points, ("raster",)),
-    "raster_to_vector": (raster.raster_components, ("raster",)),
+    "raster_to_vector": (raster.raster_polygons, ("raster",)),
     "raster_stats": (raster.raster_statistics, ("raster",)),
     "zonal_statistics": (raster.zonal_statistics, ("raster", "zones")),
     "sample_raster": (raster.sample_raster, ("raster", "points")),
