@@ -3,13 +3,16 @@
 A raster is a DataFrame with ``row``, ``col`` and one column a band (``b1``,
 ``b2``, ...); nodata is null. North is up: the centre of a pixel lies at
 (x0 + (col + 0.5) * size, y0 - (row + 0.5) * size). Work on one pixel is a
-Column; neighbourhoods go through one shuffle by pixel.
+Column; neighbourhoods are taken from tiles that borrow the pixels around them.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,41 +134,98 @@ def weighted_overlay(rasters: list[DataFrame], weights: list[float], directions:
     return sums.select("row", "col", even_round(value if missing == "ignore" else F.when(F.col("n") == len(rasters), value)).alias(out))
 
 
-def windowed(raster: DataFrame, band: str, radius: int, shape: str = "square") -> DataFrame:
-    """(row, col, dr, dc, v, here): each pixel beside its neighbours' values.
+def pixel_squares(raster: DataFrame, band: str) -> DataFrame:
+    """(row, col, a, b, c, d): the values of each square of four pixels, clockwise from the upper left one; squares without gaps only."""
+    sent = F.explode(F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr in (0, 1) for dc in (0, 1)])).alias("o")
+    values = raster.select("row", "col", F.col(band).cast("double").alias("v"), sent)
+    moved = values.select((F.col("row") - F.col("o.dr")).alias("row"), (F.col("col") - F.col("o.dc")).alias("col"), "o", "v")
+    at = lambda dr, dc: F.max(F.when((F.col("o.dr") == dr) & (F.col("o.dc") == dc), F.col("v")))
+    return moved.groupBy("row", "col").agg(at(0, 0).alias("a"), at(0, 1).alias("b"), at(1, 1).alias("c"), at(1, 0).alias("d"), F.count("v").alias("n")).where("n = 4")
+
+
+#: Rows and columns of a tile.
+TILE = 256
+
+
+def tiled(raster: DataFrame, band: str, radius: int, make: Callable[[np.ndarray], dict[str, np.ndarray]], names: tuple[str, ...]) -> DataFrame:
+    """row, col and the arrays that ``make`` gives for a tile with ``radius`` pixels around it; NaN stands for nodata.
 
-    Every value is sent to the pixels whose window holds it, so one shuffle by
-    pixel does for any window; only pixels of the raster get windows.
+    Pixels go to the tile they are in, and to others only if they are near its edge; a task holds one tile.
     """
-    offsets = [(dr, dc) for dr in range(-radius, radius + 1) for dc in range(-radius, radius + 1) if shape == "square" or dr * dr + dc * dc <= radius * radius]
-    sent = F.explode(F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in offsets])).alias("o")
-    values = raster.select("row", "col", F.col(band).cast("double").alias("v"), sent)
-    moved = values.select((F.col("row") - F.col("o.dr")).alias("row"), (F.col("col") - F.col("o.dc")).alias("col"), F.col("o.dr").alias("dr"), F.col("o.dc").alias("dc"), "v")
-    return moved
+    spread = lambda c: F.sequence(F.floor((F.col(c) - radius) / TILE), F.floor((F.col(c) + radius) / TILE))
+    placed = raster.select(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.col(band).cast("double").alias("v"), F.explode(spread("row")).alias("tr")).select("*", F.explode(spread("col")).alias("tc"))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        top, left = key[0].as_py() * TILE, key[1].as_py() * TILE
+        rows, cols = table["row"].to_numpy(), table["col"].to_numpy()
+        values = table["v"].to_numpy().astype(np.float64)  # null becomes NaN
+        whole = np.full((TILE + 2 * radius, TILE + 2 * radius), np.nan)
+        whole[rows - top + radius, cols - left + radius] = values
+        own = (rows >= top) & (rows < top + TILE) & (cols >= left) & (cols < left + TILE)
+        rows, cols = rows[own], cols[own]
+        out = {"row": pa.array(rows), "col": pa.array(cols)}
+        if len(rows):
+            with np.errstate(all="ignore"):
+                made = make(whole)
+            out |= {n: pa.array(made[n][rows - top, cols - left], from_pandas=True) for n in names}
+        else:
+            out |= {n: pa.array([], pa.float64()) for n in names}
+        return pa.table(out)
+
+    return placed.groupBy("tr", "tc").applyInArrow(run, "row bigint, col bigint, " + ", ".join(f"{n} double" for n in names))
 
 
 def focal_statistics(raster: DataFrame, statistic: str = "mean", radius: int = 1, shape: str = "square", band: str = "b1", out: str = "value") -> DataFrame:
     """A statistic of each pixel's window; nodata neighbours are skipped."""
     if not 1 <= radius <= 50:
         raise ValueError("radius must be from 1 to 50")
-    v = F.col("v")
-    made = {"mean": F.avg(v), "median": F.median(v), "min": F.min(v), "max": F.max(v), "sum": F.sum(v), "std": F.stddev_pop(v), "range": F.max(v) - F.min(v)}[statistic]
-    here = F.max(F.when((F.col("dr") == 0) & (F.col("dc") == 0), True))
-    sums = windowed(raster, band, radius, shape).groupBy("row", "col").agg(even_round(made).alias(out), here.alias("own"))
-    return sums.where("own").select("row", "col", out)
+    if statistic not in ("mean", "median", "min", "max", "sum", "std", "range"):
+        raise ValueError(f"unknown statistic {statistic}")
+    offsets = [(dr, dc) for dr in range(-radius, radius + 1) for dc in range(-radius, radius + 1) if shape == "square" or dr * dr + dc * dc <= radius * radius]
+
+    def make(whole: np.ndarray) -> dict[str, np.ndarray]:
+        block = lambda dr, dc: whole[radius + dr : radius + dr + TILE, radius + dc : radius + dc + TILE]
+        if statistic == "median":
+            rows = [np.nanmedian(np.stack([block(dr, dc)[i] for dr, dc in offsets]), axis=0) for i in range(TILE)]
+            return {out: np.stack(rows)}
+        if statistic in ("min", "max", "range"):
+            low = high = np.full((TILE, TILE), np.nan)
+            for o in offsets:
+                low, high = np.fmin(low, block(*o)), np.fmax(high, block(*o))
+            return {out: low if statistic == "min" else high if statistic == "max" else high - low}
+        total, n = np.zeros((TILE, TILE)), np.zeros((TILE, TILE))
+        for o in offsets:
+            known = ~np.isnan(block(*o))
+            n += known
+            total += np.where(known, block(*o), 0.0)
+        n[n == 0] = np.nan
+        if statistic != "std":
+            return {out: total / n if statistic == "mean" else np.where(np.isnan(n), np.nan, total)}
+        spread = np.zeros((TILE, TILE))
+        for o in offsets:
+            spread += np.nan_to_num((block(*o) - total / n) ** 2)
+        return {out: np.sqrt(spread / n)}
+
+    with_value = tiled(raster, band, radius, make, (out,))
+    return with_value.select("row", "col", even_round(F.col(out)).alias(out))
 
 
 def _gradient(raster: DataFrame, band: str, x_size: float, y_size: float, edges: str) -> DataFrame:
     """Horn's gradients; missing neighbours make nodata, or take the centre's value."""
-    def at(dr: int, dc: int) -> Column:
-        return F.max(F.when((F.col("dr") == dr) & (F.col("dc") == dc), F.col("v")))
 
-    cells = windowed(raster, band, 1).groupBy("row", "col").agg(*[at(dr, dc).alias(f"n{dr + 1}{dc + 1}") for dr in (-1, 0, 1) for dc in (-1, 0, 1)], F.max(F.when((F.col("dr") == 0) & (F.col("dc") == 0), True)).alias("own")).where("own")
-    n = (lambda a, b: F.coalesce(F.col(f"n{a}{b}"), F.col("n11"))) if edges == "pad" else (lambda a, b: F.col(f"n{a}{b}"))
-    dzdx = ((n(0, 2) + 2 * n(1, 2) + n(2, 2)) - (n(0, 0) + 2 * n(1, 0) + n(2, 0))) / (8 * x_size)
-    dzdy = ((n(2, 0) + 2 * n(2, 1) + n(2, 2)) - (n(0, 0) + 2 * n(0, 1) + n(0, 2))) / (8 * y_size)
-    known = F.col("n11").isNotNull()
-    return cells.select("row", "col", F.when(known, dzdx).alias("dzdx"), F.when(known, dzdy).alias("dzdy"))
+    def make(whole: np.ndarray) -> dict[str, np.ndarray]:
+        here = whole[1:-1, 1:-1]
+
+        def n(r: int, c: int) -> np.ndarray:
+            there = whole[r : r + TILE, c : c + TILE]
+            return np.where(np.isnan(there), here, there) if edges == "pad" else there
+
+        dzdx = ((n(0, 2) + 2 * n(1, 2) + n(2, 2)) - (n(0, 0) + 2 * n(1, 0) + n(2, 0))) / (8 * x_size)
+        dzdy = ((n(2, 0) + 2 * n(2, 1) + n(2, 2)) - (n(0, 0) + 2 * n(0, 1) + n(0, 2))) / (8 * y_size)
+        known = ~np.isnan(here)
+        return {"dzdx": np.where(known, dzdx, np.nan), "dzdy": np.where(known, dzdy, np.nan)}
+
+    return tiled(raster, band, 1, make, ("dzdx", "dzdy"))
 
 
 def slope_aspect(raster: DataFrame, band: str = "b1", unit: str = "degree", x_size: float = 1.0, y_size: float = 1.0, flat: float = -1.0) -> DataFrame:
@@ -325,10 +385,7 @@ def contours(raster: DataFrame, levels: list[float], band: str = "b1", size: flo
 
     A saddle is split by the mean of its corners.
     """
-    def corner(dr: int, dc: int) -> Column:
-        return F.max(F.when((F.col("dr") == dr) & (F.col("dc") == dc), F.col("v")))
-
-    squares = windowed(raster, band, 1).where("dr >= 0 and dc >= 0").groupBy("row", "col").agg(corner(0, 0).alias("a"), corner(0, 1).alias("b"), corner(1, 1).alias("c"), corner(1, 0).alias("d"), F.count("v").alias("n")).where("n = 4")
+    squares = pixel_squares(raster, band)
     placed = with_centres(squares, size, x0, y0).withColumn("level", F.explode(F.array(*[F.lit(float(v)) for v in levels])))
     lv = F.col("level")
     corners = {"a": (0, 0), "b": (1, 0), "c": (1, -1), "d": (0, -1)}
@@ -389,10 +446,7 @@ def contour_lines(raster: DataFrame, levels: list[float], band: str = "b1", size
 
     A contour crosses a side between two pixels once, so the side names the end of a segment, and the next one begins there.
     """
-    def corner(dr: int, dc: int) -> Column:
-        return F.max(F.when((F.col("dr") == dr) & (F.col("dc") == dc), F.col("v")))
-
-    squares = windowed(raster, band, 1).where("dr >= 0 and dc >= 0").groupBy("row", "col").agg(corner(0, 0).alias("a"), corner(0, 1).alias("b"), corner(1, 1).alias("c"), corner(1, 0).alias("d"), F.count("v").alias("n")).where("n = 4")
+    squares = pixel_squares(raster, band)
     placed = squares.withColumn("level", F.explode(F.array(*[F.lit(float(v)) for v in levels])))
     lv = F.col("level")
     centre_x, centre_y = (lambda c: F.lit(x0) + (c + 0.5) * size), (lambda r: F.lit(y0) - (r + 0.5) * size)

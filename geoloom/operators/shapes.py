@@ -123,6 +123,24 @@ def generate_grid(spark, bbox: tuple[float, float, float, float], cell_size: flo
     return cells.select(F.concat_ws("_", "row", "col").alias("cell_id"), "row", "col", shape.alias("geometry"))
 
 
+def grid_over(df: DataFrame, cell_size: float, grid_type: str = "square", clip_to_features: bool = False, max_cells: int = 10_000_000) -> DataFrame:
+    """Cells over the extent of a layer; with ``clip_to_features`` only those that touch a feature."""
+    from .attributes import number_rows
+    from .proximity import related_pairs
+
+    b = g.bounds(F.col("geometry"))
+    r = df.where("geometry is not null").select(b.alias("b")).agg(F.min("b.minx"), F.min("b.miny"), F.max("b.maxx"), F.max("b.maxy")).first()
+    if r[0] is None:
+        raise ValueError("the layer has no extent")
+    cells = generate_grid(df.sparkSession, tuple(r), cell_size, grid_type, max_cells)
+    if not clip_to_features:
+        return cells
+    numbered = number_rows(cells, "row", "col")
+    features = df.where("geometry is not null").select(F.monotonically_increasing_id().alias("_idx"), "geometry")
+    met = related_pairs(numbered, features).select(F.col("source").alias("_idx")).distinct()
+    return numbered.join(met, "_idx", "left_semi").drop("_idx")
+
+
 def transform_crs(df: DataFrame, source: int, target: int, precision: int | None = None) -> DataFrame:
     """EPSG 4326, 3857 and the UTM zones (326zz, 327zz), any to any, by way of longitude and latitude."""
     if source == target:

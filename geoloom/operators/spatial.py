@@ -305,3 +305,10 @@ def kmeans(points: DataFrame, k: int, seed: int = 0, max_iterations: int = 100)
     here = vector_to_array("__xy")
     gap = F.sqrt(F.pow(here[0] - own[0], 2) + F.pow(here[1] - own[1], 2))
     return model.transform(known).withColumn("distance_to_center", even_round(gap)).drop("__xy")
+
+
+def cluster(points: DataFrame, method: str = "dbscan", **options) -> DataFrame:
+    """Clusters by density (dbscan: eps, min_samples) or around centres (kmeans: k, seed, max_iterations)."""
+    if method not in ("dbscan", "kmeans"):
+        raise ValueError(f"unknown method {method}")
+    return {"dbscan": dbscan, "kmeans": kmeans}[method](points, **options)

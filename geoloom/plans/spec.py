@@ -9,15 +9,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from ..operators import aggregates, attributes, buffers, network, overlay, proximity, raster, scoring, shapes, spatial, voronoi
+from ..sources import sinks
 
 
 @dataclass(frozen=True)
 class Operation:
-    """One step: its name, the operation, the layers it takes (by role) and its parameters."""
+    """One step: its name, the operation, the layers it takes (by role; a role may take several) and its parameters."""
 
     name: str
     op: str
-    inputs: dict[str, str]
+    inputs: dict[str, str | list[str]]
     params: dict = field(default_factory=dict)
 
 
@@ -66,7 +67,11 @@ OPERATIONS: dict[str, tuple[Callable, tuple[str, ...]]] = {
     "spatial_autocorrelation": (spatial.morans_i, ("vector",)),
     "kernel_density": (spatial.kernel_density, ("points",)),
     "idw": (spatial.interpolate_idw, ("points",)),
-    "cluster": (spatial.dbscan, ("vector",)),
+    "cluster": (spatial.cluster, ("vector",)),
+    "generate_grid": (shapes.grid_over, ("vector",)),
+    "real_estate_spatial_enrich": (proximity.enrich_real_estate, ("vector",)),
+    "export_table": (sinks.table_columns, ("vector",)),
+    "export_geojson": (sinks.geojson_rows, ("vector",)),
     "crs_transform": (shapes.transform_crs, ("vector",)),
     "buffer": (buffers.buffer, ("vector",)),
     "ring_buffer": (buffers.ring_buffers, ("vector",)),
@@ -87,6 +92,8 @@ OPERATIONS: dict[str, tuple[Callable, tuple[str, ...]]] = {
     "raster_threshold": (raster.threshold, ("raster",)),
     "raster_reclassify": (raster.reclassify, ("raster",)),
     "raster_clip": (raster.clip_raster, ("raster",)),
+    "mosaic": (raster.mosaic, ("rasters",)),
+    "weighted_overlay": (raster.weighted_overlay, ("rasters",)),
     "slope_aspect": (raster.slope_aspect, ("raster",)),
     "hillshade": (raster.hillshade, ("raster",)),
     "focal_statistics": (raster.focal_statistics, ("raster",)),
@@ -118,11 +125,12 @@ def validate(spec: QuerySpec, layers: set[str]) -> None:
             raise SpecError(f"{step.name} is used twice")
         if missing := [r for r in OPERATIONS[step.op][1] if r not in step.inputs]:
             raise SpecError(f"{step.name} lacks {', '.join(missing)}")
-        if unknown := [x for x in step.inputs.values() if x not in known]:
+        taken = [x for v in step.inputs.values() for x in ([v] if isinstance(v, str) else v)]
+        if unknown := [x for x in taken if x not in known]:
             raise SpecError(f"{step.name} takes unknown layers {', '.join(unknown)}")
         function, roles = OPERATIONS[step.op]
         accepted = list(inspect.signature(function).parameters.values())[len(roles) :]
-        strange = set(step.params) - {p.name for p in accepted}
+        strange = (set(step.params) | set(step.inputs) - set(roles)) - {p.name for p in accepted}
         if strange and not any(p.kind is p.VAR_KEYWORD for p in accepted):
             raise SpecError(f"{step.name} has no parameter {', '.join(sorted(strange))}")
         if absent := [p.name for p in accepted if p.default is p.empty and p.kind is p.POSITIONAL_OR_KEYWORD and p.name not in step.params]:
@@ -142,7 +150,9 @@ def run(spec: QuerySpec, layers: dict[str, DataFrame]) -> DataFrame:
         if name not in made:
             step = steps[name]
             function, roles = OPERATIONS[step.op]
-            made[name] = function(*[layer(step.inputs[r]) for r in roles], **step.params)
+            given = [step.inputs[r] for r in roles]
+            more = {r: layer(x) for r, x in step.inputs.items() if r not in roles}  # layers that a parameter takes
+            made[name] = function(*[layer(x) if isinstance(x, str) else [layer(y) for y in x] for x in given], **more, **step.params)
         return made[name]
 
     return layer(spec.output)

@@ -16,6 +16,11 @@ def feature_json(df: DataFrame) -> Column:
     return F.concat(F.lit('{"type":"Feature","geometry":'), F.coalesce(g.geojson(F.col("geometry")), F.lit("null")), F.lit(',"properties":'), properties, F.lit("}"))
 
 
+def geojson_rows(df: DataFrame) -> DataFrame:
+    """The features as lines of GeoJSON text in ``feature``; nothing is written."""
+    return df.select(feature_json(df).alias("feature"))
+
+
 def write_geojson(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Newline-delimited features, which stay splittable at any size."""
     df.select(feature_json(df).alias("value")).write.mode("overwrite" if overwrite else "errorifexists").text(path)

@@ -1,5 +1,6 @@
 import math
 import random
+import statistics as st
 
 import pytest
 from geoloom.functions import geometry as g
@@ -170,3 +171,45 @@ def test_parameters_are_checked(spark):
     for params in ({"field": "d"}, {"field": "d", "expression": "1", "overwrit": True}):
         with pytest.raises(SpecError):
             run(QuerySpec((Operation("a", "calculate_field", {"vector": "v"}, params),), "a"), {"v": df})
+
+
+def test_layers_of_several_roles(spark):
+    one = spark.createDataFrame([(0, 0, 2.0), (0, 1, 4.0)], "row bigint, col bigint, b1 double")
+    merged = run(QuerySpec((Operation("m", "mosaic", {"rasters": ["a", "b"]}, {"method": "max"}),), "m"), {"a": one, "b": one.withColumn("col", F.col("col") + 1)})
+    assert {(r.row, r.col): r.value for r in merged.collect()} == {(0, 0): 2, (0, 1): 4, (0, 2): 4}
+    homes = spark.createDataFrame([(0, 51.0, 35.0)], "_idx bigint, x double, y double").withColumn("geometry", g.point(F.col("x"), F.col("y")))
+    out = run(QuerySpec((Operation("e", "real_estate_spatial_enrich", {"vector": "homes", "metro": "homes"}),), "e"), {"homes": homes}).first()
+    assert out.distance_to_metro_m == 0 and out.spatial_enrichment_applied
+    with pytest.raises(SpecError):
+        run(QuerySpec((Operation("e", "real_estate_spatial_enrich", {"vector": "homes", "towers": "homes"}),), "e"), {"homes": homes})
+    text = run(QuerySpec((Operation("t", "export_geojson", {"vector": "homes"}),), "t"), {"homes": homes.drop("x", "y")}).first().feature
+    assert text == '{"type":"Feature","geometry":{"type":"Point","coordinates":[51.0,35.0]},"properties":{"_idx":0}}'
+    box = homes.withColumn("geometry", g.rectangle(F.lit(0.0), F.lit(0.0), F.lit(2.5), F.lit(1.0)))
+    grid = run(QuerySpec((Operation("g", "generate_grid", {"vector": "box"}, {"cell_size": 1.0, "clip_to_features": True}),), "g"), {"box": box})
+    assert {r.cell_id for r in grid.collect()} == {"0_0", "0_1", "0_2"}
+
+
+def test_windows_across_tiles(spark, monkeypatch):
+    """Tiles of any size give what plain windows give, also with holes and missing pixels."""
+    rng = random.Random(2)
+    cells = {(r, c): None if rng.random() < 0.1 else float(rng.randrange(50)) for r in range(-3, 14) for c in range(20) if rng.random() < 0.9}
+    df = spark.createDataFrame([(r, c, v) for (r, c), v in cells.items()], "row int, col int, b1 double")
+    monkeypatch.setattr(raster, "TILE", 6)
+    made = {"mean": st.fmean, "median": st.median, "min": min, "max": max, "sum": sum, "std": st.pstdev, "range": lambda v: max(v) - min(v)}
+    for shape, radius in (("square", 1), ("circle", 2), ("square", 7)):
+        for name, f in made.items():
+            got = {(r.row, r.col): r.value for r in raster.focal_statistics(df, name, radius, shape).collect()}
+            assert got.keys() == cells.keys()
+            for (r, c), value in got.items():
+                near = [v for (a, b), v in cells.items() if v is not None and abs(a - r) <= radius and abs(b - c) <= radius and (shape == "square" or (a - r) ** 2 + (b - c) ** 2 <= radius**2)]
+                assert value == (pytest.approx(f(near), abs=1e-6) if near else None)
+    got = {(r.row, r.col): r.slope for r in raster.slope_aspect(df).collect()}
+    for (r, c), slope in got.items():
+        n = [[cells.get((r + i, c + j)) for j in (-1, 0, 1)] for i in (-1, 0, 1)]
+        outer = [n[i][j] for i in range(3) for j in range(3) if (i, j) != (1, 1)]
+        if n[1][1] is None or any(v is None for v in outer):
+            assert slope is None
+        else:
+            dx = ((n[0][2] + 2 * n[1][2] + n[2][2]) - (n[0][0] + 2 * n[1][0] + n[2][0])) / 8
+            dy = ((n[2][0] + 2 * n[2][1] + n[2][2]) - (n[0][0] + 2 * n[0][1] + n[0][2])) / 8
+            assert slope == pytest.approx(math.degrees(math.atan(math.hypot(dx, dy))), abs=1e-5)
