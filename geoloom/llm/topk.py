@@ -21,7 +21,9 @@ Edge cases: vectors that are null or hold a null or non-finite component take
 no part; of vectors of different length the missing components count as zero,
 so an empty vector scores zero; ties go to the smaller vec_id; rows without
 vec_id take no part; repeated rows are candidates of their own, but rows with
-the query's vec_id are never its candidates; empty tables give no rows.
+the query's vec_id are never its candidates; of several vectors under one query
+id the smallest, component by component, asks; a component that doesn't fit into
+64 bits raises an error, as such a score does; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ def quantized(vectors: DataFrame, scale: int = 64) -> DataFrame:
     return (
         vectors.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull())
         .select(F.col("vec_id").cast("bigint").alias("vec_id"), wide.alias("wide")).where(usable)
-        .select("vec_id", F.transform("wide", lambda x: F.floor(x * F.lit(float(scale))).cast("bigint")).alias("v"))
+        .select("vec_id", F.transform("wide", lambda x: F.when(F.abs(x * scale) < 2.0**63, F.floor(x * F.lit(float(scale))).cast("bigint")).otherwise(F.raise_error(F.lit("a component is beyond 64 bits")).cast("bigint"))).alias("v"))
     )
 
 
@@ -141,4 +143,5 @@ def _by_query():
 def search(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20) -> DataFrame:
     """The k best of all other rows for every row whose vec_id is divisible by ``every``."""
     ready = quantized(vectors, scale)
-    return top_k(ready.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), ready, k)
+    asked = ready.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return top_k(asked, ready, k)

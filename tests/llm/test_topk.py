@@ -57,3 +57,15 @@ def test_repeated_query_id(spark):
     queries = ready.where("vec_id = 0").orderBy("v").limit(1).unionByName(ready.where("vec_id = 20"))
     got = {tuple(r) for r in topk.top_k(queries, ready, 10).collect()}
     assert got == {r for r in brute(rows, 10) if r[0] in (0, 20)}
+
+
+def test_repeated_query_ids_and_large_components(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 5.0]), (3, [0.5, 0.5])]
+    schema = "vec_id bigint, embedding array<double>"
+    for order in (rows, rows[::-1]):
+        got = topk.search(spark.createDataFrame(order, schema), k=2).collect()
+        assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, 2, 64 * 5 * 64), (2, 1, 64 * 64)]
+    import pytest
+
+    with pytest.raises(Exception, match="64 bits"):
+        topk.search(spark.createDataFrame([*rows, (4, [1e300, 0.0])], schema), k=2).collect()
