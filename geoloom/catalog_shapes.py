@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import CUST, PIX, SQUARES, STRIPS, SUPP, customers, pixels, query, squares, streets, strips, suppliers, table
+from .catalog import CUST, PIX, SQUARES, STRIPS, SUPP, customers, depots, pixels, query, squares, streets, strips, suppliers, table
 from .functions import geometry as g
 from .functions.numbers import even_round
 from .operators import buffers, network, overlay, proximity, raster, shapes, spatial
@@ -103,6 +103,12 @@ def buffer_inwards(spark, sf_dir):
     return buffers.buffer(df, -0.5).select("_idx", area())
 
 
+@query()
+def rotated_rectangles(spark, sf_dir):
+    df = customers(spark, sf_dir).withColumn("geometry", g.point(F.col("x"), F.col("y")))
+    return shapes.rotated_rectangle(df, "c_nationkey").select("c_nationkey", "feature_count", "shape_area")
+
+
 # neighbours and joins
 
 TO_BAR = "sqrt(pow(greatest(b.x-a.x, 0, a.x-(b.x+5)), 2) + pow(a.y-b.y, 2))"
@@ -247,3 +253,10 @@ def shortest_path(spark, sf_dir):
     n = F.col("p_partkey")
     named = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("part"), network.node_key(F.struct((n % 20).cast("double").alias("x"), F.floor(n / 20).cast("double").alias("y"))).alias("node"))
     return named.join(depth, "node").select("part", F.col("steps").cast("double").alias("steps"))
+
+
+@query()
+def service_polygons(spark, sf_dir):
+    edges = network.build_edges(streets(spark, sf_dir), node_crossings=False)
+    out = network.service_polygons(edges, depots(spark, sf_dir).select("origin", "node"), [2.0, 4.5], 0.25, 2)
+    return out.select("origin", "band", "reached_length", area())

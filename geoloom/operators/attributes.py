@@ -166,8 +166,9 @@ def deduplicate(df: DataFrame, fields: list[str] | None = None, keep: str = "fir
 def sample_features(df: DataFrame, size: int | None = None, fraction: float | None = None, stratify_by: str | None = None, per_stratum: int | None = None, method: str = "random", seed: int = 0, order: str = "_idx") -> DataFrame:
     """A random or systematic sample; strata get shares by largest remainder, or a fixed number each.
 
-    Which rows come is decided by a threshold on a per-row draw, so there is no
-    global sort: strata are ranked on their own.
+    Rows are ranked in their stratum by a draw, or by order. The ranks are counted
+    range by range: within a range by a window, before it by the ranges' counts, so a
+    stratum of any size is dealt over many tasks.
     """
     strata = F.col(stratify_by) if stratify_by else F.lit(1)
     counts = df.groupBy(strata.alias("__s")).agg(F.count("*").alias("__n"))
@@ -184,12 +185,19 @@ def sample_features(df: DataFrame, size: int | None = None, fraction: float | No
         quotas = part.withColumn("__q", F.col("__floor") + F.when(rank <= extra, 1).otherwise(0))
     draw = F.xxhash64(F.lit(seed), F.col(order)) if method == "random" else F.col(order)
     joined = df.withColumn("__s", strata).join(quotas.select(F.col("__s").alias("__k"), "__q", "__n"), F.col("__s").eqNullSafe(F.col("__k")))
-    at = F.row_number().over(Window.partitionBy("__s").orderBy(draw, order))
+    from .storage import durable
+
+    ranged = durable(joined.withColumn("__d", draw).repartitionByRange("__s", "__d", order).withColumn("__p", F.spark_partition_id()))
+    sizes = ranged.groupBy(F.col("__s").alias("__k"), F.col("__p").alias("__kp")).agg(F.count(F.lit(1)).alias("__size"))
+    before = F.sum("__size").over(Window.partitionBy("__k").orderBy("__kp").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__size")
+    joined = ranged.drop("__k").join(starts, F.col("__s").eqNullSafe(F.col("__k")) & (F.col("__p") == F.col("__kp")))
+    at = F.row_number().over(Window.partitionBy("__s", "__p").orderBy("__d", order)) + F.col("__before")
     if method == "systematic":
         chosen = F.floor(at * F.col("__q") / F.col("__n")) > F.floor((at - 1) * F.col("__q") / F.col("__n"))
     else:
         chosen = at <= F.col("__q")
-    return joined.withColumn("__take", chosen).where("__take").drop("__s", "__k", "__q", "__n", "__take")
+    return joined.withColumn("__take", chosen).where("__take").drop("__s", "__k", "__q", "__n", "__take", "__d", "__p", "__kp", "__before")
 
 
 def detect_outliers(df: DataFrame, field: str, method: str = "iqr", threshold: float | None = None, group_by: str | None = None) -> DataFrame:

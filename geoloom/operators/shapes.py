@@ -77,6 +77,34 @@ def convex_hull(df: DataFrame, group_by: str) -> DataFrame:
     return joined.select(F.col("k").alias(group_by), g.polygon(F.col("ring")).alias("geometry"), even_round(F.abs(g.ring_area(F.col("ring")))).alias("shape_area"), "feature_count")
 
 
+def turned_box(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """The smallest rectangle around a hull; one of its sides lies along one of the hull's."""
+    best: tuple | None = None
+    for (ax, ay), (bx, by) in zip(points, points[1:] + points[:1], strict=True):
+        size = math.hypot(bx - ax, by - ay)
+        if not size:
+            continue
+        ux, uy = (bx - ax) / size, (by - ay) / size
+        along, across = [x * ux + y * uy for x, y in points], [y * ux - x * uy for x, y in points]
+        s0, s1, t0, t1 = min(along), max(along), min(across), max(across)
+        if best is None or (s1 - s0) * (t1 - t0) < best[0]:
+            best = ((s1 - s0) * (t1 - t0), [(s * ux - t * uy, s * uy + t * ux) for s, t in ((s0, t0), (s1, t0), (s1, t1), (s0, t1))])
+    return best[1] if best else points
+
+
+def rotated_rectangle(df: DataFrame, group_by: str) -> DataFrame:
+    """(group, smallest rectangle in any direction as geometry, shape_area, feature_count), from the group's hull."""
+
+    @F.pandas_udf(g.RING)
+    def around(rings: pd.Series) -> pd.Series:
+        made = [turned_box([(v["x"], v["y"]) for v in r][:-1]) for r in rings]
+        return pd.Series([[{"x": x, "y": y} for x, y in [*m, *m[:1]]] for m in made])
+
+    ring = around(F.get(F.get(F.col("geometry.coords"), 0), 0))
+    boxed = convex_hull(df, group_by).withColumn("geometry", g.polygon(ring))
+    return boxed.withColumn("shape_area", even_round(g.area(F.col("geometry"))))
+
+
 def explode_multipart(df: DataFrame, order: str = "_idx") -> DataFrame:
     """One row a part, with source_feature_index and part_index; null geometries go."""
     parts = df.where("geometry is not null").select("*", F.posexplode("geometry.coords").alias("part_index", "__part"))

@@ -230,12 +230,12 @@ def kernel_density(points: DataFrame, cell_size: float, bandwidth: float, weight
     return spread.where(inside).groupBy(F.col("c.cy").alias("row"), F.col("c.cx").alias("col")).agg(even_round(F.sum(shape * F.col("__w")), 9).alias("density"))
 
 
-def interpolate_idw(points: DataFrame, value_field: str, cell_size: float, bbox: tuple[float, float, float, float], power: float = 2.0, neighbors: int = 12, nodata: float = -9999.0, order: str = "_idx") -> DataFrame:
-    """(row, col, value) of every cell in the box from its nearest samples; a sample at the centre decides alone."""
+def interpolate_idw(points: DataFrame, value_field: str, cell_size: float, bbox: tuple[float, float, float, float], power: float = 2.0, neighbors: int = 12, nodata: float = -9999.0, order: str = "_idx", search_radius: float | None = None) -> DataFrame:
+    """(row, col, value) of every cell in the box from its nearest samples, within the radius if there is one; a sample at the centre decides alone."""
     valued = points.withColumn("__v", local(points, value_field)).where("__v is not null and x is not null and y is not null")
     columns, rows = max(1, math.ceil((bbox[2] - bbox[0]) / cell_size)), max(1, math.ceil((bbox[3] - bbox[1]) / cell_size))
     cells = points.sparkSession.range(rows * columns).select(F.col("id").alias(order), (F.lit(bbox[0]) + (F.col("id") % columns + 0.5) * cell_size).alias("x"), (F.lit(bbox[3]) - (F.floor(F.col("id") / columns) + 0.5) * cell_size).alias("y"))
-    near = nearest(cells, valued, neighbors, None, order).join(valued.select(F.col(order).alias("target"), "__v"), "target")
+    near = nearest(cells, valued, neighbors, search_radius, order).join(valued.select(F.col(order).alias("target"), "__v"), "target")
     weight = 1 / F.pow(F.col("distance"), power)
     exact = F.col("distance") < 1e-12
     sums = near.groupBy("source").agg(F.avg(F.when(exact, F.col("__v"))).alias("hit"), (F.sum(F.when(~exact, weight * F.col("__v"))) / F.sum(F.when(~exact, weight))).alias("mean"))

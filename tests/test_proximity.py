@@ -213,3 +213,35 @@ def test_real_estate_context(spark):
     assert proximity.enrich_real_estate(homes).columns == homes.columns
     kept = proximity.enrich_real_estate(homes.withColumn("construction_allowed", F.lit(True)), allowed_zones=zones).collect()
     assert all(r.construction_allowed and r.in_allowed_zone is None and r.spatial_enrichment_applied is None for r in kept)
+
+
+def test_service_polygons(spark):
+    lines = layer(spark, [[[[(0, 0), (10, 0)]]], [[[(10, 0), (10, 10)]]], [[[(0, 0), (0, -4)]]]], "LineString")
+    edges = network.build_edges(lines)
+    start = spark.createDataFrame([("a", "0.0 0.0")], "origin string, node string")
+    out = {r.band: (r.reached_length, area_of(parts_of(r.geometry))) for r in network.service_polygons(edges, start, [3.0, 12.0], 0.5).collect()}
+    disc = 32 / 2 * math.sin(2 * math.pi / 32) * 0.25
+    assert out[3.0][0] == 6 and out[3.0][1] == pytest.approx(3 + 3 - 0.25 + disc * 1.25, rel=1e-3)
+    assert out[12.0][0] == 16 and out[12.0][1] == pytest.approx(16 - 0.5 + disc * 1.5, rel=1e-3)
+
+
+def test_rotated_rectangle_and_samples(spark):
+    from geoloom.operators import attributes
+
+    t = math.radians(30)
+    turn = lambda x, y: (x * math.cos(t) - y * math.sin(t), x * math.sin(t) + y * math.cos(t))
+    rng = random.Random(1)
+    spots = [turn(*p) for p in ((0, 0), (8, 0), (8, 3), (0, 3))] + [turn(rng.uniform(0, 8), rng.uniform(0, 3)) for _ in range(40)]
+    df = layer(spark, [[[[p]]] for p in spots], "Point").withColumn("name", F.lit("k"))
+    r = shapes.rotated_rectangle(df, "name").first()
+    assert r.shape_area == pytest.approx(24) and r.feature_count == 44
+    many = spark.range(1000).select(F.col("id").alias("_idx"), F.when(F.col("id") % 10 > 0, F.col("id") % 3).alias("s"))
+    ids = lambda d: sorted(x._idx for x in d.collect())
+    assert ids(attributes.sample_features(many, size=10, method="systematic")) == [100 * i + 99 for i in range(10)]
+    picked = ids(attributes.sample_features(many, fraction=0.2, seed=4))
+    assert len(picked) == 200 and picked == ids(attributes.sample_features(many.repartition(7), fraction=0.2, seed=4)) != ids(attributes.sample_features(many, fraction=0.2, seed=5))
+    hashed = sorted(many.collect(), key=lambda x: x._idx)
+    draws = {x._idx: x.h for x in many.select("_idx", F.xxhash64(F.lit(4), "_idx").alias("h")).collect()}
+    assert picked == sorted(sorted((x._idx for x in hashed), key=draws.get)[:200])
+    strata = attributes.sample_features(many, size=100, stratify_by="s").groupBy("s").count().collect()
+    assert {x.s: x["count"] for x in strata} == {None: 10, 0: 30, 1: 30, 2: 30}
