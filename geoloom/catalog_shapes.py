@@ -258,5 +258,5 @@ def shortest_path(spark, sf_dir):
 @query()
 def service_polygons(spark, sf_dir):
     edges = network.build_edges(streets(spark, sf_dir), node_crossings=False)
-    out = network.service_polygons(edges, depots(spark, sf_dir).select("origin", "node"), [2.0, 4.5], 0.25, 2)
+    out = network.service_polygons(edges, depots(spark, sf_dir).select("origin", "node"), [1.0, 2.5], 0.25, 2)
     return out.select("origin", "band", "reached_length", area())

@@ -86,7 +86,7 @@ def _pieces(features: DataFrame, distance: float, quad_segs: int, cap: str, join
 def _between(features: DataFrame, made: DataFrame, cell: float | None) -> DataFrame:
     """(row, geometry) of what a row's pieces cover, without what its pieces marked ``less`` cover; ``made`` is (row, less, geometry)."""
     pieces = durable(made.withColumn("id", F.monotonically_increasing_id()))
-    found = Arrangement([pieces], "id", cell)
+    found = Arrangement([pieces], "id", cell, "row")
     named = found.sides.join(pieces.select(F.col("id").alias("fid"), "row", "less"), "fid")
     side = lambda c: (F.max(F.col(c) & ~F.col("less")) & ~F.max(F.col(c) & F.col("less"))).alias(c)
     sides = named.groupBy(*net.EDGE, "row").agg(side("left"), side("right"))

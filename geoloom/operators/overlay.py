@@ -130,14 +130,14 @@ def overlaps(df: DataFrame, cell: float, tolerance: float = 0.0, order: str = "_
 
 
 class Arrangement:
-    """The noded edges of layers, and what covers their sides. Feature i of layer k of n has the id i * n + k."""
+    """The noded edges of layers, and what covers their sides. Feature i of layer k of n has the id i * n + k; features of different planes don't meet."""
 
-    def __init__(self, layers: list[DataFrame], order: str = "_idx", cell: float | None = None) -> None:
+    def __init__(self, layers: list[DataFrame], order: str = "_idx", cell: float | None = None, plane: str | None = None) -> None:
         n = len(layers)
         parts = None
         for k, df in enumerate(layers):
             shape = F.col("geometry")
-            found = net.segments_of(df.where(~g.is_point(shape)).select((F.col(order).cast("bigint") * n + k).alias("fid"), "geometry"), "fid")
+            found = net.segments_of(df.where(~g.is_point(shape)).select((F.col(order).cast("bigint") * n + k).alias("fid"), "geometry", *([plane] if plane else [])), "fid", plane)
             parts = found if parts is None else parts.unionByName(found)
         segments = durable(parts.withColumn("sid", F.monotonically_increasing_id()))
         self.cell = cell or net.grid_cell(segments)
@@ -159,7 +159,7 @@ class Arrangement:
 
 def _paths(found: Arrangement, keep: Column) -> DataFrame:
     """(fid, geometry) of the first layer's lines: runs of their pieces that are to be kept."""
-    pieces = net.undirected(found.pieces.where("not polygon").withColumns({f"__{c}": F.col(c) for c in net.EDGE}))
+    pieces = net.undirected(found.pieces.where("not polygon").withColumns({f"__{c}": F.col(c) for c in net.POINTS}))
     known = pieces.join(found.covered(1, 2), list(net.EDGE), "left").withColumn("__in", F.coalesce(F.col("u_left") | F.col("u_right"), F.lit(False)))
     run = Window.partitionBy("fid", "part").orderBy("seq", "piece")
     kept = known.withColumn("at", F.row_number().over(run)).where(keep).withColumn("path", F.col("at") - F.row_number().over(run))
@@ -217,7 +217,7 @@ def union(source: DataFrame, target: DataFrame, source_prefix: str = "source_",
     labels = found.sides.groupBy(*net.EDGE).agg(*made)
     label = lambda side: F.concat_ws(":", *[F.coalesce(F.col(f"{side}_{c}").cast("string"), F.lit("")) for c in ("first0", "n0", "first1", "n1")])
     covered = lambda side: F.col(f"{side}_n0") + F.col(f"{side}_n1") > 0
-    forth = labels.where(covered("left")).select(label("left").alias("label"), *net.EDGE)
+    forth = labels.where(covered("left")).select(label("left").alias("label"), *net.POINTS)
     back = labels.where(covered("right")).select(label("right").alias("label"), F.col("qx").alias("px"), F.col("qy").alias("py"), F.col("px").alias("qx"), F.col("py").alias("qy"))
     parts = net.polygons(forth.unionByName(back), "label", found.cell)
     of = lambda i: F.split("label", ":")[i]
@@ -255,7 +255,7 @@ def dissolve(df: DataFrame, group_by: list[str], aggregations: list[dict] | None
     for c in group_by:
         same &= F.col(f"f.{c}").eqNullSafe(F.col(f"g.{c}"))
     features = durable(ready.alias("f").join(groups.alias("g"), same).select(F.col("f.__row").alias("__row"), F.col("f.geometry").alias("geometry"), F.col("g.__group").alias("__group")).where(g.is_polygon(F.col("geometry"))))
-    found = Arrangement([features], "__row", cell)
+    found = Arrangement([features], "__row", cell, "__group")
     named = found.sides.join(features.select(F.col("__row").alias("fid"), "__group"), "fid")
     sides = named.groupBy(*net.EDGE, "__group").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     shapes = found.shapes(net.directed(sides, F.col("left"), F.col("right"), "__group"), "__group").withColumnRenamed("geometry", "__shape")
