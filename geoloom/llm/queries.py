@@ -126,4 +126,17 @@ ORACLE_SQL = {
         )
         SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
     """,
+    # all links; the index finds them all on tables as small as these
+    "op12_vectors": """
+        WITH RECURSIVE usable AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+        ), sized AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS size FROM usable WHERE list_inner_product(v, v) > 0),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sized a JOIN sized b ON a.vec_id <> b.vec_id AND list_inner_product(a.v, b.v) / (a.size * b.size) >= 0.9),
+        reached AS (SELECT vec_id AS node, vec_id AS least FROM embeddings UNION SELECT b, least FROM reached JOIN links ON a = node),
+        roots AS (SELECT node, min(least) AS component_id FROM reached GROUP BY node),
+        counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN roots ON node = vec_id LEFT JOIN counts ON a = vec_id
+    """,
 }
