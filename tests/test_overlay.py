@@ -141,4 +141,4 @@ def test_rings_over_many_batches(spark, monkeypatch):
     wheel = [[[(10 + 8 * math.cos(2 * math.pi * i / n), 10 + 8 * math.sin(2 * math.pi * i / n)) for i in [*range(n), 0]]]]
     got = overlay.erase(layer(spark, [wheel]), layer(spark, [[box(9, 9, 11, 11)]]))
     parts = parts_of(got.first().geometry)
-    assert len(parts) == 1 and len(parts[0]) == 2 and abs(area_of(parts) - (area_of(wheel) - 4)) < 1e-9
+    assert len(parts) == 1 and len(parts[0]) == 2 and abs(area_of(parts) - (area_of(wheel) - 4)) < 1e-7  # vertices have nine decimals
