@@ -122,15 +122,42 @@ def test_networks(spark, monkeypatch):
     assert len(path) == 11 and path[0].dist == 10.0
     assert network.build_edges(df, "w").count() == edges.count() - 2
     origins = spark.createDataFrame([("o", "0.0 0.0"), ("p", "3.0 2.0")], "origin string, node string")
-    direct = {tuple(r)[:3] for r in network.distances_from(edges, origins, 4.0).collect()}
-    monkeypatch.setattr(network, "BROADCAST_ARCS", 0)
-    assert {tuple(r)[:3] for r in network.distances_from(edges, origins, 4.0).collect()} == direct
+    direct = {tuple(r) for r in network.distances_from(edges, origins, 4.0).collect()}
+    assert len(direct) == sum(i + j <= 4 for i in range(n) for j in range(n)) + sum(abs(i - 3) + abs(j - 2) <= 4 for i in range(n) for j in range(n))
+    monkeypatch.setattr(network, "DISTRICT_ARCS", 20)
+    monkeypatch.setattr(network, "BATCH_ORIGINS", 1)
+    assert network.districts(network.directed(edges)).select("district").distinct().count() > 3
+    assert {tuple(r) for r in network.distances_from(edges, origins, 4.0).collect()} == direct
     share = network.service_area(edges, origins.where("origin = 'o'"), [1.5]).agg(F.sum("share")).first()[0]
     assert share == 4.0
     snapped = network.snap(spark.createDataFrame([(1, 0.2, 0.9)], "_idx bigint, x double, y double"), network.nodes_of(edges)).first()
     assert snapped.node == "0.0 1.0"
 
 
+def test_distances_between_districts(spark, monkeypatch):
+    """A network of odd costs against all ways by Bellman and Ford; nodes apart, without numbers and unknown to it."""
+    rng = random.Random(7)
+    spots = [f"{rng.randrange(-500, 500)}.5 {rng.randrange(-90, 90)}.0" for _ in range(60)] + ["depot"]
+    ways = [(k, *rng.sample(spots, 2), rng.random() * 10 + 0.01) for k in range(110)] + [(200, "9000.0 1.0", "9001.0 1.0", 1.0)]
+    edges = spark.createDataFrame(ways, "edge_id bigint, u string, v string, cost double")
+    starts = [(f"o{i}", spots[i * 3]) for i in range(12)] + [("o0", "depot"), ("far", "9000.0 1.0"), ("alone", "5.0 5.0"), ("none", None)]
+    want = {}
+    for origin in {o for o, node in starts if node}:
+        dist = {node: 0.0 for o, node in starts if o == origin}
+        for _ in range(len(spots)):
+            for _, u, v, cost in ways:
+                for a, b in ((u, v), (v, u)):
+                    if a in dist and dist[a] + cost < dist.get(b, math.inf):
+                        dist[b] = dist[a] + cost
+        want |= {(origin, node): d for node, d in dist.items()}
+    monkeypatch.setattr(network, "DISTRICT_ARCS", 30)
+    monkeypatch.setattr(network, "BATCH_ORIGINS", 4)
+    found = network.distances_from(edges, spark.createDataFrame(starts, "origin string, node string"))
+    assert {(r.origin, r.node): r.dist for r in found.collect()} == want
+    via = network.predecessors(edges, found).where("via is not null")
+    assert via.count() == sum(d > 0 for d in want.values())
+
+
 def test_specs(spark, rows):
     steps = (Operation("kept", "filter_attribute", {"vector": "in"}, {"where": {"d": "x"}}), Operation("n", "aggregate_table", {"vector": "kept"}, {"aggregations": [{"op": "count"}]}))
     assert run(QuerySpec(steps, "n"), {"in": rows}).first()["count"] == 2
