@@ -158,6 +158,18 @@ def sample_random(spark, sf_dir):
     return attributes.sample_features(df, fraction=0.1, stratify_by="o_orderpriority", seed=5).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""
+WITH s AS (SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT sum(n) AS total, greatest(1, round_even(sum(n) * 0.1, 0)) AS want FROM s), w AS (SELECT p, n, want, n * want / total AS share FROM s, t),
+r AS (SELECT p, n, floor(share) AS low, row_number() OVER (ORDER BY share - floor(share) DESC, p) AS place, want - sum(floor(share)) OVER () AS extra FROM w)
+SELECT p AS o_orderpriority, CAST(low + (place <= extra)::INT AS BIGINT) AS n, CAST(low + (place <= extra)::INT AS BIGINT) AS unlike FROM r""")
+def sample_strata(spark, sf_dir):
+    """How many of each stratum a sample takes, and how many of them are orders of the table, each counted once."""
+    df = table(spark, sf_dir, "orders").withColumn("_idx", F.col("o_orderkey"))
+    taken = attributes.sample_features(df, fraction=0.1, stratify_by="o_orderpriority", seed=5)
+    known = taken.select("o_orderpriority", "o_orderkey").join(df.select("o_orderpriority", "o_orderkey"), ["o_orderpriority", "o_orderkey"], "left_semi")
+    return known.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("unlike"))
+
+
 @query("WITH s AS (SELECT event_type, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events GROUP BY 1) SELECT event_id, value < a - 1.5*(b-a) OR value > b + 1.5*(b-a) AS is_outlier, round_even(greatest(a - 1.5*(b-a) - value, value - (b + 1.5*(b-a)), 0.0), 6) AS outlier_score FROM events JOIN s USING (event_type)")
 def outliers_iqr(spark, sf_dir):
     return attributes.detect_outliers(table(spark, sf_dir, "events"), "value", "iqr", group_by="event_type").select("event_id", "is_outlier", "outlier_score")
@@ -185,6 +197,21 @@ def classify_natural(spark, sf_dir):
 
 # aggregation
 
+@query("SELECT o_orderdate AS x, round_even(sum(o_totalprice), 2) AS y FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1")
+def chart_line(spark, sf_dir):
+    return aggregates.chart_data(table(spark, sf_dir, "orders"), "line", "o_orderdate", "o_totalprice").select("x", even_round(F.col("y"), 2).alias("y"))
+
+
+@query("SELECT c_mktsegment AS x, count(*) AS y FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1")
+def chart_pie(spark, sf_dir):
+    return aggregates.chart_data(customers(spark, sf_dir), "pie", "c_mktsegment")
+
+
+@query("SELECT c_acctbal AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer WHERE c_acctbal IS NOT NULL AND c_nationkey IS NOT NULL")
+def chart_scatter(spark, sf_dir):
+    return aggregates.chart_data(customers(spark, sf_dir), "scatter", "c_acctbal", "c_nationkey")
+
+
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round_even(sum(l_quantity), 2) AS qty, round_even(avg(l_discount), 6) AS disc, round_even(median(l_extendedprice), 4) AS med, round_even(stddev_pop(l_tax), 6) AS tax_sd, count(DISTINCT l_suppkey) AS suppliers, arg_min(l_partkey, l_orderkey*10+l_linenumber) AS first_part FROM lineitem GROUP BY 1, 2")
 def aggregate_table(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").withColumn("_idx", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
@@ -382,9 +409,14 @@ def idw(spark, sf_dir):
     return spatial.interpolate_idw(suppliers(spark, sf_dir), "s_acctbal", 10.0, (0.0, 0.0, 100.0, 100.0), neighbors=6)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE near AS (SELECT a._idx AS i, b._idx AS j FROM {SUPP} a JOIN {SUPP} b ON a._idx <> b._idx AND sqrt((a.x-b.x)**2+(a.y-b.y)**2) <= 6), core AS (SELECT i FROM near GROUP BY 1 HAVING count(*) >= 2),
+reach(i, j) AS (SELECT i, i FROM core UNION SELECT r.i, n.j FROM reach r JOIN near n ON n.i = r.j JOIN core c ON c.i = n.j), label AS (SELECT i, min(j) AS label FROM reach GROUP BY 1),
+border AS (SELECT n.i, min(n.j) AS c FROM near n JOIN core k ON k.i = n.j WHERE n.i NOT IN (SELECT i FROM core) GROUP BY 1), member AS (SELECT i, label FROM label UNION ALL SELECT b.i, l.label FROM border b JOIN label l ON l.i = b.c),
+size AS (SELECT label, count(*) AS cluster_size, row_number() OVER (ORDER BY label) - 1 AS k FROM member GROUP BY 1)
+SELECT s.s_suppkey, CAST(coalesce(k, -1) AS INT) AS cluster_id, CAST(cluster_size AS DOUBLE) AS cluster_size FROM {SUPP} s LEFT JOIN member m ON m.i = s._idx LEFT JOIN size z USING (label)""")
 def cluster_dbscan(spark, sf_dir):
-    return spatial.dbscan(suppliers(spark, sf_dir), 6.0, 3).select("s_suppkey", "cluster_id", "cluster_size")
+    return spatial.dbscan(suppliers(spark, sf_dir), 6.0, 3).select("s_suppkey", "cluster_id", F.col("cluster_size").cast("double").alias("cluster_size"))
 
 
 @query()

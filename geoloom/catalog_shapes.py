@@ -5,6 +5,8 @@ Customers and suppliers are plots or lines at their place here, so that plain SQ
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from .functions import geometry as g
 from .functions.numbers import even_round
 from .operators import buffers, network, overlay, proximity, raster, shapes, spatial
 from .operators import voronoi as voronoi_cells
+from .operators.storage import shared_folder
+from .sources import files, sinks
 
 
 def plots(df: DataFrame, wide: float, tall: float, dx: float = 0.0, dy: float = 0.0) -> DataFrame:
@@ -260,3 +264,88 @@ def service_polygons(spark, sf_dir):
     edges = network.build_edges(streets(spark, sf_dir), node_crossings=False)
     out = network.service_polygons(edges, depots(spark, sf_dir).select("origin", "node"), [1.0, 2.5], 0.25, 2)
     return out.select("origin", "band", "reached_length", area())
+
+
+# parts, validity, generalised lines
+
+def knots(df: DataFrame) -> DataFrame:
+    """Places as polygons: by turns one that crosses itself, one that isn't closed, a sound one."""
+    x, y, k = F.col("x"), F.col("y"), F.col("_idx") % 3
+    v = lambda a, b: g.vertex(x + a, y + b)
+    ring = F.when(k == 0, F.array(v(0, 0), v(4, 4), v(4, 0), v(0, 4), v(0, 0))).when(k == 1, F.array(v(0, 0), v(4, 0), v(4, 3), v(0, 3))).otherwise(F.array(v(0, 0), v(4, 0), v(4, 2), v(0, 2), v(0, 0)))
+    return df.withColumn("geometry", g.polygon(ring))
+
+
+@query(f"SELECT _idx, _idx%3 = 2 AS is_valid, CASE _idx%3 WHEN 0 THEN 'self-intersection' WHEN 1 THEN 'ring is not closed' END AS invalid_reason FROM {CUST}")
+def validate_geometries(spark, sf_dir):
+    return shapes.validate(knots(customers(spark, sf_dir))).select("_idx", "is_valid", "invalid_reason")
+
+
+@query(f"SELECT _idx, true AS is_valid, _idx%3 < 2 AS _repaired, CASE _idx%3 WHEN 0 THEN 2 ELSE 1 END AS parts, round_even(CASE _idx%3 WHEN 0 THEN 8.0 WHEN 1 THEN 12.0 ELSE 8.0 END::DOUBLE, 6) AS area FROM {CUST}")
+def repair_geometries(spark, sf_dir):
+    return overlay.repair(knots(customers(spark, sf_dir))).select("_idx", "is_valid", "_repaired", F.size("geometry.coords").alias("parts"), area())
+
+
+@query(f"SELECT a._idx AS feature, 'overlap' AS issue, b._idx AS other, round_even((15-abs(a.x-b.x))*(15-abs(a.y-b.y)), 6) AS area FROM {SUPP} a JOIN {SUPP} b ON a._idx < b._idx AND abs(a.x-b.x) < 15-1e-7 AND abs(a.y-b.y) < 15-1e-7")
+def check_topology(spark, sf_dir):
+    return overlay.check_topology(plots(suppliers(spark, sf_dir), 15.0, 15.0))
+
+
+@query(f"SELECT _idx, 2 + (_idx%10 > 4)::INT AS vertices, round_even(CASE WHEN _idx%10 > 4 THEN 2*sqrt(1+((_idx%10)/10)**2) ELSE 2 END, 6) AS length FROM {CUST}")
+def simplify(spark, sf_dir):
+    x, y, up = F.col("x"), F.col("y"), (F.col("_idx") % 10) / 10
+    bent = customers(spark, sf_dir).withColumn("geometry", g.line(F.array(g.vertex(x, y), g.vertex(x + 1, y + up), g.vertex(x + 2, y))))
+    out = shapes.simplify(bent, 0.45)
+    return out.select("_idx", F.size(g.vertices(F.col("geometry"))).alias("vertices"), even_round(g.length(F.col("geometry"))).alias("length"))
+
+
+@query(f"SELECT _idx AS source_feature_index, CAST(i AS INT) AS part_index, 'Polygon' AS kind, round_even(CAST((i+1)*2 AS DOUBLE), 6) AS area FROM (SELECT _idx, unnest(range(0, 1 + _idx%3)) AS i FROM {CUST})")
+def explode_parts(spark, sf_dir):
+    x, y = F.col("x"), F.col("y")
+    ring = lambda i: F.array(F.array(g.vertex(x + 5 * i, y), g.vertex(x + 6 * i + 1, y), g.vertex(x + 6 * i + 1, y + 2), g.vertex(x + 5 * i, y + 2), g.vertex(x + 5 * i, y)))
+    several = customers(spark, sf_dir).withColumn("geometry", F.struct(F.lit("MultiPolygon").alias("type"), F.transform(F.sequence(F.lit(0), (F.col("_idx") % 3).cast("int")), ring).alias("coords")))
+    return shapes.explode_multipart(several).select("source_feature_index", "part_index", F.col("geometry.type").alias("kind"), area())
+
+
+# files
+
+@query(f"SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, c_acctbal, x, y FROM {CUST}")
+def csv_points(spark, sf_dir):
+    """Customers through a file with semicolons, decimal commas and no types."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    local = lambda c: F.replace(F.col(c).cast("string"), F.lit("."), F.lit(","))
+    customers(spark, sf_dir).select("c_custkey", "c_name", local("c_acctbal").alias("c_acctbal"), local("x").alias("Lon"), local("y").alias("Lat")).write.option("header", True).option("sep", ";").csv(path)
+    return files.read_csv_points(spark, path, wgs84=False).select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name", "c_acctbal", "x", "y")
+
+
+@query(f"SELECT CAST(c_custkey AS BIGINT) AS c_custkey, 'Polygon' AS kind, x, y, round_even(6.0::DOUBLE, 6) AS area FROM {CUST}")
+def csv_shapes(spark, sf_dir):
+    """Customers' plots through a file with well-known text."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    sinks.write_table(plots(customers(spark, sf_dir), 3.0, 2.0).select("c_custkey", "geometry"), path, include_geometry="wkt")
+    first = F.get(F.get(F.get(F.col("geometry.coords"), 0), 0), 0)
+    return files.read_csv_points(spark, path, wkt_field="wkt").select(F.col("c_custkey").cast("bigint").alias("c_custkey"), F.col("geometry.type").alias("kind"), first["x"].alias("x"), first["y"].alias("y"), area())
+
+
+@query(f"SELECT c_name, c_acctbal, x, y FROM {CUST}")
+def geojson_features(spark, sf_dir):
+    """Customers through a file of features, a line each."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.ndjson"
+    points = customers(spark, sf_dir).select("c_name", "c_acctbal", g.point(F.col("x"), F.col("y")).alias("geometry"))
+    sinks.write_geojson(points, path)
+    return files.read_geojson(spark, path).select("c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"), g.x_of(F.col("geometry")).alias("x"), g.y_of(F.col("geometry")).alias("y"))
+
+
+# resampled rasters
+
+@query(f"""
+WITH p AS {PIX}, s AS (SELECT max(row) AS r1, max(col) AS c1 FROM p), n AS (SELECT r1, c1, CAST(ceil((r1+1)/0.8-1e-9) AS BIGINT) AS nr, CAST(ceil((c1+1)/0.8-1e-9) AS BIGINT) AS nc FROM s),
+t AS (SELECT r.range AS row, c.range AS col, (r.range+0.5)*0.8 AS fr, (c.range+0.5)*0.8 AS fc FROM n, range(0, nr) r, range(0, nc) c WHERE (r.range+0.5)*0.8 < r1+1 AND (c.range+0.5)*0.8 < c1+1)
+SELECT t.row, t.col, round_even(sum(p.b1*(1-abs(fr-0.5-p.row))*(1-abs(fc-0.5-p.col)))/sum(CASE WHEN p.b1 IS NOT NULL THEN (1-abs(fr-0.5-p.row))*(1-abs(fc-0.5-p.col)) END), 6) AS value
+FROM t JOIN (SELECT 0 AS i UNION ALL SELECT 1) a ON true JOIN (SELECT 0 AS j UNION ALL SELECT 1) b ON true LEFT JOIN p ON p.row = CAST(floor(fr-0.5) AS BIGINT)+i AND p.col = CAST(floor(fc-0.5) AS BIGINT)+j GROUP BY 1, 2""")
+def reproject_bilinear(spark, sf_dir):
+    """Every pixel of the raster on a finer grid; places without a known pixel around are null."""
+    out = raster.reproject_raster(pixels(spark, sf_dir), 4326, 4326, "b1", "bilinear", resolution=0.8)
+    last = pixels(spark, sf_dir).agg(F.max("row").alias("r1"), F.max("col").alias("c1"))
+    inside = out.crossJoin(last).where(((F.col("row") + 0.5) * 0.8 < F.col("r1") + 1) & ((F.col("col") + 0.5) * 0.8 < F.col("c1") + 1))  # one row
+    return inside.select("row", "col", even_round(F.col("value")).alias("value"))

@@ -292,6 +292,23 @@ def geojson(g: Column) -> Column:
     return F.when(g.isNotNull(), F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), body, F.lit("}")))
 
 
+def from_wkt(text: Column) -> Column:
+    """A geometry from its well-known text, heights left out; null if it is empty, of another type or malformed."""
+    number = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
+    shape = rf"(?i)^\s*(POINT|LINESTRING|POLYGON|MULTIPOINT|MULTILINESTRING|MULTIPOLYGON)\s*(?:Z|M|ZM)?\s*(\([-+.0-9eE,()\s]*\))\s*$"
+    name, body = F.upper(F.regexp_extract(text, shape, 1)), F.regexp_extract(text, shape, 2)
+    kind = F.element_at(F.create_map(*[F.lit(v) for k in ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon") for v in (k.upper(), k)]), F.nullif(name, F.lit("")))
+    pairs = F.regexp_replace(body, rf"({number})\s+({number})(?:\s+{number}){{0,2}}\s*(?=[,)])", "[$1,$2]")
+    nested = F.translate(pairs, "()", "[]")
+    # a point's only pair, and pairs of several points in brackets of their own, lose a level
+    flat = F.when(kind == "Point", F.regexp_replace(nested, r"^\[\s*(\[[^\[\]]*\])\s*\]$", "$1")).when(kind == "MultiPoint", F.regexp_replace(nested, r"\[\s*(\[[^\[\]]*\])\s*\](?=\s*[,\]])", "$1")).otherwise(nested)
+    # JSON has neither plus signs nor bare points
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(flat, r"(?<![eE])\+", ""), r"(?<![0-9])\.(?=[0-9])", "0."), r"\.(?![0-9])", ".0")
+    made = from_geojson(F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), plain, F.lit("}")))
+    odd = F.exists(vertices(made), lambda v: v["x"].isNull() | v["y"].isNull())
+    return F.when((F.size(vertices(made)) > 0) & ~F.coalesce(odd, F.lit(True)), made)
+
+
 def from_geojson(text: Column) -> Column:
     """A geometry from its GeoJSON text; null if the type is unknown."""
     kind = F.get_json_object(text, "$.type")

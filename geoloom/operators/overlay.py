@@ -17,6 +17,8 @@ from ..functions import geometry as g
 from ..functions.numbers import even_round
 from . import arrangement as net
 from .aggregates import aggregate_of
+from .shapes import repair as clean_rings
+from .shapes import topology_issues, validity
 from .spatial import cells_of
 from .storage import durable
 
@@ -239,6 +241,46 @@ def regions(sources: DataFrame, targets: DataFrame, order: str = "_idx", cell: f
     return shapes.select("pair.source", "pair.target", "geometry", even_round(g.area(F.col("geometry"))).alias("_intersection_area"))
 
 
+def repair(df: DataFrame, drop_invalid: bool = False, order: str = "_idx", cell: float | None = None) -> DataFrame:
+    """Geometries made valid, with is_valid, invalid_reason and _repaired.
+
+    Rings are closed and repeated vertices go; a polygon whose rings cross becomes the area
+    that a way from outside enters an odd number of times, in several parts if need be. What
+    can't be mended (no coordinates, too few vertices, no area) keeps its shape and its reason.
+    """
+    before = df.withColumn("__before", validity(F.col("geometry")))
+    cleaned = durable(clean_rings(before))
+    crossed = cleaned.where(F.col("invalid_reason") == "self-intersection").select(order, "geometry", F.col(order).cast("bigint").alias("__plane"))
+    found = Arrangement([crossed], order, cell, "__plane")  # each meets itself only
+    made = found.shapes(net.directed(found.sides, F.col("left"), F.col("right"), "fid"), "fid").select(F.col("fid").alias("__fid"), F.col("geometry").alias("__made"))
+    out = cleaned.join(made, F.col(order).cast("bigint") == F.col("__fid"), "left").withColumn("geometry", F.coalesce("__made", "geometry"))
+    out = out.withColumn("invalid_reason", F.when(F.col("__made").isNull(), F.col("invalid_reason"))).withColumn("is_valid", F.col("invalid_reason").isNull())
+    out = out.withColumn("_repaired", F.col("is_valid") & F.col("__before").isNotNull()).drop("__before", "__fid", "__made")
+    return out.where("is_valid") if drop_invalid else out
+
+
+CHECKS = ("invalid", "empty", "duplicate", "overlap", "sliver", "small")
+
+
+def check_topology(df: DataFrame, checks: list[str] | None = None, min_area: float = 0.0, sliver_ratio: float = 0.01, overlap_tolerance: float = 0.0, max_issues: int | None = None, order: str = "_idx", cell: float | None = None) -> DataFrame:
+    """(feature, issue, other, area): what is wrong with features, and which valid polygons of any shape share more area than the tolerance.
+
+    All issues come, or, if asked for, the first ``max_issues`` by feature.
+    """
+    wanted = list(checks or CHECKS)
+    if strange := set(wanted) - set(CHECKS):
+        raise ValueError(f"unknown checks {', '.join(sorted(strange))}")
+    if min(min_area, sliver_ratio, overlap_tolerance) < 0:
+        raise ValueError("min_area, sliver_ratio and overlap_tolerance can't be negative")
+    out = topology_issues(df, min_area, sliver_ratio, order).withColumn("area", F.lit(None).cast("double"))
+    if "overlap" in wanted:
+        sound = durable(df.where(g.is_polygon(F.col("geometry")) & validity(F.col("geometry")).isNull()))
+        shared = regions(sound, sound, order, cell).where((F.col("source") < F.col("target")) & (F.col("_intersection_area") > overlap_tolerance))
+        out = out.unionByName(shared.select(F.col("source").alias("feature"), F.lit("overlap").alias("issue"), F.col("target").alias("other"), F.col("_intersection_area").alias("area")))
+    out = out.where(F.col("issue").isin(wanted))
+    return out.orderBy("feature", "issue", "other").limit(max_issues) if max_issues is not None else out
+
+
 def dissolve(df: DataFrame, group_by: list[str], aggregations: list[dict] | None = None, order: str = "_idx", cell: float | None = None, values: list[str] | None = None) -> DataFrame:
     """One feature a group with aggregates and ``_feature_count``, its polygons merged: borders inside a group are gone.
 

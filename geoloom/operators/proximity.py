@@ -206,7 +206,7 @@ def nearest_metres(places: DataFrame, targets: DataFrame, first: float = 500.0)
         else:
             # a cell is as high as the reach; to the sides as many as the latitude asks for
             wide = F.ceil(F.lit(1.05) / F.greatest(F.cos(F.radians(F.least(F.lit(89.0), F.abs(F.col("y")) + step))), F.lit(0.02)))
-            cx, cy = net.slot(F.col("x"), step), net.slot(F.col("y"), step)
+            cx, cy = net.slot(F.col("x"), step), net.slot(F.col("y"), step, net.OFFSET_Y)
             around = F.flatten(F.transform(F.sequence(cx - wide, cx + wide), lambda c: F.transform(F.sequence(cy - 2, cy + 2), lambda r: F.struct(c.alias("cx"), r.alias("cy")))))
             near = left.select("*", F.explode(around).alias("c")).join(pieces.select("*", F.explode(net.crossed_cells(*names, step)).alias("c")), "c")
         least = durable(near.select("id", metres("x", "y", names, "dot").alias("metres")).groupBy("id").agg(F.min("metres").alias("metres")))

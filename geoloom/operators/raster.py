@@ -413,6 +413,71 @@ def reproject_nearest(raster: DataFrame, band: str, rows: int, cols: int, size:
     return hit.select(F.col("target_row").alias("row"), F.col("target_col").alias("col"), "value")
 
 
+RESAMPLING = ("nearest", "bilinear", "cubic", "average", "max", "min", "mode")
+
+
+def reproject_raster(raster: DataFrame, source_crs: int, target_crs: int, band: str = "b1", resampling: str = "nearest", size: float = 1.0, x0: float = 0.0, y0: float = 0.0, resolution: float | None = None) -> DataFrame:
+    """(row, col, x, y, value) of a grid of square pixels in another reference system, over the extent of the raster.
+
+    Every target pixel's centre and corners are taken back to the source, where it asks for the
+    pixels that count: the one it lies in, the 4 or 16 around it (bilinear; cubic with a = -1/2),
+    or all that its area covers, by share (average, mode; ties to the smaller value) or at all
+    (min, max). Missing pixels don't count; a centre outside the source, or no pixel that counts,
+    gives null. Without a resolution the diagonal keeps its number of pixels.
+    """
+    from .shapes import transform_crs
+
+    if resampling not in RESAMPLING:
+        raise ValueError(f"unknown resampling {resampling}")
+    spark = raster.sparkSession
+    r0, r1, c0, c1 = raster.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
+    if r0 is None:
+        return spark.createDataFrame([], "row bigint, col bigint, x double, y double, value double")
+    west, east, north, south = x0 + c0 * size, x0 + (c1 + 1) * size, y0 - r0 * size, y0 - (r1 + 1) * size
+    rim = [(west + (east - west) * i / 20, y) for i in range(21) for y in (north, south)] + [(x, south + (north - south) * i / 20) for i in range(21) for x in (west, east)]
+    moved = transform_crs(spark.createDataFrame(rim, "x double, y double").select(g.point(F.col("x"), F.col("y")).alias("geometry")), source_crs, target_crs)
+    left, right, low, high = moved.agg(*[f(v) for v in (g.x_of(F.col("geometry")), g.y_of(F.col("geometry"))) for f in (F.min, F.max)]).first()
+    step = resolution or math.hypot(right - left, high - low) / math.hypot(r1 - r0 + 1, c1 - c0 + 1)
+    rows, cols = max(1, math.ceil((high - low) / step - 1e-9)), max(1, math.ceil((right - left) / step - 1e-9))
+    grid = with_centres(spark.range(rows * cols).select(F.floor(F.col("id") / cols).alias("row"), (F.col("id") % cols).alias("col")), step, left, high)
+    x, y, half = F.col("x"), F.col("y"), step / 2
+    back = transform_crs(grid.withColumn("geometry", g.line(F.array(g.vertex(x, y), g.vertex(x - half, y - half), g.vertex(x + half, y + half)))), target_crs, source_crs)
+    at = lambda i: F.get(F.get(F.get(F.col("geometry.coords"), 0), 0), i)
+    down, over = (lambda v: (F.lit(y0) - v["y"]) / size), (lambda v: (v["x"] - x0) / size)
+    placed = back.select("row", "col", "x", "y", *[f(at(i)).alias(f"{n}{i}") for n, f in (("r", down), ("c", over)) for i in range(3)])
+
+    def taps(n: str) -> Column:
+        """Source rows or columns that count, with their weights."""
+        f, a, b = F.col(f"{n}0"), F.least(f"{n}1", f"{n}2"), F.greatest(f"{n}1", f"{n}2")
+        if resampling == "nearest":
+            return F.array(F.struct(F.floor(f).alias("i"), F.lit(1.0).alias("w")))
+        if resampling == "bilinear":
+            return F.transform(F.array(F.floor(f - 0.5), F.floor(f - 0.5) + 1), lambda i: F.struct(i.alias("i"), (1 - F.abs(f - 0.5 - i)).alias("w")))
+        if resampling == "cubic":
+            def weight(d: Column) -> Column:
+                return F.when(d <= 1, 1.5 * d * d * d - 2.5 * d * d + 1).when(d < 2, -0.5 * d * d * d + 2.5 * d * d - 4 * d + 2).otherwise(0.0)
+
+            return F.transform(F.array(*[F.floor(f - 0.5) + k for k in (-1, 0, 1, 2)]), lambda i: F.struct(i.alias("i"), weight(F.abs(f - 0.5 - i)).alias("w")))
+        share = lambda i: F.least(b, i + 1) - F.greatest(a, i)
+        return F.filter(F.transform(F.sequence(F.floor(a), F.floor(b)), lambda i: F.struct(i.alias("i"), share(i).alias("w"))), lambda t: t["w"] > 1e-9)
+
+    inside = (F.col("r0") >= r0) & (F.col("r0") < r1 + 1) & (F.col("c0") >= c0) & (F.col("c0") < c1 + 1)
+    both = F.flatten(F.transform(taps("r"), lambda r: F.transform(taps("c"), lambda c: F.struct(r["i"].alias("r"), c["i"].alias("c"), (r["w"] * c["w"]).alias("w")))))
+    asked = placed.select("row", "col", "x", "y", F.explode_outer(F.when(inside, both)).alias("t"))
+    known = raster.where(F.col(band).isNotNull()).select(F.col("row").cast("bigint").alias("__r"), F.col("col").cast("bigint").alias("__c"), F.col(band).cast("double").alias("v"))
+    met = asked.join(known, (F.col("t.r") == F.col("__r")) & (F.col("t.c") == F.col("__c")), "left").select("row", "col", "x", "y", F.when(F.col("v").isNotNull(), F.col("t.w")).alias("w"), "v")
+    key = ["row", "col", "x", "y"]
+    if resampling == "mode":
+        met = met.groupBy(*key, "v").agg(F.sum("w").alias("w"))
+        value = F.min_by("v", F.when(F.col("v").isNotNull(), F.struct(-F.bround("w", 9), F.col("v"))))
+    elif resampling in ("min", "max"):
+        value = {"min": F.min, "max": F.max}[resampling]("v")
+    else:
+        whole = F.sum("w")
+        value = F.when(F.abs(whole) > 1e-6, F.sum(F.col("w") * F.col("v")) / whole)
+    return met.groupBy(*key).agg(value.alias("value"))
+
+
 def raster_polygons(raster: DataFrame, band: str = "b1", include: list[float] | None = (1,), connectivity: int = 4, size: float = 1.0, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
     """Connected regions of one value as polygons with their holes: value, pixel_count, area, perimeter, geometry.
 

@@ -282,10 +282,10 @@ def repair(df: DataFrame) -> DataFrame:
 def topology_issues(df: DataFrame, min_area: float = 0.0, sliver_ratio: float = 0.01, order: str = "_idx") -> DataFrame:
     """(feature, issue, other): invalid, empty, duplicate, sliver and small features."""
     shape = F.col("geometry")
-    size, edge = g.area(shape), g.length(shape)
+    size, edge, sound = g.area(shape), g.length(shape), g.is_polygon(shape) & validity(shape).isNull()
     found = F.array_compact(F.array(
         F.when(validity(shape).isNotNull() & (F.size(g.vertices(shape)) > 0), "invalid"), F.when(shape.isNull() | (F.size(g.vertices(shape)) == 0), "empty"),
-        F.when(g.is_polygon(shape) & (edge > 0) & (12.566370614359172 * size / (edge * edge) < sliver_ratio), "sliver"), F.when(g.is_polygon(shape) & (size < min_area), "small"),
+        F.when(sound & (edge > 0) & (12.566370614359172 * size / (edge * edge) < sliver_ratio), "sliver"), F.when(sound & (size < min_area), "small"),
     ))
     single = df.select(F.col(order).alias("feature"), F.explode(found).alias("issue"), F.lit(None).cast("bigint").alias("other"))
     keyed = df.where("geometry is not null").select(F.col(order).alias("feature"), F.xxhash64(F.to_json("geometry")).alias("k"), F.to_json("geometry").alias("text"))

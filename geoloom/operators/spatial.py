@@ -28,21 +28,21 @@ def cells_of(box: Column, cell: float, margin: float = 0.0) -> Column:
     return F.flatten(F.transform(span(box["minx"], box["maxx"]), lambda cx: F.transform(span(box["miny"], box["maxy"]), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
 
 
-def point_pairs(points: DataFrame, polygons: DataFrame, cell: float, predicate: str = "intersects", distance: float = 0.0, point_id: str = "_idx", polygon_id: str = "_idx") -> DataFrame:
-    """(source, target) ids of points (x, y) and polygons (geometry) that meet the predicate.
+def point_pairs(points: DataFrame, polygons: DataFrame, cell: float, predicate: str = "intersects", distance: float = 0.0, point_id: str = "_idx", polygon_id: str = "_idx", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(source, target) ids of points (x, y) and polygons (geometry) that meet the predicate, with the points' columns of ``carry``.
 
     ``intersects`` counts the boundary, ``within`` does not, ``dwithin`` allows a
     distance. Each point is in one cell and each polygon once in a cell, so no
     pair comes twice.
     """
     margin = distance if predicate == "dwithin" else g.EPS
-    left = points.where("x is not null and y is not null").select(F.col(point_id).alias("source"), "x", "y", cell_of(F.col("x"), F.col("y"), cell).alias("c"))
+    left = points.where("x is not null and y is not null").select(F.col(point_id).alias("source"), *carry, "x", "y", cell_of(F.col("x"), F.col("y"), cell).alias("c"))
     right = polygons.where("geometry is not null").select(F.col(polygon_id).alias("target"), "geometry", F.explode(cells_of(g.bounds(F.col("geometry")), cell, margin)).alias("c"))
     x, y, shape = F.col("x"), F.col("y"), F.col("geometry")
     test = {"intersects": lambda: g.covers(shape, x, y), "within": lambda: g.contains(shape, x, y), "dwithin": lambda: g.distance(shape, x, y) <= distance}[predicate]()
     box = g.bounds(shape)
     near = x.between(box["minx"] - margin, box["maxx"] + margin) & y.between(box["miny"] - margin, box["maxy"] + margin)
-    return left.join(right, "c").where(near).where(test).select("source", "target")
+    return left.join(right, "c").where(near).where(test).select("source", "target", *carry)
 
 
 def spatial_join(points: DataFrame, polygons: DataFrame, cell: float, predicate: str = "intersects", distance: float = 0.0, join_type: str = "inner", cardinality: str = "first", order: str = "_idx", prefix: str = "target_") -> DataFrame:
@@ -74,9 +74,9 @@ def filter_points_in_polygon(points: DataFrame, polygons: DataFrame, cell: float
 def aggregate_points(points: DataFrame, polygons: DataFrame, cell: float, value_field: str | None = None, stats: tuple[str, ...] = ("sum", "mean", "min", "max"), density: bool = False, order: str = "_idx") -> DataFrame:
     """Polygons with the count and statistics of the points inside; those without any stay."""
     value = loose(points, value_field) if value_field else F.lit(None).cast("double")
-    valued = points.select(F.col(order).alias("source"), value.alias("__v"))
+    valued = points.select(order, "x", "y", value.alias("__v"))
     made = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}
-    hits = point_pairs(points, polygons, cell, "intersects", 0.0, order, order).join(valued, "source")
+    hits = point_pairs(valued, polygons, cell, "intersects", 0.0, order, order, ("__v",))
     sums = hits.groupBy(F.col("target").alias(order)).agg(F.count(F.lit(1)).alias("point_count"), *[made[s]("__v").alias(f"{value_field}_{s}") for s in (stats if value_field else ())])
     out = polygons.join(sums, order, "left").withColumn("point_count", F.coalesce("point_count", F.lit(0)))
     if density:
@@ -250,6 +250,8 @@ def dbscan(points: DataFrame, eps: float, min_samples: int = 5, order: str = "_i
     smallest member with pointer jumping, so long chains take few rounds.
     Border points go to the cluster of their smallest core neighbour.
     """
+    from .attributes import number_rows
+
     pairs = durable(neighbours(points, "distance", distance=eps, order=order))
     core = durable(pairs.groupBy("i").agg((F.count(F.lit(1)) + 1).alias("n")).where(F.col("n") >= min_samples).select("i"))
     if min_samples <= 1:
@@ -259,7 +261,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int = 5, order: str = "_i
     border = pairs.join(core, "i", "left_anti").join(core.withColumnRenamed("i", "j"), "j", "left_semi").groupBy("i").agg(F.min("j").alias("node"))
     members = labels.unionByName(border.join(labels, "node").select(F.col("i").alias("node"), "label"))
     sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("cluster_size"))
-    numbered = sizes.withColumn("cluster_id", (F.row_number().over(Window.orderBy("label")) - 1).cast("int"))
+    numbered = number_rows(sizes, "label", name="cluster_id").withColumn("cluster_id", F.col("cluster_id").cast("int"))
     joined = points.join(members.join(numbered, "label"), points[order] == F.col("node"), "left")
     return joined.drop("node", "label").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1)))
 

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from ..operators import aggregates, attributes, buffers, network, overlay, proximity, raster, scoring, shapes, spatial, voronoi
-from ..sources import sinks
+from ..sources import files, sinks
 
 
 @dataclass(frozen=True)
@@ -70,6 +70,7 @@ OPERATIONS: dict[str, tuple[Callable, tuple[str, ...]]] = {
     "cluster": (spatial.cluster, ("vector",)),
     "generate_grid": (shapes.grid_over, ("vector",)),
     "real_estate_spatial_enrich": (proximity.enrich_real_estate, ("vector",)),
+    "load_csv": (files.load_csv, ()),
     "export_table": (sinks.table_columns, ("vector",)),
     "export_geojson": (sinks.geojson_rows, ("vector",)),
     "crs_transform": (shapes.transform_crs, ("vector",)),
@@ -82,8 +83,8 @@ OPERATIONS: dict[str, tuple[Callable, tuple[str, ...]]] = {
     "convex_hull": (shapes.convex_hull, ("vector",)),
     "voronoi": (voronoi.voronoi, ("points",)),
     "validate_geometries": (shapes.validate, ("vector",)),
-    "repair_geometries": (shapes.repair, ("vector",)),
-    "check_topology": (shapes.topology_issues, ("vector",)),
+    "repair_geometries": (overlay.repair, ("vector",)),
+    "check_topology": (overlay.check_topology, ("vector",)),
     "ndvi": (raster.ndvi, ("raster",)),
     "calculate_ndvi": (raster.ndvi, ("raster",)),
     "ndvi_from_bands": (raster.ndvi_from_bands, ("red_band", "nir_band")),
@@ -95,6 +96,7 @@ OPERATIONS: dict[str, tuple[Callable, tuple[str, ...]]] = {
     "mosaic": (raster.mosaic, ("rasters",)),
     "weighted_overlay": (raster.weighted_overlay, ("rasters",)),
     "slope_aspect": (raster.slope_aspect, ("raster",)),
+    "reproject_raster": (raster.reproject_raster, ("raster",)),
     "hillshade": (raster.hillshade, ("raster",)),
     "focal_statistics": (raster.focal_statistics, ("raster",)),
     "raster_change": (raster.raster_change, ("before", "after")),

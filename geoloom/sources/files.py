@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,36 +37,89 @@ def _inferred(rows: DataFrame) -> str:
 
 
 def local_number(name: str) -> F.Column:
-    """A number written with Latin, Persian or Arabic digits, and a decimal comma or point."""
-    text = F.translate(F.trim(F.col(name)), LOCAL_DIGITS, LATIN_DIGITS)
-    return F.when(~F.contains(text, F.lit(".")), F.replace(text, F.lit(","), F.lit("."))).otherwise(text).try_cast("double")
-
-
-X_NAMES, Y_NAMES = ("x", "lon", "lng", "long", "longitude", "easting", "طول"), ("y", "lat", "latitude", "northing", "عرض")
-
-
-def read_csv_points(spark: SparkSession, path: str, x_field: str | None = None, y_field: str | None = None, delimiter: str = ",", encoding: str = "UTF-8", wgs84: bool = True, infer_types: bool = True) -> DataFrame:
-    """Points from a delimited file; rows without usable coordinates go.
-
-    A column is numeric if every value that is there parses and none has a
-    leading zero; that takes one aggregation over the file.
+    """A number written with Latin, Persian or Arabic digits; one comma without a point is a decimal comma, others group thousands."""
+    text = F.regexp_replace(F.translate(F.trim(F.col(name)), LOCAL_DIGITS, LATIN_DIGITS), "[\u066c ]", "")
+    comma = ~F.contains(text, F.lit(".")) & (F.length(text) - F.length(F.replace(text, F.lit(","))) == 1)
+    plain = F.when(comma, F.replace(text, F.lit(","), F.lit("."))).otherwise(F.replace(text, F.lit(",")))
+    return F.when(plain.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"), plain.try_cast("double"))
+
+
+#: Names of coordinate columns, the first that is there counts; delimiters that are told apart; letters that windows-1256 lacks.
+X_NAMES = ("lon", "lng", "long", "longitude", "x", "easting", "lon_dd", "طول", "طول_جغرافیایی", "longitude_deg")
+Y_NAMES = ("lat", "latitude", "y", "northing", "lat_dd", "عرض", "عرض_جغرافیایی", "latitude_deg")
+DELIMITERS = (",", ";", "\t", "|")
+ARABIC_LETTERS, PERSIAN_LETTERS = "يك", "یک"
+
+
+def delimiter_of(spark: SparkSession, path: str) -> str:
+    """The delimiter of a file's first lines (100 at most)."""
+    lines = [r["value"] for r in spark.read.text(path).limit(100).collect()]
+    head = lines[0] if lines else ""
+    try:
+        return csv.Sniffer().sniff("\n".join(lines)[:8192], "".join(DELIMITERS)).delimiter
+    except csv.Error:
+        return max(DELIMITERS, key=head.count)
+
+
+def read_csv_points(
+    spark: SparkSession, path: str, x_field: str | None = None, y_field: str | None = None, delimiter: str | None = None, encoding: str | None = None, wgs84: bool = True, infer_types: bool = True,
+    wkt_field: str | None = None, on_invalid: str = "skip", max_rows: int | None = None, multi_line: bool = False,
+) -> DataFrame:
+    """Points, or the geometries of ``wkt_field``, from delimited files; rows without a usable place go, or are refused.
+
+    Without an encoding, files with bytes that aren't UTF-8 count as windows-1256 (a file that
+    holds U+FFFD needs its encoding named). A column is numeric if every value that is there
+    parses and none has a leading zero; that takes one aggregation over the files. Values that
+    span lines need ``multi_line``, which makes each file one task's work. Blank rows are no rows.
     """
-    raw = spark.read.csv(path, header=True, sep=delimiter, encoding=encoding, mode="PERMISSIVE")
-    named = {c.strip().lower(): c for c in raw.columns}
-    x_field = x_field or next((named[n] for n in X_NAMES if n in named), None)
-    y_field = y_field or next((named[n] for n in Y_NAMES if n in named), None)
-    if not x_field or not y_field:
-        raise ValueError("no coordinate columns")
-    out = raw.withColumns({"x": local_number(x_field), "y": local_number(y_field), "_idx": F.monotonically_increasing_id()}).where("x is not null and y is not null")
-    if wgs84:
-        out = out.where(F.col("x").between(-180, 180) & F.col("y").between(-90, 90))
-    if infer_types:
-        rest = [c for c in raw.columns if c not in (x_field, y_field, "x", "y")]
-        blank = lambda c: F.when(F.trim(F.col(c)) != "", F.trim(F.col(c)))
-        tests = [F.bool_and(F.when(blank(c).isNotNull(), local_number(c).isNotNull() & ~F.trim(F.col(c)).rlike("^-?0[0-9]"))).alias(c) for c in rest]
-        found = out.agg(*tests).first().asDict() if tests else {}
-        out = out.withColumns({c: local_number(c) if found.get(c) else blank(c) for c in rest})
-    return out.withColumn("geometry", g.point(F.col("x"), F.col("y")))
+    if on_invalid not in ("skip", "raise"):
+        raise ValueError("on_invalid is skip or raise")
+    if max_rows is not None and max_rows < 1:
+        raise ValueError("max_rows must be at least 1")
+    if delimiter is not None and len(delimiter) != 1:
+        raise ValueError("a delimiter is a single character")
+    if encoding is None:
+        encoding = "UTF-8" if spark.read.text(path).where(F.contains("value", F.lit("\ufffd"))).isEmpty() else "windows-1256"
+    raw = spark.read.csv(path, header=True, sep=delimiter or delimiter_of(spark, path), encoding={"utf-8-sig": "UTF-8", "cp1256": "windows-1256", "latin-1": "ISO-8859-1", "cp1252": "windows-1252"}.get(encoding, encoding), mode="PERMISSIVE", multiLine=multi_line, escape='"')
+    arabic = encoding in ("windows-1256", "cp1256")
+    clean = [c.lstrip("\ufeff").strip().translate(str.maketrans(ARABIC_LETTERS, PERSIAN_LETTERS) if arabic else {}) for c in raw.columns]
+    raw = raw.toDF(*clean)
+    if arabic:
+        raw = raw.select(*[F.translate(F.col(f"`{c}`"), ARABIC_LETTERS, PERSIAN_LETTERS).alias(c) for c in clean])
+    key = lambda c: c.strip().lower().replace(" ", "_")
+    named = {key(c): c for c in raw.columns}
+
+    def pick(asked: str | None, names: tuple[str, ...], what: str) -> str:
+        found = next((named[key(n)] for n in ([asked] if asked else names) if key(n) in named), None)
+        if found is None:
+            raise ValueError(f"no column {asked or what}")
+        return found
+
+    taken = [pick(wkt_field, (), "wkt")] if wkt_field else [pick(x_field, X_NAMES, "x"), pick(y_field, Y_NAMES, "y")]
+    blank = F.coalesce(F.trim(F.concat_ws("", *[F.col(f"`{c}`") for c in raw.columns])) == "", F.lit(True))
+    raw = raw.where(~blank)
+    if wkt_field:
+        out = raw.withColumn("geometry", g.from_wkt(F.col(f"`{taken[0]}`")))
+        good = F.col("geometry").isNotNull()
+    else:
+        out = raw.withColumns({"x": local_number(f"`{taken[0]}`"), "y": local_number(f"`{taken[1]}`")}).withColumn("geometry", g.point(F.col("x"), F.col("y")))
+        good = F.col("x").isNotNull() & F.col("y").isNotNull()
+        if wgs84:
+            good = F.coalesce(good & F.col("x").between(-180, 180) & F.col("y").between(-90, 90), F.lit(False))
+    if on_invalid == "raise" and not out.where(~good).isEmpty():
+        raise ValueError("there are rows without a usable place")
+    out = out.withColumn("_idx", F.monotonically_increasing_id()).where(good)
+    rest = [c for c in raw.columns if c not in (*taken, "x", "y", "geometry")]
+    trimmed = lambda c: F.when(F.trim(F.col(f"`{c}`")) != "", F.trim(F.col(f"`{c}`")))
+    tests = [F.bool_and(F.when(trimmed(c).isNotNull(), local_number(f"`{c}`").isNotNull() & ~F.trim(F.translate(F.col(f"`{c}`"), LOCAL_DIGITS, LATIN_DIGITS)).rlike("^[+-]?0[0-9]"))).alias(f"t{i}") for i, c in enumerate(rest)]
+    numeric = out.agg(*tests).first() if tests and infer_types else [False] * len(rest)
+    out = out.withColumns({c: local_number(f"`{c}`") if numeric[i] else trimmed(c) for i, c in enumerate(rest)}) if rest else out
+    return out.orderBy("_idx").limit(max_rows) if max_rows is not None else out
+
+
+def load_csv(path: str, **options) -> DataFrame:
+    """``read_csv_points`` of the active session, for query specifications."""
+    return read_csv_points(SparkSession.active(), path, **options)
 
 
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
