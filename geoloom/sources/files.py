@@ -67,8 +67,7 @@ def read_csv_points(
 ) -> DataFrame:
     """Points, or the geometries of ``wkt_field``, from delimited files; rows without a usable place go, or are refused.
 
-    Without an encoding, files with bytes that aren't UTF-8 count as windows-1256 (a file that
-    holds U+FFFD needs its encoding named). A column is numeric if every value that is there
+    Without an encoding, files with bytes that aren't UTF-8 count as windows-1256. A column is numeric if every value that is there
     parses and none has a leading zero; that takes one aggregation over the files. Values that
     span lines need ``multi_line``, which makes each file one task's work. Blank rows are no rows.
     """
@@ -79,7 +78,7 @@ def read_csv_points(
     if delimiter is not None and len(delimiter) != 1:
         raise ValueError("a delimiter is a single character")
     if encoding is None:
-        encoding = "UTF-8" if spark.read.text(path).where(F.contains("value", F.lit("\ufffd"))).isEmpty() else "windows-1256"
+        encoding = "UTF-8" if spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty() else "windows-1256"
     raw = spark.read.csv(path, header=True, sep=delimiter or delimiter_of(spark, path), encoding={"utf-8-sig": "UTF-8", "cp1256": "windows-1256", "latin-1": "ISO-8859-1", "cp1252": "windows-1252"}.get(encoding, encoding), mode="PERMISSIVE", multiLine=multi_line, escape='"')
     arabic = encoding in ("windows-1256", "cp1256")
     clean = [c.lstrip("\ufeff").strip().translate(str.maketrans(ARABIC_LETTERS, PERSIAN_LETTERS) if arabic else {}) for c in raw.columns]

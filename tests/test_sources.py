@@ -49,3 +49,42 @@ def test_lookups(spark):
     places = spark.createDataFrame([(1, "Tehran", 51.4, 35.7), (2, "tehran ", 0.0, 0.0)], "_idx int, name string, x double, y double")
     asked = spark.createDataFrame([(" TEHRAN",), ("zz",)], "query string")
     assert [r.x for r in files.geocode(asked, places).orderBy("query").collect()] == [51.4, None]
+
+
+def test_csv_details(spark, tmp_path):
+    (tmp_path / "w.tsv").write_text("id\tshape\tn\n1\tPOINT (1 2)\t1,234,567\n2\tpolygon((0 0,4 0,4 +3.,0 .3e1,0 0))\t12,5\n3\tPOINT EMPTY\t1\n4\tnonsense\t2\n\t\t\n5\tMULTIPOINT Z ((1 2 9),(3 4 9))\t3\n6\tLINESTRING (1 1)x\t4\n", encoding="utf-8")
+    df = files.read_csv_points(spark, f"{tmp_path}/w.tsv", wkt_field="Shape")
+    assert {r.id: (r.geometry.type, r.n) for r in df.collect()} == {1.0: ("Point", 1234567.0), 2.0: ("Polygon", 12.5), 5.0: ("MultiPoint", 3.0)}
+    assert df.where("id = 2").select(g.area(F.col("geometry"))).first()[0] == 12.0
+    assert files.read_csv_points(spark, f"{tmp_path}/w.tsv", wkt_field="shape", max_rows=2).count() == 2
+    for wrong in ({"on_invalid": "raise"}, {"on_invalid": "drop"}, {"max_rows": 0}, {"delimiter": ";;"}):
+        with pytest.raises(ValueError):
+            files.read_csv_points(spark, f"{tmp_path}/w.tsv", wkt_field="shape", **wrong)
+    (tmp_path / "old.csv").write_bytes("name;lat;lon\nتهران كي;35,6;51,4\n".encode("windows-1256"))
+    row = files.read_csv_points(spark, f"{tmp_path}/old.csv").first()
+    assert (row.name, row.x, row.y) == ("تهران کی", 51.4, 35.6)
+    (tmp_path / "bom.csv").write_bytes("x,lon,lat\n7,1,2\n8,,2\n".encode("utf-8-sig"))
+    row = files.read_csv_points(spark, f"{tmp_path}/bom.csv").collect()
+    assert [(r.x, r.y) for r in row] == [(1.0, 2.0)]
+
+
+@pytest.mark.parametrize("text", ["POINT (1 2)", "LINESTRING (1 2, 3 4.5, -1e3 0)", "POLYGON ((0 0, 4 0, 4 4, 0 0), (1 1, 2 1, 2 2, 1 1))", "MULTIPOINT ((1 2), (3 4))", "MULTILINESTRING ((1 2, 3 4), (5 6, 7 8))", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5)))"])
+def test_wkt_round_trip(spark, text):
+    once = spark.createDataFrame([(text,)], "t string").select(g.from_wkt(F.col("t")).alias("geometry"))
+    again = once.select("geometry", g.from_wkt(g.wkt(F.col("geometry"))).alias("again")).first()
+    assert again.geometry is not None and again.geometry == again.again
+
+
+@pytest.mark.parametrize("text", [None, "", "POINT EMPTY", "POINT (1)", "CIRCLE (1 2)", "LINESTRING (1 2, 3)", "POINT (1 2"])
+def test_wkt_of_nothing(spark, text):
+    assert spark.createDataFrame([(text,)], "t string").select(g.from_wkt(F.col("t")).alias("geometry")).first().geometry is None
+
+
+def test_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from geoloom.operators.storage import shared_folder
+
+    conf = SimpleNamespace(get=lambda key: None)
+    with pytest.raises(ValueError):
+        shared_folder(SimpleNamespace(sparkContext=SimpleNamespace(master="spark://a:7077", getCheckpointDir=lambda: None, getConf=lambda: conf)))
