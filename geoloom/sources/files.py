@@ -79,12 +79,17 @@ def read_csv_points(
         raise ValueError("a delimiter is a single character")
     if encoding is None:
         encoding = "UTF-8" if spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty() else "windows-1256"
-    raw = spark.read.csv(path, header=True, sep=delimiter or delimiter_of(spark, path), encoding={"utf-8-sig": "UTF-8", "cp1256": "windows-1256", "latin-1": "ISO-8859-1", "cp1252": "windows-1252"}.get(encoding, encoding), mode="PERMISSIVE", multiLine=multi_line, escape='"')
-    arabic = encoding in ("windows-1256", "cp1256")
-    clean = [c.lstrip("\ufeff").strip().translate(str.maketrans(ARABIC_LETTERS, PERSIAN_LETTERS) if arabic else {}) for c in raw.columns]
+    # the reader has no such charsets: bytes are read one to one and their letters put in afterwards
+    page = {"windows-1256": "cp1256", "cp1256": "cp1256", "cp1252": "cp1252", "windows-1252": "cp1252"}.get(encoding)
+    high = bytes(range(128, 256)).decode("latin-1") if page else ""
+    letters = high.encode("latin-1").decode(page, "replace") if page else ""
+    if page == "cp1256":
+        letters = letters.translate(str.maketrans(ARABIC_LETTERS, PERSIAN_LETTERS))
+    raw = spark.read.csv(path, header=True, sep=delimiter or delimiter_of(spark, path), encoding="ISO-8859-1" if high else {"utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1"}.get(encoding, encoding), mode="PERMISSIVE", multiLine=multi_line, escape='"')
+    clean = [c.lstrip("\ufeff").strip().translate(str.maketrans(high, letters)) for c in raw.columns]
     raw = raw.toDF(*clean)
-    if arabic:
-        raw = raw.select(*[F.translate(F.col(f"`{c}`"), ARABIC_LETTERS, PERSIAN_LETTERS).alias(c) for c in clean])
+    if page:
+        raw = raw.select(*[F.translate(F.col(f"`{c}`"), high, letters).alias(c) for c in clean])
     key = lambda c: c.strip().lower().replace(" ", "_")
     named = {key(c): c for c in raw.columns}
 
