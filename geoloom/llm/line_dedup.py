@@ -4,7 +4,8 @@ A line is the set of its lower-cased words. It is removed if an earlier line,
 by (doc_id, line number, set, text hash), has the same set or one with Jaccard
 similarity of at least ``threshold``.
 
-Lines with one set become one class, which is placed by its first line. The
+Lines with one set become one class, which is placed by its first line; what has
+the set of an earlier line of its batch is removed there and goes no further. The
 words of a class are ordered by rarity: by a corpus count of fixed size (words
 hashed into ``COUNTERS`` counters, on a logarithmic scale), then by hash, so the
 order is the same for all lines. Two similar sets share a word of their prefixes,
@@ -15,7 +16,9 @@ bitmaps do in bits). What is left is verified on the words of both lines.
 
 Words that occur once in the corpus get no posting. A word of more than ``HOT``
 occurrences is paired with the words that can be the second one that two similar
-sets share, so no posting list of a single word has more classes than that.
+sets share, so no posting list of a single word has more classes than that. Postings are packed
+by parts, ranges of their keys that hold about ``PART`` of them, so what is shuffled
+are a few rows with many postings each.
 
 A class needs only one earlier match. Under a key of up to ``FEW`` classes all of
 them are held against each other. Under others each class is held against the
@@ -37,40 +40,81 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, map_columns, row_key, text_of
+from .common import BROADCAST_BYTES, LOWER, bounded, cut, map_columns, row_key, shards_for, text_of
 
 THRESHOLD, COUNTERS = 0.8, 1 << 18
 #: Steps of the logarithmic count for a doubling, and the step from which a word is paired (4096 occurrences).
 STEPS, HOT = 8, 96
 #: Classes under one key that are all held against each other, and those that are in one task's memory.
 FEW, LONG_LIST = 256, 20_000
+#: Pairs that are verified at once.
+FEW_PAIRS = 1 << 15
 #: Words from which a set's bitmap has 128 bits; sizes and positions that go into 16 bits.
 WIDE, MOST = 48, (1 << 16) - 1
+#: Postings of a part, which one task holds, those that a task packs at once, and those of a part from which long lists are cut.
+PART, PACKED, HELD = 1 << 19, 1 << 18, 1 << 21
+#: Lines whose postings are spread at once.
+PACKED_ROWS = 1 << 12
+#: Bytes that a hash takes at a time, its masks for the last ones, and the bytes between words.
+BLOCK = 8
+MASKS = np.array([(1 << 8 * i) - 1 for i in range(BLOCK + 1)], np.uint64)
+SMALL = np.frombuffer(LOWER, np.uint8)
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def mixed(x: np.ndarray, salt: int) -> np.ndarray:
     """Hash of 64-bit hashes, another one for each salt."""
-    x = (x ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    x = x ^ np.uint64(salt)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each lower-cased word of the texts and the number of its text.
+
+    A hash takes a word's length and its blocks of eight bytes one by one, all words at a time.
+    """
+    _, ends, held = texts.buffers()
+    offsets = np.frombuffer(ends, np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    low, high = int(offsets[0]), int(offsets[-1])
+    data = np.zeros(high - low + BLOCK, np.uint8)
+    if high > low:
+        data[:-BLOCK] = SMALL[np.frombuffer(held, np.uint8)[low:high]]
+    inside = np.zeros(high - low + 2, bool)
+    inside[1:-1] = ~SPACE[data[:-BLOCK]]
+    # words of neighbouring texts may touch
+    bounds = offsets - low
+    after, before = inside[1:], inside[:-1]
+    edge = after != before
+    touch = bounds[after[bounds] & before[bounds]]
+    edge[touch] = True
+    edges = np.flatnonzero(edge)
+    if len(touch):
+        edges = np.repeat(edges, 1 + (after[edges] & before[edges]))
+    start, length = edges[::2], edges[1::2] - edges[::2]
+    blocks = np.ndarray(len(data) - BLOCK + 1, np.uint64, data, strides=(1,))
+    hashes = mixed(blocks[start] & MASKS[np.minimum(length, BLOCK)], 7)
+    hashes += length.view(np.uint64)
+    more = np.flatnonzero(length > BLOCK)
+    done = BLOCK
+    while len(more):
+        hashes[more] = mixed(hashes[more], 8) ^ mixed(blocks[start[more] + done] & MASKS[np.minimum(length[more] - done, BLOCK)], 9)
+        done += BLOCK
+        more = more[length[more] > done]
+    return hashes, np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, bounds)))
 
 
 def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the distinct lower-cased words, and for each word of the texts its place there and the number of its text."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    coded = split.flatten().dictionary_encode()
-    distinct = coded.dictionary.to_numpy(zero_copy_only=False)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
-    at, code = np.repeat(np.arange(len(split)), np.diff(split.offsets.to_numpy())), coded.indices.to_numpy()
-    none = pc.index(coded.dictionary, "").as_py()
-    if none >= 0:
-        some = code != none
-        at, code = at[some], code[some]
-    return hashes, code, at
+    hashes, at = hashed_words(texts)
+    coded = pa.array(hashes).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy(), at
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -80,8 +124,8 @@ def rarity(docs: DataFrame) -> np.ndarray:
         total = np.zeros(COUNTERS, np.int64)
 
         def one(batch):
-            hashes, code, _ = numbered(batch["text"])
-            np.add.at(total, (hashes % np.uint64(COUNTERS)).astype(np.int64), np.bincount(code, minlength=len(hashes)))
+            hashes, _ = hashed_words(batch["text"])
+            total[:] += np.bincount((hashes % np.uint64(COUNTERS)).view(np.int64), minlength=COUNTERS)
 
         def end():
             used = np.flatnonzero(total)
@@ -109,12 +153,17 @@ def distinct_words(texts: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.
     return keys >> 32, hashes[word], count[word]
 
 
+def whole(doc_id: pa.Array) -> np.ndarray:
+    """Nulls come before all others."""
+    return doc_id.fill_null(np.iinfo(np.int64).min).to_numpy()
+
+
 def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
-def postings(text: np.ndarray, word: np.ndarray, count: np.ndarray, start: np.ndarray, n: np.ndarray, threshold: float) -> tuple[pa.ListArray, pa.ListArray]:
-    """For each text its prefix as keys (0: none), and the keys of pairs (high half) with the number of words before the second word (low half).
+def postings(text: np.ndarray, word: np.ndarray, count: np.ndarray, start: np.ndarray, n: np.ndarray, copy: np.ndarray, threshold: float) -> tuple[pa.ListArray, pa.ListArray]:
+    """For each text that is no copy its prefix as keys (0: none), and the keys of pairs (high half) with the number of words before the second word (low half).
 
     A pair of sets shares need = ceil(threshold * n) words at least. If its first common
     word is at i, the second one is among the n - i - need + 1 words behind that.
@@ -122,7 +171,7 @@ def postings(text: np.ndarray, word: np.ndarray, count: np.ndarray, start: np.nd
     place = np.arange(len(text)) - np.repeat(start, n)
     length = prefix_length(n, threshold)
     # a set of n words can be like another one only if n of n + 1 common words are enough
-    length = np.where(n >= threshold * (n + 1) - 1e-9, length, 0)
+    length = np.where(~copy & (n >= threshold * (n + 1) - 1e-9), length, 0)
     inside = np.flatnonzero(place < np.repeat(length, n))
     short = np.maximum(mixed(word[inside], 3) >> np.uint64(32), 1).astype(np.uint32).view(np.int32)
     singles = np.where((count[inside] > 0) & (count[inside] < HOT), short, 0)
@@ -136,11 +185,28 @@ def postings(text: np.ndarray, word: np.ndarray, count: np.ndarray, start: np.nd
     return tuple(pa.ListArray.from_arrays(pa.array(np.searchsorted(text[owner], ends).astype(np.int32)), pa.array(keys)) for owner, keys in ((inside, singles), (first, pairs)))
 
 
-LINES = "doc_id bigint, key bigint, line int, c bigint, c2 bigint, n int, lo bigint, hi bigint, prefix array<int>, pairs array<bigint>"
+def copies(c: np.ndarray, c2: np.ndarray, doc: np.ndarray, line: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which lines have the set of an earlier one among them; lines at one place in equal documents are one line."""
+    by = np.argsort(c)
+    equal = np.flatnonzero(c[by][1:] == c[by][:-1])
+    some = by[np.unique(np.concatenate([equal, equal + 1]))]
+    some = some[np.lexsort((key[some], line[some], doc[some], c2[some], c[some]))]
+    differs = lambda *columns: np.r_[True, np.any([a[some][1:] != a[some][:-1] for a in columns], 0)]
+    out = np.zeros(len(c), bool)
+    if len(some):
+        first = np.maximum.accumulate(np.where(differs(c, c2), np.arange(len(some)), 0))
+        out[some] = np.any([a[some] != a[some[first]] for a in (doc, line, key)], 0)
+    return out
+
+
+LINES = "doc_id bigint, key bigint, line int, c bigint, c2 bigint, n int, lo bigint, hi bigint, copy boolean, posted int, prefix array<int>, pairs array<bigint>"
 
 
 def line_sets(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """Every line that has words: its place, the hashes c and c2 of its set, the set's size, bitmap and postings."""
+    """Every line that has words: its place, the hashes c and c2 of its set, the set's size and bitmap, and its postings and their number.
+
+    ``copy`` marks lines that have the set of an earlier line of their batch; those have no postings.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(counts)
 
     def make():
@@ -155,14 +221,17 @@ def line_sets(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFram
             line = text[start]
             doc = np.repeat(np.arange(len(lines)), lengths)[line]
             number = line - (np.cumsum(lengths) - lengths)[doc]
-            prefix, pairs = postings(text, word, count, start, n, threshold)
+            c, c2 = (np.add.reduceat(mixed(word, salt), start).view(np.int64) for salt in (1, 2))
+            copy = copies(c, c2, whole(batch["doc_id"])[doc], number, batch["key"].to_numpy()[doc])
+            prefix, pairs = postings(text, word, count, start, n, copy, threshold)
+            posted = np.diff(pairs.offsets.to_numpy()) + np.add.reduceat(np.r_[prefix.values.to_numpy() != 0, False].astype(np.int32), prefix.offsets.to_numpy()[:-1]) * (np.diff(prefix.offsets.to_numpy()) > 0)
             place = mixed(word, 6) >> np.uint64(57)
             bit = np.uint64(1) << (place & np.uint64(63))
             wide = np.repeat(n > WIDE, n) & (place >= 64)
             taken = pa.array(doc)
             return {
                 "doc_id": batch["doc_id"].take(taken), "key": batch["key"].take(taken), "line": number.astype(np.int32), "n": n.astype(np.int32),
-                "c": np.add.reduceat(mixed(word, 1), start).view(np.int64), "c2": np.add.reduceat(mixed(word, 2), start).view(np.int64),
+                "c": c, "c2": c2, "copy": copy, "posted": posted.astype(np.int32),
                 "lo": np.bitwise_xor.reduceat(np.where(wide, 0, bit), start).view(np.int64), "hi": np.bitwise_xor.reduceat(np.where(wide, bit, 0), start).view(np.int64),
                 "prefix": prefix, "pairs": pairs,
             }
@@ -172,11 +241,10 @@ def line_sets(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFram
     return map_columns(rows, LINES, make)
 
 
-def room(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
-    """Length and positional filters for sets of n and m words that first meet behind i and j words."""
+def room(n: np.ndarray, left: np.ndarray, m: np.ndarray, others: np.ndarray, threshold: float) -> np.ndarray:
+    """Length and positional filters for sets of n and m words that first meet with so many words left."""
     need = np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
-    left = np.minimum(np.where(n < MOST, n - i, MOST), np.where(m < MOST, m - j, MOST))
-    return (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (left >= need)
+    return (np.minimum(left, others) >= need) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9)
 
 
 def alike(x: dict, y: dict, threshold: float) -> np.ndarray:
@@ -200,54 +268,140 @@ def might_match_columns(threshold: float) -> Column:
     return shorter & (1 + F.least(*left) >= need) & (bits <= x["n"] + y["n"] - 2 * need)
 
 
-def posted(classes: DataFrame) -> DataFrame:
-    """A row for each key of each class; at is line, n and pos in 32, 16 and 16 bits."""
-    single = F.transform("prefix", lambda word, i: F.when(word != 0, F.shiftleft(word.cast("bigint"), 32).bitwiseOR(i.cast("bigint"))))
-    keys = F.concat(F.filter(single, lambda key: key.isNotNull()), F.col("pairs"))
-    listed = classes.select("doc_id", F.shiftleft(F.col("line").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.least("n", F.lit(MOST)), 16).cast("bigint").bitwiseAND(0xFFFFFFFF)).alias("at"), "c", "lo", "hi", F.explode(keys).alias("p"))
-    return listed.select(F.shiftright("p", 32).cast("int").alias("word"), "doc_id", F.col("at").bitwiseOR(F.least(F.col("p").bitwiseAND(0xFFFFFFFF), F.lit(MOST))).alias("at"), "c", "lo", "hi")
+def spread(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, at) of the postings of a batch of lines; at is line, n and pos in 32, 16 and 16 bits."""
+    prefix, pairs = batch["prefix"], batch["pairs"]
+    sizes = [np.diff(lists.offsets.to_numpy()) for lists in (prefix, pairs)]
+    row, second = (np.repeat(np.arange(batch.num_rows), size) for size in sizes)
+    key, pair = (lists.flatten().to_numpy() for lists in (prefix, pairs))
+    pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes[0]) - sizes[0], sizes[0])
+    some = key != 0
+    row, key = np.concatenate([row[some], second]), np.concatenate([key[some], (pair >> 32).astype(np.int32)])
+    pos = np.minimum(np.concatenate([pos[some], pair & 0xFFFFFFFF]), MOST)
+    at = batch["line"].to_numpy().astype(np.int64) << 32 | np.minimum(batch["n"].to_numpy(), MOST).astype(np.int64) << 16
+    return row, key, at[row] | pos
+
+
+def postings_of(lines: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """A row for each posting of the lines, or for those under one of the keys."""
+    wanted = None
+    if keys is not None and 4 * keys.count() <= BROADCAST_BYTES:
+        wanted = lines.sparkSession.sparkContext.broadcast(np.unique(keys.toPandas()["word"].to_numpy(np.int32)))
+
+    def make():
+        def one(batch):
+            row, key, at = spread(batch)
+            if wanted is not None:
+                place = np.minimum(np.searchsorted(wanted.value, key), max(len(wanted.value) - 1, 0))
+                some = wanted.value[place] == key if len(wanted.value) else np.zeros(len(key), bool)
+                row, key, at = row[some], key[some], at[some]
+            taken = pa.array(row)
+            return {"word": key, "at": at} | {k: batch[k].take(taken) for k in ("doc_id", "c", "lo", "hi")} if len(key) else None
+
+        return one
+
+    listed = map_columns(_with_postings(lines), "word int, doc_id bigint, at bigint, c bigint, lo bigint, hi bigint", make, PACKED_ROWS)
+    return listed if keys is None or wanted is not None else listed.join(keys, "word", "left_semi")
+
+
+def _with_postings(lines: DataFrame) -> DataFrame:
+    return lines.where("posted > 0").select("doc_id", "line", "n", "c", "lo", "hi", "prefix", "pairs")
 
 
-def candidates(listed: DataFrame, threshold: float) -> DataFrame:
+def packed(lines: DataFrame) -> DataFrame:
+    """The postings by parts, ranges of their keys: (part, packed), many postings a row, column after column.
+
+    Parts hold about ``PART`` postings, however many there are in all.
+    """
+    parts = shards_for(lines.agg(F.sum("posted")).first()[0], PART)
+
+    def make():
+        held: list[list[np.ndarray]] = []
+
+        def flush():
+            if not held:
+                return None
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            key = columns[0].view(np.uint32)
+            by = np.argsort(key)
+            columns = [x[by] for x in columns]
+            part = key[by].astype(np.uint64) * np.uint64(parts) >> np.uint64(32)
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            rows = [b"".join(x[i:j].tobytes() for x in columns) for i, j in zip(first, np.r_[first[1:], len(part)], strict=True)]
+            return {"part": part[first].astype(np.int32), "packed": pa.array(rows, pa.binary())}
+
+        def one(batch):
+            row, key, at = spread(batch)
+            held.append([key, whole(batch["doc_id"])[row], at, *(batch[k].to_numpy()[row] for k in ("c", "lo", "hi"))])
+            return flush() if sum(len(x[0]) for x in held) >= PACKED else None
+
+        return one, flush
+
+    return map_columns(_with_postings(lines), "part int, packed binary", make, PACKED_ROWS)
+
+
+def unpacked(rows: list[bytes]) -> list[np.ndarray]:
+    """The columns word, doc_id, at, c, lo and hi of packed postings."""
+    sizes = [len(x) // 44 for x in rows]
+    columns = [[np.frombuffer(x, np.int32, n) for x, n in zip(rows, sizes, strict=True)]]
+    columns += [[np.frombuffer(x, np.int64, n, n * (4 + 8 * i)) for x, n in zip(rows, sizes, strict=True)] for i in range(5)]
+    return [np.concatenate(x) for x in columns]
+
+
+def once(word: np.ndarray, doc: np.ndarray, at: np.ndarray, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The earliest line of each set under each key, by key, then size."""
+    by = np.argsort(word.view(np.uint32).astype(np.uint64) << np.uint64(32) | c.view(np.uint64) & np.uint64(0xFFFFFFFF))
+    same = (word[by][1:] == word[by][:-1]) & (c[by][1:] & 0xFFFFFFFF == c[by][:-1] & 0xFFFFFFFF)
+    tied = np.r_[False, same] | np.r_[same, False]
+    some = by[tied]
+    n = at >> 16 & MOST
+    some = some[np.lexsort((at[some] >> 32, doc[some], n[some], hi[some], lo[some], c[some], word[some]))]
+    if len(some):
+        some = some[np.r_[True, np.any([x[some][1:] != x[some][:-1] for x in (word, c, lo, hi, n)], 0)]]
+    kept = np.concatenate([by[~tied], some])
+    return kept[np.argsort(word[kept].view(np.uint32).astype(np.int64) << 16 | n[kept])]
+
+
+def candidates(parts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (x, y) of set hashes, x the later one; with y null, x is yet to be held against the others of a list if no pair decides.
 
-    The postings of a key come together, and only one key's are held at once.
+    The postings of a part come together, and only one part's are held at once. Of a part with a
+    very long list, the list's earliest class is all that is kept of it.
     """
 
     def make():
-        rest: list[pa.RecordBatch] = []
-        long: list[int] = []
+        held: list[list[np.ndarray]] = []
+        state = {"part": None, "limit": HELD}
+        long: set[int] = set()
 
-        def groups(batches: list[pa.RecordBatch]) -> dict | None:
-            table = pa.Table.from_batches(batches)
-            word, at = table["word"].to_numpy(), table["at"].to_numpy()
+        def groups(word, doc, at, c, lo, hi) -> list[np.ndarray]:
             # in a list, classes stand by size, so those of like size stand together
             start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             size = np.diff(np.r_[start, len(word)])
             key = np.repeat(np.arange(len(start)), size) << 32 | at >> 16 & MOST
-            by_size = np.argsort(key)
-            key, at = key[by_size], at[by_size]
-            own = {k: table[k].to_numpy()[by_size] for k in ("lo", "hi")} | {"n": at >> 16 & MOST, "pos": at & MOST}
-            c, doc, line = table["c"].to_numpy()[by_size], table["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy()[by_size], at >> 32
-            long_one, whole = np.repeat((size > LONG_LIST) | np.isin(word[start], long), size), np.repeat(size <= FEW, size)
+            own, line = {"lo": lo, "hi": hi, "n": at >> 16 & MOST}, at >> 32
+            left = np.where(own["n"] < MOST, own["n"] - (at & MOST), MOST)
+            long_one, whole = np.repeat((size > LONG_LIST) | np.isin(word[start], [*long]), size), np.repeat(size <= FEW, size)
             whole &= ~long_one
             pairs = []
 
             def compare(x, y):
                 """Which of the pairs might match; those are kept."""
-                n, m, i, j = own["n"][x], own["n"][y], own["pos"][x], own["pos"][y]
-                far = np.flatnonzero(room(n, i, m, j, threshold))
+                far = np.flatnonzero(room(own["n"][x], left[x], own["n"][y], left[y], threshold))
                 x, y = x[far], y[far]
                 near = alike(*({k: a[z] for k, a in own.items()} for z in (x, y)), threshold)
                 return far[near], x[near], y[near]
 
             def meet(x, first, others):
                 """Each x against the next so many of the others from the first on, in slices of bounded size."""
-                left = np.cumsum(others)
-                for low in range(0, int(left[-1]) if len(left) else 0, 1 << 18):
-                    number = np.arange(low, min(low + (1 << 18), int(left[-1])))
-                    row = np.searchsorted(left, number, "right")
-                    yield x[row], first[row] + number - (left - others)[row]
+                ends = np.cumsum(others)
+                for low in range(0, int(ends[-1]) if len(ends) else 0, 1 << 18):
+                    high = min(low + (1 << 18), int(ends[-1]))
+                    rows = np.arange(np.searchsorted(ends, low, "right"), np.searchsorted(ends, high) + 1)
+                    begins = ends[rows] - others[rows]
+                    row = np.repeat(rows, np.minimum(ends[rows], high) - np.maximum(begins, low))
+                    yield x[row], np.arange(low, high) + (first - ends + others)[row]
 
             earliest = np.flatnonzero(~whole & (doc == np.repeat(np.minimum.reduceat(doc, start), size)))
             earliest = earliest[np.lexsort((c[earliest], line[earliest], key[earliest] >> 32))]
@@ -276,36 +430,58 @@ def candidates(listed: DataFrame, threshold: float) -> DataFrame:
             x, y = np.where(swap, y, x), np.where(swap, x, y)
             decides = ~near[x] | (y == lead[x])
             x, y = x[decides], y[decides]
-            ends = pa.concat_arrays([pa.array(c[y], pa.int64()), pa.nulls(len(undecided), pa.int64())])
-            return {"x": np.r_[c[x], undecided], "y": ends} if len(ends) else None
+            return [np.r_[c[x], undecided], np.r_[c[y], np.zeros(len(undecided), np.int64)], np.arange(len(x) + len(undecided)) >= len(x)]
+
+        def met(last: bool) -> list[list[np.ndarray]]:
+            """What comes of the postings held; but for the last ones of a part, only long lists are done."""
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            by = once(*columns)
+            columns = [x[by] for x in columns]
+            word = columns[0]
+            start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            size = np.diff(np.r_[start, len(word)])
+            of_long = (size > LONG_LIST) | np.isin(word[start], [*long])
+            done = np.repeat(size > 1 if last else of_long & (size > 1), size)
+            out = [groups(*(x[done] for x in columns))] if done.any() else []
+            held.clear()
+            if last:
+                long.clear()
+            else:
+                long.update(word[start[of_long]].tolist())
+                mine = np.flatnonzero(np.repeat(of_long, size))
+                mine = mine[np.lexsort((columns[3][mine], columns[2][mine] >> 32, columns[1][mine], word[mine]))]
+                lead = mine[np.r_[True, word[mine][1:] != word[mine][:-1]]] if len(mine) else mine
+                kept = np.sort(np.concatenate([np.flatnonzero(~np.repeat(of_long, size)), lead]))
+                held.append([x[kept] for x in columns])
+            return out
+
+        def result(out: list[list[np.ndarray]]) -> dict | None:
+            x, y, none = (np.concatenate(z) for z in zip(*out, strict=True)) if out else ([], [], [])
+            return {"x": x, "y": pa.array(y, pa.int64(), mask=none)} if len(x) else None
 
         def one(batch):
-            """Keys that have ended are done; the last one waits for its other rows."""
-            word = batch["word"].to_numpy()
-            others = np.flatnonzero(word != word[-1])
-            last = int(others[-1]) + 1 if len(others) else 0
-            if last or rest and rest[-1]["word"][-1].as_py() != word[0]:
-                done = [*rest, batch.slice(0, last)]
-                rest[:] = [batch.slice(last)]
-                return groups(done)
-            rest.append(batch)
-            if sum(b.num_rows for b in rest) <= LONG_LIST:
-                return None
-            # a long list goes on: its earliest class is all that is kept of it
-            long[:] = [int(word[0])]
-            done = pa.Table.from_batches(rest).combine_chunks().to_batches()
-            doc, at, c = (done[0][k].fill_null(np.iinfo(np.int64).min).to_numpy() for k in ("doc_id", "at", "c"))
-            rest[:] = [done[0].slice(int(np.lexsort((c, at >> 32, doc))[0]), 1)]
-            return groups(done)
-
-        return one, lambda: groups(rest) if rest else None
-
-    together = listed.repartition("word").sortWithinPartitions("word")
-    return map_columns(together, "x bigint, y bigint", make, 1 << 16)
+            """Parts that have ended are done; the last one waits for its other rows."""
+            out, part = [], batch["part"].to_numpy()
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            for i, j in zip(first, np.r_[first[1:], len(part)], strict=True):
+                if held and state["part"] != part[i]:
+                    out += met(True)
+                    state["limit"] = HELD
+                state["part"] = part[i]
+                held.append(unpacked([x.as_py() for x in batch["packed"][i:j]]))
+                if (n := sum(len(x[0]) for x in held)) > state["limit"]:
+                    out += met(False)
+                    state["limit"] = max(HELD, 2 * sum(len(x[0]) for x in held))
+            return result(out)
+
+        return one, lambda: result(met(True)) if held else None
+
+    together = parts.repartition("part").sortWithinPartitions("part")
+    return map_columns(together, "x bigint, y bigint", make)
 
 
 def words_of(ends: DataFrame, lines: DataFrame, rows: DataFrame) -> DataFrame:
-    """(c, c2, words) of the classes with set hash c, read from one line of each."""
+    """(c, c2, place, words) of the classes with set hash c, read from the first line of each."""
 
     def make():
         once = np.zeros(COUNTERS, np.uint8)
@@ -318,15 +494,16 @@ def words_of(ends: DataFrame, lines: DataFrame, rows: DataFrame) -> DataFrame:
             chosen = split.flatten().take(pa.array(split.offsets.to_numpy()[doc] - split.offsets[0].as_py() + each.field("line").to_numpy()))
             text, word, _ = distinct_words(chosen, once)
             offsets = np.searchsorted(text, np.arange(len(chosen) + 1)).astype(np.int32)
-            return {"c": each.field("c"), "c2": each.field("c2"), "words": pa.ListArray.from_arrays(pa.array(offsets), pa.array(word.view(np.int64)))}
+            return {"c": each.field("c"), "c2": each.field("c2"), "doc_id": batch["doc_id"].take(pa.array(doc)), "line": each.field("line"), "words": pa.ListArray.from_arrays(pa.array(offsets), pa.array(word.view(np.int64)))}
 
         return one
 
     n = ends.count()
-    first = lines.select("doc_id", "key", "line", "c", "c2").join(bounded(ends, 32 * n), "c", "left_semi").groupBy("c", "c2").agg(F.min(F.struct("doc_id", "key", "line")).alias("p"))
+    first = lines.where("not copy").select("doc_id", "key", "line", "c", "c2").join(bounded(ends, 32 * n), "c", "left_semi").groupBy("c", "c2").agg(F.min(F.struct("doc_id", "line", "key")).alias("p"))
     wanted = first.groupBy("p.doc_id", "p.key").agg(F.collect_list(F.struct("p.line", "c", "c2")).alias("wanted"))
-    found = _of_document(rows, bounded(cut(wanted), 128 * n)).select("text", "wanted")
-    return map_columns(found, "c bigint, c2 bigint, words array<bigint>", make).repartition("c").dropDuplicates(["c", "c2"])
+    found = _of_document(rows, bounded(cut(wanted), 128 * n)).select("doc_id", "text", "wanted")
+    words = map_columns(found, "c bigint, c2 bigint, doc_id bigint, line int, words array<bigint>", make)
+    return words.select("c", "c2", F.struct("doc_id", "line", "c").alias("place"), "words").repartition("c").dropDuplicates(["c", "c2"])
 
 
 def _of_document(rows: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
@@ -336,23 +513,25 @@ def _of_document(rows: DataFrame, other: DataFrame, how: str = "inner") -> DataF
 
 
 def verified(pairs: DataFrame, lines: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """The (c, c2) of those x of the pairs whose words are similar enough to the words of a y."""
+    """The (c, c2) of those x of the pairs whose words are similar enough to the words of an earlier y."""
     words = words_of(cut(pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct()), lines, rows)
-    left = words.select(F.col("c").alias("x"), "c2", F.col("words").alias("xw"))
-    right = words.select(F.col("c").alias("y"), F.col("words").alias("yw"))
+    left = words.select(F.col("c").alias("x"), "c2", F.col("place").alias("x_place"), F.col("words").alias("xw"))
+    right = words.select(F.col("c").alias("y"), F.col("place").alias("y_place"), F.col("words").alias("yw"))
     both = F.size(F.array_intersect("xw", "yw"))
-    return pairs.join(left, "x").join(right, "y").where(both >= threshold * (F.size("xw") + F.size("yw") - both) - 1e-9).select(F.col("x").alias("c"), "c2").distinct()
+    return pairs.join(left, "x").join(right, "y").where(F.col("y_place") < F.col("x_place")).where(both >= threshold * (F.size("xw") + F.size("yw") - both) - 1e-9).select(F.col("x").alias("c"), "c2").distinct()
 
 
 def matched(pairs: DataFrame, lines: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """As ``verified``; each x (with n keys in common with y) is first held against the y with most in common, then against its others."""
+    """As ``verified``; each x (with n keys in common with y) is first held against the y with most in common, then against its others; up to ``FEW_PAIRS`` pairs are taken at once."""
+    if pairs.count() <= FEW_PAIRS:
+        return cut(verified(pairs.select("x", "y"), lines, rows, threshold))
     first = cut(pairs.groupBy("x").agg(F.max_by("y", F.struct("n", "y")).alias("y")))
     hits = cut(verified(first, lines, rows, threshold))
     others = cut(pairs.select("x", "y").join(hits.select(F.col("c").alias("x")), "x", "left_anti").join(first, ["x", "y"], "left_anti"))
     return hits if others.isEmpty() else cut(hits.unionByName(verified(others, lines, rows, threshold)))
 
 
-def _unpacked(listed: DataFrame) -> DataFrame:
+def _first_of_each(listed: DataFrame) -> DataFrame:
     """One row for a key and class, with its earliest place."""
     once = listed.groupBy("word", "c").agg(F.min(F.struct("doc_id", "at")).alias("place"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     size = lambda shift: F.shiftright("place.at", shift).bitwiseAND(MOST)
@@ -362,10 +541,8 @@ def _unpacked(listed: DataFrame) -> DataFrame:
 def against_all(open_: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """(x, y, n): the classes of ``open_`` and all earlier ones under their keys that might match."""
     mine = lines.join(bounded(open_, 32 * open_.count()), "c", "left_semi")
-    xs = cut(_unpacked(posted(mine)))
-    keys = cut(xs.select("word").distinct())
-    ys = posted(lines).join(bounded(keys, 32 * keys.count()), "word", "left_semi")
-    ys = _unpacked(ys)
+    xs = cut(_first_of_each(postings_of(mine)))
+    ys = _first_of_each(postings_of(lines, xs.select("word")))
     earlier = F.struct("y.place", "y.c") < F.struct("x.place", "x.c")
     met = xs.alias("x").join(ys.alias("y"), (F.col("x.word") == F.col("y.word")) & earlier & might_match_columns(threshold))
     return met.groupBy(F.col("x.c").alias("x"), F.col("y.c").alias("y")).agg(F.count("*").alias("n"))
@@ -375,18 +552,18 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, key, line) of every line that an earlier line removes; key is a hash of doc_id and text."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("key"), text_of().alias("text"))
     lines = cut(line_sets(rows, rarity(rows), threshold))
-    classes = lines.groupBy("c", "c2").agg(F.min(F.struct("doc_id", "line", "n", "lo", "hi", "prefix", "pairs")).alias("f")).select("c", "c2", "f.*")
-    found = cut(candidates(posted(classes), threshold).groupBy("x", "y").agg(F.count("*").alias("n")))
+    found = cut(candidates(packed(lines), threshold).groupBy("x", "y").agg(F.count("*").alias("n")))
     pairs = found.where("y is not null")
     hits = matched(pairs, lines, rows, threshold)
     open_ = cut(found.where("y is null").select(F.col("x").alias("c")).join(hits, "c", "left_anti"))
     if not open_.isEmpty():
         more = cut(against_all(open_, lines, threshold).join(pairs.select("x", "y"), ["x", "y"], "left_anti"))
         hits = hits.unionByName(matched(more, lines, rows, threshold))
-    place = F.struct("doc_id", "line", "key")
-    firsts = lines.groupBy("c", "c2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    marked = firsts.join(hits.withColumn("hit", F.lit(True)), ["c", "c2"], "left").where("hit or n > 1").select("c", "c2", "first", "hit")
-    return lines.select("c", "c2", "doc_id", "key", "line").join(marked, ["c", "c2"]).where(F.col("hit").isNotNull() | ~place.eqNullSafe(F.col("first"))).select("doc_id", "key", "line")
+    # a class that is hit is led by its hit, others by their first line; what comes behind is removed
+    members = lines.where("not copy").select("c", "c2", "doc_id", "line", "key", F.lit(True).alias("is_line"))
+    led = members.unionByName(hits.distinct().withColumn("is_line", F.lit(False)), allowMissingColumns=True)
+    behind = led.withColumn("rank", F.rank().over(Window.partitionBy("c", "c2").orderBy("is_line", "doc_id", "line", "key"))).where("is_line and rank > 1")
+    return behind.select("doc_id", "key", "line").unionByName(lines.where("copy").select("doc_id", "key", "line"))
 
 
 def deduplicate_lines(docs: DataFrame, threshold: float = THRESHOLD, counted: bool = False) -> DataFrame:

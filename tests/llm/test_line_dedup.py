@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from geoloom.llm import line_dedup
+from pyspark.sql import functions as F
 
 
 def plain(rows, threshold=0.8):
@@ -83,3 +86,51 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c d e\nx", 1, 2, 3, 4), (2, "a b c d e", 5, 6, 7, 8)], "doc_id bigint, text string, n_lines int, gone int, key int, `a.b` int")
     done = line_dedup.deduplicate_lines(df)
     assert done.columns == df.columns and {tuple(r) for r in done.collect()} == {(1, "a b c d e\nx", 1, 2, 3, 4), (2, "", 5, 6, 7, 8)}
+
+
+def test_hashes_of_words():
+    """All words at once, as if each text were split alone; equal words have equal hashes, others have others."""
+    rng = random.Random(4)
+    pieces = ["", "Ab", "aB", "c", "x" * 8, "x" * 9, "x" * 16, "x" * 17, "ÄÖ", "äÖ", "a\x1cb", "a\x00", "a", "a\x85", "\u3000", "b" * 2000]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", "\t", "\n", "\x0b  "]) for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    for array in (pa.array(texts), pa.array(texts).slice(7, 100), pa.array(texts, pa.large_string()).slice(399), pa.array([], pa.string()), pa.array(["", ""])):
+        hashes, at = line_dedup.hashed_words(array)
+        want = [(i, w) for i, text in enumerate(array.to_pylist()) for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text).encode().split()]
+        assert at.tolist() == [i for i, _ in want]
+        of = dict(zip([w for _, w in want], hashes.tolist(), strict=True))
+        assert [of[w] for _, w in want] == hashes.tolist() and len(set(of.values())) == len(of)
+
+
+def test_copies_keep_the_earliest():
+    """Of one set the earliest place stays, twice if its document is written twice."""
+    c, c2 = np.array([5, 5, 5, 5, 6, 5]), np.array([1, 1, 1, 1, 1, 2])
+    doc, line, key = np.array([2, 1, 1, 1, 0, 9]), np.array([0, 3, 3, 4, 0, 0]), np.array([7, 8, 8, 8, 9, 9])
+    assert line_dedup.copies(c, c2, doc, line, key).tolist() == [True, False, False, True, False, False]
+
+
+def test_postings_move_in_packs(spark, monkeypatch):
+    """What is shuffled are packs of postings by part, not a row for each, and none of copies; nothing is lost in them."""
+    monkeypatch.setattr(line_dedup, "PART", 200)
+    df = spark.createDataFrame([*corpus(5), *((1000 + i, "same words in all of these lines") for i in range(300))], "doc_id bigint, text string")
+    rows = df.select("doc_id", line_dedup.row_key().alias("key"), "text").where("text is not null").coalesce(1)
+    lines = line_dedup.cut(line_dedup.line_sets(rows, line_dedup.rarity(rows), 0.8))
+    packs = line_dedup.packed(lines).collect()
+    word, _, at, c, _, _ = line_dedup.unpacked([r.packed for r in packs])
+    loose = line_dedup.postings_of(lines).select("word", "at", "c").collect()
+    assert sorted(zip(word.tolist(), at.tolist(), c.tolist(), strict=True)) == sorted(map(tuple, loose))
+    assert len(loose) == lines.agg(F.sum("posted")).first()[0] and len({r.part for r in packs}) > 1
+    assert len(packs) < len(loose) / 20 and lines.where("copy").where("posted > 0 or size(prefix) > 0 and array_max(prefix) != 0").isEmpty()
+    assert lines.where("copy").count() >= 290
+
+
+@pytest.mark.parametrize("held, long_list", [(50, 12), (300, 8), (50, 20000)])
+def test_parts_beyond_memory(spark, monkeypatch, held, long_list):
+    """A part of which long lists are cut, while their classes come in any order, takes the same decisions."""
+    for name, value in {"HELD": held, "LONG_LIST": long_list, "FEW": 4, "FEW_PAIRS": 0, "PACKED": 20, "PACKED_ROWS": 8, "PART": 1 << 30}.items():
+        monkeypatch.setattr(line_dedup, name, value)
+    rows = corpus(6)
+    random.Random(6).shuffle(rows)
+    got = {}
+    for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).distinct().collect():
+        got.setdefault(r.doc_id, []).append(r.line)
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in plain(rows).items() if v}
