@@ -17,6 +17,7 @@ from ..functions import geometry as g
 from ..functions.numbers import even_round
 from . import arrangement as net
 from .aggregates import aggregate_of
+from .alike import alike, handed_out
 from .shapes import repair as clean_rings
 from .shapes import topology_issues, validity
 from .spatial import cells_of
@@ -27,6 +28,11 @@ def shell(shape: Column) -> Column:
     return F.get(F.get(shape["coords"], 0), 0)
 
 
+def once(value: Column, f) -> Column:
+    """f of a value that it uses more than once, worked out once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def is_convex(ring: Column) -> Column:
     """Whether all turns of a counter-clockwise ring are to the left."""
     pairs = g.segments(ring)
@@ -53,7 +59,7 @@ def clip_by_edges(ring: Column, edges: Column) -> Column:
             return F.when((p >= 0) & (q >= 0), F.array(s["b"])).when(p >= 0, F.array(meet)).when(q >= 0, F.array(meet, s["b"])).otherwise(none)
 
         left = F.flatten(F.transform(g.segments(now), keep))
-        return F.when(F.size(left) > 0, F.concat(left, F.slice(left, 1, 1))).otherwise(none)
+        return once(left, lambda r: F.when(F.size(r) > 0, F.concat(r, F.slice(r, 1, 1))).otherwise(none))
 
     return F.aggregate(edges, ring.cast(g.RING), cut)
 
@@ -185,14 +191,17 @@ def _points(features: DataFrame, mask: DataFrame, inside: bool, cell: float, ord
 
 
 def _masked(features: DataFrame, mask: DataFrame, inside: bool, order: str, cell: float | None) -> DataFrame:
-    found = Arrangement([features, mask.where(g.is_polygon(F.col("geometry")))], order, cell)
+    each, members = alike(features, order)
+    mask, _ = alike(mask.where(g.is_polygon(F.col("geometry"))), order)
+    found = Arrangement([each, mask], order, cell)
     own = found.sides.where(F.pmod(F.col("fid"), F.lit(2)) == 0)
     both = own.join(found.covered(1, 2), list(net.EDGE), "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("u_left", "u_right")})
     keeps = lambda a, b: F.col(a) & (F.col(b) if inside else ~F.col(b))
     shapes = found.shapes(net.directed(both, keeps("left", "u_left"), keeps("right", "u_right"), "fid"), "fid")
-    all_ = shapes.unionByName(_paths(found, F.col("__in") if inside else ~F.col("__in"))).unionByName(_points(features, mask, inside, 4 * found.cell, order))
+    all_ = shapes.unionByName(_paths(found, F.col("__in") if inside else ~F.col("__in"))).unionByName(_points(each, mask, inside, 4 * found.cell, order))
     out = features.drop("geometry").withColumn("source_feature_index", F.col(order))
-    return out.join(all_.withColumn("__id", F.floor(F.col("fid") / 2)).drop("fid"), F.col(order) == F.col("__id")).drop("__id")
+    made = handed_out(all_.withColumn("__id", F.floor(F.col("fid") / 2)).drop("fid"), members, "__id")
+    return out.join(made, F.col(order) == F.col("__id")).drop("__id")
 
 
 def clip_by(features: DataFrame, mask: DataFrame, order: str = "_idx", cell: float | None = None) -> DataFrame:
@@ -232,7 +241,56 @@ def union(source: DataFrame, target: DataFrame, source_prefix: str = "source_",
 
 
 def regions(sources: DataFrame, targets: DataFrame, order: str = "_idx", cell: float | None = None) -> DataFrame:
-    """(source, target, geometry, _intersection_area) of all polygons of any shape that share area."""
+    """(source, target, geometry, _intersection_area) of all polygons of any shape that share area.
+
+    Equal shapes count once, pairs of convex ones are clipped directly, and the others go through arrangements.
+    """
+    (left, left_of), (right, right_of) = alike(sources, order), alike(targets, order)
+    ring = shell(F.col("geometry"))
+    plain = g.is_polygon(F.col("geometry")) & (F.size("geometry.coords") == 1) & (F.size(F.get("geometry.coords", 0)) == 1) & is_simple_convex(ring)
+    flat_left, flat_right = left.where(plain), right.where(plain)
+    odd_left, odd_right = left.where(~F.coalesce(plain, F.lit(False))), right.where(~F.coalesce(plain, F.lit(False)))
+    found = _convex_regions(flat_left, flat_right, order)
+    if not odd_right.isEmpty():
+        found = found.unionByName(_arranged_regions(left, odd_right, order, cell))
+    if not odd_left.isEmpty():
+        found = found.unionByName(_arranged_regions(odd_left, flat_right, order, cell))
+    out = handed_out(handed_out(durable(found), left_of, "source"), right_of, "target")
+    return out.select("source", "target", "geometry", "_intersection_area")
+
+
+def is_simple_convex(ring: Column) -> Column:
+    """Whether a closed ring turns to the left all the way, once around."""
+    span = lambda k: F.array_max(F.transform(ring, lambda v: v[k])) - F.array_min(F.transform(ring, lambda v: v[k]))
+    way = lambda k: F.aggregate(g.segments(ring), F.lit(0.0), lambda acc, s: acc + F.abs(s["b"][k] - s["a"][k]))
+    around = lambda k: way(k) <= 2 * span(k) + net.SNAP
+    return (F.size(ring) >= 4) & (g.ring_area(ring) > 0) & is_convex(ring) & around("x") & around("y")
+
+
+def _convex_regions(sources: DataFrame, targets: DataFrame, order: str) -> DataFrame:
+    """``regions`` of convex polygons without holes: boxes meet on grid cells, a pair in the one that holds the lower left corner of what they share."""
+    on_grid = lambda r: F.transform(r, lambda v: g.vertex(F.round(v["x"], net.DIGITS), F.round(v["y"], net.DIGITS)))
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        rings = df.select(F.col(order).alias(name), on_grid(shell(F.col("geometry"))).alias(f"{name}_r"))
+        return rings.withColumn(f"{name}_b", g.bounds(g.polygon(F.col(f"{name}_r"))))
+
+    left, right = side(sources, "source"), side(targets, "target")
+    wide, tall = F.col("b.maxx") - F.col("b.minx"), F.col("b.maxy") - F.col("b.miny")
+    boxes = left.select(F.col("source_b").alias("b")).unionByName(right.select(F.col("target_b").alias("b")))
+    r = boxes.agg(F.count(F.lit(1)).alias("n"), (F.max("b.maxx") - F.min("b.minx")).alias("w"), (F.max("b.maxy") - F.min("b.miny")).alias("h"), F.avg(F.greatest(wide, tall)).alias("mean")).first()
+    cell = max(r.mean, (r.w * r.h / r.n) ** 0.5, max(r.w, r.h) / 1e4) if r.n else 1.0
+    a, b = F.col("source_b"), F.col("target_b")
+    x, y = F.greatest(a["minx"], b["minx"]), F.greatest(a["miny"], b["miny"])
+    meet = (x < F.least(a["maxx"], b["maxx"])) & (y < F.least(a["maxy"], b["maxy"])) & (F.floor(x / cell) == F.col("c.cx")) & (F.floor(y / cell) == F.col("c.cy"))
+    placed = [durable(df).select("*", F.explode(cells_of(F.col(f"{name}_b"), cell)).alias("c")) for df, name in ((left, "source"), (right, "target"))]
+    cut = placed[0].join(placed[1], "c").where(meet).select("source", "target", once(clip_ring(F.col("source_r"), F.col("target_r")), lambda r: once(on_grid(r), net.straight)).alias("ring"))
+    made = durable(cut).where(F.size("ring") >= 4).withColumn("size", g.ring_area(F.col("ring"))).where("size > 0")
+    return made.select("source", "target", g.polygon(F.col("ring")).alias("geometry"), even_round(F.col("size")).alias("_intersection_area"))
+
+
+def _arranged_regions(sources: DataFrame, targets: DataFrame, order: str, cell: float | None) -> DataFrame:
+    """``regions`` of polygons of any shape."""
     found = Arrangement([sources, targets], order, cell)
     side = lambda k, name: found.sides.where(F.pmod(F.col("fid"), F.lit(2)) == k).select(*net.EDGE, F.floor(F.col("fid") / 2).alias(name), F.col("left").alias(f"{name}_left"), F.col("right").alias(f"{name}_right"))
     both = side(0, "source").join(side(1, "target"), list(net.EDGE))
@@ -296,7 +354,7 @@ def dissolve(df: DataFrame, group_by: list[str], aggregations: list[dict] | None
     same = F.lit(True)
     for c in group_by:
         same &= F.col(f"f.{c}").eqNullSafe(F.col(f"g.{c}"))
-    features = durable(ready.alias("f").join(groups.alias("g"), same).select(F.col("f.__row").alias("__row"), F.col("f.geometry").alias("geometry"), F.col("g.__group").alias("__group")).where(g.is_polygon(F.col("geometry"))))
+    features = durable(ready.alias("f").join(groups.alias("g"), same).select(F.col("f.__row").alias("__row"), F.col("f.geometry").alias("geometry"), F.col("g.__group").alias("__group")).where(g.is_polygon(F.col("geometry"))).groupBy("__group", "geometry").agg(F.min("__row").alias("__row")))  # equal shapes of a group count once
     found = Arrangement([features], "__row", cell, "__group")
     named = found.sides.join(features.select(F.col("__row").alias("fid"), "__group"), "fid")
     sides = named.groupBy(*net.EDGE, "__group").agg(F.max("left").alias("left"), F.max("right").alias("right"))
