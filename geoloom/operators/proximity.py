@@ -19,6 +19,7 @@ from ..functions import geometry as g
 from ..functions.numbers import even_round, loose
 from . import arrangement as net
 from . import spatial
+from .alike import alike, handed_out
 from .storage import durable
 
 
@@ -64,13 +65,27 @@ def pairs_within(sources: DataFrame, targets: DataFrame, reach: float, order: st
 
 
 def nearest(sources: DataFrame, targets: DataFrame, k: int = 1, max_distance: float | None = None, order: str = "_idx") -> DataFrame:
-    """(source, target, distance, rank): the k nearest geometries, ties to the smaller target."""
+    """(source, target, distance, rank): the k nearest geometries, ties to the smaller target.
+
+    Equal shapes are searched once: the k nearest targets are among the k smallest of each of the k nearest
+    shapes, those under their smallest target.
+    """
     if not 1 <= k <= 100:
         raise ValueError("k must be from 1 to 100")
-    left, right = durable(sources.select(order, "geometry").where("geometry is not null")), durable(targets.select(order, "geometry").where("geometry is not null"))
+    (left, left_of), (right, right_of) = alike(sources, order), alike(targets, order)
+    near = _nearest_shapes(left, right, k, max_distance, order)
+    nr = F.row_number().over(Window.partitionBy("shape").orderBy("member"))
+    few = right_of.withColumn("nr", nr).where(F.col("nr") <= k).drop("nr")
+    place = F.row_number().over(Window.partitionBy("source").orderBy("distance", "target"))
+    ranked = handed_out(near.drop("rank"), few, "target").withColumn("rank", place).where(F.col("rank") <= k)
+    return handed_out(durable(ranked), left_of, "source").select("source", "target", "distance", "rank")
+
+
+def _nearest_shapes(left: DataFrame, right: DataFrame, k: int, max_distance: float | None, order: str) -> DataFrame:
+    """(source, target, distance, rank): the k nearest of distinct shapes, in rounds of growing distance."""
     box = g.bounds(F.col("geometry"))
     size = left.unionByName(right).select(box.alias("b")).agg(F.min("b.minx").alias("x0"), F.min("b.miny").alias("y0"), F.max("b.maxx").alias("x1"), F.max("b.maxy").alias("y1")).first()
-    empty = sources.sparkSession.createDataFrame([], "source bigint, target bigint, distance double, rank int")
+    empty = left.sparkSession.createDataFrame([], "source bigint, target bigint, distance double, rank int")
     n = right.count()
     if not n or size.x0 is None:
         return empty
@@ -113,7 +128,9 @@ def distances(sources: DataFrame, targets: DataFrame, mode: str = "nearest", ord
     if size[0] is None:
         return sources.sparkSession.createDataFrame([], "source bigint, target bigint, distance double")
     # the full matrix is this mode's result
-    return pairs_within(sources, targets, math.hypot(size[2] - size[0], size[3] - size[1]), order).select("source", "target", even_round(F.col("distance")).alias("distance"))
+    (left, left_of), (right, right_of) = alike(sources, order), alike(targets, order)
+    apart = pairs_within(left, right, math.hypot(size[2] - size[0], size[3] - size[1]), order).select("source", "target", even_round(F.col("distance")).alias("distance"))
+    return handed_out(handed_out(apart, left_of, "source"), right_of, "target").select("source", "target", "distance")
 
 
 def within_pairs(sources: DataFrame, targets: DataFrame, order: str = "_idx", cell: float | None = None) -> DataFrame:
@@ -148,6 +165,13 @@ def within_pairs(sources: DataFrame, targets: DataFrame, order: str = "_idx", ce
 
 def related_pairs(sources: DataFrame, targets: DataFrame, predicate: str = "intersects", distance: float = 0.0, order: str = "_idx") -> DataFrame:
     """(source, target) of geometries that intersect, are within, contain, or are within a distance."""
+    (left, left_of), (right, right_of) = alike(sources, order), alike(targets, order)
+    found = durable(_related_shapes(left, right, predicate, distance, order))
+    return handed_out(handed_out(found, left_of, "source"), right_of, "target").select("source", "target")
+
+
+def _related_shapes(sources: DataFrame, targets: DataFrame, predicate: str, distance: float, order: str) -> DataFrame:
+    """``related_pairs`` of distinct shapes."""
     if predicate == "within":
         return within_pairs(sources, targets, order)
     if predicate == "contains":
@@ -161,9 +185,12 @@ def spatial_join(sources: DataFrame, targets: DataFrame, predicate: str = "inter
     """Sources with the attributes of the targets they relate to: the first by order, or all. Layers of x and y go to ``spatial.spatial_join``."""
     if "geometry" not in sources.columns:
         return spatial.spatial_join(sources, targets, cell or 1.0, predicate, distance, join_type, cardinality, order, prefix)
-    pairs = durable(related_pairs(sources, targets, predicate, distance, order))
-    counts = pairs.groupBy("source").agg(F.min("target").alias("first"), F.count(F.lit(1)).alias("_joined_count"))
-    hits = counts.withColumnRenamed("first", "target") if cardinality == "first" else pairs.join(counts.drop("first"), "source")
+    (left, left_of), (right, right_of) = alike(sources, order), alike(targets, order)
+    pairs = durable(_related_shapes(left, right, predicate, distance, order))
+    # a shape's id is the smallest of its features
+    counts = pairs.join(right_of.groupBy(F.col("shape").alias("target")).agg(F.count(F.lit(1)).alias("m")), "target").groupBy("source").agg(F.min("target").alias("first"), F.sum("m").alias("_joined_count"))
+    hits = counts.withColumnRenamed("first", "target") if cardinality == "first" else handed_out(pairs, right_of, "target").join(counts.drop("first"), "source")
+    hits = handed_out(hits, left_of, "source")
     other = targets.select(F.col(order).alias("target"), *[F.col(c).alias(prefix + c) for c in targets.columns if c not in ("geometry", order)])
     joined = sources.join(hits, sources[order] == hits["source"], "inner" if join_type == "inner" else "left").drop("source").join(other, "target", "left").withColumnRenamed("target", "_target_index")
     return joined.withColumn("_joined_count", F.coalesce("_joined_count", F.lit(0))).withColumn("_join_status", F.when(F.col("_target_index").isNull(), "unmatched").otherwise("matched"))
@@ -184,12 +211,13 @@ def metres(x: str, y: str, s: tuple[str, str, str, str], dot: str) -> Column:
 
 
 def nearest_metres(places: DataFrame, targets: DataFrame, first: float = 500.0) -> DataFrame:
-    """(id, metres) of the nearest target of each place (id, x, y), in rounds of four times the distance.
+    """(id, metres) of the nearest target of each place (id, x, y), in rounds of four times the distance; equal places are searched once.
 
     A round looks into all cells that the distance reaches, in degrees at the place's latitude, so a found distance
     up to it can't be beaten; the last round looks everywhere.
     """
-    marked = durable(targets.where("geometry is not null").select(F.monotonically_increasing_id().alias("fid"), "geometry"))
+    marked, _ = alike(targets.select(F.monotonically_increasing_id().alias("fid"), "geometry"), "fid")
+    everyone, places = places, durable(places.groupBy("x", "y").agg(F.min("id").alias("id")).select("id", "x", "y"))
     names = ("ax", "ay", "bx", "by")
     pieces = durable(pieces_of(marked, "fid").join(marked.select("fid", g.is_point(F.col("geometry")).alias("dot")), "fid"))
     # inside a polygon the distance is 0
@@ -216,7 +244,7 @@ def nearest_metres(places: DataFrame, targets: DataFrame, first: float = 500.0)
         reach *= 4
         if last:
             break
-    return found
+    return everyone.join(places.withColumnRenamed("id", "spot"), ["x", "y"]).join(found.withColumnRenamed("id", "spot"), "spot").select("id", "metres")
 
 
 def enrich_real_estate(features: DataFrame, metro: DataFrame | None = None, malls: DataFrame | None = None, main_roads: DataFrame | None = None, allowed_zones: DataFrame | None = None, order: str = "_idx") -> DataFrame:
