@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from . import arrangement as net
+from .alike import alike
 from .overlay import Arrangement
 from .storage import durable
 
@@ -106,7 +107,9 @@ def buffer(features: DataFrame, distance: float, quad_segs: int = 8, cap_style:
     if distance == 0:
         raise ValueError("distance must not be 0")
     ready = durable(features.where("geometry is not null").withColumn("__row", F.monotonically_increasing_id()))
-    small = ready.select((F.lit(0).cast("bigint") if dissolve else F.col("__row")).alias("row"), "geometry")
+    each, members = alike(ready, "__row")
+    members = members.withColumnsRenamed({"shape": "__shape", "member": "__member"})
+    small = each.select((F.lit(0).cast("bigint") if dissolve else F.col("__row")).alias("row"), "geometry")
     around = _pieces(small, distance, quad_segs, cap_style, join_style, mitre_limit).withColumn("less", F.lit(distance < 0))
     bodies = small.where(g.is_polygon(F.col("geometry"))).select("row", "geometry", F.lit(False).alias("less"))
     if distance < 0 and not dissolve:
@@ -115,7 +118,7 @@ def buffer(features: DataFrame, distance: float, quad_segs: int = 8, cap_style:
     if dissolve:
         return shapes.select(F.lit(True).alias("dissolved"), F.lit(float(distance)).alias("buffer_distance"), "geometry")
     out = ready.drop("geometry").withColumn("_buffer_source_index", F.col(order))
-    return out.join(shapes, F.col("__row") == F.col("row")).drop("__row", "row")
+    return out.join(members, F.col("__row") == F.col("__member")).join(shapes, F.col("__shape") == F.col("row")).drop("__row", "row", "__shape", "__member")
 
 
 def ring_buffers(features: DataFrame, distances: list[float], quad_segs: int = 8, cap_style: str = "round", join_style: str = "round", mitre_limit: float = 5.0, order: str = "_idx", cell: float | None = None) -> DataFrame:
@@ -125,9 +128,11 @@ def ring_buffers(features: DataFrame, distances: list[float], quad_segs: int = 8
     if not steps or steps[0] <= 0:
         raise ValueError("distances must be positive")
     ready = durable(features.where("geometry is not null").withColumn("__row", F.monotonically_increasing_id()))
+    each, members = alike(ready, "__row")
+    members = members.withColumnsRenamed({"shape": "__shape", "member": "__member"})
     n, made = len(steps), None
     for i, d in enumerate(steps):
-        small = ready.select((F.col("__row") * n + i).alias("row"), "geometry")
+        small = each.select((F.col("__row") * n + i).alias("row"), "geometry")
         bodies = small.where(g.is_polygon(F.col("geometry")))
         parts = _pieces(small, d, quad_segs, cap_style, join_style, mitre_limit).unionByName(bodies).withColumn("less", F.lit(False))
         if i:
@@ -136,5 +141,5 @@ def ring_buffers(features: DataFrame, distances: list[float], quad_segs: int = 8
     shapes = _between(ready, made, cell).withColumn("ring_index", (F.col("row") % n + 1).cast("int")).withColumn("__of", F.floor(F.col("row") / n)).drop("row")
     limit = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("ring_index"))
     labels = [f"{a:g}-{b:g}" for a, b in zip([0.0, *steps], steps, strict=False)]
-    joined = ready.drop("geometry").join(shapes, F.col("__row") == F.col("__of")).drop("__row", "__of")
+    joined = ready.drop("geometry").join(members, F.col("__row") == F.col("__member")).join(shapes, F.col("__shape") == F.col("__of")).drop("__row", "__of", "__shape", "__member")
     return joined.withColumns({"inner": limit([0.0, *steps[:-1]]), "outer": limit(steps), "label": limit(labels)})
