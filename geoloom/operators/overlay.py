@@ -28,11 +28,6 @@ def shell(shape: Column) -> Column:
     return F.get(F.get(shape["coords"], 0), 0)
 
 
-def once(value: Column, f) -> Column:
-    """f of a value that it uses more than once, worked out once."""
-    return F.get(F.transform(F.array(value), f), 0)
-
-
 def is_convex(ring: Column) -> Column:
     """Whether all turns of a counter-clockwise ring are to the left."""
     pairs = g.segments(ring)
@@ -59,7 +54,7 @@ def clip_by_edges(ring: Column, edges: Column) -> Column:
             return F.when((p >= 0) & (q >= 0), F.array(s["b"])).when(p >= 0, F.array(meet)).when(q >= 0, F.array(meet, s["b"])).otherwise(none)
 
         left = F.flatten(F.transform(g.segments(now), keep))
-        return once(left, lambda r: F.when(F.size(r) > 0, F.concat(r, F.slice(r, 1, 1))).otherwise(none))
+        return g.once(left, lambda r: F.when(F.size(r) > 0, F.concat(r, F.slice(r, 1, 1))).otherwise(none))
 
     return F.aggregate(edges, ring.cast(g.RING), cut)
 
@@ -284,7 +279,7 @@ def _convex_regions(sources: DataFrame, targets: DataFrame, order: str) -> DataF
     x, y = F.greatest(a["minx"], b["minx"]), F.greatest(a["miny"], b["miny"])
     meet = (x < F.least(a["maxx"], b["maxx"])) & (y < F.least(a["maxy"], b["maxy"])) & (F.floor(x / cell) == F.col("c.cx")) & (F.floor(y / cell) == F.col("c.cy"))
     placed = [durable(df).select("*", F.explode(cells_of(F.col(f"{name}_b"), cell)).alias("c")) for df, name in ((left, "source"), (right, "target"))]
-    cut = placed[0].join(placed[1], "c").where(meet).select("source", "target", once(clip_ring(F.col("source_r"), F.col("target_r")), lambda r: once(on_grid(r), net.straight)).alias("ring"))
+    cut = placed[0].join(placed[1], "c").where(meet).select("source", "target", g.once(clip_ring(F.col("source_r"), F.col("target_r")), lambda r: g.once(on_grid(r), net.straight)).alias("ring"))
     made = durable(cut).where(F.size("ring") >= 4).withColumn("size", g.ring_area(F.col("ring"))).where("size > 0")
     return made.select("source", "target", g.polygon(F.col("ring")).alias("geometry"), even_round(F.col("size")).alias("_intersection_area"))
 
